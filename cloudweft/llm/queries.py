@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, huffman, preference, simhash
-from ._common import shared_root, table
+from . import host_rules, huffman, langid, preference, simhash
+from ._common import held_out, shared_root, table
 
 
 def op2_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select(F.col("id").alias("doc_id"), held_out("id", 3, 1).alias("held_out"), F.col("lang").alias("lang_pred"), "score", "languages")
+
+
 def op8_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,6 +46,7 @@ QUERIES = {
     "op2_preference": op2_preference,
     "op3_host_rules": op3_host_rules,
     "op5_simhash": op5_simhash,
+    "op6_language": op6_language,
     "op8_token_huffman": op8_token_huffman,
 }
 
