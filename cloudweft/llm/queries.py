@@ -7,10 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, huffman, langid, preference, simhash
+from . import host_rules, huffman, langid, preference, simhash, toxicity
 from ._common import held_out, shared_root, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select(F.col("id").alias("doc_id"), held_out("id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     found = preference.preferences(preference.neighbour_pairs(turns), turns)
@@ -43,6 +49,7 @@ def op8_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_preference": op2_preference,
     "op3_host_rules": op3_host_rules,
     "op5_simhash": op5_simhash,
