@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, huffman, langid, preference, simhash, toxicity
+from . import host_rules, huffman, langid, line_quality, preference, simhash, toxicity
 from ._common import held_out, shared_root, table
 
 
@@ -40,6 +40,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held_out("id", 3, 1).alias("held_out"), F.col("lang").alias("lang_pred"), "score", "languages")
 
 
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = line_quality.score(docs, line_quality.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select(F.col("id").alias("doc_id"), held_out("id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +60,7 @@ QUERIES = {
     "op3_host_rules": op3_host_rules,
     "op5_simhash": op5_simhash,
     "op6_language": op6_language,
+    "op7_line_quality": op7_line_quality,
     "op8_token_huffman": op8_token_huffman,
 }
 
