@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, huffman, langid, line_quality, preference, simhash, toxicity
+from . import decontamination, host_rules, huffman, langid, line_quality, packing, preference, simhash, toxicity
 from ._common import held_out, shared_root, table
 
 
@@ -29,6 +29,11 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), tau=2)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -54,14 +59,20 @@ def op8_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_ids(spark, path, digest=True)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.word_count()).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_preference": op2_preference,
     "op3_host_rules": op3_host_rules,
+    "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
     "op6_language": op6_language,
     "op7_line_quality": op7_line_quality,
     "op8_token_huffman": op8_token_huffman,
+    "op9_packing": op9_packing,
 }
 
 SQL = {
