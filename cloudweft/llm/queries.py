@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, host_rules, huffman, langid, line_quality, packing, preference, simhash, toxicity
+from . import decontamination, host_rules, huffman, langid, licences, line_quality, packing, preference, simhash, toxicity
 from ._common import held_out, shared_root, table
 
 
@@ -63,6 +63,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.word_count()).withColumnRenamed("id", "doc_id")
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.fit(docs)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_preference": op2_preference,
@@ -73,6 +78,7 @@ QUERIES = {
     "op7_line_quality": op7_line_quality,
     "op8_token_huffman": op8_token_huffman,
     "op9_packing": op9_packing,
+    "op10_licences": op10_licences,
 }
 
 SQL = {
