@@ -87,3 +87,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     rows = written(rows.withColumn("base_failed", base_failed(min_words, max_repeat_percent)), "rule-features")
     hosts = host_verdicts(rows, max_rate=max_rate).select(F.col("host").alias("source"), "rate", "host_kept")
     return rows.join(hosts, "source", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True)))
+
+
+def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, max_rate: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that ``judge`` keeps; the verdict is on each row, so ids may repeat or be null."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(host_col).alias("source"), F.col(text_col).alias("text"))
+    rows = document_features(rows, keep=("doc", "source")).select("doc", "source", base_failed(min_words, max_repeat_percent).alias("base_failed"))
+    rows = written(rows, "judged-documents")
+    hosts = host_verdicts(rows, max_rate=max_rate).select(F.col("host").alias("source"), "host_kept")
+    return rows.filter(~F.col("base_failed")).join(hosts, "source", "left").filter(F.coalesce("host_kept", F.lit(True))).select("doc.*")

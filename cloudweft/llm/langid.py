@@ -175,3 +175,23 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *more)
     schema = "id long, lang string, score double, languages string" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
     return rows.mapInArrow(run, schema)
+
+
+def identified(docs: DataFrame, model: Model | None, text_col: str = "text", penalty: float = 2.0) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a language; the rest are null, without letters, or met no model."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(it):
+        model = sent.value
+        for b in it:
+            texts = b.column(at).to_pylist()
+            keep = np.zeros(len(texts), bool)
+            for lo, hi in pieces(texts, 8_000_000 // max(4, len(model.langs))) if model else []:
+                words = [words_of(t) for t in texts[lo:hi]]
+                some = [k for k, d in enumerate(words) if d]
+                if some:
+                    keep[[lo + k for k in some]] = model.mixtures([words[k] for k in some], penalty).max(axis=1) > 0
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -41,7 +41,7 @@ OTHER_STATEMENTS = [
     "Released under a proprietary license.", "No part of this publication may be reproduced without prior written permission.", "This work may be used under the terms of the Open Widget License.", "Licensed for personal use only.",
 ]
 #: Words that mark a paragraph as no example of ``none``.
-CUES = {"license", "licence", "licensed", "licenced", "copyright", "rights", "permission", "spdx", "redistribution", "copyleft", "gpl", "cc0"}
+CUES = {"license", "licence", "licensed", "licenced", "copyright", "rights", "permission", "spdx", "spdx-license-identifier", "redistribution", "copyleft", "gpl", "cc0"}
 
 
 def grams(text: str) -> list[str]:
@@ -117,12 +117,12 @@ class Classifier:
         return out
 
     def candidates(self, texts: list[str]) -> list[int]:
-        """Paragraphs with two known two-grams, or all of fewer: less is no statement, whatever its words weigh."""
+        """Paragraphs with two known two-grams, or one and a cue in two words: less is no statement, whatever its words weigh."""
         known, out = self.pairs.__contains__, []
         for k, t in enumerate(texts):
             words = _WORD.findall(t.lower())
             n = sum(map(known, zip(words, words[1:])))
-            if n >= 2 or n and n == len(words) - 1:
+            if n >= 2 or n and n == len(words) - 1 and not CUES.isdisjoint(words):
                 out.append(k)
         return out
 

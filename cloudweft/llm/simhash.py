@@ -319,3 +319,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # only fingerprints whose component has a smaller document than their own need the join
     named = named.join(lead, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, parts: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that lead their component: the smallest id stays.
+
+    Rows that repeat an id are one document and leave one row. Rows without an id can't be named by a component and stay.
+    """
+    leads = near_duplicates(docs, id_col, text_col, tau, parts).filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("__lead")).distinct()
+    named = docs.filter(F.col(id_col).isNotNull())
+    kept = named.join(leads, named[id_col] == leads["__lead"], "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
