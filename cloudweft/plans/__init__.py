@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_catalog
+from . import q_catalog, q_geometry
 
-MODULES = (q_catalog,)
+MODULES = (q_catalog, q_geometry)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _m in MODULES:

@@ -32,7 +32,7 @@ def _rooms(spark, d):
     return V.points_full(spark, d).groupBy("cloud_id", "area").agg(F.count("*").alias("n_points")).withColumn("room_name", F.concat(F.lit("Area_"), F.col("area").cast("string"), F.lit("_room_"), F.col("cloud_id").cast("string")))
 
 
-_CLASSES = ["canada", "brazil", "france", "china", "clutter"]
+_CLASSES = ["nation_0", "nation_2", "nation_3", "nation_4", "clutter"]
 
 
 def _fit(spark, d):
@@ -54,7 +54,7 @@ QUERIES = {
     "parse_shape_name": lambda s, d: V.shapes(s, d).select("file_name", C.parse_shape_name(F.col("file_name")).alias("n")).select("file_name", "n.*"),
     "shape_ids": lambda s, d: C.shape_ids(V.shapes(s, d)),
     "relative_paths": lambda s, d: C.relative_paths(_paths(s, d), "/data/train"),
-    "renumber_shapes": lambda s, d: C.renumber_shapes(V.shapes(s, d).select("class_name", F.col("cloud_id").alias("number")), C.rename_by({"canada": "america", "united_states": "america"}, s)),
+    "renumber_shapes": lambda s, d: C.renumber_shapes(V.shapes(s, d).select("class_name", F.col("cloud_id").alias("number")), C.rename_by({"nation_0": "america", "nation_1": "america"}, s)),
     "replace_clouds": lambda s, d: C.replace_clouds(_paths(s, d).filter("cloud_id % 3 > 0"), _paths(s, d).withColumn("cloud_id", F.col("cloud_id") + 1000), _paths(s, d).filter("cloud_id % 5 = 1")),
     "encode_class": lambda s, d: C.encode_class(V.shapes(s, d).select("cloud_id", "class_name"), _CLASSES),
     "colourise": lambda s, d: C.colourise(V.points_full(s, d).select("cloud_id", "point_idx", "label"), no_wall=True),
@@ -67,7 +67,7 @@ QUERIES = {
     "uniform_to_n": lambda s, d: S.uniform_to_n(V.points(s, d), 250, seed=3),
     "bootstrap_points": lambda s, d: S.bootstrap_points(V.points(s, d), 64, seed=3),
     "fit_to_n": _fit,
-    "split_by_list": lambda s, d: S.split_by_list(V.shapes(s, d), _lists(s, d), "trainval", ["canada", "brazil", "france"]),
+    "split_by_list": lambda s, d: S.split_by_list(V.shapes(s, d), _lists(s, d), "trainval", ["nation_0", "nation_2", "nation_3"]),
     "split_by_area": lambda s, d: S.split_by_area(_rooms(s, d), 5),
     "split_head_tail": lambda s, d: S.split_head_tail(V.texts(s, d).select("doc_id", "class"), "class", ["doc_id"]),
     "shuffle_clouds": lambda s, d: S.shuffle_clouds(V.shapes(s, d), seed=9).select("cloud_id", "class_name", "place"),
@@ -93,9 +93,9 @@ SQL = {
     "parse_shape_name": sql("shapes", "select file_name, class_name, cloud_id::int as number from shapes"),
     "shape_ids": sql("shapes", "select class_name || '_' || lpad(cloud_id::varchar, 4, '0') as shape_id from shapes"),
     "relative_paths": sql("shapes", "select class_name || '/' || file_name as path from shapes where split = 'train'"),
-    "renumber_shapes": sql("shapes", ", n as (select class_name, cloud_id as number, case when class_name in ('canada', 'united_states') then 'america' else class_name end as new_class from shapes) select *, row_number() over (partition by new_class order by number, class_name)::int as new_number from n"),
+    "renumber_shapes": sql("shapes", ", n as (select class_name, cloud_id as number, case when class_name in ('nation_0', 'nation_1') then 'america' else class_name end as new_class from shapes) select *, row_number() over (partition by new_class order by number, class_name)::int as new_number from n"),
     "replace_clouds": sql("shapes", _PATHS + ", f as (select cloud_id + 1000 as cloud_id, path from paths where cloud_id % 5 = 1) select cloud_id, path from paths where cloud_id % 3 > 0 and path not in (select path from f) union all select * from f"),
-    "encode_class": sql("shapes", "select cloud_id, class_name, (case class_name when 'canada' then 0 when 'brazil' then 1 when 'france' then 2 when 'china' then 3 else 4 end)::int as class_id from shapes"),
+    "encode_class": sql("shapes", "select cloud_id, class_name, (case class_name when 'nation_0' then 0 when 'nation_2' then 1 when 'nation_3' then 2 when 'nation_4' then 3 else 4 end)::int as class_id from shapes"),
     "colourise": sql("points", f"select cloud_id, point_idx, label, c.r, c.g, c.b from points join (values {_COLOURS}) c(id, r, g, b) on label = id where label not in (0, 2)"),
     "colourise_easy_view": sql("points", f"select cloud_id, point_idx, label, c.r, c.g, c.b from points join (values {_COLOURS}) c(id, r, g, b) on label = id where label in (7, 8, 9, 10, 11, 1)"),
     "one_hot": sql("points", "select cloud_id, k::int as k, count(*) filter (where label = k) as n from points, range(13) t(k) group by 1, 2"),
@@ -109,7 +109,7 @@ SQL = {
         s as (select cloud_id, n, slot, floor({uniform_sql('cloud_id', 'slot', 5)} * n)::bigint as point_idx from c, range(600) t(slot) where slot < case when n > 600 then 600 else 600 - n end)
         select cloud_id, point_idx as slot, point_idx, x, y, z from points join c using (cloud_id) where n <= 600
         union all select cloud_id, case when n < 600 then slot + n else slot end, point_idx, x, y, z from s join points using (cloud_id, point_idx)"""),
-    "split_by_list": sql("shapes", "select * from shapes where cloud_id < 80 and class_name in ('canada', 'brazil', 'france')"),
+    "split_by_list": sql("shapes", "select * from shapes where cloud_id < 80 and class_name in ('nation_0', 'nation_2', 'nation_3')"),
     "split_by_area": sql("points", _ROOMS + " select cloud_id, area, n_points, room_name from rooms where room_name like '%Area\\_5%' escape '\\'"),
     "split_head_tail": sql("texts", ", k as (select doc_id, class, row_number() over (partition by class order by doc_id) as k, count(*) over (partition by class) as n from texts) select doc_id, class, case when k <= round_even(n * 0.8::double, 0) then 'head' else 'tail' end as part from k"),
     "shuffle_clouds": sql("shapes", f"select cloud_id, class_name, row_number() over (order by {uniform_sql('cloud_id', '0', 9)}, cloud_id) - 1 as place from shapes"),
