@@ -7,16 +7,18 @@ canonical code of at most ``max_bits`` bits by package-merge, deals the document
 * ``<path>/blocks``  part, block, first (ids of the part before the block), ids and lengths of its documents,
   ``payload`` (the bits, high bit first) and ``checkpoints`` (bits in each run of 64 symbols, little-endian 16 bit).
 
-A block holds whole documents and about ``block_symbols`` ids. Parts are in ascending order of the document id, and so
+A block holds whole documents and about ``block_symbols`` ids (or one longer document). Parts are in ascending order of the document id, and so
 are blocks and documents in them. Every run of 64 symbols starts at a known bit, so a block is decoded with one table
 look-up per symbol for all its runs at a time; any block, or any run, can be read alone.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +34,39 @@ _TAIL = ".,!?;:|$%&*#()[]-"
 _encoders: dict[str, "Encoder"] = {}
 
 
+#: The pattern whose tokens never hold a blank, and what stands before and after it in such a tokenizer.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_STEPS = ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies name bytes: printable Latin-1 as it is, the others from U+0100 on."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids of texts as bytes (16 bit each, or 32 for larger vocabularies). Blanks always end a token, so the pieces between blanks
-    are encoded apart and kept, up to ``keep`` of them."""
+    """Ids of texts as bytes (16 bit each, or 32 for larger vocabularies).
 
-    def __init__(self, path: str, keep: int = 800_000):
+    With the tokenizer described above blanks always end a token, so the pieces between blanks are encoded once and kept, up
+    to ``keep`` of them; words in lower case go to its model directly. Any other tokenizer encodes whole texts.
+    """
+
+    def __init__(self, path: str, keep: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.known: dict[str, bytes] = {"": b""}
+        conf = json.loads(self.tokenizer.to_str())
+        steps = [x for part, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for x in (conf[part] or {}).get(inner, [])]
+        self.by_piece = [x["type"] for x in steps] == _STEPS and steps[3]["pattern"].get("Regex") == _PATTERN and steps[3]["invert"] and steps[3]["behavior"] == "Removed"
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.pieces: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.names = [array(self.kind, [k]).tobytes() for k in range(self.tokenizer.get_vocab_size())]
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -50,39 +74,49 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def learn(self, pieces: set[str]) -> None:
-        known, fresh, later = self.known, set(), []
-        if len(known) + len(pieces) > self.keep:
+    def _whole(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Adds the ids of unknown pieces: a word in lower case and the marks after it, or whatever else the tokenizer makes of it."""
+        known, words, marks, names, model = self.pieces, self.words, self.marks, self.names, self.model.tokenize
+        if len(known) >= self.keep:
             known.clear()
             known[""] = b""
+        if len(words) >= self.keep:
+            words.clear()
         for x in pieces:
+            if x in known:
+                continue
             core = x.rstrip(_TAIL)
-            if core.isalpha() and (core is not x or core.isascii()):
-                low, tail = core.lower() if core.isascii() else core, x[len(core) :]
-                fresh.update(y for y in (low, tail) if y not in known)
-                later.append((x, low, tail))
-            else:
-                fresh.add(x)
-        order = list(fresh)
-        for x, e in zip(order, self.tokenizer.encode_batch(order, add_special_tokens=False)):
-            known[x] = array(self.kind, e.ids).tobytes()
-        for x, low, tail in later:
-            known[x] = known[low] + known[tail]
+            plain = core.isascii()
+            word = core.lower() if plain else core
+            if not word.isalpha() or not plain and not (word.islower() and is_normalized("NFC", word)):
+                known[x] = self._whole(x)
+                continue
+            got = words.get(word)
+            if got is None:
+                named = word if plain else word.encode().decode("latin-1").translate(self.letters)
+                got = words[word] = b"".join([names[t.id] for t in model(named)])
+            if len(core) < len(x):
+                tail = x[len(core) :]
+                after = marks.get(tail)
+                if after is None:
+                    after = self._whole(tail)
+                    if len(marks) < 10_000:
+                        marks[tail] = after
+                got += after
+            known[x] = got
 
     def encode(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
+        if not self.by_piece:
+            return self._whole(text)
+        known, pieces = self.pieces, text.replace("\n", " ").split(" ")
         try:
-            return b"".join([self.known[x] for x in pieces])
+            return b"".join([known[x] for x in pieces])
         except KeyError:
-            whole = set(pieces)
-            self.learn({x for x in whole if x not in self.known})
-            if len(self.known) < len(whole):  # the store was emptied meanwhile
-                self.learn(whole)
-            try:
-                return b"".join([self.known[x] for x in pieces])
-            except KeyError:
-                self.learn(whole)
-                return b"".join([self.known[x] for x in pieces])
+            self._learn(pieces)
+            return b"".join([known[x] for x in pieces])
 
 
 def token_ids(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int | None) -> DataFrame:
@@ -91,7 +125,7 @@ def token_ids(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str,
     def run(it):
         import zstandard
 
-        pack, encoder = zstandard.ZstdCompressor(level=3).compress, Encoder.of(tokenizer_path)
+        pack, encoder = zstandard.ZstdCompressor(level=1).compress, Encoder.of(tokenizer_path)
         tail, width = array(encoder.kind, [] if end_id is None else [end_id]).tobytes(), array(encoder.kind).itemsize
         for ids, texts in batches(it, "id", "text"):
             n, out = [], []
@@ -200,7 +234,7 @@ BLOCKS = T.StructType([
 ])
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 18, block_symbols: int = 65_536) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 18, block_symbols: int = 262_144) -> None:
     """Writes the ids of all ``docs`` below ``path``. A null id comes first; repeated ids keep all their rows."""
     spark = docs.sparkSession
     kind = _width(tokenizer_path)
