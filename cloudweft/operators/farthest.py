@@ -105,7 +105,7 @@ def fps_complete(pts: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
         return pd.concat([head, _frame(pdf, _walk(xyz, k - len(own), 0, known), len(own))], ignore_index=True)
 
     left = pts.select("cloud_id", "point_idx", "x", "y", "z").groupBy("cloud_id")
-    right = seeds.select("cloud_id", "seed_no", "x", "y", "z").groupBy("cloud_id")
+    right = seeds.select(*[F.col(c).alias(c) for c in ("cloud_id", "seed_no", "x", "y", "z")]).groupBy("cloud_id")
     return left.cogroup(right).applyInPandas(pick, _PICKS)
 
 

@@ -1 +1,208 @@
-"""stub"""
+"""Neighbours within clouds, matching and comparison.
+
+Radius searches join on cells of the radius: each point of the smaller side goes to the 27 cells around it, and pairs are filtered by
+their true distance, so work follows the number of close pairs. Nearest-neighbour searches against few points per cloud
+(coarse levels, samples) are plain joins on the cloud with ranked or least distances, map-side combined.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import farthest
+
+XYZ = ("x", "y", "z")
+
+
+def _sq(cols: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, [c * c for c in cols])
+
+
+def _side(df: DataFrame, name: str, idx: str = "point_idx") -> DataFrame:
+    return df.select("cloud_id", F.col(idx).alias(f"{name}_idx"), *[F.col(c).alias(f"{name}{c}") for c in XYZ])
+
+
+
+def _between() -> Column:
+    return _sq([F.col(f"a{c}") - F.col(f"b{c}") for c in XYZ])
+
+
+def cell_join(a: DataFrame, b: DataFrame, r: float, a_idx: str = "point_idx", b_idx: str = "point_idx") -> DataFrame:
+    """(cloud_id, a_idx, ax, ay, az, b_idx, bx, by, bz, d2): all pairs of a cloud within ``r``. ``a`` is the side that is replicated."""
+    around = F.explode(F.expr("flatten(flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> transform(sequence(-1, 1), k -> struct(i, j, k))))))")).alias("o")
+    left = _side(a, "a", a_idx).select("*", around)
+    left = left.select("cloud_id", "a_idx", "ax", "ay", "az", *[(F.floor(F.col(f"a{c}") / r) + F.col(f"o.{o}")).alias(f"c{c}") for c, o in zip(XYZ, "ijk")])
+    right = _side(b, "b", b_idx).select("*", *[F.floor(F.col(f"b{c}") / r).alias(f"c{c}") for c in XYZ])
+    pairs = left.join(right, ["cloud_id", "cx", "cy", "cz"]).withColumn("d2", _between())
+    return pairs.filter(F.col("d2") <= r * r).drop("cx", "cy", "cz")
+
+
+def square_distance(a: DataFrame, b: DataFrame, a_idx: str = "point_idx", b_idx: str = "point_idx") -> DataFrame:
+    """(cloud_id, a_idx, b_idx, d2) for every pair of a cloud: the output is that large, so one side should be few points."""
+    return _side(a, "a", a_idx).join(_side(b, "b", b_idx), "cloud_id").select("cloud_id", "a_idx", "b_idx", _between().alias("d2"))
+
+
+def vector_distance(a: Column, b: Column) -> Column:
+    """Euclidean distance of two arrays; -1 if their lengths differ."""
+    d2 = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    return F.when(F.size(a) == F.size(b), F.sqrt(d2)).otherwise(F.lit(-1.0))
+
+
+def index_points(pts: DataFrame, idx: DataFrame) -> DataFrame:
+    """Rows of ``pts`` for every (cloud_id, point_idx) of ``idx``, whose other columns stay; repeats give repeats."""
+    return idx.join(pts, ["cloud_id", "point_idx"])
+
+
+def ball_query(pts: DataFrame, centres: DataFrame, r: float, nsample: int) -> DataFrame:
+    """(cloud_id, centre, slot, point_idx): the first ``nsample`` points by index within ``r`` of each centre (cloud_id, centre, x, y, z).
+
+    Free slots repeat the first point. A centre without points has no rows.
+    """
+    near = cell_join(centres, pts, r, a_idx="centre").select("cloud_id", F.col("a_idx").alias("centre"), F.col("b_idx").alias("point_idx"))
+    return _slots(near, nsample)
+
+
+def _slots(near: DataFrame, nsample: int | Column, keys: Sequence[str] = ("cloud_id", "centre")) -> DataFrame:
+    w = Window.partitionBy(*keys)
+    ranked = near.withColumns({"slot": (F.row_number().over(w.orderBy("point_idx")) - 1), "__n": F.count(F.lit(1)).over(w)})
+    limit = F.lit(nsample) if isinstance(nsample, int) else nsample
+    kept = ranked.filter(F.col("slot") < limit)
+    pad = F.when((F.col("slot") == 0) & (F.col("__n") < limit), F.concat(F.array(F.lit(0)), F.sequence(F.col("__n").cast("int"), limit.cast("int") - 1))).otherwise(F.array(F.col("slot")))
+    return kept.select(*keys, F.explode(pad).alias("slot"), "point_idx")
+
+
+def sample_and_group(pts: DataFrame, n: int, r: float, k: int, features: Sequence[str] = (), start: int = 0) -> DataFrame:
+    """(cloud_id, centre, slot, point_idx, x, y, z, features): ``n`` farthest points as centres, the ball of each, coordinates from it."""
+    centres = farthest.farthest_point_sample(pts, n, start).select("cloud_id", F.col("place").alias("centre"), *XYZ)
+    groups = index_points(pts.select("cloud_id", "point_idx", *XYZ, *features), ball_query(pts, centres, r, k))
+    own = centres.select("cloud_id", "centre", *[F.col(c).alias(f"__{c}") for c in XYZ])
+    both = groups.join(own, ["cloud_id", "centre"])
+    return both.select("cloud_id", "centre", "slot", "point_idx", *[(F.col(c) - F.col(f"__{c}")).alias(c) for c in XYZ], *features)
+
+
+def group_all(pts: DataFrame, features: Sequence[str] = ()) -> DataFrame:
+    """The whole cloud as one group around the origin."""
+    return pts.select("cloud_id", F.lit(0).alias("centre"), F.col("point_idx").alias("slot"), "point_idx", *XYZ, *features)
+
+
+#: Radius and group size of the usual multi-scale setting.
+SCALES = ((0.1, 16), (0.2, 32), (0.4, 128))
+
+
+def multi_scale_group(pts: DataFrame, centres: DataFrame, scales: Sequence[tuple[float, int]] = SCALES) -> DataFrame:
+    """(cloud_id, centre, scale, slot, point_idx): ball queries of several radii from one join at the largest."""
+    near = cell_join(centres, pts, max(r for r, _ in scales), a_idx="centre")
+    fit = F.explode(F.array(*[F.struct(F.lit(k).alias("scale"), F.lit(float(r * r)).alias("r2"), F.lit(n).alias("n")) for k, (r, n) in enumerate(scales)]))
+    rows = near.select("cloud_id", F.col("a_idx").alias("centre"), F.col("b_idx").alias("point_idx"), "d2", fit.alias("s")).filter(F.col("d2") <= F.col("s.r2"))
+    limit = F.get(F.array(*[F.lit(n) for _, n in scales]), F.col("scale"))
+    return _slots(rows.select("cloud_id", "centre", "s.scale", "point_idx"), limit, ("cloud_id", "centre", "scale"))
+
+
+def group_max(groups: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("cloud_id", "centre")) -> DataFrame:
+    """The largest value of each column in each group."""
+    return groups.groupBy(*keys).agg(*[F.max(c).alias(c) for c in cols])
+
+
+def knn(a: DataFrame, b: DataFrame, k: int, a_idx: str = "point_idx", b_idx: str = "point_idx") -> DataFrame:
+    """(cloud_id, a_idx, b_idx, d2, rank): the ``k`` nearest of ``b`` for each of ``a``, the lower index first on ties.
+
+    A bounded list per point is merged map-side (``min_by`` k times would rescan); ``b`` should be a coarse level.
+    """
+    pairs = square_distance(a, b, a_idx, b_idx)
+    rank = F.row_number().over(Window.partitionBy("cloud_id", "a_idx").orderBy("d2", "b_idx"))
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def interpolate_3nn(fine: DataFrame, coarse: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(cloud_id, point_idx, cols): means of the three nearest coarse points, weighted by 1 / (d2 + 1e-8); fewer if there are fewer."""
+    near = knn(fine, coarse, 3).withColumn("w", 1 / (F.col("d2") + 1e-8))
+    values = near.join(coarse.select("cloud_id", F.col("point_idx").alias("b_idx"), *cols), ["cloud_id", "b_idx"])
+    return values.groupBy("cloud_id", F.col("a_idx").alias("point_idx")).agg(*[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in cols])
+
+
+def nn_distance(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(cloud_id, side, point_idx, d2, nn_idx): the nearest point of the other cloud for all of ``a`` (side a) and ``b`` (side b)."""
+    pairs = square_distance(a, b)
+    out = []
+    for side, own, other in (("a", "a_idx", "b_idx"), ("b", "b_idx", "a_idx")):
+        best = pairs.groupBy("cloud_id", F.col(own).alias("point_idx")).agg(F.min(F.struct("d2", other)).alias("m"))
+        out.append(best.select("cloud_id", F.lit(side).alias("side"), "point_idx", "m.d2", F.col(f"m.{other}").alias("nn_idx")))
+    return out[0].unionByName(out[1])
+
+
+def simplification_loss(ref: DataFrame, samp: DataFrame, size: int, gamma: float = 1.0, delta: float = 0.0) -> DataFrame:
+    """(forward, farthest, backward, loss): mean and mean largest squared distance of samples to the reference, mean of the way back."""
+    near = nn_distance(samp, ref)
+    per = near.groupBy("cloud_id").agg(
+        F.avg(F.when(F.col("side") == "a", F.col("d2"))).alias("f"), F.max(F.when(F.col("side") == "a", F.col("d2"))).alias("m"), F.avg(F.when(F.col("side") == "b", F.col("d2"))).alias("b"),
+        F.count(F.when(F.col("side") == "a", 1)).alias("nf"), F.count(F.when(F.col("side") == "b", 1)).alias("nb"),
+    )
+    total = per.agg((F.sum(F.col("f") * F.col("nf")) / F.sum("nf")).alias("forward"), F.avg("m").alias("farthest"), (F.sum(F.col("b") * F.col("nb")) / F.sum("nb")).alias("backward"))
+    return total.withColumn("loss", F.col("forward") + F.col("farthest") + (gamma + delta * size) * F.col("backward"))
+
+
+def nn_match(full: DataFrame, idx: DataFrame, k: int, complete: bool = True) -> DataFrame:
+    """Matched points (cloud_id, slot, point_idx) of ``full``: distinct in first-seen order and completed to ``k`` by farthest points, or as they are."""
+    if not complete:
+        return index_points(full.select("cloud_id", "point_idx", *XYZ), idx.select("cloud_id", F.col("slot").cast("int").alias("place"), "point_idx")).filter(F.col("place") < k)
+    first = idx.groupBy("cloud_id", "point_idx").agg(F.min("slot").alias("slot"))
+    seeds = first.withColumn("seed_no", F.row_number().over(Window.partitionBy("cloud_id").orderBy("slot")) - 1)
+    seeds = index_points(full.select("cloud_id", "point_idx", *XYZ), seeds.select("cloud_id", "point_idx", "seed_no"))
+    return farthest.fps_complete(full, seeds.filter(F.col("seed_no") < k), k)
+
+
+def soft_project(samp: DataFrame, full: DataFrame, k: int = 7, sigma: float = 1.0, hard: bool = False) -> DataFrame:
+    """(cloud_id, point_idx, x, y, z): samples as means of their ``k`` nearest points weighted by softmax(-d2 / sigma), or the nearest alone."""
+    near = knn(samp, full, 1 if hard else k)
+    low = F.min("d2").over(Window.partitionBy("cloud_id", "a_idx"))
+    near = near.withColumn("w", F.exp((low - F.col("d2")) / sigma))
+    both = near.join(full.select("cloud_id", F.col("point_idx").alias("b_idx"), *XYZ), ["cloud_id", "b_idx"])
+    return both.groupBy("cloud_id", F.col("a_idx").alias("point_idx")).agg(*[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in XYZ])
+
+
+def compare_clouds(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(point_idx, ax..az, bx..bz, distance): two clouds side by side by place, as far as the shorter goes."""
+    left, right = (df.select("point_idx", *[F.col(c).alias(f"{n}{c}") for c in XYZ]) for n, df in (("a", a), ("b", b)))
+    return left.join(right, "point_idx").withColumn("distance", F.sqrt(_between()))
+
+
+def cloud_pairs(clouds: DataFrame, key: str = "cloud_id") -> DataFrame:
+    """(a, b): all pairs of clouds with a < b, the work list of a registration of every pair. Each cloud names the ranks below its own."""
+    ranked = clouds.select(key).distinct().withColumn("__k", F.row_number().over(Window.orderBy(key)))
+    lower = ranked.filter("__k > 1").select(F.col(key).alias("b"), F.explode(F.sequence(F.lit(1), F.col("__k") - 1)).alias("__k"))
+    return lower.join(ranked, "__k").select(F.col(key).alias("a"), "b")
+
+
+def feature_matches(a: DataFrame, b: DataFrame, r: float, edge: float = 0.9, block: int = 4_096) -> DataFrame:
+    """(a_id, b_id, distance, kept): the nearest feature vector of ``b`` for each of ``a`` (vec_id, embedding), within ``r``.
+
+    ``b`` meets ``a`` in blocks of ``block`` vectors, each one product of matrices in a helper; the best over blocks is an aggregate.
+    ``kept``: the vectors' lengths agree by the ratio ``edge``.
+    """
+    left = a.select(F.col("vec_id").alias("a_id"), F.col("embedding").cast("array<double>").alias("av"))
+    right = b.select(F.col("vec_id").alias("b_id"), F.col("embedding").cast("array<double>").alias("bv"))
+    blocks = max(1, -(-b.count() // block))
+    right = right.withColumn("block", F.pmod(F.xxhash64("b_id"), F.lit(blocks)))
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("a_id", F.lit(1)), F.lit(max(1, blocks))))
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1))))
+
+    def nearest(key, p, q):
+        import pandas as pd
+
+        if p.empty or q.empty:
+            return pd.DataFrame(columns=["a_id", "b_id", "d2", "la", "lb"])
+        q = q.sort_values("b_id", ignore_index=True)
+        x, y = np.stack(p.av.to_numpy()), np.stack(q.bv.to_numpy())
+        at = ((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T).argmin(axis=1)
+        d2 = ((x - y[at]) ** 2).sum(axis=1)
+        return pd.DataFrame({"a_id": p.a_id, "b_id": q.b_id.to_numpy()[at], "d2": d2, "la": np.sqrt((x**2).sum(1)), "lb": np.sqrt((y[at] ** 2).sum(1))})
+
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(nearest, "a_id long, b_id long, d2 double, la double, lb double")
+    best = found.groupBy("a_id").agg(F.min(F.struct("d2", "b_id", "la", "lb")).alias("m")).select("a_id", "m.b_id", F.sqrt("m.d2").alias("distance"), "m.la", "m.lb")
+    ratio = F.least("la", "lb") >= edge * F.greatest("la", "lb")
+    return best.filter(F.col("distance") <= r).select("a_id", "b_id", "distance", ratio.alias("kept"))

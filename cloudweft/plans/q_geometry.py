@@ -107,13 +107,13 @@ QUERIES = {
     "box_corners": lambda s, d: _r(G.box_corners(G.instance_boxes(_instances(s, d)), (0, 2, 1), True, (7,)), *XYZ),
     "to_volume": _volume,
     "from_volume": lambda s, d: G.from_volume(_volume(s, d)),
-    "merge_clouds": lambda s, d: G.merge_clouds([V.points(s, d).filter("cloud_id % 20 = 1"), V.points(s, d).filter("cloud_id % 20 = 2")], 7),
+    "merge_clouds": lambda s, d: G.merge_clouds([V.points(s, d).filter("cloud_id % 2 = 1"), V.points(s, d).filter("cloud_id % 2 = 0")], 7),
     "transform_points": lambda s, d: G.transform_points(V.points(s, d), _transforms(s, d)),
     "apply_poses": lambda s, d: _r(G.apply_poses(V.points(s, d), _poses(s, d)), *XYZ),
     "euler_to_matrix": _matrix,
     "matrix_to_euler": _euler,
     "euler_to_quat": _quat,
-    "estimate_normals": lambda s, d: _r(G.estimate_normals(V.points(s, d).filter("point_idx < 200"), 9.0, 20), "nx", "ny", "nz"),
+    "estimate_normals": lambda s, d: _r(G.estimate_normals(V.points(s, d), 6.0, 20), "nx", "ny", "nz"),
 }
 
 _D2 = "(x - px) * (x - px) + (y - py) * (y - py) + (z - pz) * (z - pz)"
@@ -202,7 +202,7 @@ SQL = {
         """ + " union all ".join(f"select cloud_id, instance_id, label, {k} as corner, round(x{i}, 6) + 0.0 as x, round(y{j}, 6) + 0.0 as y, round(z{m}, 6) + 0.0 as z from n" for k, (i, j, m) in enumerate((x, y, z) for z in (2, 1) for x, y in ((1, 1), (1, 2), (2, 2), (2, 1))))),
     "to_volume": sql("points", _VOLUME + " select * from vol"),
     "from_volume": sql("points", _VOLUME + " select cloud_id, row_number() over (partition by cloud_id order by a, b, c) - 1 as point_idx, a::double as x, b::double as y, c::double as z from vol"),
-    "merge_clouds": sql("points", "select 7::bigint as cloud_id, row_number() over (order by cloud_id % 20, cloud_id, point_idx) - 1 as point_idx, x, y, z from points where cloud_id % 20 in (1, 2)"),
+    "merge_clouds": sql("points", "select 7::bigint as cloud_id, row_number() over (order by 1 - cloud_id % 2, cloud_id, point_idx) - 1 as point_idx, x, y, z from points"),
     "transform_points": sql("points", "select cloud_id, point_idx, case when cloud_id % 2 = 0 then -y + cloud_id else x end as x, case when cloud_id % 2 = 0 then x + 2 else y end as y, case when cloud_id % 2 = 0 then z - cloud_id else z end as z from points"),
     "apply_poses": sql("points", _POSE + """ select cloud_id, point_idx,
         round((1 - s * (qy * qy + qz * qz)) * x + s * (qx * qy - qw * qz) * y + s * (qx * qz + qw * qy) * z + tx, 6) + 0.0 as x,

@@ -24,14 +24,14 @@ def _normals(s, d):
 
 
 def _part_scores(s, d):
-    """Scores of all 12 parts for some points, so that the category's restriction matters."""
-    p = V.part_preds(s, d).filter("point_idx < 20")
+    """Scores of all 12 parts for every point, so that the category's restriction matters."""
+    p = V.part_preds(s, d)
     e = p.select("cloud_id", "point_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("class"))
     return e.withColumn("score", ((F.col("cloud_id") * 31 + F.col("point_idx") * 17 + F.col("class") * 29) % 23).cast("double"))
 
 
 def _log(s, d):
-    e = V.table(s, d, "events").filter("event_id < 500")
+    e = V.table(s, d, "events")
     return e.select((F.col("event_id") % 10).alias("run"), F.floor(F.col("event_id") / 10).alias("epoch"), F.col("value").alias("instance"), F.round(F.col("value") * (F.col("user_id") % 7), 4).alias("class"))
 
 
@@ -115,7 +115,7 @@ def _dropout(seed: int) -> str:
 SQL = {
     "vote_labels": sql("preds", ", v as (select scene_id, point_idx, pred, count(*) as votes from preds where weight <> 0 group by all), b as (select scene_id, point_idx, arg_max(pred, (votes, -pred)) as pred, max(votes) as votes from v group by 1, 2) select scene_id, point_idx, coalesce(pred, 0) as pred, coalesce(votes, 0) as votes from (select distinct scene_id, point_idx from preds) left join b using (scene_id, point_idx)"),
     "vote_scores": sql("scores", ", m as (select item, class, round(avg(score), 9) as score from scores group by all) select item, arg_max(class, (score, -class)) as pred, round(max(score), 6) + 0.0 as score from m group by 1"),
-    "argmax_in_category": sql("part_preds", ", s as (select cloud_id, point_idx, c as class, ((cloud_id * 31 + point_idx * 17 + c * 29) % 23)::double as score, category from part_preds, range(12) t(c) where point_idx < 20) select cloud_id, point_idx, arg_max(class, (score, -class)) as pred, max(score) as score from s where class // 4 = category group by 1, 2"),
+    "argmax_in_category": sql("part_preds", ", s as (select cloud_id, point_idx, c as class, ((cloud_id * 31 + point_idx * 17 + c * 29) % 23)::double as score, category from part_preds, range(12) t(c)) select cloud_id, point_idx, arg_max(class, (score, -class)) as pred, max(score) as score from s where class // 4 = category group by 1, 2"),
     "segmentation_metrics": sql("preds", _CLASS.format(by="") + ' select class, seen, correct, union_ as "union", round(correct / (union_ + 1e-6), 6) + 0.0 as iou, round(correct / nullif(seen, 0), 6) + 0.0 as accuracy, round(sum(correct) over () / sum(seen) over (), 6) + 0.0 as point_accuracy from c'),
     "scene_miou": sql("preds", _CLASS.format(by="scene_id,") + " select scene_id, count(*) as classes, round(avg(correct / (union_ + 1e-6)), 6) + 0.0 as miou from c where seen > 0 group by 1"),
     "part_iou": sql("part_preds parts", _PIOU + " select cloud_id, category, part, round(iou, 6) + 0.0 as iou from iou"),
@@ -129,7 +129,7 @@ SQL = {
     "batch_accuracy": sql("class_preds", ", b as (select label, (label = pred)::int as hit, (row_number() over (order by item) - 1) // 32 as batch from class_preds), i as (select avg(a) as a from (select avg(hit) as a from b group by batch)), c as (select avg(a) as a from (select label, avg(a) as a from (select label, batch, avg(hit) as a from b group by 1, 2) group by 1)) select round(i.a, 6) + 0.0 as instance_accuracy, round(c.a, 6) + 0.0 as class_accuracy from i, c"),
     "pooled_accuracy": sql("class_preds", "select label, count(*) as n, count(*) filter (where label = pred) as correct, round(count(*) filter (where label = pred) / count(*), 6) + 0.0 as accuracy, round(avg(loss), 6) + 0.0 as mean_loss from class_preds group by rollup (label)"),
     "confusion_matrix": sql("class_preds", "select label, " + ", ".join(f"count(*) filter (where pred = {k}) as pred_{k}" for k in range(5)) + ", round((select count(*) filter (where label = pred) / count(*) from class_preds), 6) + 0.0 as accuracy from class_preds group by 1"),
-    "best_so_far": "with l as (select event_id % 10 as run, event_id // 10 as epoch, value as instance, round(value * (user_id % 7), 4) as class from events where event_id < 500), b as (select *, max(instance) over w as best_instance, max(class) over w as best_class from l window w as (partition by run order by epoch rows unbounded preceding)) select *, instance >= best_instance as saved from b",
+    "best_so_far": "with l as (select event_id % 10 as run, event_id // 10 as epoch, value as instance, round(value * (user_id % 7), 4) as class from events), b as (select *, max(instance) over w as best_instance, max(class) over w as best_class from l window w as (partition by run order by epoch rows unbounded preceding)) select *, instance >= best_instance as saved from b",
     "prediction_report": sql("part_preds shapes", "select pred, part as label, file_name as path from part_preds join shapes using (cloud_id)"),
     "label_weights": sql("points", ", c as (select range as label, (select count(*) from points p where p.label = range and p.label <> 5) as n from range(13)) select label, n, round(pow(max(n) over () / nullif(n, 0), 1.0::double / 3), 6) + 0.0 as weight from c"),
     "label_share": sql("points", "select range as label, round((select count(*) from points p where p.label = range) / (select count(*) from points), 6) + 0.0 as share from range(13)"),
