@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_catalog, q_geometry, q_metrics, q_neighbors
+from . import q_catalog, q_geometry, q_metrics, q_neighbors, q_text
 
-MODULES = (q_catalog, q_geometry, q_metrics, q_neighbors)
+MODULES = (q_catalog, q_geometry, q_metrics, q_neighbors, q_text)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _m in MODULES:

@@ -34,13 +34,18 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table below ``spark.checkpoint.dir`` (a temporary folder where it is unset), read again: the lineage ends there."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; where the session has none (tests), a temporary one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: the lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
