@@ -265,14 +265,14 @@ def links(fps: DataFrame, tau: int = 2, parts: int = 3, hot: int = 128) -> DataF
         others = sum(1 << b for b in range(BITS) if b not in bits)
         mask = F.when(F.col("part") == p, F.lit(others - (others >> 63 << 64)).cast("long")).otherwise(mask)
     crowd = entries.join(sizes.filter(F.col("members") > hot).select(*key), key, "left_semi").withColumn("own", F.col("fp").bitwiseAND(mask))
-    if tau == 2:
-        at = F.when(F.col("flips") == 1, F.array(F.lit(0).cast("long"))).otherwise(rest)
-    else:  # one flip in all: members at their own place and around it, probes at their own place
-        at = F.when(F.col("flips") < 0, rest if tau else F.array(F.lit(0).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    own = F.array(F.lit(0).cast("long"))
+    at = F.when(F.col("flips") == 1, own).otherwise(rest) if tau == 2 else F.when(F.col("flips") < 0, rest if tau else own).otherwise(own)
     met = crowd.filter((F.col("flips") != 0) if tau == 2 else F.lit(True)).withColumn("flip", F.explode(at))
-    met = met.select(*key, F.col("own").bitwiseXOR(F.col("flip")).alias("centre"), F.col("fp").alias("b"))
-    least = F.min("b").over(Window.partitionBy(*key, "centre"))
-    met = met.withColumn("a", least).filter((F.col("a") < F.col("b")) & (far <= tau)).select("a", "b")
+    met = met.select(*key, F.col("own").bitwiseXOR(F.col("flip")).alias("centre"), F.col("fp").alias("b"), ((F.col("flips") < 0) & (F.col("flip") == 0)).alias("at"))
+    # within two flips of each other all at a centre are linked; else only what stands at the centre is linked to the rest
+    anchor = F.col("b") if tau == 2 else F.when(F.col("at"), F.col("b"))
+    met = met.withColumn("a", F.min(anchor).over(Window.partitionBy(*key, "centre"))).filter((F.col("a") != F.col("b")) & (far <= tau))
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.unionByName(met).distinct()
 
 
