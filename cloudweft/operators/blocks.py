@@ -152,6 +152,6 @@ def sliding_scene(pts: DataFrame, block: float = 1.0, stride: float = 0.5, paddi
     every = u.withColumn("__p", F.col("__k")).unionByName(once).unionByName(drawn.select(*u.columns, "__p"))
     every = every.withColumn("__u", uniform(F.col("cloud_id"), F.col("__p"), seed, salt * 4 + 2))
     place = F.row_number().over(w.orderBy("__u", "__p")) - 1
-    every = every.withColumn("__q", place).withColumns({"batch": F.floor(F.col("__q") / block_points), "slot": F.col("__q") % block_points}).drop("__u", "__p", "__k", "__m", "__q")
+    every = every.withColumn("__q", place).withColumns({"batch": F.floor(F.col("__q") / block_points), "slot": (F.col("__q") % block_points).cast("long")}).drop("__u", "__p", "__k", "__m", "__q")
     weights = label_weights(pts).select("label", "weight")
     return _features(every.join(_room_max(pts), "cloud_id"), F.col("sx") + block / 2, F.col("sy") + block / 2).drop("sx", "sy").join(F.broadcast(weights), "label")

@@ -64,7 +64,7 @@ def emd_pairs(signatures: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     side = lambda k: pairs.select("a", "b", F.col(k).alias("sig_id")).join(signatures, "sig_id").select("a", "b", F.lit(k).alias("side"), "item_no", F.col("feature").cast("array<double>").alias("feature"), F.col("weight").cast("long").alias("weight"))
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "item_no"])
         p, q = pdf[pdf.side == "a"], pdf[pdf.side == "b"]
         work, flow = None, int(q.weight.sum())
