@@ -47,7 +47,7 @@ QUERIES = {
     "count_clouds": lambda s, d: C.count_clouds(V.points(s, d)),
     "points_per_cloud": lambda s, d: C.points_per_cloud(V.points(s, d).withColumn("error", F.when((F.col("cloud_id") % 7 == 0) & (F.col("point_idx") == 3), "bad")), "error"),
     "wrong_size": lambda s, d: C.wrong_size(V.points(s, d), 600),
-    "below_size": lambda s, d: C.below_size(V.points(s, d).filter("cloud_id % 4 > 0"), 590, V.shapes(s, d)),
+    "below_size": lambda s, d: C.below_size(V.points(s, d), 590, V.table(s, d, "supplier").select(F.col("s_suppkey").alias("cloud_id"))),
     "bad_lines": lambda s, d: C.bad_lines(_lines(s, d)),
     "xyz_only": lambda s, d: C.xyz_only(V.points_full(s, d)),
     "redelimit": lambda s, d: C.redelimit(_spaced(s, d)),
@@ -55,7 +55,7 @@ QUERIES = {
     "shape_ids": lambda s, d: C.shape_ids(V.shapes(s, d)),
     "relative_paths": lambda s, d: C.relative_paths(_paths(s, d), "/data/train"),
     "renumber_shapes": lambda s, d: C.renumber_shapes(V.shapes(s, d).select("class_name", F.col("cloud_id").alias("number")), C.rename_by({"nation_0": "america", "nation_1": "america"}, s)),
-    "replace_clouds": lambda s, d: C.replace_clouds(_paths(s, d).filter("cloud_id % 3 > 0"), _paths(s, d).withColumn("cloud_id", F.col("cloud_id") + 1000), _paths(s, d).filter("cloud_id % 5 = 1")),
+    "replace_clouds": lambda s, d: C.replace_clouds(_paths(s, d).filter("path like '/data/train/%'"), _paths(s, d).withColumn("cloud_id", F.col("cloud_id") + 1000), _paths(s, d).filter("path like '%/nation_1%'")),
     "encode_class": lambda s, d: C.encode_class(V.shapes(s, d).select("cloud_id", "class_name"), _CLASSES),
     "colourise": lambda s, d: C.colourise(V.points_full(s, d).select("cloud_id", "point_idx", "label"), no_wall=True),
     "colourise_easy_view": lambda s, d: C.colourise(V.points_full(s, d).select("cloud_id", "point_idx", "label"), easy_view=True),
@@ -86,7 +86,7 @@ SQL = {
     "count_clouds": sql("points", "select count(distinct cloud_id) as n_clouds from points"),
     "points_per_cloud": sql("points", "select cloud_id, case when count(*) filter (where cloud_id % 7 = 0 and point_idx = 3) = 0 then count(*) end as n_points from points group by 1"),
     "wrong_size": sql("points", "select cloud_id, count(*) as n_points from points group by 1 having count(*) <> 600"),
-    "below_size": sql("points shapes", "select s.cloud_id, count(point_idx) as n_points from shapes s left join points p on p.cloud_id = s.cloud_id and p.cloud_id % 4 > 0 group by 1 having count(point_idx) <= 590"),
+    "below_size": sql("points", "select s_suppkey as cloud_id, count(point_idx) as n_points from supplier left join points on cloud_id = s_suppkey group by 1 having count(point_idx) <= 590"),
     "bad_lines": sql("points", "select cloud_id, point_idx + 1 as line_no from points where point_idx % 11 = 0 and point_idx % 13 > 0"),
     "xyz_only": sql("points", f"select {_XYZ} from points"),
     "redelimit": sql("points", "select cloud_id, point_idx, x::bigint || ',' || y::bigint || ',' || z::bigint as value from points"),
@@ -94,7 +94,7 @@ SQL = {
     "shape_ids": sql("shapes", "select class_name || '_' || lpad(cloud_id::varchar, 4, '0') as shape_id from shapes"),
     "relative_paths": sql("shapes", "select class_name || '/' || file_name as path from shapes where split = 'train'"),
     "renumber_shapes": sql("shapes", ", n as (select class_name, cloud_id as number, case when class_name in ('nation_0', 'nation_1') then 'america' else class_name end as new_class from shapes) select *, row_number() over (partition by new_class order by number, class_name)::int as new_number from n"),
-    "replace_clouds": sql("shapes", _PATHS + ", f as (select cloud_id + 1000 as cloud_id, path from paths where cloud_id % 5 = 1) select cloud_id, path from paths where cloud_id % 3 > 0 and path not in (select path from f) union all select * from f"),
+    "replace_clouds": sql("shapes", _PATHS + ", f as (select cloud_id + 1000 as cloud_id, path from paths where path like '%/nation_1%') select cloud_id, path from paths where path like '/data/train/%' and path not in (select path from f) union all select * from f"),
     "encode_class": sql("shapes", "select cloud_id, class_name, (case class_name when 'nation_0' then 0 when 'nation_2' then 1 when 'nation_3' then 2 when 'nation_4' then 3 else 4 end)::int as class_id from shapes"),
     "colourise": sql("points", f"select cloud_id, point_idx, label, c.r, c.g, c.b from points join (values {_COLOURS}) c(id, r, g, b) on label = id where label not in (0, 2)"),
     "colourise_easy_view": sql("points", f"select cloud_id, point_idx, label, c.r, c.g, c.b from points join (values {_COLOURS}) c(id, r, g, b) on label = id where label in (7, 8, 9, 10, 11, 1)"),

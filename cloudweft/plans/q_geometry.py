@@ -43,7 +43,7 @@ def _transforms(s, d):
     c = F.col("cloud_id").cast("double")
     row = lambda *v: [F.lit(float(x)) if isinstance(x, (int, float)) else x for x in v]
     m = F.array(*row(0, -1, 0, c, 1, 0, 0, 2, 0, 0, 1, -c, 0, 0, 0, 1))
-    return V.shapes(s, d).filter("cloud_id % 2 = 0").select("cloud_id", m.alias("m"))
+    return V.shapes(s, d).filter("split = 'train'").select("cloud_id", m.alias("m"))
 
 
 def _poses(s, d):
@@ -203,7 +203,7 @@ SQL = {
     "to_volume": sql("points", _VOLUME + " select * from vol"),
     "from_volume": sql("points", _VOLUME + " select cloud_id, row_number() over (partition by cloud_id order by a, b, c) - 1 as point_idx, a::double as x, b::double as y, c::double as z from vol"),
     "merge_clouds": sql("points", "select 7::bigint as cloud_id, row_number() over (order by 1 - cloud_id % 2, cloud_id, point_idx) - 1 as point_idx, x, y, z from points"),
-    "transform_points": sql("points", "select cloud_id, point_idx, case when cloud_id % 2 = 0 then -y + cloud_id else x end as x, case when cloud_id % 2 = 0 then x + 2 else y end as y, case when cloud_id % 2 = 0 then z - cloud_id else z end as z from points"),
+    "transform_points": sql("points", "select cloud_id, point_idx, case when cloud_id % 5 > 0 then -y + cloud_id else x end as x, case when cloud_id % 5 > 0 then x + 2 else y end as y, case when cloud_id % 5 > 0 then z - cloud_id else z end as z from points"),
     "apply_poses": sql("points", _POSE + """ select cloud_id, point_idx,
         round((1 - s * (qy * qy + qz * qz)) * x + s * (qx * qy - qw * qz) * y + s * (qx * qz + qw * qy) * z + tx, 6) + 0.0 as x,
         round(s * (qx * qy + qw * qz) * x + (1 - s * (qx * qx + qz * qz)) * y + s * (qy * qz - qw * qx) * z + ty, 6) + 0.0 as y,

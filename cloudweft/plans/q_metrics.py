@@ -51,7 +51,7 @@ QUERIES = {
     "confusion_matrix": lambda s, d: _r(M.confusion_matrix(V.class_preds(s, d), range(5)), "accuracy"),
     "best_so_far": lambda s, d: M.best_so_far(_log(s, d), ["instance", "class"], run="run"),
     "prediction_report": lambda s, d: M.prediction_report(V.part_preds(s, d).select("cloud_id", "pred", F.col("part").alias("label")), V.shapes(s, d)),
-    "label_weights": lambda s, d: _r(M.label_weights(V.points_full(s, d).filter("label <> 5")), "weight"),
+    "label_weights": lambda s, d: _r(M.label_weights(V.points_full(s, d)), "weight"),
     "label_share": lambda s, d: _r(M.label_share(V.points_full(s, d)), "share"),
     "rotate_y": lambda s, d: _r(A.rotate_y(V.points(s, d), 3), *XYZ),
     "rotate_y_by": lambda s, d: _r(A.rotate_y_by(V.points(s, d), 0.7), *XYZ),
@@ -131,7 +131,7 @@ SQL = {
     "confusion_matrix": sql("class_preds", "select label, " + ", ".join(f"count(*) filter (where pred = {k}) as pred_{k}" for k in range(5)) + ", round((select count(*) filter (where label = pred) / count(*) from class_preds), 6) + 0.0 as accuracy from class_preds group by 1"),
     "best_so_far": "with l as (select event_id % 10 as run, event_id // 10 as epoch, value as instance, round(value * (user_id % 7), 4) as class from events), b as (select *, max(instance) over w as best_instance, max(class) over w as best_class from l window w as (partition by run order by epoch rows unbounded preceding)) select *, instance >= best_instance as saved from b",
     "prediction_report": sql("part_preds shapes", "select pred, part as label, file_name as path from part_preds join shapes using (cloud_id)"),
-    "label_weights": sql("points", ", c as (select range as label, (select count(*) from points p where p.label = range and p.label <> 5) as n from range(13)) select label, n, round(pow(max(n) over () / nullif(n, 0), 1.0::double / 3), 6) + 0.0 as weight from c"),
+    "label_weights": sql("points", ", c as (select range as label, (select count(*) from points p where p.label = range) as n from range(13)) select label, n, round(pow(max(n) over () / nullif(n, 0), 1.0::double / 3), 6) + 0.0 as weight from c"),
     "label_share": sql("points", "select range as label, round((select count(*) from points p where p.label = range) / (select count(*) from points), 6) + 0.0 as share from range(13)"),
     "rotate_y": sql("points", _turn("points", f"{_uc(3, 0)} * {_TWO_PI}")),
     "rotate_y_by": sql("points", _turn("points", "0.7::double")),
