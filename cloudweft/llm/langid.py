@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import batches, held_out, pieces
+from ._common import batches, held_out, pieces, trim
 
 _WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -42,7 +42,7 @@ def trigrams(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Log-likelihoods of trigram buckets by language, and those of the words met so far."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray, alpha: float = 0.1, keep: int = 400_000):
+    def __init__(self, langs: list[str], counts: np.ndarray, alpha: float = 0.1, keep: int = 200_000):
         self.langs, self.bits, self.keep = langs, int(counts.shape[0]).bit_length() - 1, keep
         self.logp = np.log((counts + alpha) / (counts.sum(axis=0) + alpha * len(counts))).astype(np.float32)
         self.rows: dict[str, int] = {}
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         for b in it:
             texts = b.column("__text").to_pylist()
             lang, score, every = [UNDETERMINED] * len(texts), [0.0] * len(texts), [""] * len(texts)
-            for lo, hi in pieces(texts, 8_000_000 // max(4, len(model.langs))) if model else []:
+            for lo, hi in pieces(texts, 2_400_000 // max(4, len(model.langs))) if model else []:
                 docs = [words_of(t) for t in texts[lo:hi]]
                 at = [k for k, d in enumerate(docs) if d]
                 if not at:
@@ -171,6 +171,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                     every[lo + k] = ",".join(f"{model.langs[j]}:{row[j]:.3f}" for j in by if row[j] > 0)
             cols = [b.column("__id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(every, pa.string())]
             yield pa.record_batch([*cols, *(b.column(c) for c in more)], names=["id", "lang", "score", "languages", *more])
+        trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *more)
     schema = "id long, lang string, score double, languages string" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
@@ -187,11 +188,12 @@ def identified(docs: DataFrame, model: Model | None, text_col: str = "text", pen
         for b in it:
             texts = b.column(at).to_pylist()
             keep = np.zeros(len(texts), bool)
-            for lo, hi in pieces(texts, 8_000_000 // max(4, len(model.langs))) if model else []:
+            for lo, hi in pieces(texts, 2_400_000 // max(4, len(model.langs))) if model else []:
                 words = [words_of(t) for t in texts[lo:hi]]
                 some = [k for k, d in enumerate(words) if d]
                 if some:
                     keep[[lo + k for k in some]] = model.mixtures([words[k] for k in some], penalty).max(axis=1) > 0
             yield b.filter(pa.array(keep))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
