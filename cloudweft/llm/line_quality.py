@@ -112,12 +112,10 @@ class Field:
             theta = theta - rate * (m / (1 - 0.9**i)) / (np.sqrt(s / (1 - 0.999**i)) + 1e-8)
         self.w, self.step = theta[:-4], theta[-4:].reshape(2, 2)
 
-    def fit(self, docs: list[list[bytes]], y: np.ndarray) -> None:
-        """``docs`` have a line each; ``y`` 1 is good."""
-        n = np.array([len(d) for d in docs])
+    def fit(self, own: np.ndarray, size: np.ndarray, n: np.ndarray, y: np.ndarray) -> None:
+        """``own`` features and ``size`` of all lines, ``n`` lines (one at least) to a document; ``y`` 1 is good."""
         starts = np.cumsum(n) - n
-        x = with_neighbours(own_features(docs), starts).astype(np.float64)
-        size = np.fromiter((len(ln) for d in docs for ln in d), np.float64, int(n.sum()))
+        x = with_neighbours(own, starts).astype(np.float64)
         doc_good = np.repeat(y, n) > 0
         lines = doc_good.astype(np.int64)
         for rounds in (120, 60, 60):
@@ -165,19 +163,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 4, remainder: int = 2, max_rows: int = 8_000) -> Field:
-    """A field learnt from at most ``max_rows`` labelled rows that are not held out; only they reach the driver, as features need whole texts.
+    """A field learnt from at most ``max_rows`` labelled rows that are not held out; the features of their lines reach the driver, not the texts.
 
     Without rows of both classes the field gives the base rate.
     """
     rows = labelled_sample(docs, labels, id_col, text_col, label_col, max_rows, modulus, remainder)
-    got = rows.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("binary").alias("text"), "label").toPandas().sort_values("id")
+
+    def features(it):
+        for ids, texts, ys in batches(it, "id", "text", "label"):
+            split = [lines_of(t) for t in texts]
+            own = [own_features([d]) if d else np.zeros((0, N_OWN), np.float32) for d in split]
+            sizes = [np.array([len(x) for x in d], np.float32) for d in split]
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in sizes], pa.binary())], names=["id", "label", "own", "size"])
+
+    lines = rows.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("binary").alias("text"), "label")
+    got = lines.mapInArrow(features, "id long, label int, own binary, size binary").toPandas().sort_values("id")
     field = Field()
-    split = [lines_of(bytes(t)) for t in got.text]
-    y = got.label.to_numpy(np.float64)
-    at = [k for k, d in enumerate(split) if d]
+    n = got["size"].map(len).to_numpy(np.int64) // 4
+    y, some = got.label.to_numpy(np.float64), n > 0
     rate = float(y.mean()) if len(y) else 0.5
-    if 0 < y[at].sum() < len(at):
-        field.fit([split[k] for k in at], y[at])
+    if 0 < y[some].sum() < some.sum():
+        own = np.frombuffer(b"".join(map(bytes, got.own)), np.float32).reshape(-1, N_OWN)
+        size = np.frombuffer(b"".join(map(bytes, got["size"])), np.float32).astype(np.float64)
+        field.fit(own, size, n[some], y[some])
     else:
         field.base = float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
     return field
