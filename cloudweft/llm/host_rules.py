@@ -77,10 +77,20 @@ def host_verdicts(rows: DataFrame, host_col: str = "source", failed_col: str = "
     return both.select("host", "n_docs", "n_failed", rate.alias("rate")).withColumn("host_kept", F.col("rate") <= max_rate)
 
 
-def _with_verdicts(rows: DataFrame, hosts: DataFrame, id_: Column, salts: int = 64) -> DataFrame:
-    """``rows`` (source, ...) with their host's columns. Rows of a host are dealt over ``salts`` copies of it, so none is hot."""
-    spread = hosts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64(id_), F.lit(salts)).cast("int")).join(spread, ["source", "__salt"], "left").drop("__salt")
+def _with_verdicts(rows: DataFrame, hosts: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
+    """``rows`` (source, ...) with their host's rate and verdict; null without a host.
+
+    Up to ``max_broadcast`` hosts (three numbers and a name each) are broadcast, and rows stay where they are. Of more, the hosts
+    with over a thousandth of all documents, fewer than a thousand, still are; the others, none of them hot, are joined by a shuffle.
+    """
+    hosts = written(hosts, "host-verdicts")
+    n_hosts, n_docs = hosts.agg(F.count("*"), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+    verdict = hosts.select(F.col("host").alias("source"), "rate", "host_kept", "n_docs")
+    if n_hosts <= max_broadcast:
+        return rows.join(F.broadcast(verdict.drop("n_docs")), "source", "left")
+    heavy = F.broadcast(verdict.filter(F.col("n_docs") * 1000 > n_docs).drop("n_docs"))
+    light = verdict.filter(F.col("n_docs") * 1000 <= n_docs).drop("n_docs")
+    return rows.join(heavy, "source").unionByName(rows.join(heavy, "source", "left_anti").join(light, "source", "left"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, max_rate: float = 0.5) -> DataFrame:
@@ -91,14 +101,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """
     rows = document_features(docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("source"), F.col(text_col).alias("text")))
     rows = written(rows.withColumn("base_failed", base_failed(min_words, max_repeat_percent)), "rule-features")
-    hosts = host_verdicts(rows, max_rate=max_rate).select(F.col("host").alias("source"), "rate", "host_kept")
-    return _with_verdicts(rows, hosts, F.col("doc_id")).withColumn("kept", ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True)))
+    return _with_verdicts(rows, host_verdicts(rows, max_rate=max_rate)).withColumn("kept", ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True)))
 
 
-def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, max_rate: float = 0.5) -> DataFrame:
+def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, max_rate: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that ``judge`` keeps; the verdict is on each row, so ids may repeat or be null."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(host_col).alias("source"), F.col(text_col).alias("text"))
     rows = document_features(rows, keep=("doc", "source")).select("doc", "source", base_failed(min_words, max_repeat_percent).alias("base_failed"))
     rows = written(rows, "judged-documents")
-    hosts = host_verdicts(rows, max_rate=max_rate).select(F.col("host").alias("source"), "host_kept")
-    return _with_verdicts(rows.filter(~F.col("base_failed")), hosts, F.col(f"doc.`{id_col}`")).filter(F.coalesce("host_kept", F.lit(True))).select("doc.*")
+    hosts = host_verdicts(rows, max_rate=max_rate)
+    return _with_verdicts(rows.filter(~F.col("base_failed")), hosts).filter(F.coalesce("host_kept", F.lit(True))).select("doc.*")

@@ -59,6 +59,13 @@ def test_bad_hosts_go_and_small_hosts_are_shrunk(spark):
     assert got[1] and not got[0] and not got[1000] and got[2001] and not got[2000]
 
 
+def test_many_hosts_are_joined_as_few_are(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 > 0, F.concat(F.lit("h"), (F.col("id") % 1500).cast("string"))).alias("source"), (F.col("id") % 11 == 0).alias("base_failed"))
+    hosts = host_rules.host_verdicts(rows, max_rate=0.09)
+    few, many = (sorted(map(repr, host_rules._with_verdicts(rows, hosts, n).select("doc_id", "source", "rate", "host_kept").collect())) for n in (10**6, 1))
+    assert len(few) == 5000 and few == many
+
+
 TURNS = "conv_id long, turn long, role string, text string"
 
 
@@ -177,23 +184,66 @@ def test_packing_places_every_item(spark):
     assert packing.pack(docs.limit(0), F.col("n")).count() == 0
 
 
-def test_pipeline_stages(spark, tiny):
+def _words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+
+
+def brute_quality(rows):
+    """Ids that pass: base rules, then hosts by their failure rate shrunk under a beta prior fitted by moments."""
+    failed = {i: len(_words(t)) < 50 or 100 * brute_repeats(t) > 50 * len(_words(t)) for i, (t, _) in rows.items()}
+    hosts: dict = {}
+    for i, (_, h) in rows.items():
+        hosts.setdefault(h, []).append(failed[i])
+    n, x = {h: len(v) for h, v in hosts.items()}, {h: sum(v) for h, v in hosts.items()}
+    m, p = sum(x.values()) / sum(n.values()), [x[h] / n[h] for h in hosts]
+    spread = sum(v * v for v in p) / len(p) - (sum(p) / len(p)) ** 2 - m * (1 - m) * sum(1 / v for v in n.values()) / len(n)
+    k = min(max(m * (1 - m) / spread - 1, 1), 10_000) if spread > 0 else 10_000
+    return {i for i, (_, h) in rows.items() if not failed[i] and (x[h] + m * k) / (n[h] + k) <= 0.5}
+
+
+def brute_contaminated(rows, items):
+    """Ids with an item that aligns somewhere in the whole text."""
+    import numpy as np
+
+    out = set()
+    for i, (t, _) in rows.items():
+        words = D.words_of(t)
+        for item in items:
+            own = D.words_of(item)
+            ids = {w: k for k, w in enumerate(own)}
+            text = np.array([ids.get(w, -1) for w in words])
+            if len(text) and D.align(np.array([ids[w] for w in own]), text)[0] >= 0.4 * D.MATCH * len(own):
+                out.add(i)
+                break
+    return out
+
+
+def test_pipeline_matches_brute_force(spark, tiny):
     import corpus_pipeline as C
 
+    from tests_llm_helpers import brute_components, brute_fingerprint
+
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
-    names, rows = docs.columns, {r.doc_id: r.text for r in docs.collect()}
-    kept = set(rows)
+    names, rows = docs.columns, {r.doc_id: (r.text, r.source) for r in docs.collect()}
+    items = [r.text for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
     for name, stage in C.STAGES[:-1]:
         docs = C.written(stage(spark, docs, tiny), "stage")
         assert docs.columns == names
-        ids = [r.doc_id for r in docs.select("doc_id").collect()]
-        assert len(ids) == len(set(ids)) and set(ids) <= kept
-        kept = set(ids)
-        words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
-        if name == "quality rules":
-            assert all(len(words(rows[i])) >= 50 for i in kept)
+        got = [r.doc_id for r in docs.select("doc_id").collect()]
+        if name == "language ID":
+            want = {i for i, (t, _) in rows.items() if any(c.isalpha() for c in t or "")}
+        elif name == "quality rules":
+            want = brute_quality(rows)
+        elif name == "SimHash near-dedup":
+            order = sorted(rows)
+            want = set(brute_components([(i, brute_fingerprint(rows[i][0])) for i in order], 2))
+        else:
+            want = set(rows) - brute_contaminated(rows, items)
+        assert len(got) == len(set(got)) and set(got) == want, name
+        rows = {i: rows[i] for i in got}
     last = C.STAGES[-1][1](spark, docs, tiny).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
-    assert {r.doc_id: r.n for r in last} == {i: len(words(rows[i])) for i in kept}
+    assert {r.doc_id: r.n for r in last} == {i: len(_words(t)) for i, (t, _) in rows.items()}
+    assert C.run(spark, tiny).select("doc_id").distinct().count() == len(rows)
 
 
 def test_pipeline_on_an_empty_table(spark, tiny):

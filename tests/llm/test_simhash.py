@@ -2,44 +2,12 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
+from tests_llm_helpers import brute_components, brute_fingerprint
 
 from cloudweft.llm import simhash as S
 
 
-def brute_fingerprint(text):
-    words = [w for w in (text or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")).split() if w]
-    if not words:
-        return 0
-    shingles = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
-    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
-    out = 0
-    for b in range(64):
-        if 2 * sum(h >> b & 1 for h in hashes) > len(hashes):
-            out |= 1 << b
-    return out - (out >> 63 << 64)
-
-
-def brute_components(pairs, tau):
-    """Smallest id reachable, by trying all pairs of fingerprints."""
-    fps = np.array(sorted({f for _, f in pairs}), np.int64)
-    near = np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64)) <= tau
-    root = np.arange(len(fps))
-    while True:
-        new = np.array([root[near[k]].min() for k in range(len(fps))])
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    at = {f: r for f, r in zip(fps.tolist(), root.tolist())}
-    ids: dict = {}
-    for i, f in pairs:
-        if i is not None:
-            ids[at[f]] = min(ids.get(at[f], i), i)
-    return [ids.get(at[f]) for _, f in pairs]
-
-
 def clusters(seed, n_random, n_near, flips):
     rng = np.random.default_rng(seed)
     base = rng.integers(-(2**63), 2**63 - 1, n_random)
