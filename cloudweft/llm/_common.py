@@ -42,7 +42,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     """(id, text, label) of at most ``max_rows`` labelled rows that are not held out, chosen by the hash of the id.
 
     The ids are at most ``max_rows``, so their broadcast is bounded; the texts come from one scan of ``docs``.
-    An id with several labels takes the smallest.
+    An id with several labels or texts takes the smallest, so that the sample stays as small however often a row is repeated.
     """
     ids = (
         labels.filter(~held_out(id_col, modulus, remainder) & F.col(label_col).isNotNull())
@@ -50,7 +50,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         .orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
     )
     texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(ids), id_col)
+    return texts.join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def pieces(texts: list, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:

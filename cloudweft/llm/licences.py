@@ -158,8 +158,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 
     Of a sampled document ten paragraphs at most are taken; those with a cue word are not.
     """
-    ids = docs.select(id_col).filter(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
-    rows = docs.select(id_col, text_col).join(F.broadcast(ids), id_col)
+    ids = docs.select(id_col).filter(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows).distinct()
+    rows = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min(text_col).alias(text_col))
     lines = F.slice(F.filter(F.split(text_col, "\n"), lambda x: F.length(F.trim(x)) > 0), 1, 10)
     plain = sorted({x[:400] for r in rows.select(lines.alias("x")).collect() for x in r[0] or [] if CUES.isdisjoint(_WORD.findall(x.lower()))})
     rng = np.random.default_rng(seed)
