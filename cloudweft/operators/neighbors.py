@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import farthest
 
 XYZ = ("x", "y", "z")
@@ -118,15 +119,43 @@ def knn(a: DataFrame, b: DataFrame, k: int, a_idx: str = "point_idx", b_idx: str
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def interpolate_3nn(fine: DataFrame, coarse: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(cloud_id, point_idx, cols): means of the three nearest coarse points, weighted by 1 / (d2 + 1e-8); fewer if there are fewer."""
-    near = knn(fine, coarse, 3).withColumn("w", 1 / (F.col("d2") + 1e-8))
+def knn_by_radius(a: DataFrame, b: DataFrame, k: int, r: float, rounds: int = 6) -> DataFrame:
+    """``knn`` for two large sides: a cell join within ``r`` settles every point with ``k`` neighbours there, the rest go on with twice the
+    radius, and those left after ``rounds`` (clouds of few points) take the plain way. Exact; each round is a written table."""
+    left, found = a.select("cloud_id", "point_idx", *XYZ), None
+    for _ in range(rounds):
+        rank = F.row_number().over(Window.partitionBy("cloud_id", "a_idx").orderBy("d2", "b_idx"))
+        near = cell_join(left, b, r).select("cloud_id", "a_idx", "b_idx", "d2").withColumn("rank", rank).filter(F.col("rank") <= k)
+        full = F.count(F.lit(1)).over(Window.partitionBy("cloud_id", "a_idx")) == k
+        near = written(near.withColumn("full", full).filter("full").drop("full"), "knn")
+        found = near if found is None else found.unionByName(near)
+        settled = near.filter("rank = 1").select("cloud_id", F.col("a_idx").alias("point_idx"))
+        left = written(left.join(settled, ["cloud_id", "point_idx"], "left_anti"), "knn-left")
+        if left.isEmpty():
+            return found
+        r *= 2
+    return found.unionByName(knn(left, b, k))
+
+
+def interpolate_3nn(fine: DataFrame, coarse: DataFrame, cols: Sequence[str], radius: float | None = None) -> DataFrame:
+    """(cloud_id, point_idx, cols): means of the three nearest coarse points, weighted by 1 / (d2 + 1e-8); fewer if there are fewer.
+
+    With a starting ``radius`` neighbours are found by cells, as a coarse level of many points needs.
+    """
+    near = (knn(fine, coarse, 3) if radius is None else knn_by_radius(fine, coarse, 3, radius)).withColumn("w", 1 / (F.col("d2") + 1e-8))
     values = near.join(coarse.select("cloud_id", F.col("point_idx").alias("b_idx"), *cols), ["cloud_id", "b_idx"])
     return values.groupBy("cloud_id", F.col("a_idx").alias("point_idx")).agg(*[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in cols])
 
 
-def nn_distance(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(cloud_id, side, point_idx, d2, nn_idx): the nearest point of the other cloud for all of ``a`` (side a) and ``b`` (side b)."""
+def nn_distance(a: DataFrame, b: DataFrame, radius: float | None = None) -> DataFrame:
+    """(cloud_id, side, point_idx, d2, nn_idx): the nearest point of the other cloud for all of ``a`` (side a) and ``b`` (side b).
+
+    With a starting ``radius`` neighbours are found by cells, for two sides of many points.
+    """
+    if radius is not None:
+        ways = [(side, knn_by_radius(p, q, 1, radius)) for side, p, q in (("a", a, b), ("b", b, a))]
+        one, two = (near.select("cloud_id", F.lit(side).alias("side"), F.col("a_idx").alias("point_idx"), "d2", F.col("b_idx").alias("nn_idx")) for side, near in ways)
+        return one.unionByName(two)
     pairs = square_distance(a, b)
     out = []
     for side, own, other in (("a", "a_idx", "b_idx"), ("b", "b_idx", "a_idx")):

@@ -65,6 +65,8 @@ QUERIES = {
     "group_max": lambda s, d: N.group_max(_groups(s, d), ["x", "y", "z", "r"]),
     "interpolate_3nn": lambda s, d: _r(N.interpolate_3nn(V.points(s, d), _coarse(s, d).withColumn("v", F.col("x") * 3 + F.col("z")), ["v", "y"]), "v", "y"),
     "nn_distance": lambda s, d: N.nn_distance(_sample(s, d), V.points(s, d)),
+    "nn_distance_by_radius": lambda s, d: N.nn_distance(_sample(s, d), V.points(s, d), radius=2.0),
+    "interpolate_3nn_by_radius": lambda s, d: _r(N.interpolate_3nn(V.points(s, d), _coarse(s, d).withColumn("v", F.col("x") * 3 + F.col("z")), ["v", "y"], radius=12.0), "v", "y"),
     "simplification_loss": lambda s, d: _r(N.simplification_loss(V.points(s, d), _sample(s, d), 15, 1.0, 0.1), "forward", "farthest", "backward", "loss"),
     "nn_match": lambda s, d: N.nn_match(V.points(s, d), _matches(s, d), 20),
     "nn_match_plain": lambda s, d: N.nn_match(V.points(s, d), _matches(s, d), 20, complete=False),
@@ -177,3 +179,5 @@ SQL = {
         sh as (select *, row_number() over (partition by cloud_id, ix, iy order by {uniform_sql('cloud_id', 'p', 6, '(ix * 65536 + iy) * 4 + 2')}, p) - 1 as s from al),
         lw as (select label, pow(max(count(*)) over () / count(*), 1.0::double / 3) as weight from points group by 1)""" + _ROOM + f" select cloud_id, ix, iy, s // 64 as batch, s % 64 as slot, point_idx, round(weight, 6) + 0.0 as weight, {_feat('(sx + 10)', '(sy + 10)')} from sh join room using (cloud_id) join lw using (label)"),
 }
+
+SQL |= {f"{k}_by_radius": SQL[k] for k in ("nn_distance", "interpolate_3nn")}
