@@ -33,13 +33,18 @@ def _between() -> Column:
     return _sq([F.col(f"a{c}") - F.col(f"b{c}") for c in XYZ])
 
 
-def cell_join(a: DataFrame, b: DataFrame, r: float, a_idx: str = "point_idx", b_idx: str = "point_idx") -> DataFrame:
-    """(cloud_id, a_idx, ax, ay, az, b_idx, bx, by, bz, d2): all pairs of a cloud within ``r``. ``a`` is the side that is replicated."""
+def cell_join(a: DataFrame, b: DataFrame, r: float, a_idx: str = "point_idx", b_idx: str = "point_idx", replicate: str = "a") -> DataFrame:
+    """(cloud_id, a_idx, ax, ay, az, b_idx, bx, by, bz, d2): all pairs of a cloud within ``r``. Side ``replicate``, the smaller one, goes to 27 cells."""
     around = F.explode(F.expr("flatten(flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> transform(sequence(-1, 1), k -> struct(i, j, k))))))")).alias("o")
-    left = _side(a, "a", a_idx).select("*", around)
-    left = left.select("cloud_id", "a_idx", "ax", "ay", "az", *[(F.floor(F.col(f"a{c}") / r) + F.col(f"o.{o}")).alias(f"c{c}") for c, o in zip(XYZ, "ijk")])
-    right = _side(b, "b", b_idx).select("*", *[F.floor(F.col(f"b{c}") / r).alias(f"c{c}") for c in XYZ])
-    pairs = left.join(right, ["cloud_id", "cx", "cy", "cz"]).withColumn("d2", _between())
+
+    def placed(df: DataFrame, name: str, idx: str) -> DataFrame:
+        side = _side(df, name, idx)
+        cells = [F.floor(F.col(f"{name}{c}") / r) for c in XYZ]
+        if name != replicate:
+            return side.select("*", *[v.alias(f"c{c}") for c, v in zip(XYZ, cells)])
+        return side.select("*", around).select(*side.columns, *[(v + F.col(f"o.{o}")).alias(f"c{c}") for c, v, o in zip(XYZ, cells, "ijk")])
+
+    pairs = placed(a, "a", a_idx).join(placed(b, "b", b_idx), ["cloud_id", "cx", "cy", "cz"]).withColumn("d2", _between())
     return pairs.filter(F.col("d2") <= r * r).drop("cx", "cy", "cz")
 
 
@@ -122,10 +127,12 @@ def knn(a: DataFrame, b: DataFrame, k: int, a_idx: str = "point_idx", b_idx: str
 def knn_by_radius(a: DataFrame, b: DataFrame, k: int, r: float, rounds: int = 6) -> DataFrame:
     """``knn`` for two large sides: a cell join within ``r`` settles every point with ``k`` neighbours there, the rest go on with twice the
     radius, and those left after ``rounds`` (clouds of few points) take the plain way. Exact; each round is a written table."""
-    left, found = a.select("cloud_id", "point_idx", *XYZ), None
+    left, b, found = written(a.select("cloud_id", "point_idx", *XYZ), "knn-left"), written(b.select("cloud_id", "point_idx", *XYZ), "knn-right"), None
+    n_b = b.count()
     for _ in range(rounds):
+        replicate = "b" if n_b < left.count() else "a"
         rank = F.row_number().over(Window.partitionBy("cloud_id", "a_idx").orderBy("d2", "b_idx"))
-        near = cell_join(left, b, r).select("cloud_id", "a_idx", "b_idx", "d2").withColumn("rank", rank).filter(F.col("rank") <= k)
+        near = cell_join(left, b, r, replicate=replicate).select("cloud_id", "a_idx", "b_idx", "d2").withColumn("rank", rank).filter(F.col("rank") <= k)
         full = F.count(F.lit(1)).over(Window.partitionBy("cloud_id", "a_idx")) == k
         near = written(near.withColumn("full", full).filter("full").drop("full"), "knn")
         found = near if found is None else found.unionByName(near)

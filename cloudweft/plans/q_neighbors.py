@@ -65,7 +65,7 @@ QUERIES = {
     "group_max": lambda s, d: N.group_max(_groups(s, d), ["x", "y", "z", "r"]),
     "interpolate_3nn": lambda s, d: _r(N.interpolate_3nn(V.points(s, d), _coarse(s, d).withColumn("v", F.col("x") * 3 + F.col("z")), ["v", "y"]), "v", "y"),
     "nn_distance": lambda s, d: N.nn_distance(_sample(s, d), V.points(s, d)),
-    "nn_distance_by_radius": lambda s, d: N.nn_distance(_sample(s, d), V.points(s, d), radius=2.0),
+    "nn_distance_by_radius": lambda s, d: N.nn_distance(_sample(s, d), V.points(s, d), radius=6.0),
     "interpolate_3nn_by_radius": lambda s, d: _r(N.interpolate_3nn(V.points(s, d), _coarse(s, d).withColumn("v", F.col("x") * 3 + F.col("z")), ["v", "y"], radius=12.0), "v", "y"),
     "simplification_loss": lambda s, d: _r(N.simplification_loss(V.points(s, d), _sample(s, d), 15, 1.0, 0.1), "forward", "farthest", "backward", "loss"),
     "nn_match": lambda s, d: N.nn_match(V.points(s, d), _matches(s, d), 20),
