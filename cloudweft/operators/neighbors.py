@@ -117,7 +117,7 @@ def group_max(groups: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("cl
 def knn(a: DataFrame, b: DataFrame, k: int, a_idx: str = "point_idx", b_idx: str = "point_idx") -> DataFrame:
     """(cloud_id, a_idx, b_idx, d2, rank): the ``k`` nearest of ``b`` for each of ``a``, the lower index first on ties.
 
-    A bounded list per point is merged map-side (``min_by`` k times would rescan); ``b`` should be a coarse level.
+    All pairs of a cloud are ranked, so ``b`` should be a coarse level; ``knn_by_radius`` is for two large sides.
     """
     pairs = square_distance(a, b, a_idx, b_idx)
     rank = F.row_number().over(Window.partitionBy("cloud_id", "a_idx").orderBy("d2", "b_idx"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import rounded, uniform_sql
 from ..operators import blocks as B
-from ..operators import farthest as P
 from ..operators import neighbors as N
 from ..operators import sampling as S
 from . import views as V
