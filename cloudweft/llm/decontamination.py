@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import batches, pieces
+from ._common import batches, pieces, trim
 
 _WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -133,18 +134,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     gap) over that of the whole item. Items of fewer words than a seed and null texts find nothing; an item id that
     repeats is one item for each of its texts; equal rows of the benchmark are one.
     """
-    spark = docs.sparkSession
-    items = benchmark.filter(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item_text")).distinct()
-    blocks = max(1, -(-items.count() // block_items))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     found = None
+    for seeds in _blocks(texts, benchmark, item_col, item_text_col, seed, max_chance, least_seeds, block_items):
+        one = _search(texts, seeds, min_score, min_hits)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = 3, max_chance: float = 1e-3, least_seeds: int = 8, min_hits: int = 2, min_score: float = 0.4, block_items: int = 20_000) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that hold no passage; every row is judged where it is, without a join."""
+    at, texts = docs.columns.index(text_col), docs.select(F.col(text_col).alias("text"))
+    for seeds in _blocks(texts, benchmark, item_col, item_text_col, seed, max_chance, least_seeds, block_items):
+        docs = _kept(docs, at, seeds, min_score, min_hits)
+    return docs
+
+
+def _kept(docs: DataFrame, at: int, seeds: Seeds, min_score: float, min_hits: int) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(seeds)
+
+    def run(it):
+        seeds = sent.value
+        for b in it:
+            yield b.filter(pa.array([not t or not seeds.found(words_of(t), min_score, min_hits) for t in b.column(at).to_pylist()], pa.bool_()))
+        trim()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _blocks(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, seed: int, max_chance: float, least_seeds: int, block_items: int) -> Iterator[Seeds]:
+    """The seeds of about ``block_items`` items at a time, chosen by the words of all ``texts``."""
+    items = benchmark.filter(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item_text")).distinct()
+    blocks = max(1, -(-items.count() // block_items))
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == k).orderBy("item_id", "item_text").collect()
         seeds = Seeds([(r[0], r[1]) for r in part], seed)
         _rarity(texts, seeds, max_chance, least_seeds)
-        one = _search(texts, seeds, min_score, min_hits)
-        found = one if found is None else found.unionByName(one)
-    return found
+        yield seeds
 
 
 def _rarity(texts: DataFrame, seeds: Seeds, max_chance: float, least_seeds: int) -> None:

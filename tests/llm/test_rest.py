@@ -116,6 +116,8 @@ def test_planted_passages_are_found(spark):
     for block in (20_000, 5):
         got = D.contaminated(d, b, block_items=block).collect()
         assert {(r.id, r.item_id) for r in got} == truth and len(got) == len(truth)
+        kept = D.clean(d, b, block_items=block)
+        assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {k for k, _ in docs} - {k for k, _ in truth} | {500, 501}
     assert D.contaminated(d.limit(0), b).count() == 0 and D.contaminated(d, b.limit(0)).count() == 0
 
 
