@@ -246,9 +246,9 @@ def links(fps: DataFrame, tau: int = 2, parts: int = 3, hot: int = 128) -> DataF
     plan = make_plan(fps, tau, parts)
     entries = written(_entries(fps, plan), "simhash-entries")
     key = ["part", "value"]
-    sizes = entries.groupBy(*key).agg(F.sum((F.col("flips") < 0).cast("int")).alias("members"), F.count("*").alias("n"))
-    # buckets with one fingerprint and its own probe hold no link
-    sizes = written(sizes.filter((F.col("members") > 0) & (F.col("n") > 2)), "simhash-buckets")
+    sizes = entries.groupBy(*key).agg(F.sum((F.col("flips") < 0).cast("int")).alias("members"), F.min("fp").alias("least"), F.max("fp").alias("most"))
+    # buckets whose entries are all of one fingerprint hold no link; two entries can be a skipping member and another's probe
+    sizes = written(sizes.filter((F.col("members") > 0) & (F.col("least") != F.col("most"))), "simhash-buckets")
     cold = entries.join(sizes.filter(F.col("members") <= hot).select(*key), key, "left_semi")
     index = cold.filter(F.col("flips") < 0).select(*key, F.col("fp").alias("b"))
     probes = cold.filter(F.col("flips") >= 0).select(*key, F.col("fp").alias("a"))

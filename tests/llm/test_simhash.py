@@ -42,6 +42,20 @@ def test_thresholds_always_reach_the_sum(spark):
     assert (t.sum(axis=1) == 0).all() and t.min() >= -1
 
 
+def test_a_member_that_skips_a_part_is_met_by_the_only_probe(spark, monkeypatch):
+    a, b = 0, 1 | 1 << 21  # one bit apart in the first part, one in the second
+
+    groups = [list(range(21)), list(range(21, 42)), list(range(42, 64))]
+    plan = S.Plan(1000, groups, {(p, c): np.zeros(2 ** len(x)) for p, g in enumerate(groups) for c, x in enumerate(S._chunks(g))}, 2)
+    for p, near in enumerate([[[0.0, 0.044], [0.025, 0.084]], [[0.004, 0.004], [0.074, 0.074]], [[0.099, 0.099], [0.0, 0.0]]]):
+        plan.near[p, 0][:, :2] = near
+        plan.near[p, 1][0, 0] = 1
+    assert plan.thresholds(np.array([a, b])).tolist() == [[1, 0, -1], [-1, 0, 1]]
+    monkeypatch.setattr(S, "make_plan", lambda *_: plan)
+    nodes = spark.createDataFrame([(a,), (b,)], "fp long")
+    assert [tuple(r) for r in S.links(nodes).collect()] == [(a, b)]
+
+
 def test_documents_nulls_ties_and_clashing_columns(spark):
     long = " ".join(f"w{k}" for k in range(30_000))
     rows = [(5, "a b c d", "x"), (2, "A B\tC\nd", "x"), (9, None, "x"), (8, "", None), (7, " \n\t", "x"), (4, "one", "x"), (4, "one", "x"), (None, "a b c d", "x"), (3, long, "x"), (6, "one two", "x")]
