@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -35,17 +36,30 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where the session has none (tests), a temporary one is set."""
+    """The folder named by ``spark.checkpoint.dir``. Where the session has none, a temporary one is set in local mode (tests);
+    on a cluster that is an error, as executors and driver don't share their own disks.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: the lineage ends there."""
+    """``df`` as a Parquet table in the shared folder, read again: cuts the lineage, and a lost executor loses nothing.
+
+    Tables stay until ``clear``, as results may read them.
+    """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that ``written`` has made in this application; results that read them must be saved before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/tables-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
