@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where the session has none (tests), a temporary one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: cuts the lineage, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..session import shared_root, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +34,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return texts.join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
+def heavy_join(rows: DataFrame, facts: DataFrame, key: str, n_col: str, total: int) -> DataFrame:
+    """``rows`` with the other columns of ``facts`` (one row a key; null where it has none), whatever a key's share of the rows.
+
+    ``n_col`` of ``facts`` counts a key's rows of ``total``. Keys with over a thousandth of them, fewer than a thousand keys, are
+    broadcast; the others, none of them hot, are joined by a shuffle, and rows with a null key go past both.
+    """
+    more = [c for c in facts.columns if c not in (key, n_col)]
+    heavy = facts.filter(F.col(n_col) * 1000 > total).select(key, *more, F.lit(True).alias("__met"))
+    light = facts.filter(F.col(n_col) * 1000 <= total).select(key, *more)
+    at = rows.join(F.broadcast(heavy), key, "left")
+    past = F.coalesce(F.col(key).isNull() | F.col("__met"), F.lit(False))
+    return at.filter(past).drop("__met").unionByName(at.filter(~past).drop("__met", *more).join(light, key, "left"))
+
+
 def pieces(texts: list, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` with about ``limit`` characters each (one text at least), so that arrays stay bounded."""
     start, size = 0, 0
@@ -69,12 +64,3 @@ def batches(it: Iterable, *cols: str) -> Iterator[tuple[list, ...]]:
     """The named columns of each Arrow batch as lists."""
     for b in it:
         yield tuple(b.column(c).to_pylist() for c in cols)
-    trim()
-
-
-def trim() -> None:
-    """Gives free memory back to the system: idle workers live on beside the next stage's. Does nothing without glibc."""
-    trim_ = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim_ is not None:
-        gc.collect()
-        trim_(0)

@@ -5,8 +5,8 @@ into few documents, so that many contaminated documents do not make a seed commo
 ``least_seeds`` least likely ones. Seeds found in a document point to passages, and Smith-Waterman alignment of the item
 with each passage scores it, so substitutions, insertions and deletions of words are forgiven.
 
-The items, which the user states, go to the tasks in blocks of ``block_items``: their broadcast is bounded and a larger
-benchmark takes more scans. Documents are read whole and never shuffled.
+The items, which the user states, go to the tasks in blocks of about ``block_chars`` characters (or one longer item): their
+broadcast is bounded and a larger benchmark takes more scans. Documents are read whole and never shuffled.
 """
 
 from __future__ import annotations
@@ -19,14 +19,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from ._common import batches, pieces, trim
+from ._common import batches, pieces
 
-_WORD = re.compile(r"\w+")
+#: Letters of scripts written without blanks (Thai, Lao, Burmese, Khmer, kana, Han).
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
+_WORD = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+")
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
 def words_of(text: str | None) -> list[str]:
+    """Runs of letters, digits and underscores, lower-cased; in scripts without blanks every letter is a word."""
     return _WORD.findall((text or "").lower())
 
 
@@ -45,35 +50,35 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 
 
 class Seeds:
-    """Items as word ids, and their rare seeds: sorted keys with the (item, place) of each."""
+    """Items as word ids, and their rare seeds: for each length of seed, sorted keys with the (item, place) of each."""
 
-    def __init__(self, items: list[tuple[int, str]], seed: int):
-        self.seed, self.ids = seed, [k for k, _ in items]
+    def __init__(self, items: list[tuple[int, str]], seed: int, min_words: int):
+        self.seed, self.min_words, self.ids = seed, min_words, [k for k, _ in items]
         self.vocabulary: dict[str, int] = {}
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(t)], np.int64) for _, t in items]
+        self.tables: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def choose(self, counts: dict[str, int], total: int, documents: int, max_chance: float, least_seeds: int) -> None:
+        """An item shorter than a seed is one seed as a whole, however common."""
         share = np.full(len(self.vocabulary) + 1, 1 / max(total, 1))
         for w, n in counts.items():
             share[self.vocabulary[w]] = n / max(total, 1)
-        keys, owners, places, self.n_seeds = [], [], [], []
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.n_seeds = [0] * len(self.words)
         for k, words in enumerate(self.words):
-            n = len(words) - self.seed + 1
-            if n < 1:
-                self.n_seeds.append(0)
+            size = min(self.seed, len(words))
+            if size < max(1, self.min_words):
                 continue
-            runs = np.lib.stride_tricks.sliding_window_view(words, self.seed)
+            runs = np.lib.stride_tricks.sliding_window_view(words, size)
             chance = np.log(share[runs]).sum(axis=1) + np.log(max(total, 1) / max(documents, 1))
             rare = chance <= np.log(max_chance)
             rare[np.argsort(chance, kind="stable")[:least_seeds]] = True
-            keys.append(self.key(runs[rare]))
-            owners.append(np.full(int(rare.sum()), k))
-            places.append(np.flatnonzero(rare))
-            self.n_seeds.append(int(rare.sum()))
-        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        by = np.argsort(key, kind="stable")
-        self.keys = key[by]
-        self.owners, self.places = (np.concatenate(x)[by] if x else np.zeros(0, np.int64) for x in (owners, places))
+            self.n_seeds[k] = int(rare.sum())
+            found.setdefault(size, []).append((self.key(runs[rare]), np.full(self.n_seeds[k], k), np.flatnonzero(rare)))
+        for size, parts in sorted(found.items()):
+            keys, owners, places = (np.concatenate(x) for x in zip(*parts))
+            by = np.argsort(keys, kind="stable")
+            self.tables.append((size, keys[by], owners[by], places[by]))
 
     def key(self, runs: np.ndarray) -> np.ndarray:
         """Runs of word ids as 64-bit keys; a clash only brings a passage to alignment that fails it."""
@@ -86,24 +91,23 @@ class Seeds:
         """(item, score, first word, word after the last) of the best passage of each item in a document."""
         get = self.vocabulary.get
         ids = np.fromiter((get(w, -1) for w in text), np.int64, len(text))
-        if len(ids) < self.seed:
-            return []
         known = ids >= 0
-        starts = known[: len(ids) - self.seed + 1].copy()
-        for k in range(1, self.seed):
-            starts &= known[k : len(ids) - self.seed + 1 + k]
-        starts = np.flatnonzero(starts)
-        if not len(starts):
-            return []
-        key = self.key(np.stack([ids[starts + k] for k in range(self.seed)], axis=1))
-        lo, hi = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
-        hit = np.flatnonzero(hi > lo)
-        if not len(hit):
+        owners, begins = [], []
+        for size, keys, owned, places in self.tables:
+            starts = known[: max(len(ids) - size + 1, 0)].copy()
+            for k in range(1, size):
+                starts &= known[k : len(ids) - size + 1 + k]
+            starts = np.flatnonzero(starts)
+            key = self.key(np.stack([ids[starts + k] for k in range(size)], axis=1))
+            lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
+            hit = np.flatnonzero(hi > lo)
+            n = hi[hit] - lo[hit]
+            at = np.repeat(lo[hit] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            owners.append(owned[at])
+            begins.append(np.repeat(starts[hit], n) - places[at])  # where the item would begin
+        if not sum(map(len, owners)):
             return []
-        n = hi[hit] - lo[hit]
-        at = np.repeat(lo[hit] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        owner, begin = self.owners[at], np.repeat(starts[hit], n) - self.places[at]  # where the item would begin
-        out = []
+        owner, begin = np.concatenate(owners), np.concatenate(begins)
         order = np.lexsort((begin, owner))
         owner, begin = owner[order], begin[order]
         sizes = np.array([len(self.words[o]) for o in owner])
@@ -127,25 +131,26 @@ class Seeds:
         return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = 3, max_chance: float = 1e-3, least_seeds: int = 8, min_hits: int = 2, min_score: float = 0.4, block_items: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = 3, max_chance: float = 1e-3, least_seeds: int = 8, min_hits: int = 2, min_score: float = 0.4, min_words: int = 2, block_chars: int = 4_000_000) -> DataFrame:
     """(id, item_id, score, first_word, last_word): every document and item whose best passage reaches ``min_score``.
 
-    Words are runs of letters, digits and underscores, lower-cased. The score is the alignment's (2 a match, -1 a mismatch or
-    gap) over that of the whole item. Items of fewer words than a seed and null texts find nothing; an item id that
-    repeats is one item for each of its texts; equal rows of the benchmark are one.
+    The score is the alignment's (2 a match, -1 a mismatch or gap) over that of the whole item. Items shorter than a seed are found
+    by their whole word sequence; those of fewer than ``min_words`` words hold no passage and find nothing, as null and empty texts
+    do. An item id that repeats is one item for each of its texts; equal rows of the benchmark are one; document rows that repeat
+    are each judged. Texts are read whole, whatever their length. Without documents or items there are no rows. Ids may have any type.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = None
-    for seeds in _blocks(texts, benchmark, item_col, item_text_col, seed, max_chance, least_seeds, block_items):
-        one = _search(texts, seeds, min_score, min_hits)
+    for seeds in _blocks(texts, benchmark, item_col, item_text_col, seed, max_chance, least_seeds, min_words, block_chars):
+        one = _search(texts, seeds, benchmark.schema[item_col].dataType, min_score, min_hits)
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = 3, max_chance: float = 1e-3, least_seeds: int = 8, min_hits: int = 2, min_score: float = 0.4, block_items: int = 20_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = 3, max_chance: float = 1e-3, least_seeds: int = 8, min_hits: int = 2, min_score: float = 0.4, min_words: int = 2, block_chars: int = 4_000_000) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that hold no passage; every row is judged where it is, without a join."""
     at, texts = docs.columns.index(text_col), docs.select(F.col(text_col).alias("text"))
-    for seeds in _blocks(texts, benchmark, item_col, item_text_col, seed, max_chance, least_seeds, block_items):
+    for seeds in _blocks(texts, benchmark, item_col, item_text_col, seed, max_chance, least_seeds, min_words, block_chars):
         docs = _kept(docs, at, seeds, min_score, min_hits)
     return docs
 
@@ -157,18 +162,17 @@ def _kept(docs: DataFrame, at: int, seeds: Seeds, min_score: float, min_hits: in
         seeds = sent.value
         for b in it:
             yield b.filter(pa.array([not t or not seeds.found(words_of(t), min_score, min_hits) for t in b.column(at).to_pylist()], pa.bool_()))
-        trim()
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def _blocks(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, seed: int, max_chance: float, least_seeds: int, block_items: int) -> Iterator[Seeds]:
-    """The seeds of about ``block_items`` items at a time, chosen by the words of all ``texts``."""
-    items = benchmark.filter(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item_text")).distinct()
-    blocks = max(1, -(-items.count() // block_items))
+def _blocks(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, seed: int, max_chance: float, least_seeds: int, min_words: int, block_chars: int) -> Iterator[Seeds]:
+    """The seeds of items with about ``block_chars`` characters at a time, chosen by the words of all ``texts``."""
+    items = benchmark.filter(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item_text")).distinct()
+    blocks = max(1, -(-int(items.agg(F.sum(F.length("item_text"))).first()[0] or 0) // block_chars))
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == k).orderBy("item_id", "item_text").collect()
-        seeds = Seeds([(r[0], r[1]) for r in part], seed)
+        seeds = Seeds([(r[0], r[1]) for r in part], seed, min_words)
         _rarity(texts, seeds, max_chance, least_seeds)
         yield seeds
 
@@ -195,15 +199,16 @@ def _rarity(texts: DataFrame, seeds: Seeds, max_chance: float, least_seeds: int)
     seeds.choose(counts, total, documents, max_chance, least_seeds)
 
 
-def _search(texts: DataFrame, seeds: Seeds, min_score: float, min_hits: int) -> DataFrame:
-    sent = texts.sparkSession.sparkContext.broadcast(seeds)
+def _search(texts: DataFrame, seeds: Seeds, item_kind: DataType, min_score: float, min_hits: int) -> DataFrame:
+    sent, items_as = texts.sparkSession.sparkContext.broadcast(seeds), to_arrow_type(item_kind)
 
     def run(it):
         seeds = sent.value
-        for ids, column in batches(it, "id", "text"):
-            rows = [(i, seeds.ids[o], s, a, b) for i, t in zip(ids, column) if t for o, s, a, b in seeds.found(words_of(t), min_score, min_hits)]
-            cols = list(zip(*rows)) or [(), (), (), (), ()]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "item_id", "score", "first_word", "last_word"])
+        for b in it:
+            rows = [(k, seeds.ids[o], s, a, z) for k, t in enumerate(b.column("text").to_pylist()) if t for o, s, a, z in seeds.found(words_of(t), min_score, min_hits)]
+            at, items, *rest = list(zip(*rows)) or [()] * 5
+            cols = [b.column("id").take(pa.array(at, pa.int64())), pa.array(items, items_as), *(pa.array(c, k) for c, k in zip(rest, (pa.float64(), pa.int64(), pa.int64())))]
+            yield pa.record_batch(cols, names=["id", "item_id", "score", "first_word", "last_word"])
 
-    return texts.mapInArrow(run, "id long, item_id long, score double, first_word long, last_word long")
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"id {kind}, item_id {item_kind.simpleString()}, score double, first_word long, last_word long")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import heavy_join, written
 
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -77,27 +77,18 @@ def host_verdicts(rows: DataFrame, host_col: str = "source", failed_col: str = "
     return both.select("host", "n_docs", "n_failed", rate.alias("rate")).withColumn("host_kept", F.col("rate") <= max_rate)
 
 
-def _with_verdicts(rows: DataFrame, hosts: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
-    """``rows`` (source, ...) with their host's rate and verdict; null without a host.
-
-    Up to ``max_broadcast`` hosts (three numbers and a name each) are broadcast, and rows stay where they are. Of more, the hosts
-    with over a thousandth of all documents, fewer than a thousand, still are; the others, none of them hot, are joined by a shuffle.
-    """
+def _with_verdicts(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``rows`` (source, ...) with their host's rate and verdict; null without a host."""
     hosts = written(hosts, "host-verdicts")
-    n_hosts, n_docs = hosts.agg(F.count("*"), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
-    verdict = hosts.select(F.col("host").alias("source"), "rate", "host_kept", "n_docs")
-    if n_hosts <= max_broadcast:
-        return rows.join(F.broadcast(verdict.drop("n_docs")), "source", "left")
-    heavy = F.broadcast(verdict.filter(F.col("n_docs") * 1000 > n_docs).drop("n_docs"))
-    light = verdict.filter(F.col("n_docs") * 1000 <= n_docs).drop("n_docs")
-    return rows.join(heavy, "source").unionByName(rows.join(heavy, "source", "left_anti").join(light, "source", "left"))
+    n_docs = hosts.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    return heavy_join(rows, hosts.select(F.col("host").alias("source"), "rate", "host_kept", "n_docs"), "source", "n_docs", n_docs)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, max_rate: float = 0.5) -> DataFrame:
     """Every document's features, base_failed, its host's rate and kept.
 
-    A document without a host is judged by the base rules alone (rate null). Repeated rows each keep their row; an empty
-    table gives an empty result.
+    A document without a host is judged by the base rules alone (rate null); a null or empty text has no words and fails them.
+    Texts are whole, of any length. Repeated rows each keep their row; an empty table gives an empty result.
     """
     rows = document_features(docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("source"), F.col(text_col).alias("text")))
     rows = written(rows.withColumn("base_failed", base_failed(min_words, max_repeat_percent)), "rule-features")

@@ -53,7 +53,7 @@ class Encoder:
     to ``keep`` of them; words in lower case go to its model directly. Any other tokenizer encodes whole texts.
     """
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -143,12 +143,11 @@ def _width(tokenizer_path: str) -> str:
 
 
 def code_lengths(counts: np.ndarray, max_bits: int) -> np.ndarray:
-    """Lengths of an optimal prefix code of at most ``max_bits`` bits for positive ``counts``, by package-merge."""
+    """Lengths of an optimal prefix code for positive ``counts`` by package-merge: at most ``max_bits`` bits, or as many as their number needs."""
     n = len(counts)
     if n <= 1:
         return np.ones(n, np.int64)
-    if n > 1 << max_bits:
-        raise ValueError(f"{n} symbols need more than {max_bits} bits")
+    max_bits = max(max_bits, (n - 1).bit_length())
     order = np.argsort(counts, kind="stable")
     w = counts[order].astype(np.float64)
     row, levels = w, [np.ones(n, bool)]
@@ -235,7 +234,7 @@ BLOCKS = T.StructType([
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 18, block_symbols: int = 262_144) -> None:
-    """Writes the ids of all ``docs`` below ``path``. A null id comes first; repeated ids keep all their rows."""
+    """Writes the ids of all ``docs`` below ``path``. Document ids are integers (cast to long); a null id comes first; repeated ids keep all their rows."""
     spark = docs.sparkSession
     kind = _width(tokenizer_path)
     staged = written(token_ids(docs, id_col, text_col, tokenizer_path, end_id), "token-ids")

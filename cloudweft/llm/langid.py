@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import batches, held_out, pieces, trim
+from ._common import batches, held_out, pieces
 
 _WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -100,15 +100,24 @@ class Model:
 
 
 def _em(p: np.ndarray, starts: np.ndarray, n: np.ndarray, shares: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the components in every document and its log-likelihood; a share of 0 stays 0."""
+    """Shares of the components in every document and its log-likelihood; a share of 0 stays 0.
+
+    A document stops on its own, when its shares move by less than 1e-3, so its result doesn't depend on those beside it.
+    """
     shares = shares.astype(np.float32)
+    live, q, at, m = np.arange(len(n)), p, starts, n
     for _ in range(rounds):
-        parts = p * np.repeat(shares, n, axis=0)
+        parts = q * np.repeat(shares[live], m, axis=0)
         whole = np.maximum(parts.sum(axis=1, keepdims=True), 1e-30)
-        new = np.add.reduceat(parts / whole, starts, axis=0) / n[:, None]
-        moved, shares = np.abs(new - shares).max(), new.astype(np.float32)
-        if moved < 1e-3:
+        new = (np.add.reduceat(parts / whole, at, axis=0) / m[:, None]).astype(np.float32)
+        on = np.abs(new - shares[live]).max(axis=1) >= 1e-3
+        shares[live] = new
+        if not on.any():
             break
+        if not on.all():
+            q, live = q[np.repeat(on, m)], live[on]
+            m = n[live]
+            at = np.cumsum(m) - m
     whole = np.maximum((p * np.repeat(shares, n, axis=0)).sum(axis=1), 1e-30)
     return shares, np.add.reduceat(np.log(whole), starts)
 
@@ -145,55 +154,55 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(langs, counts)
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", penalty: float = 2.0, *more: str) -> DataFrame:
-    """(id, lang, score, languages) of every whole text, and the columns named in ``more``.
+def _labelled(model: Model | None, texts: list, penalty: float) -> tuple[list[str], list[float], list[str]]:
+    """Language, score and set of every text."""
+    lang, score, every = [UNDETERMINED] * len(texts), [0.0] * len(texts), [""] * len(texts)
+    for lo, hi in pieces(texts, 2_400_000 // max(4, len(model.langs))) if model else []:
+        docs = [words_of(t) for t in texts[lo:hi]]
+        at = [k for k, d in enumerate(docs) if d]
+        if not at:
+            continue
+        shares = model.mixtures([docs[k] for k in at], penalty)
+        for k, row in zip(at, shares):
+            by = np.argsort(-row, kind="stable")
+            lang[lo + k], score[lo + k] = model.langs[by[0]], float(min(1.0, row[by[0]]))
+            every[lo + k] = ",".join(f"{model.langs[j]}:{row[j]:.3f}" for j in by if row[j] > 0)
+    return lang, score, every
+
+
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", penalty: float = 2.0) -> DataFrame:
+    """(id, lang, score, languages) of every whole text.
 
     ``lang`` has the largest share, ``score`` is that share, ``languages`` lists the set as ``lang:share``, largest first; ties go
-    to the first in alphabetical order. A null text, one without letters, and any text without a model is ``und`` with 0.
+    to the first in alphabetical order. A null text, one without letters, and any text without a model is ``und`` with 0. Each
+    row is judged alone, so rows that repeat get the same result, whatever the batches and partitions; texts may have any length,
+    ids any type. An empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [docs.schema[c] for c in more]
 
     def run(it):
-        model = sent.value
         for b in it:
-            texts = b.column("__text").to_pylist()
-            lang, score, every = [UNDETERMINED] * len(texts), [0.0] * len(texts), [""] * len(texts)
-            for lo, hi in pieces(texts, 2_400_000 // max(4, len(model.langs))) if model else []:
-                docs = [words_of(t) for t in texts[lo:hi]]
-                at = [k for k, d in enumerate(docs) if d]
-                if not at:
-                    continue
-                shares = model.mixtures([docs[k] for k in at], penalty)
-                for k, row in zip(at, shares):
-                    by = np.argsort(-row, kind="stable")
-                    lang[lo + k], score[lo + k] = model.langs[by[0]], float(min(1.0, row[by[0]]))
-                    every[lo + k] = ",".join(f"{model.langs[j]}:{row[j]:.3f}" for j in by if row[j] > 0)
-            cols = [b.column("__id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(every, pa.string())]
-            yield pa.record_batch([*cols, *(b.column(c) for c in more)], names=["id", "lang", "score", "languages", *more])
-        trim()
-
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), *more)
-    schema = "id long, lang string, score double, languages string" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return rows.mapInArrow(run, schema)
-
-
-def identified(docs: DataFrame, model: Model | None, text_col: str = "text", penalty: float = 2.0) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text has a language; the rest are null, without letters, or met no model."""
+            lang, score, every = _labelled(sent.value, b.column("text").to_pylist(), penalty)
+            yield pa.record_batch([b.column("id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(every, pa.string())], names=["id", "lang", "score", "languages"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang string, score double, languages string")
+
+
+def identified(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang", languages: tuple[str, ...] | None = None, least: float = 0.5, penalty: float = 2.0) -> DataFrame:
+    """The rows of ``docs`` in one of ``languages`` (None: any that was learnt), with all columns; ``lang_col`` becomes the language found.
+
+    A row goes if its text is undetermined, if its first language has a share under ``least`` (no language leads the mixture),
+    or if that language isn't asked for. ``lang_col`` is a string column of ``docs``.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    at, out = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(it):
-        model = sent.value
         for b in it:
-            texts = b.column(at).to_pylist()
-            keep = np.zeros(len(texts), bool)
-            for lo, hi in pieces(texts, 2_400_000 // max(4, len(model.langs))) if model else []:
-                words = [words_of(t) for t in texts[lo:hi]]
-                some = [k for k, d in enumerate(words) if d]
-                if some:
-                    keep[[lo + k for k in some]] = model.mixtures([words[k] for k in some], penalty).max(axis=1) > 0
-            yield b.filter(pa.array(keep))
-        trim()
+            lang, score, _ = _labelled(sent.value, b.column(at).to_pylist(), penalty)
+            keep = [k != UNDETERMINED and s >= least and (languages is None or k in languages) for k, s in zip(lang, score)]
+            cols = [pa.array(lang, b.schema.field(k).type) if k == out else b.column(k) for k in range(b.num_columns)]
+            yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import batches, labelled_sample, pieces
+from ._common import batches, labelled_sample, pieces, written
 
 _CLASS = np.zeros(256, np.uint8)
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\v\f", b"#*$%&<>{}[]\\^~=+_@/", b"|", b"!?", b".,;:"), 1):
@@ -75,19 +75,11 @@ class Field:
         self.slope, self.base = 0.0, 0.0
 
     def marginals(self, emit: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(P(good) of every line, expected steps [2, 2] summed over all documents), all documents in step with each other."""
-        by = np.argsort(-n, kind="stable")
-        first, active = starts[by], np.searchsorted(-n[by], -np.arange(1, n.max() + 1), side="right")
+        """(P(good) of every line, expected steps [2, 2] summed over all documents)."""
         score = np.stack([np.zeros_like(emit), emit], axis=1)
-        fwd, back = np.zeros_like(score), np.zeros_like(score)
-        for t, a in enumerate(active):
-            at = first[:a] + t
-            fwd[at] = score[at]
-            if t:
-                fwd[at] += _lse(fwd[at - 1][:, :, None] + self.step, 1)
-        for t in range(len(active) - 2, -1, -1):
-            at = first[: active[t + 1]] + t
-            back[at] = _lse(self.step + (score[at + 1] + back[at + 1])[:, None, :], 2)
+        fwd = _chain(score, starts, n, self.step)
+        turned = (len(emit) - starts - n)[::-1]
+        back = _chain(score[::-1], turned, n[::-1], self.step.T)[::-1] - score
         both = fwd + back
         p = 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -60, 60)))
         inner = np.ones(len(emit), bool)
@@ -138,6 +130,39 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(self.slope * _spread(q) + self.base, -40, 40)))
 
 
+def _chain(score: np.ndarray, starts: np.ndarray, n: np.ndarray, step: np.ndarray, block: int = 256) -> np.ndarray:
+    """[lines, 2] log sums over all labellings up to each line, by its label, for documents of ``n`` lines from ``starts`` on.
+
+    A long document is cut into blocks: what each block makes of either label before it is found for all blocks at a time, then
+    blocks are joined in order, so a text of m lines takes about m / block + 2 block steps, and documents go side by side.
+    """
+    k = -(-n // block)
+    doc, base = np.repeat(np.arange(len(n)), k), np.cumsum(k) - k
+    place = np.arange(len(doc)) - base[doc]
+    first, size = starts[doc] + place * block, np.minimum(block, n[doc] - place * block)
+    before = np.zeros((len(doc), 2))
+    if len(doc) > len(n):
+        passed = np.zeros((len(doc), 2, 2))  # by the label before the block and that of its last line
+        full = np.flatnonzero(place < k[doc] - 1)
+        m = np.where((place[full] == 0)[:, None, None], score[first[full]][:, None, :], step[None] + score[first[full]][:, None, :])
+        for t in range(1, block):
+            m = score[first[full] + t][:, None, :] + _lse(m[:, :, :, None] + step, 2)
+        passed[full] = m
+        at = base[k > 1]
+        before[at + 1] = passed[at, 0]
+        for j in range(2, int(k.max())):
+            at = base[k > j] + j
+            before[at] = _lse(before[at - 1][:, :, None] + passed[at - 1], 1)
+    by = np.argsort(-size, kind="stable")
+    active, out = np.searchsorted(-size[by], -np.arange(1, size.max() + 1), side="right"), np.zeros_like(score)
+    for t, a in enumerate(active):
+        at = first[by[:a]] + t
+        last = out[at - 1] if t else before[by]
+        more = _lse(last[:, :, None] + step, 1)
+        out[at] = score[at] + (more if t else np.where((place[by] > 0)[:, None], more, 0))
+    return out
+
+
 def _spread(q: np.ndarray) -> np.ndarray:
     q = np.clip(q, 0.005, 0.995)
     return np.log(q / (1 - q))
@@ -162,49 +187,59 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
     return float(t[0]), float(t[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 4, remainder: int = 2, max_rows: int = 8_000) -> Field:
-    """A field learnt from at most ``max_rows`` labelled rows that are not held out; the features of their lines reach the driver, not the texts.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 4, remainder: int = 2, max_rows: int = 8_000, max_lines: int = 200_000) -> Field:
+    """A field learnt from at most ``max_rows`` labelled rows that are not held out and at most ``max_lines`` of their lines.
 
-    Without rows of both classes the field gives the base rate.
+    Rows are taken in the order of a hash while their lines fit; the numbers of these lines (``N_OWN`` and a size each) reach the
+    driver, never texts. Without rows of both classes (an empty table, say) the field gives the base rate.
     """
-    rows = labelled_sample(docs, labels, id_col, text_col, label_col, max_rows, modulus, remainder)
+    sample = labelled_sample(docs, labels, id_col, text_col, label_col, max_rows, modulus, remainder)
 
     def features(it):
-        for ids, texts, ys in batches(it, "id", "text", "label"):
+        for order, texts, ys in batches(it, "order", "text", "label"):
             split = [lines_of(t) for t in texts]
             own = [own_features([d]) if d else np.zeros((0, N_OWN), np.float32) for d in split]
             sizes = [np.array([len(x) for x in d], np.float32) for d in split]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in sizes], pa.binary())], names=["id", "label", "own", "size"])
+            yield pa.record_batch([pa.array(order, pa.int64()), pa.array(ys, pa.int32()), pa.array(list(map(len, split)), pa.int64()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in sizes], pa.binary())], names=["order", "label", "n", "own", "size"])
 
-    lines = rows.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("binary").alias("text"), "label")
-    got = lines.mapInArrow(features, "id long, label int, own binary, size binary").toPandas().sort_values("id")
+    rows = sample.select(F.xxhash64(id_col, "text").alias("order"), F.col("text").cast("binary").alias("text"), "label")
+    rows = written(rows.mapInArrow(features, "order long, label int, n long, own binary, size binary"), "line-features")
+    upto = F.sum("n").over(Window.orderBy("order").rowsBetween(Window.unboundedPreceding, 0))  # max_rows rows
+    taken = rows.select("order", "n").withColumn("upto", upto).filter(F.col("upto") <= max_lines).select("order")
+    got = rows.join(F.broadcast(taken), "order", "left_semi").toPandas().sort_values("order", kind="stable")
     field = Field()
-    n = got["size"].map(len).to_numpy(np.int64) // 4
-    y, some = got.label.to_numpy(np.float64), n > 0
-    rate = float(y.mean()) if len(y) else 0.5
+    n, y = got.n.to_numpy(np.int64), got.label.to_numpy(np.float64)
+    some = n > 0
     if 0 < y[some].sum() < some.sum():
         own = np.frombuffer(b"".join(map(bytes, got.own)), np.float32).reshape(-1, N_OWN)
         size = np.frombuffer(b"".join(map(bytes, got["size"])), np.float32).astype(np.float64)
         field.fit(own, size, n[some], y[some])
     else:
+        rate = float(y.mean()) if len(y) else 0.5
         field.base = float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
     return field
 
 
 def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for every row; a null text or one without words has quality 0 before the curve."""
+    """(id, score) for every row, each judged alone: rows that repeat get equal scores.
+
+    A null text or one without words has quality 0 before the curve. Texts may have any length and any number of lines, ids any
+    type, other columns any names; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(it):
         field = sent.value
         none = float(field.curve(np.zeros(1))[0])
-        for ids, texts in batches(it, "id", "text"):
+        for b in it:
+            texts = b.column("text").to_pylist()
             out = np.full(len(texts), none)
-            for a, b in pieces(texts, 4_000_000):
-                split = [lines_of(t) for t in texts[a:b]]
+            for lo, hi in pieces(texts):
+                split = [lines_of(t) for t in texts[lo:hi]]
                 at = [k for k, d in enumerate(split) if d]
                 if at:
-                    out[[a + k for k in at]] = field.scores([split[k] for k in at])
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.float64())], names=["id", "score"])
+                    out[[lo + k for k in at]] = field.scores([split[k] for k in at])
+            yield pa.record_batch([b.column("id"), pa.array(out, pa.float64())], names=["id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, score double")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")

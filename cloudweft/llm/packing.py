@@ -5,12 +5,14 @@ these counts the driver runs best-fit decreasing for all items of a length at a
 least room that takes it, else a bin of the size with the least cost for what it is likely to hold is opened. That policy and
 those that prefer one size are all planned, bins are downsized to the smallest size that holds their contents, and the
 cheapest plan is kept. A plan gives runs of item ranks to runs of bins; Spark ranks the items of a length (in salted
-groups, so a length that a third of the items share is spread) and looks each up.
+groups, so a length that a third of the items share is spread) and looks each up. ``pack`` places items of any length
+column; ``token_pieces``, ``place`` and ``sequences`` make packed sequences of token ids.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
 from bisect import bisect_left, insort
 from dataclasses import dataclass
 
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import written
+from .huffman import Encoder
 
 SIZES = (512, 1024, 2048, 4096)
 
@@ -99,25 +102,32 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", sizes: tuple[i
     """(id, piece, start, length, bin_id, bin_offset, bin_size): every item with its place.
 
     A document longer than the largest size is cut into pieces of that size and a rest. Items of length 0 take no room: one row
-    with null bin columns. Repeated rows are packed each. A null length counts as 0.
+    with null bin columns. Repeated rows are packed each. A null or negative length counts as 0. An empty table gives no rows.
     """
-    largest, spark = max(sizes), docs.sparkSession
+    largest = max(sizes)
     n = F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0))
     rows = docs.select(F.col(id_col).alias("id"), n.alias("n"))
     rows = rows.select("id", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(largest).cast("long"))).alias("piece", "start"))
+    rows = rows.select("id", "piece", "start", F.least(F.col("n") - F.col("start"), F.lit(largest)).alias("length"))
+    return place(rows, sizes, cost, salts)
+
+
+def place(pieces: DataFrame, sizes: tuple[int, ...] = SIZES, cost=default_cost, salts: int | None = None) -> DataFrame:
+    """``pieces`` (id, piece, start, length, ...) with bin_id, bin_offset and bin_size; no length exceeds the largest size."""
+    spark = pieces.sparkSession
     salts = salts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.select("id", "piece", "start", F.least(F.col("n") - F.col("start"), F.lit(largest)).alias("length"), F.pmod(F.xxhash64("id", "piece"), F.lit(salts)).cast("int").alias("salt"))
-    rows = written(rows, "items")
+    rows = written(pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)).cast("int")), "items")
     # at most max(sizes) x salts rows, and of them max(sizes) for the driver
     parts = rows.filter("length > 0").groupBy("length", "salt").agg(F.count("*").alias("n"))
     parts = written(parts.select("length", "salt", "n", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before")), "length-counts")
     counts = {r[0]: r[1] for r in parts.groupBy("length").agg(F.sum("n")).collect()}
     sent = spark.sparkContext.broadcast(make_plan(counts, sizes, cost))
-    ranked = rows.join(parts.select("length", "salt", "before"), ["length", "salt"], "left")
+    # both sides by (length, salt), as the ranks need it: never a broadcast, so parts may have any number of salts
+    ranked = rows.join(parts.select("length", "salt", "before").hint("merge"), ["length", "salt"], "left")
     within = Window.partitionBy("length", "salt").orderBy("id", "piece")
-    ranked = ranked.select("id", "piece", "start", "length", (F.col("before") + F.row_number().over(within) - 1).alias("rank"))
+    ranked = ranked.select(*pieces.columns, (F.col("before") + F.row_number().over(within) - 1).alias("rank"))
 
-    def place(it):
+    def run(it):
         plan = sent.value
         key = plan.runs[:, 0] * (1 << 48) + plan.runs[:, 1]
         for b in it:
@@ -126,13 +136,90 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", sizes: tuple[i
             cols = [np.zeros(len(at), np.int64) for _ in range(3)]
             if some.any():
                 r = rank[some].astype(np.int64)
-                run = plan.runs[np.searchsorted(key, at[some] * (1 << 48) + r, side="right") - 1]
-                k = r - run[:, 1]
-                bin_id = run[:, 4] + k // run[:, 3]
-                cols[0][some], cols[1][some] = bin_id, run[:, 5] + (k % run[:, 3]) * at[some]
+                found = plan.runs[np.searchsorted(key, at[some] * (1 << 48) + r, side="right") - 1]
+                k = r - found[:, 1]
+                bin_id = found[:, 4] + k // found[:, 3]
+                cols[0][some], cols[1][some] = bin_id, found[:, 5] + (k % found[:, 3]) * at[some]
                 cols[2][some] = plan.bins[np.searchsorted(plan.bins[:, 0], bin_id, side="right") - 1, 3]
-            placed = [pa.array(c, pa.int64(), mask=~some) for c in cols]
-            yield pa.record_batch([b.column("id"), b.column("piece"), b.column("start"), b.column("length"), *placed], names=["id", "piece", "start", "length", "bin_id", "bin_offset", "bin_size"])
+            kept = b.schema.names[:-1]
+            yield pa.record_batch([*(b.column(c) for c in kept), *(pa.array(c, pa.int64(), mask=~some) for c in cols)], names=[*kept, "bin_id", "bin_offset", "bin_size"])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pieces.schema)
+    return ranked.mapInArrow(run, f"{schema}bin_id long, bin_offset long, bin_size long")
+
+
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """(id, piece, start, length, ids): the token ids of whole texts (null: empty) with ``end_id`` after each, cut at the largest size.
+
+    ``ids`` holds them as compressed 32-bit integers, or 16-bit ones for vocabularies up to 65,536.
+    """
+    largest = max(sizes)
+
+    def run(it):
+        import zstandard
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"id {kind}, piece int, start long, length long, bin_id long, bin_offset long, bin_size long")
+        squeeze, encoder = zstandard.ZstdCompressor(level=1).compress, Encoder.of(tokenizer_path)
+        width = array(encoder.kind).itemsize
+        tail = array(encoder.kind, [] if end_id is None else [end_id]).tobytes()
+        for b in it:
+            owner, piece, n, out = [], [], [], []
+            for k, t in enumerate(b.column("text").to_pylist()):
+                ids = encoder.encode(t or "") + tail
+                for j, lo in enumerate(range(0, max(len(ids), 1), largest * width)):
+                    part = ids[lo : lo + largest * width]
+                    owner.append(k)
+                    piece.append(j)
+                    n.append(len(part) // width)
+                    out.append(squeeze(part))
+            start = np.array(piece, np.int64) * largest
+            yield pa.record_batch([b.column("id").take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names=["id", "piece", "start", "length", "ids"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids binary")
+
+
+def sequences(placed: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(bin_id, bin_size, n_tokens, doc_ids, pieces, lengths, ids): one row for each bin of ``placed``, its contents in order.
+
+    ``ids`` are the token ids of its pieces one after the other; a sequence is bin_size long, and what is left is padding.
+    """
+    kind, width = placed.schema["id"].dataType.simpleString(), Encoder.of(tokenizer_path).kind
+
+    def run(it):
+        import zstandard
+
+        unpack, held = zstandard.ZstdDecompressor().decompress, []
+
+        def out(rows):
+            names = ("bin_id", "bin_size", "n_tokens", "doc_ids", "pieces", "lengths", "ids")
+            flat = np.frombuffer(b"".join([unpack(r[5]) for r in rows]), f"<u{array(width).itemsize}").astype(np.int32)
+            cuts = [0, *(k for k in range(1, len(rows)) if rows[k][0] != rows[k - 1][0]), len(rows)]
+            bins = [rows[a:b] for a, b in zip(cuts, cuts[1:])]
+            n = [sum(r[4] for r in g) for g in bins]
+            ends = pa.array(np.cumsum([0, *n]), pa.int32())
+            lists = [pa.array([[r[k] for r in g] for g in bins], pa.list_(t)) for k, t in ((2, id_type), (3, pa.int32()), (4, pa.int64()))]
+            return pa.record_batch([pa.array([g[0][0] for g in bins], pa.int64()), pa.array([g[0][1] for g in bins], pa.int64()), pa.array(n, pa.int64()), *lists, pa.ListArray.from_arrays(ends, pa.array(flat))], names=list(names))
+
+        for b in it:
+            id_type = b.schema.field("id").type
+            held += zip(*(b.column(c).to_pylist() for c in ("bin_id", "bin_size", "id", "piece", "length", "ids")))
+            last = next((k for k in range(len(held) - 1, 0, -1) if held[k][0] != held[k - 1][0]), 0)  # the last bin may go on
+            for lo, hi in _spans(held[:last]):
+                yield out(held[lo:hi])
+            held = held[last:]
+        if held:
+            yield out(held)
+
+    dealt = placed.filter("length > 0").select("bin_id", "bin_size", "bin_offset", "id", "piece", "length", "ids").repartition("bin_id").sortWithinPartitions("bin_id", "bin_offset")
+    return dealt.mapInArrow(run, f"bin_id long, bin_size long, n_tokens long, doc_ids array<{kind}>, pieces array<int>, lengths array<long>, ids array<int>")
+
+
+def _spans(rows: list, limit: int = 1_000_000) -> list[tuple[int, int]]:
+    """Ranges of whole bins with about ``limit`` tokens each."""
+    out, lo, size = [], 0, 0
+    for k, r in enumerate(rows):
+        if size >= limit and r[0] != rows[k - 1][0]:
+            out.append((lo, k))
+            lo, size = k, 0
+        size += r[4]
+    return [*out, (lo, len(rows))] if rows else out

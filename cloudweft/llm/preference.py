@@ -46,7 +46,8 @@ def preferences(pairs: DataFrame, turns: DataFrame, trained: str = "assistant")
 
     ``pairs`` has pair_id (unique), chosen_id and rejected_id. Spans are (start, stop) in characters of the completion. Turns are
     the same if role and text are. If one conversation is a prefix of the other its completion is empty; if a side is
-    missing, its completion and spans are null and the prompt is empty. An empty table gives no rows.
+    missing, its completion and spans are null and the prompt is empty (ANSI mode on or off). An empty table gives no rows. A
+    conversation may be as long as a row can be: it is one sample.
     """
     convs = conversations(turns, trained=trained)
     sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("chosen_id").alias("conv_id")), F.struct(F.lit(1).alias("side"), F.col("rejected_id").alias("conv_id")))).alias("s"))
@@ -54,20 +55,21 @@ def preferences(pairs: DataFrame, turns: DataFrame, trained: str = "assistant")
     both = sides.groupBy("pair_id").agg(*[F.first(F.when(F.col("side") == k, F.col(c)), ignorenulls=True).alias(name + suffix) for k, name in enumerate(("chosen", "rejected")) for c, suffix in (("conv_id", "_id"), ("turns", "_turns"))])
     same = F.zip_with("chosen_turns", "rejected_turns", lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["text"] == b["text"]), F.lit(False)))
     first = F.array_position(same, False)
-    n = F.coalesce(F.when(first > 0, first - 1).otherwise(F.size(same)), F.lit(0)).cast("int")
+    n = F.when(same.isNull(), 0).when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
     both = both.withColumn("prefix_turns", n)
     out = [F.col("pair_id"), F.col("chosen_id"), F.col("rejected_id"), F.col("prefix_turns")]
     out.append(F.coalesce(_said(F.slice("chosen_turns", 1, F.col("prefix_turns"))), F.lit("")).alias("prompt"))
     for side in ("chosen", "rejected"):
         at = F.col(f"{side}_turns")
-        rest = F.slice(at, F.col("prefix_turns") + 1, F.greatest(F.size(at) - F.col("prefix_turns"), F.lit(0)))
+        rest = F.when(at.isNotNull(), F.slice(at, F.col("prefix_turns") + 1, F.greatest(F.coalesce(F.size(at), F.lit(0)) - F.col("prefix_turns"), F.lit(0))))
         out += [F.when(at.isNotNull(), _said(rest)).alias(side), _spans(rest).alias(f"{side}_spans")]
     return both.select(*out)
 
 
 def neighbour_pairs(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Conversation 2k as chosen and 2k + 1 as rejected: every conversation once, without sorting any group."""
+    """Conversation 2k as chosen and 2k + 1 as rejected (integer ids): every conversation once, without sorting any group."""
     ids = turns.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
-    pair = F.floor(F.col("id") / 2).alias("pair_id")
-    chosen, rejected = F.max(F.when(F.col("id") % 2 == 0, F.col("id"))), F.max(F.when(F.col("id") % 2 != 0, F.col("id")))
+    even = F.pmod("id", F.lit(2)) == 0
+    pair = F.expr("(id - pmod(id, 2)) div 2").alias("pair_id")  # whole numbers throughout: ids of any size, negative too
+    chosen, rejected = F.max(F.when(even, F.col("id"))), F.max(F.when(~even, F.col("id")))
     return ids.groupBy(pair).agg(chosen.alias("chosen_id"), rejected.alias("rejected_id"))

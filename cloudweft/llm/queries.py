@@ -60,7 +60,10 @@ def op8_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), packing.word_count()).withColumnRenamed("id", "doc_id")
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.sequences(packing.place(packing.token_pieces(table(spark, sf_dir, "documents"), path)), path)
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

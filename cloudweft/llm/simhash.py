@@ -6,8 +6,8 @@ sum tau - parts + 1, least in the estimated number of candidates plus probes; -1
 pigeonhole principle a fingerprint within ``tau`` differs by at most t_i in some part i, so probing the ball of radius
 t_i around each part value finds every link.
 
-Copies are one fingerprint from the start. A part value with more than ``hot`` fingerprints is not joined pair by pair:
-its members and probes meet at *centres*, the values of the other bits at one flip or less. Two members share a centre
+Copies are one fingerprint from the start. A part value with more than ``hot`` times ``hot`` meetings of a member and a
+probe is not joined pair by pair: its members and probes meet at *centres*, the values of the other bits at one flip or less. Two members share a centre
 exactly if they are at most two flips apart, and at most 65 fingerprints share one, so the work stays linear.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import batches, written
+from ._common import heavy_join, written
 
 BITS = 64
 
@@ -54,19 +54,33 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big", signed=True)
 
 
+def majority(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A signed fingerprint for each text from its ``n`` hashes (0 where it has none): bits set in over half of them."""
+    out, some = np.zeros(len(n), np.int64), np.flatnonzero(n)
+    if not len(some):
+        return out
+    parts = -(-n[some] // 255)  # a lane holds 255 at most
+    starts = (np.cumsum(n) - n)[some]
+    cuts = np.repeat(starts - 255 * (np.cumsum(parts) - parts), parts) + 255 * np.arange(int(parts.sum()))
+    sums = np.add.reduceat(_LANES[hashes.view(np.uint8).reshape(-1, 8)], cuts, axis=0)
+    counts = np.add.reduceat(sums.view(np.uint8).reshape(len(sums), BITS).astype(np.int64), np.cumsum(parts) - parts, axis=0)
+    out[some] = np.packbits(counts * 2 > n[some][:, None], axis=1).view(">i8")[:, 0]
+    return out
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """(id, fp): the fingerprint of every text. ASCII letters are lower-cased; words end at space and U+0009-000D.
 
     A null or blank text has fingerprint 0; a text of fewer words than a shingle is one shingle.
     """
-    out = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
 
     def run(it):
-        for ids, texts in batches(it, "id", "text"):
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([fingerprint(t, shingle, seed) for t in texts], pa.int64())], schema=out)
+        for b in it:
+            fps = [fingerprint(t, shingle, seed) for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("id"), pa.array(fps, pa.int64())], names=["id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
 # --- the plan: partitions of bits, tables of counts -------------------------------------------------------------
@@ -246,10 +260,11 @@ def links(fps: DataFrame, tau: int = 2, parts: int = 3, hot: int = 128) -> DataF
     plan = make_plan(fps, tau, parts)
     entries = written(_entries(fps, plan), "simhash-entries")
     key = ["part", "value"]
-    sizes = entries.groupBy(*key).agg(F.sum((F.col("flips") < 0).cast("int")).alias("members"), F.min("fp").alias("least"), F.max("fp").alias("most"))
+    sizes = entries.groupBy(*key).agg(F.sum((F.col("flips") < 0).cast("int")).alias("members"), F.count("*").alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most"))
     # buckets whose entries are all of one fingerprint hold no link; two entries can be a skipping member and another's probe
     sizes = written(sizes.filter((F.col("members") > 0) & (F.col("least") != F.col("most"))), "simhash-buckets")
-    cold = entries.join(sizes.filter(F.col("members") <= hot).select(*key), key, "left_semi")
+    few = F.col("members") * (F.col("n") - F.col("members")) <= hot * hot
+    cold = entries.join(sizes.filter(few).select(*key), key, "left_semi")
     index = cold.filter(F.col("flips") < 0).select(*key, F.col("fp").alias("b"))
     probes = cold.filter(F.col("flips") >= 0).select(*key, F.col("fp").alias("a"))
     far = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
@@ -264,7 +279,7 @@ def links(fps: DataFrame, tau: int = 2, parts: int = 3, hot: int = 128) -> DataF
     for p, bits in enumerate(plan.groups):
         others = sum(1 << b for b in range(BITS) if b not in bits)
         mask = F.when(F.col("part") == p, F.lit(others - (others >> 63 << 64)).cast("long")).otherwise(mask)
-    crowd = entries.join(sizes.filter(F.col("members") > hot).select(*key), key, "left_semi").withColumn("own", F.col("fp").bitwiseAND(mask))
+    crowd = entries.join(sizes.filter(~few).select(*key), key, "left_semi").withColumn("own", F.col("fp").bitwiseAND(mask))
     own = F.array(F.lit(0).cast("long"))
     at = F.when(F.col("flips") == 1, own).otherwise(rest) if tau == 2 else F.when(F.col("flips") < 0, rest if tau else own).otherwise(own)
     met = crowd.filter((F.col("flips") != 0) if tau == 2 else F.lit(True)).withColumn("flip", F.explode(at))
@@ -279,8 +294,8 @@ def links(fps: DataFrame, tau: int = 2, parts: int = 3, hot: int = 128) -> DataF
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable from every node of ``edges`` (a, b), by large-star and small-star rounds.
 
-    Minima are aggregates and joins, never groups in memory; every round is a written table. ``limit`` only guards
-    against an endless loop: rounds grow with the logarithm of a component.
+    Minima are aggregates and joins, never groups in memory, and the root of a giant component is joined by broadcast; every
+    round is a written table. ``limit`` only guards against an endless loop: rounds grow with the logarithm of a component.
     """
 
     def mark(e):
@@ -290,10 +305,10 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     before = mark(edges)
     for _ in range(limit):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = heavy_join(both.filter("v > u"), least, "u", "n", 2 * before[0]).select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(least, "b")
+        joined = large.join(least, "b")  # after the large star a node has few smaller neighbours
         small = joined.select(F.col("m").alias("a"), F.col("b")).unionByName(joined.select(F.least("m", "a").alias("a"), F.greatest("m", "a").alias("b")))
         edges = written(small.filter("a < b").distinct(), "edges")
         now = mark(edges)
@@ -302,31 +317,23 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, parts: int = 3, hot: int = 128, shingle: int = 3) -> DataFrame:
     """(id, fp, component_id): every document with its fingerprint and the smallest id of its component.
 
     Copies and all texts without words share a fingerprint. A null id keeps its row and is never a component's name,
-    unless the component has no other. Repeated rows stay. Other columns of ``docs`` are not read.
+    unless the component has no other. Repeated rows stay. Ids may have any type that has an order. Other columns of ``docs``
+    are not read. An empty table gives no rows; texts are whole, of any length.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
+    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = components(links(nodes, tau, parts, hot)).withColumnRenamed("node", "fp")
-    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lead = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    # only fingerprints whose component has a smaller document than their own need the join
-    named = named.join(lead, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("id", "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, parts: int = 3) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that lead their component: the smallest id stays.
-
-    Rows that repeat an id are one document and leave one row. Rows without an id can't be named by a component and stay.
-    """
-    leads = near_duplicates(docs, id_col, text_col, tau, parts).filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("__lead")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull())
-    kept = named.join(leads, named[id_col] == leads["__lead"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    linked = nodes.join(roots, "fp")
+    lead = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    # a fingerprint of one document that is linked to none names its component itself and needs no join
+    named = linked.join(lead, "root").select("fp", "component_id", "n")
+    named = written(named.unionByName(nodes.filter("n > 1").join(roots, "fp", "left_anti").select("fp", F.col("first").alias("component_id"), "n")), "named-fingerprints")
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return heavy_join(prints, named, "fp", "n", total).select("id", "fp", F.coalesce("component_id", "id").alias("component_id"))

@@ -1,18 +1,17 @@
+"""Near-duplicates against all pairs, the hashes they rest on, and edge cases."""
+
 from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tests_llm_helpers import near_groups, shingle_set, similar
 
 from cloudweft.llm import near, simhash
 
 
-def similarity(a, b):
-    x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split()))
-    return len(x & y) / len(x | y)
-
-
 def edited(rng, text, edits):
     w = text.split()
     for k in rng.sample(range(len(w)), edits):
@@ -20,10 +19,8 @@ def edited(rng, text, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("hot", [128, 4])
+@pytest.mark.parametrize("hot", [64, 3])
 def test_edited_copies_go_and_clean_documents_stay(spark, hot):
-    import corpus_pipeline as C
-
     rng = random.Random(5)
     base = [" ".join(f"w{rng.randrange(3000)}" for _ in range(120)) for _ in range(40)]
     rows = list(enumerate(base))
@@ -31,11 +28,69 @@ def test_edited_copies_go_and_clean_documents_stay(spark, hot):
         rows.append((100 + k, edited(rng, base[k], 2)))  # ten of 116 shingles: 0.84
     rows += [(200 + k, edited(rng, base[0], 2)) for k in range(20)]
     rows += [(300 + k, edited(rng, base[30 + k], 14)) for k in range(5)]  # far from 0.8
+    passage = base[39].split()[:40]
+    rows += [(400 + k, " ".join([*passage, *(f"v{rng.randrange(3000)}" for _ in range(12))])) for k in range(30)]  # much in common, about 0.6
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("x", F.lit(1))
-    kept = near.one_of_each(docs, hot=hot) if hot != 128 else C.near_duplicates(spark, docs, "")
-    got = {r.doc_id for r in kept.collect()}
-    want = set(range(40)) | {i for i, _ in rows if i >= 300}
+    got = {r.doc_id for r in near.one_of_each(docs, hot=hot).collect()}
+    assert got == near_groups(dict(rows)) == set(range(40)) | {i for i, _ in rows if i >= 300}
     texts = dict(rows)
-    assert all(similarity(base[k], texts[100 + k]) >= 0.8 for k in range(20))
     assert any((simhash.fingerprint(base[k].encode()) ^ simhash.fingerprint(texts[100 + k].encode())).bit_count() > 2 for k in range(20))
-    assert got == want
+
+
+def test_chains_are_groups_whatever_the_order(spark):
+    rng = random.Random(1)
+    text, rows = " ".join(f"w{k}" for k in range(150)), []
+    for k in range(12):  # each like the next, the ends unlike each other
+        rows.append((50 - k if k % 2 else k, text))
+        text = edited(rng, text, 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not similar(shingle_set(rows[0][1]), shingle_set(rows[-1][1]))
+    assert {r.doc_id for r in near.one_of_each(docs).collect()} == near_groups(dict(rows)) == {0}
+
+
+def test_nulls_repeats_short_and_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(50_000))
+    rows = [(5, "a b c d", "x"), (2, "A B\tC\nd", "x"), (9, None, "x"), (8, "", None), (7, " \n\t", "x"), (4, "one", "x"), (4, "one", "x"), (4, "two words", "y"), (None, "a b c d", "x"), (3, long, "x"), (11, long + " end", "x"), (6, "one two three four five six", "x"), (10, "one two three four five seven", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").withColumns({"node": F.lit("clash"), "mark": F.lit(0), "id": F.lit(1)})
+    kept = near.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, (r.text or "")[:9]) for r in kept.collect()) == [
+        (False, 2, "A B\tC\nd"), (False, 3, "w0 w1 w2 "), (False, 4, "one"), (False, 4, "two words"), (False, 6, "one two t"), (False, 7, " \n\t"), (False, 10, "one two t"), (True, 0, "a b c d"),
+    ]
+    assert near.one_of_each(docs.limit(0)).count() == 0
+    named = spark.createDataFrame([("b", "x y"), ("a", "x  y")], "doc_id string, text string")
+    assert [r.doc_id for r in near.one_of_each(named).collect()] == ["a"]
+
+
+def test_hashes_of_texts_are_those_of_each_alone(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["a", "bb", "Ccc", "d\u00e9", "  ", "\n"]) for _ in range(rng.randrange(40))).encode() for _ in range(60)] + [b"", b"x" * 5000, b"q " * 400]
+    h = near.Hashed(texts, 5)
+    for t, own, n in zip(texts, h.of(), h.n):
+        assert (own == near.shingles(t)).all() and len(own) == len(shingle_set(t.decode())) and n == (max(1, len(t.split()) - 4) if t.split() else 0)
+    keys = [tuple(x) for x in h.copy.T.tolist()]
+    words = [tuple(t.lower().split()) for t in texts]
+    assert len(set(keys)) == len(set(words)) == len(set(zip(keys, words)))
+    monkeypatch.setattr(near, "BLOCK", 7)
+    again = near.Hashed(texts, 5)
+    assert (again.windows == h.windows).all() and (again.copy == h.copy).all()
+    bits = np.unpackbits(h.windows.view(np.uint8).reshape(-1, 8), axis=1)
+    fps, at = simhash.majority(h.windows, h.n), 0
+    for f, n in zip(fps.tolist(), h.n.tolist()):
+        want = bits[at : at + n].sum(axis=0) * 2 > n
+        assert (f & (2**64 - 1)) == (int("".join("1" if b else "0" for b in want), 2) if n else 0)
+        at += n
+
+
+@pytest.mark.parametrize("least", [0.8, 0.9])
+def test_prefixes_of_similar_texts_meet(least):
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 10**6, rng.integers(2, 60)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.08], rng.integers(0, 10**6, rng.integers(0, 4)).astype(np.uint64)]))
+        common = rng.integers(0, 3, near.CELLS)
+        if len(b) and near.similarity(a, b) >= least:
+            first = [near.ordered(x, common, near.prefix_size(len(x), least)) for x in (a, b)]
+            more = [near.ordered(x, common, near.prefix_size(len(x), least) + 1) for x in (a, b)]
+            assert len(np.intersect1d(*first)) >= 1
+            assert len(np.intersect1d(*more)) >= 2 or min(len(a), len(b)) < 2

@@ -64,9 +64,24 @@ def test_documents_nulls_ties_and_clashing_columns(spark):
     assert sorted((r.id is None, r.id or 0, r.fp) for r in got) == sorted((i is None, i or 0, brute_fingerprint(t)) for i, t, _ in rows)
     by = {r.id: r.component_id for r in got}
     assert by[5] == by[2] == by[None] == 2 and by[9] == by[8] == by[7] == 7 and by[4] == 4 and len(got) == len(rows)
-    kept = S.one_of_each(docs)
-    assert kept.columns == docs.columns
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 2), (False, 3), (False, 4), (False, 6), (False, 7), (True, 0)]
+
+
+def test_crowded_buckets_and_giant_components(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = 0x0F0F_1234_5678_9ABC
+    fps = {base}
+    while len(fps) < 400:  # all within two bits of one fingerprint
+        a, b = rng.choice(63, 2, replace=False)
+        fps.add(base ^ (1 << int(a)) ^ (1 << int(b)))
+    rows = [(k, f) for k, f in enumerate(sorted(fps))]
+    nodes = spark.createDataFrame([(f,) for f in sorted(fps)], "fp long")
+    got = {r.node: r.root for r in S.components(S.links(nodes, 2, 3, 4)).collect()}
+    assert set(got) == fps and len(set(got.values())) == 1 and len(set(brute_components(rows, 2))) == 1
+
+
+def test_text_ids_keep_their_type(spark):
+    docs = spark.createDataFrame([("b", "one two"), ("a", "one two"), ("c", "three")], "doc_id string, text string")
+    assert {r.id: r.component_id for r in S.near_duplicates(docs).collect()} == {"a": "a", "b": "a", "c": "c"}
 
 
 def test_empty_table(spark):

@@ -36,3 +36,33 @@ def brute_components(pairs, tau):
         if i is not None:
             ids[at[f]] = min(ids.get(at[f], i), i)
     return [ids.get(at[f]) for _, f in pairs]
+
+
+def shingle_set(text, size=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
+
+
+def similar(a, b, least=0.8):
+    if not a or not b:
+        return not a and not b
+    both = len(a & b)
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+def near_groups(texts):
+    """The smallest id of each group of texts that are linked at a 5-word Jaccard of 0.8, by trying all pairs."""
+    ids, sets = sorted(texts), {i: shingle_set(t) for i, t in texts.items()}
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if similar(sets[a], sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i for i in ids if find(i) == i}
