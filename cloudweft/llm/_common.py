@@ -48,6 +48,11 @@ def heavy_join(rows: DataFrame, facts: DataFrame, key: str, n_col: str, total: i
     return at.filter(past).drop("__met").unionByName(at.filter(~past).drop("__met", *more).join(light, key, "left"))
 
 
+def small(table: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A written table of few short columns, to be broadcast if it has at most ``rows`` rows; a larger one is joined by a shuffle."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def pieces(texts: list, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` with about ``limit`` characters each (one text at least), so that arrays stay bounded."""
     start, size = 0, 0
