@@ -7,12 +7,17 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 _sent: set[str] = set()
+#: Paths of the tables made in each open ``scratch`` of this thread, the innermost last.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 def on_path() -> None:
@@ -48,18 +53,39 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: cuts the lineage, and a lost executor loses nothing.
 
-    Tables stay until ``clear``, as results may read them.
+    Tables stay until ``clear``, as results may read them. Within ``scratch`` they go with it, unless ``keep`` hands one to
+    whatever is around that.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    around = _open.get()[:-1] if keep else _open.get()
+    if around:
+        around[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside are removed at the end; what is read later has to be written with ``keep``."""
+    made: list[str] = []
+    token = _open.set((*_open.get(), made))
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        for path in made:
+            _remove(spark, path)
+
+
 def clear(spark: SparkSession) -> None:
     """Removes the tables that ``written`` has made in this application; results that read them must be saved before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/tables-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, f"{shared_root(spark)}/tables-{spark.sparkContext.applicationId}")
