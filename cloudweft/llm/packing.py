@@ -178,12 +178,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, i
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids binary")
 
 
-def sequences(placed: DataFrame, tokenizer_path: str) -> DataFrame:
+def sequences(placed: DataFrame) -> DataFrame:
     """(bin_id, bin_size, n_tokens, doc_ids, pieces, lengths, ids): one row for each bin of ``placed``, its contents in order.
 
     ``ids`` are the token ids of its pieces one after the other; a sequence is bin_size long, and what is left is padding.
     """
-    kind, width = placed.schema["id"].dataType.simpleString(), Encoder.of(tokenizer_path).kind
+    kind = placed.schema["id"].dataType.simpleString()
 
     def run(it):
         import zstandard
@@ -192,7 +192,8 @@ def sequences(placed: DataFrame, tokenizer_path: str) -> DataFrame:
 
         def out(rows):
             names = ("bin_id", "bin_size", "n_tokens", "doc_ids", "pieces", "lengths", "ids")
-            flat = np.frombuffer(b"".join([unpack(r[5]) for r in rows]), f"<u{array(width).itemsize}").astype(np.int32)
+            raw = b"".join([unpack(r[5]) for r in rows])
+            flat = np.frombuffer(raw, f"<u{len(raw) // sum(r[4] for r in rows)}").astype(np.int32)
             cuts = [0, *(k for k in range(1, len(rows)) if rows[k][0] != rows[k - 1][0]), len(rows)]
             bins = [rows[a:b] for a, b in zip(cuts, cuts[1:])]
             n = [sum(r[4] for r in g) for g in bins]

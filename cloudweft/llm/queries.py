@@ -63,7 +63,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    return packing.sequences(packing.place(packing.token_pieces(table(spark, sf_dir, "documents"), path)), path)
+    return packing.sequences(packing.place(packing.token_pieces(table(spark, sf_dir, "documents"), path)))
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import heavy_join, written
+from ._common import heavy_join, scratch, written
 
 BITS = 64
 
@@ -327,13 +327,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unless the component has no other. Repeated rows stay. Ids may have any type that has an order. Other columns of ``docs``
     are not read. An empty table gives no rows; texts are whole, of any length.
     """
-    prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
-    roots = components(links(nodes, tau, parts, hot)).withColumnRenamed("node", "fp")
-    linked = nodes.join(roots, "fp")
-    lead = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    # a fingerprint of one document that is linked to none names its component itself and needs no join
-    named = linked.join(lead, "root").select("fp", "component_id", "n")
-    named = written(named.unionByName(nodes.filter("n > 1").join(roots, "fp", "left_anti").select("fp", F.col("first").alias("component_id"), "n")), "named-fingerprints")
-    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    with scratch(docs.sparkSession):
+        prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints", keep=True)
+        nodes = written(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+        roots = components(links(nodes, tau, parts, hot)).withColumnRenamed("node", "fp")
+        linked = nodes.join(roots, "fp")
+        lead = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+        # a fingerprint of one document that is linked to none names its component itself and needs no join
+        named = linked.join(lead, "root").select("fp", "component_id", "n")
+        named = written(named.unionByName(nodes.filter("n > 1").join(roots, "fp", "left_anti").select("fp", F.col("first").alias("component_id"), "n")), "named-fingerprints", keep=True)
+        total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return heavy_join(prints, named, "fp", "n", total).select("id", "fp", F.coalesce("component_id", "id").alias("component_id"))

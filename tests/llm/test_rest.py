@@ -294,9 +294,9 @@ def test_sequence_edges(spark):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = spark.createDataFrame([("a", None), ("b", ""), ("c", "word " * 20_000), ("a", None), (None, "x")], "doc_id string, text string").withColumn("ids", F.lit("clash"))
-    rows = packing.sequences(packing.place(packing.token_pieces(docs, path)), path).collect()
+    rows = packing.sequences(packing.place(packing.token_pieces(docs, path))).collect()
     assert sum(r.n_tokens for r in rows) == 1 + 1 + 20_001 + 1 + 2
-    none = packing.sequences(packing.place(packing.token_pieces(docs.limit(0), path)), path)
+    none = packing.sequences(packing.place(packing.token_pieces(docs.limit(0), path)))
     assert none.count() == 0
 
 
