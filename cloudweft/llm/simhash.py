@@ -307,9 +307,10 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         large = heavy_join(both.filter("v > u"), least, "u", "n", 2 * before[0]).select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").distinct()
+        large = written(large, "large-star")  # read twice below
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(least, "b")  # after the large star a node has few smaller neighbours
-        small = joined.select(F.col("m").alias("a"), F.col("b")).unionByName(joined.select(F.least("m", "a").alias("a"), F.greatest("m", "a").alias("b")))
+        # after the large star a node has few smaller neighbours
+        small = large.join(least, "b").select(F.inline(F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))))
         edges = written(small.filter("a < b").distinct(), "edges")
         now = mark(edges)
         if now == before:
