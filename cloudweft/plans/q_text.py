@@ -136,8 +136,8 @@ QUERIES = {
     "fit_doc_vectors": lambda s, d: T.fit_doc_vectors(T.tokenize(V.texts(s, d), "body"), 8, min_count=5, iterations=1).getVectors().select("word"),
     "pca_vectors": lambda s, d: _r(T.pca_vectors(V.table(s, d, "embeddings"), 5, "embedding").select("vec_id", F.explode("components").alias("v")).groupBy("vec_id").agg(F.count("*").alias("n"), F.sum(F.col("v") * F.col("v")).alias("energy")), "energy"),
     "train_text_classifier": _forest,
-    "most_similar": lambda s, d: _r(T.most_similar(V.table(s, d, "embeddings"), 7, 10), "similarity"),
-    "similarity": lambda s, d: _r(T.similarity(V.table(s, d, "embeddings"), 3, 8), "similarity"),
+    "most_similar": lambda s, d: _r(T.most_similar(V.table(s, d, "embeddings"), V.table(s, d, "embeddings").filter("vec_id % 20 = 0"), 10), "similarity"),
+    "similarity": lambda s, d: _r(T.similarity(V.table(s, d, "embeddings"), V.table(s, d, "embeddings").select(F.col("vec_id").alias("i"), (F.col("vec_id") + 1).alias("j"))), "similarity"),
     "pack_clouds": lambda s, d: SP.pack_clouds(V.points(s, d)).select("cloud_id", F.size("points").alias("n"), F.array_join(F.transform("points", lambda p: F.concat_ws(":", *[p[c].cast("long").cast("string") for c in "xyz"])), ",").alias("xyz")),
     "unpack_clouds": lambda s, d: SP.unpack_clouds(SP.pack_clouds(V.points(s, d))),
     "read_class_corpus": lambda s, d: V.texts(s, d).select("doc_id", "class", ST.corpus_body(F.col("body")).alias("body")),
@@ -166,8 +166,8 @@ SQL = {
     "nfc": sql("texts", "select doc_id, nfc_normalize(body) as body from texts"),
     "tag_documents": sql("pairs", "select row_id as tag, d1 as text from pairs union all select row_id + 1000000, d2 from pairs"),
     "pair_vectors": sql("pairs", "select row_id, label, 32::int as n from pairs"),
-    "most_similar": _E + f", s as (select b.vec_id, {_COS} as c from v a, v b where a.vec_id = 7 and b.vec_id <> 7), k as (select *, row_number() over (order by c desc, vec_id) as rank from s) select vec_id, round(c, 6) + 0.0 as similarity, rank::int as rank from k where rank <= 10",
-    "similarity": _E + f" select a.vec_id as i, b.vec_id as j, round({_COS}, 6) + 0.0 as similarity from v a, v b where a.vec_id = 3 and b.vec_id = 8",
+    "most_similar": _E + f", s as (select a.vec_id as query, b.vec_id, round({_COS}, 12) as c from v a, v b where a.vec_id % 20 = 0 and b.vec_id <> a.vec_id), k as (select *, row_number() over (partition by query order by c desc, vec_id) as rank from s) select query, vec_id, round(c, 6) + 0.0 as similarity, rank::int as rank from k where rank <= 10",
+    "similarity": _E + f" select a.vec_id as i, b.vec_id as j, round({_COS}, 6) + 0.0 as similarity from v a join v b on b.vec_id = a.vec_id + 1",
     "pack_clouds": sql("points", "select cloud_id, count(*)::int as n, string_agg(concat_ws(':', x::bigint, y::bigint, z::bigint), ',' order by point_idx) as xyz from points group by 1"),
     "unpack_clouds": sql("points", "select cloud_id, point_idx, x, y, z from points"),
     "read_class_corpus": sql("texts", "select doc_id, class, array_to_string(list_slice(string_split(replace(body, chr(12288), ''), chr(10)), 4, 1000000), '') as body from texts"),

@@ -295,7 +295,15 @@ def test_text_helpers(spark):
     assert [r.tokens for r in T.tokenize(df, "t", ["the"]).collect()] == [["é", "a", "", "b"], [""]]
     assert df.select(T.nfc("t").alias("n")).first().n == "é a  the b"
     vecs = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "vec_id long, embedding array<double>")
-    assert [(r.vec_id, r.similarity) for r in T.most_similar(vecs, 0, 2).collect()] == [(1, 1.0), (2, 0.0)]
+    assert [(r.vec_id, r.similarity) for r in T.most_similar(vecs, vecs.filter("vec_id = 0"), 2).orderBy("rank").collect()] == [(1, 1.0), (2, 0.0)]
+    rows = [(k, [float(k % 7 + 1), float(k % 5), float(k % 3)]) for k in range(60)] + [(60, None), (61, [None, 1.0, 1.0])]
+    many = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 12)
+    want = sorted((q, i, k + 1) for q in range(0, 60, 20) for k, (_, i) in enumerate(sorted((-cos(rows[q][1], rows[i][1]), i) for i in range(60) if i != q)[:4]))
+    assert sorted((r["query"], r.vec_id, r["rank"]) for r in T.most_similar(many, many.filter("vec_id % 20 = 0"), 4, part_rows=10).collect()) == want
+    assert T.most_similar(many.limit(0), many, 4).collect() == []
+    pairs = spark.createDataFrame([(0, 2), (1, 3), (0, 9)], "i long, j long")
+    assert sorted((r.i, r.j, r.similarity) for r in T.similarity(vecs, pairs).collect()) == [(0, 2, 0.0), (1, 3, None)]
     pca = T.pca_vectors(spark.createDataFrame([(k, [10.0 + k, 5.0 - 2 * k, 1.0]) for k in range(6)], "vec_id long, v array<double>"), 1, "v").collect()
     got = [r.components[0] for r in sorted(pca, key=lambda r: r.vec_id)]
     assert sum(got) == pytest.approx(0, abs=1e-9) and abs(got[-1] - got[0]) == pytest.approx(5 * math.sqrt(5))
