@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, host_rules, huffman, langid, licences, line_quality, packing, preference, simhash, toxicity
+from . import conversation_repair, decontamination, fim, host_rules, huffman, langid, licences, line_quality, order_minhash, packing, preference, simhash, toxicity
 from ._common import held_out, shared_root, table
 
 
@@ -71,6 +71,21 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(docs, licences.fit(docs)).withColumnRenamed("id", "doc_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.transform(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored("output", "form"), 256).alias("restored_sha256"))
+
+
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.with_neighbours(table(spark, sf_dir, "documents"))
+    prints = [order_minhash.as_text(c).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audits(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_preference": op2_preference,
@@ -82,6 +97,9 @@ QUERIES = {
     "op8_token_huffman": op8_token_huffman,
     "op9_packing": op9_packing,
     "op10_licences": op10_licences,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_order_minhash": op12_order_minhash,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 SQL = {
@@ -132,4 +150,20 @@ SQL = {
         k as (select source, (x + m * k) / (n + k) <= 0.5 as ok from h, p)
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(ok, true) as kept
         from b left join k using (source)""",
+    "op11_fill_in_middle": r"""
+        with d as (
+            select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as l, sha256('7:' || coalesce(doc_id::varchar, '')) as h
+            from documents),
+        k as (
+            select doc_id, t, l, len(l)::bigint as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[25:32])::bigint as h4,
+                   t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') as plain
+            from d),
+        c as (
+            select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b, case when plain then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form
+            from k),
+        p as (select *, array_to_string(l[1:a], '') as p, array_to_string(l[a + 1:b], '') as m, array_to_string(l[b + 1:], '') as s from c)
+        select doc_id, n, form, case when not plain then length(p) end as prefix_chars, case when not plain then length(m) end as middle_chars,
+               sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+               sha256(t) as restored_sha256
+        from p""",
 }
