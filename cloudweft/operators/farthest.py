@@ -1,7 +1,10 @@
 """Farthest point sampling and its relatives, and grouping points by seeds.
 
-A cloud is walked pick by pick, so each is one group of a vectorised helper. Clouds above ``max_points`` are first thinned in
-random tiles of that size, each walked apart, and then walked over the tiles' picks (approximate, column ``tiled``).
+A cloud of up to ``max_points`` is walked pick by pick in one group of a vectorised helper. A larger one is cut into tiles along a
+space-filling curve, and the walk goes on in rounds that give exactly the same picks. A tile keeps its points' distances to what is
+chosen; new picks change only tiles whose bounding box they come near enough to. It offers its farthest points and a bound for the
+others. Distances never grow, so among the offers of all tiles picks go on, in one small task a cloud, as long as the farthest
+offer stands above every bound; a pick also lowers the bound of a tile to the distance of the box's far corner.
 """
 
 from __future__ import annotations
@@ -11,8 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keyed import uniform
+from ..session import discard, written
+from .order import ranked
 from .sampling import head_points
+from .tiles import tiled
 from .voxel import voxel_average_trunc
 
 _PICKS = "cloud_id long, place int, point_idx long, x double, y double, z double"
@@ -44,27 +49,111 @@ def _frame(pdf: pd.DataFrame, rows: np.ndarray, first: int = 0) -> pd.DataFrame:
     return out
 
 
+def _large(pts: DataFrame, max_points: int) -> DataFrame | None:
+    """(cloud_id) of the clouds of more than ``max_points`` points, if there are any."""
+    found = written(pts.groupBy("cloud_id").count().filter(F.col("count") > max_points).select("cloud_id"), "fps-large")
+    return None if found.isEmpty() else found
+
+
 def farthest_point_sample(pts: DataFrame, n: int, start: int = 0, max_points: int = 200_000) -> DataFrame:
-    """(cloud_id, place, point_idx, x, y, z, tiled): ``n`` picks of each cloud from its row ``start`` on.
+    """(cloud_id, place, point_idx, x, y, z): ``n`` picks of each cloud from its row ``start`` on, exactly, whatever its size.
 
-    Ties go to the first index; a cloud of fewer points repeats index 0 once all are picked.
+    Ties go to the first index; a cloud of fewer points repeats index 0 once all are picked. ``max_points`` says which clouds are
+    walked in tiles, and changes no result.
     """
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, xyz = _sorted(pdf)
-        out = _frame(pdf, _walk(xyz, n, min(start, len(xyz) - 1)))
-        out["tiled"] = bool(pdf.tiles.iloc[0] > 1)
-        return out
+        return _frame(pdf, _walk(xyz, n, min(start, len(xyz) - 1)))
+
+    rows, large = pts.select("cloud_id", "point_idx", "x", "y", "z"), _large(pts, max_points)
+    if large is None:
+        return rows.groupBy("cloud_id").applyInPandas(pick, _PICKS)
+    big = rows.join(large, "cloud_id", "left_semi")
+    if start:
+        places = ranked(big, "cloud_id", "point_idx", name="at")
+        wanted = places.groupBy("cloud_id").agg(F.least(F.min("at") + start, F.max("at")).alias("at"))
+        first = places.join(wanted, ["cloud_id", "at"])
+    else:
+        first = big.groupBy("cloud_id").agg(F.min(F.struct("point_idx", "x", "y", "z")).alias("p")).select("cloud_id", "p.*")
+    first = written(first.select("cloud_id", F.lit(0).alias("place"), "point_idx", "x", "y", "z"), "fps-first")
+    small = rows.join(large, "cloud_id", "left_anti").groupBy("cloud_id").applyInPandas(pick, _PICKS)
+    return small.unionByName(_tile_walk(big, first, n, 1e10))
+
+
+#: A tile: its points and their distances as packed numbers, its offers (index, x, y, z, distance), and of the other points the first
+#: one in the order of picks (distance, index) and the lowest index.
+_TILE = "cloud_id long, tile int, tiles int, done int, idx binary, xyz binary, d binary, box array<double>, offers binary, rest double, rest_idx long, low_idx long"
 
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, xyz = _sorted(pdf)
-        return pdf.loc[np.unique(_walk(xyz, min(n, len(xyz)), 0)), ["cloud_id", "point_idx", "x", "y", "z", "tiles"]]
 
-    sizes = pts.groupBy("cloud_id").agg(F.ceil(F.count("*") / F.lit(max_points)).cast("int").alias("tiles"))
-    rows = pts.select("cloud_id", "point_idx", "x", "y", "z").join(sizes, "cloud_id")
-    tile = F.floor(uniform(F.col("cloud_id"), F.col("point_idx"), 1) * F.col("tiles")).cast("int")
-    large = rows.filter("tiles > 1").withColumn("tile", tile).groupBy("cloud_id", "tile").applyInPandas(thin, "cloud_id long, point_idx long, x double, y double, z double, tiles int")
-    return rows.filter("tiles = 1").unionByName(large).groupBy("cloud_id").applyInPandas(pick, _PICKS + ", tiled boolean")
+def _tile_walk(pts: DataFrame, first: DataFrame, n: int, unknown: float, size: int = 1024, offers: int = 131_072) -> DataFrame:
+    """Picks of every cloud of ``first`` (cloud_id, place, point_idx, x, y, z: what is chosen already) up to ``n`` rows a cloud.
+
+    ``unknown`` is the distance before anything is chosen. A round maps over the tiles, and walks over their offers, about
+    ``offers`` a cloud. Tiles are rows of written tables, so a lost executor costs its tiles of one round.
+    """
+    names = [c.split()[0] for c in _TILE.split(", ")]
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        tiles = int(pdf.tiles.iloc[0])
+        pdf, xyz = _sorted(pdf)
+        box = [*xyz.min(axis=0), *xyz.max(axis=0)]
+        row = [pdf.cloud_id[0], pdf.tile[0], tiles, 0, pdf.point_idx.to_numpy(np.int64).tobytes(), xyz.tobytes(), np.full(len(xyz), unknown).tobytes(), box, b"", 0.0, 0, 0]
+        return pd.DataFrame([row], columns=names)
+
+    def near(it):
+        """Tiles after the new picks; one that they don't come near to stays as it is."""
+        for pdf in it:
+            out = []
+            for r in pdf.to_dict("records"):
+                new = np.asarray(r.pop("new"), np.float64).reshape(-1, 3)
+                d, box = np.frombuffer(r["d"]), np.asarray(r["box"], np.float64)
+                gap = np.maximum(np.maximum(box[:3] - new, new - box[3:]), 0)
+                hits = new[(gap**2).sum(axis=1) * (1 - 1e-12) < d.max()]
+                r["done"] += len(new)
+                if len(hits) or not r["offers"]:
+                    xyz, idx = np.frombuffer(r["xyz"]).reshape(-1, 3), np.frombuffer(r["idx"], np.int64)
+                    for p in hits:
+                        d = np.minimum(d, _d2(xyz, p))
+                    m = max(8, offers // r["tiles"])
+                    order = np.lexsort((idx, -d))
+                    top, rest = order[:m], order[m:]
+                    r |= {"d": d.tobytes(), "offers": np.column_stack([idx[top].view(np.float64), xyz[top], d[top]]).tobytes()}
+                    r |= {"rest": d[rest[0]], "rest_idx": idx[rest[0]], "low_idx": idx[rest].min()} if len(rest) else {"rest": -1.0}
+                out.append(r)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Picks among the offers of one cloud's tiles, as long as none of the other points can come first."""
+        rows = np.concatenate([np.frombuffer(x).reshape(-1, 5) for x in pdf.offers])
+        idx = rows[:, 0].copy().view(np.int64)
+        by = np.argsort(idx, kind="stable")
+        idx, xyz, d = idx[by], np.ascontiguousarray(rows[by, 1:4]), rows[by, 4].copy()
+        rest, ahead = pdf.rest.to_numpy(np.float64).copy(), pdf.rest_idx.to_numpy(np.int64).copy()
+        low, box, out = pdf.low_idx.to_numpy(np.int64), np.stack(pdf.box.to_numpy()), []
+        for place in range(int(pdf.done.iloc[0]), n):
+            at = int(d.argmax())
+            if ((rest > d[at]) | ((rest == d[at]) & (ahead < idx[at]))).any():
+                break
+            out.append((pdf.cloud_id.iloc[0], place, idx[at], *xyz[at]))
+            d = np.minimum(d, _d2(xyz, xyz[at]))
+            far = (np.maximum(np.abs(box[:, :3] - xyz[at]), np.abs(box[:, 3:] - xyz[at])) ** 2).sum(axis=1) * (1 + 1e-12)
+            less = far < rest
+            rest[less], ahead[less] = far[less], low[less]
+        return pd.DataFrame(out, columns=["cloud_id", "place", "point_idx", "x", "y", "z"])
+
+    rows = written(tiled(pts, size).groupBy("cloud_id", "tile").applyInPandas(packed, _TILE), "fps-tiles")
+    new, out = first, first
+    while True:
+        at = F.transform(F.sort_array(F.collect_list(F.struct("place", "x", "y", "z"))), lambda p: F.array(p["x"], p["y"], p["z"]))
+        step = rows.join(new.groupBy("cloud_id").agg(F.flatten(at).alias("new")), "cloud_id").select(*names, "new").mapInPandas(near, _TILE)
+        before, rows = rows, written(step.filter(F.col("done") < n), "fps-tiles")
+        discard(before)
+        if rows.isEmpty():
+            return out.filter(F.col("place") < n)
+        new = written(rows.select("cloud_id", "done", "offers", "rest", "rest_idx", "low_idx", "box").groupBy("cloud_id").applyInPandas(walk, _PICKS), "fps-picks")
+        out = out.unionByName(new)
 
 
 def _last_point(xyz: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -88,8 +177,11 @@ def last_point_sample(pts: DataFrame, n: int, start: int = 0) -> DataFrame:
     return pts.select("cloud_id", "point_idx", "x", "y", "z").groupBy("cloud_id").applyInPandas(pick, _PICKS)
 
 
-def fps_complete(pts: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    """The seeds (cloud_id, seed_no, x, y, z) of each cloud in order, then farthest points up to ``k`` rows; seeds have no point_idx."""
+def fps_complete(pts: DataFrame, seeds: DataFrame, k: int, max_points: int = 200_000) -> DataFrame:
+    """The seeds (cloud_id, seed_no, x, y, z) of each cloud in order, then farthest points up to ``k`` rows; seeds have no point_idx.
+
+    A cloud of over ``max_points`` points is walked in tiles, with the same picks.
+    """
 
     def pick(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("seed_no", ignore_index=True)
@@ -104,16 +196,25 @@ def fps_complete(pts: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
             known = _d2(xyz, p) if known is None else np.minimum(known, _d2(xyz, p))
         return pd.concat([head, _frame(pdf, _walk(xyz, k - len(own), 0, known), len(own))], ignore_index=True)
 
-    left = pts.select("cloud_id", "point_idx", "x", "y", "z").groupBy("cloud_id")
-    right = seeds.select(*[F.col(c).alias(c) for c in ("cloud_id", "seed_no", "x", "y", "z")]).groupBy("cloud_id")
-    return left.cogroup(right).applyInPandas(pick, _PICKS)
+    rows, large = pts.select("cloud_id", "point_idx", "x", "y", "z"), _large(pts, max_points)
+    own = seeds.select(*[F.col(c).alias(c) for c in ("cloud_id", "seed_no", "x", "y", "z")])
+    cut = (lambda df, how: df.join(large, "cloud_id", how)) if large is not None else (lambda df, how: df)
+    small = cut(rows, "left_anti").groupBy("cloud_id").cogroup(cut(own, "left_anti").groupBy("cloud_id")).applyInPandas(pick, _PICKS)
+    if large is None:
+        return small
+    place = (F.row_number().over(Window.partitionBy("cloud_id").orderBy("seed_no")) - 1).cast("int")
+    first = written(cut(own, "left_semi").select("cloud_id", place.alias("place"), F.lit(None).cast("long").alias("point_idx"), "x", "y", "z"), "fps-first")
+    seeded = first.select("cloud_id").distinct()
+    out = small.unionByName(_tile_walk(rows.join(seeded, "cloud_id", "left_semi"), first, k, float("inf")))
+    bare = large.join(seeded, "cloud_id", "left_anti")
+    return out if bare.isEmpty() else out.unionByName(farthest_point_sample(rows.join(bare, "cloud_id", "left_semi"), k, max_points=max_points))
 
 
 def voxel_fps_sample(pts: DataFrame, n: int = 1024, size: float = 1e-5, m: int = 700, start: int = 0) -> DataFrame:
     """The first ``m`` voxel means, then farthest points of the whole cloud (not seeded by the means) up to ``n`` rows."""
     means = voxel_average_trunc(pts, size, min(m, n)).select("cloud_id", "place", F.lit(None).cast("long").alias("point_idx"), "x", "y", "z")
     held = means.groupBy("cloud_id").agg(F.count("*").alias("held"))
-    picks = farthest_point_sample(pts, n, start).drop("tiled").join(held, "cloud_id").filter(F.col("place") < n - F.col("held"))
+    picks = farthest_point_sample(pts, n, start).join(held, "cloud_id").filter(F.col("place") < n - F.col("held"))
     return means.unionByName(picks.withColumn("place", (F.col("place") + F.col("held")).cast("int")).drop("held"))
 
 

@@ -73,6 +73,13 @@ def _remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def discard(table: DataFrame) -> None:
+    """Removes one table that ``written`` has made, and that nothing reads any more."""
+    found = table.inputFiles()
+    if found and "/tables-" in found[0]:
+        _remove(table.sparkSession, found[0].rpartition("/")[0])
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that ``written`` makes inside are removed at the end; what is read later has to be written with ``keep``."""

@@ -6,6 +6,7 @@ import math
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,9 +17,11 @@ from cloudweft.operators import farthest as P
 from cloudweft.operators import geometry as G
 from cloudweft.operators import metrics as M
 from cloudweft.operators import neighbors as N
+from cloudweft.operators import order as O
 from cloudweft.operators import register as R
 from cloudweft.operators import sampling as S
 from cloudweft.operators import text as T
+from cloudweft.operators import tiles as TL
 from cloudweft.operators import voxel as X
 from cloudweft.sources import points as SP
 from cloudweft.sources import texts as ST
@@ -57,10 +60,68 @@ def test_farthest_points_do_not_depend_on_partitions(spark):
     assert picks(P.farthest_point_sample(pts.repartition(7), 9)) == picks(P.farthest_point_sample(pts.orderBy(F.desc("x")), 9))
 
 
-def test_large_clouds_are_walked_in_tiles(spark):
-    pts = cloud(spark, np.random.default_rng(2).random((500, 3)))
-    got = P.farthest_point_sample(pts, 8, max_points=100).collect()
-    assert len({r.point_idx for r in got}) == 8 and all(r.tiled for r in got)
+def _greedy(xyz, n, at, best=None):
+    best, out = np.full(len(xyz), 1e10) if best is None else best, []
+    for k in range(n):
+        at = at if k == 0 and at is not None else int(best.argmax())
+        out.append(at)
+        best = np.minimum(best, ((xyz - xyz[at]) ** 2).sum(axis=1))
+    return out
+
+
+def _of(rows, cloud_id=0):
+    return [r.point_idx for r in sorted((r for r in rows if r.cloud_id == cloud_id), key=lambda r: r.place)]
+
+
+@pytest.mark.parametrize("start", [0, 7, 10**6])
+def test_large_clouds_are_walked_in_tiles_exactly(spark, start):
+    rng = np.random.default_rng(2)
+    clouds = {0: rng.random((5000, 3)), 1: rng.integers(0, 12, (3000, 3)).astype(float), 2: np.ones((1500, 3)), 3: rng.random((50, 3)), 4: np.concatenate([rng.random((2000, 3)), 5 + rng.random((900, 3)) * 1e-3, np.full((600, 3), 9.0)])}
+    rows = [(c, k, *map(float, p)) for c, xyz in clouds.items() for k, p in enumerate(xyz)]
+    pts = spark.createDataFrame(rows, "cloud_id long, point_idx long, x double, y double, z double")
+    got = P.farthest_point_sample(pts, 120, start, max_points=1200).collect()
+    assert set(got[0].asDict()) == {"cloud_id", "place", "point_idx", "x", "y", "z"}
+    for c, xyz in clouds.items():
+        assert _of(got, c) == _greedy(xyz, 120, min(start, len(xyz) - 1)), c
+
+
+def test_a_cloud_of_300_000_points(spark):
+    xyz = np.random.default_rng(4).normal(size=(300_000, 3))
+    pdf = pd.DataFrame(xyz, columns=["x", "y", "z"])
+    pdf["cloud_id"], pdf["point_idx"] = 0, np.arange(len(xyz))
+    got = P.farthest_point_sample(spark.createDataFrame(pdf), 256).collect()
+    assert _of(got) == _greedy(xyz, 256, 0)
+
+
+def test_large_clouds_are_completed_in_tiles_exactly(spark):
+    rng = np.random.default_rng(3)
+    clouds = {0: rng.random((3000, 3)), 1: rng.integers(0, 9, (2500, 3)).astype(float), 2: rng.random((40, 3)), 3: rng.random((2000, 3))}
+    pts = spark.createDataFrame([(c, k, *map(float, p)) for c, xyz in clouds.items() for k, p in enumerate(xyz)], "cloud_id long, point_idx long, x double, y double, z double")
+    held = {c: rng.random((m, 3)) * 3 for c, m in ((0, 5), (1, 70), (2, 3))}
+    seeds = spark.createDataFrame([(c, k, *map(float, p)) for c, xyz in held.items() for k, p in enumerate(xyz)], "cloud_id long, seed_no long, x double, y double, z double")
+    got = P.fps_complete(pts, seeds, 60, max_points=1000).collect()
+    for c, xyz in clouds.items():
+        own = held.get(c)
+        best = None if own is None else np.min([((xyz - p) ** 2).sum(axis=1) for p in own], axis=0)
+        rest = _greedy(xyz, 60, 0) if own is None else [None] * min(60, len(own)) + _greedy(xyz, max(0, 60 - len(own)), None, best)
+        assert _of(got, c) == rest, c
+
+
+def test_tiles_are_bounded_whatever_the_density(spark):
+    rng = np.random.default_rng(5)
+    xyz = np.concatenate([rng.random((3000, 3)), np.full((4000, 3), 0.5), 0.5 + rng.random((3000, 3)) * 1e-9])
+    tiles = TL.tiled(cloud(spark, xyz), size=100).groupBy("tile").agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).collect()
+    assert len(tiles) == 100 and {r.n for r in tiles} == {100}
+    assert np.median([max(r.x, r.y, r.z) for r in tiles]) < 0.3
+
+
+def test_global_ranks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(k), float(v)) for k, v in enumerate(rng.integers(0, 50, 5000))] + [(5000, None)]
+    got = O.ranked(spark.createDataFrame(rows, "k long, v double").repartition(13), "v", "k").collect()
+    assert [r.k for r in sorted(got, key=lambda r: r["rank"])] == [k for k, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))]
+    assert sorted(r["rank"] for r in got) == list(range(len(rows)))
+    assert O.ranked(spark.createDataFrame([], "k long"), "k").count() == 0
 
 
 def test_last_point_sampling_may_pick_the_start_again(spark):
