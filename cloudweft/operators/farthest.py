@@ -20,6 +20,8 @@ from .sampling import head_points
 from .tiles import tiled
 from .voxel import voxel_average_trunc
 
+#: How many seeds may seem equally near after a large number was added to their distances.
+_TIED = 8
 _PICKS = "cloud_id long, place int, point_idx long, x double, y double, z double"
 
 
@@ -230,30 +232,29 @@ def head_last_point_sample(pts: DataFrame, n: int = 1024, m: int = 700) -> DataF
     return head.unionByName(rest)
 
 
-def _to_seeds(pts: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Points with d, their distance to each seed of their cloud."""
-    own = seeds.select("cloud_id", "seed_no", *[F.col(c).alias(f"s{c}") for c in "xyz"])
-    d2 = sum((F.col(c) - F.col(f"s{c}")) * (F.col(c) - F.col(f"s{c}")) for c in "xyz")
-    return pts.join(own, "cloud_id").withColumn("d", F.sqrt(d2))
-
-
 def group_last_seed(pts: DataFrame, seeds: DataFrame, r: float) -> DataFrame:
     """(cloud_id, point_idx, label): the last seed nearer than ``r``, else 0."""
-    label = F.coalesce(F.max(F.when(F.col("d") < r, F.col("seed_no"))), F.lit(0)).cast("long")
-    near = _to_seeds(pts, seeds).groupBy("cloud_id", "point_idx").agg(label.alias("label"))
+    from .neighbors import cell_join
+
+    near = cell_join(seeds, pts, r, a_idx="seed_no").filter(F.sqrt("d2") < r).groupBy("cloud_id", F.col("b_idx").alias("point_idx")).agg(F.max("a_idx").cast("long").alias("label"))
     return pts.select("cloud_id", "point_idx").join(near, ["cloud_id", "point_idx"], "left").select("cloud_id", "point_idx", F.coalesce("label", F.lit(0)).alias("label"))
 
 
 def group_nearest_seed(pts: DataFrame, seeds: DataFrame, r: float, include_last: bool = True) -> DataFrame:
     """(cloud_id, point_idx, label): the nearest seed, the first on ties; distances above ``r`` count 1e6 r more.
 
-    Without ``include_last`` the last seed owns nothing, as where distances are those of the last step.
+    Without ``include_last`` the last seed owns nothing, as where distances are those of the last step. The addition can make equal what
+    differed by less than its rounding, so the ``_TIED`` nearest seeds of a point are compared with it.
     """
+    from .neighbors import knn
+
     if not include_last:
         last = Window.partitionBy("cloud_id")
         seeds = seeds.withColumn("__last", F.max("seed_no").over(last)).filter("seed_no < __last").drop("__last")
-    far = F.when(F.col("d") > r, F.col("d") + 1e6 * r).otherwise(F.col("d"))
-    return _to_seeds(pts, seeds).groupBy("cloud_id", "point_idx").agg(F.min_by(F.col("seed_no").cast("long"), F.struct(far, "seed_no")).alias("label"))
+    d = F.sqrt("d2")
+    far = F.when(d > r, d + 1e6 * r).otherwise(d)
+    near = knn(pts, seeds, _TIED, b_idx="seed_no")
+    return near.groupBy("cloud_id", F.col("a_idx").alias("point_idx")).agg(F.min_by(F.col("b_idx").cast("long"), F.struct(far, "b_idx")).alias("label"))
 
 
 def sampling_report(pts: DataFrame, samples: dict[str, DataFrame]) -> DataFrame:

@@ -180,14 +180,12 @@ def quat_to_axis_angle(w: Column, x: Column, y: Column, z: Column) -> Column:
 def estimate_normals(pts: DataFrame, radius: float, max_nn: int = 50) -> DataFrame:
     """(cloud_id, point_idx, nx, ny, nz, n): direction of least spread of at most ``max_nn`` nearest neighbours within ``radius``.
 
-    Covariances are aggregates over a cell join; only 3 x 3 eigenvectors need a helper. The largest component is positive. Points with
+    Covariances are aggregates over the neighbours; only 3 x 3 eigenvectors need a helper. The largest component is positive. Points with
     fewer than three neighbours, themselves included, point up.
     """
-    from .neighbors import cell_join
+    from .neighbors import hybrid
 
-    near = cell_join(pts, pts, radius).select("cloud_id", F.col("a_idx").alias("point_idx"), "b_idx", "d2", "bx", "by", "bz")
-    rank = F.row_number().over(Window.partitionBy("cloud_id", "point_idx").orderBy("d2", "b_idx"))
-    near = near.withColumn("k", rank).filter(F.col("k") <= max_nn)
+    near = hybrid(pts, pts, radius, max_nn).withColumnRenamed("a_idx", "point_idx")
     means = [F.avg(f"b{c}").alias(f"m{c}") for c in XYZ]
     pairs = [(a, b) for i, a in enumerate(XYZ) for b in XYZ[i:]]
     cov = near.groupBy("cloud_id", "point_idx").agg(F.count("*").alias("n"), *[F.covar_pop(f"b{a}", f"b{b}").alias(f"c{a}{b}") for a, b in pairs], *means)

@@ -1,8 +1,8 @@
 """Neighbours within clouds, matching and comparison.
 
 Radius searches join on cells of the radius: each point of the smaller side goes to the 27 cells around it, and pairs are filtered by
-their true distance, so work follows the number of close pairs. Nearest-neighbour searches against few points per cloud
-(coarse levels, samples) are plain joins on the cloud with ranked or least distances, map-side combined.
+their true distance, so work follows the number of close pairs. Nearest-neighbour searches rank all pairs of clouds that have few of
+them, and search larger clouds in tiles (``nearest``); with a starting radius they go by cells.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from . import farthest
+from .nearest import knn_tiles
 
 XYZ = ("x", "y", "z")
 
@@ -114,14 +115,34 @@ def group_max(groups: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("cl
     return groups.groupBy(*keys).agg(*[F.max(c).alias(c) for c in cols])
 
 
-def knn(a: DataFrame, b: DataFrame, k: int, a_idx: str = "point_idx", b_idx: str = "point_idx") -> DataFrame:
+def knn(a: DataFrame, b: DataFrame, k: int, a_idx: str = "point_idx", b_idx: str = "point_idx", pairs: int = 20_000_000) -> DataFrame:
     """(cloud_id, a_idx, b_idx, d2, rank): the ``k`` nearest of ``b`` for each of ``a``, the lower index first on ties.
 
-    All pairs of a cloud are ranked, so ``b`` should be a coarse level; ``knn_by_radius`` is for two large sides.
+    Clouds of at most ``pairs`` pairs rank them all, cut to ``k`` before they are shuffled; larger ones are searched in tiles of
+    adapted size. Both ways are exact.
     """
-    pairs = square_distance(a, b, a_idx, b_idx)
+    sizes = a.groupBy("cloud_id").agg(F.count("*").alias("na")).join(b.groupBy("cloud_id").agg(F.count("*").alias("nb")), "cloud_id")
+    large = written(sizes.filter(F.col("na").cast("double") * F.col("nb") > pairs).select("cloud_id"), "knn-large")
     rank = F.row_number().over(Window.partitionBy("cloud_id", "a_idx").orderBy("d2", "b_idx"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+    cut = (lambda df, how: df.join(large, "cloud_id", how)) if (more := not large.isEmpty()) else (lambda df, how: df)
+    few = square_distance(cut(a, "left_anti"), cut(b, "left_anti"), a_idx, b_idx).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return few.unionByName(knn_tiles(cut(a, "left_semi"), cut(b, "left_semi"), k, a_idx, b_idx).select(*few.columns)) if more else few
+
+
+def hybrid(a: DataFrame, b: DataFrame, radius: float, max_nn: int, crowd: int = 32) -> DataFrame:
+    """(cloud_id, a_idx, b_idx, d2, bx, by, bz, rank): at most ``max_nn`` nearest of ``b`` within ``radius`` for each of ``a``.
+
+    Clouds go by cells of the radius as long as a point's own cell holds ``crowd`` times ``max_nn`` points or fewer, on average over
+    the points; the pairs of crowded ones would grow with the square of a cell, so these are searched in tiles. Both ways are exact.
+    """
+    cell = [F.floor(F.col(c) / radius).alias(f"c{c}") for c in XYZ]
+    sizes = [df.groupBy("cloud_id", *cell).agg(F.count("*").cast("double").alias(n)) for df, n in ((a, "na"), (b, "nb"))]
+    met = sizes[0].join(sizes[1], ["cloud_id", "cx", "cy", "cz"], "left").groupBy("cloud_id").agg(F.sum(F.col("na") * F.col("nb")).alias("pairs"), F.sum("na").alias("n"))
+    large = written(met.filter(F.col("pairs") > crowd * max_nn * F.col("n")).select("cloud_id"), "hybrid-large")
+    cut = (lambda df, how: df.join(large, "cloud_id", how)) if (more := not large.isEmpty()) else (lambda df, how: df)
+    rank = F.row_number().over(Window.partitionBy("cloud_id", "a_idx").orderBy("d2", "b_idx"))
+    near = cell_join(cut(a, "left_anti"), cut(b, "left_anti"), radius).select("cloud_id", "a_idx", "b_idx", "d2", "bx", "by", "bz").withColumn("rank", rank).filter(F.col("rank") <= max_nn)
+    return near.unionByName(knn_tiles(cut(a, "left_semi"), cut(b, "left_semi"), max_nn, radius=radius)) if more else near
 
 
 def knn_by_radius(a: DataFrame, b: DataFrame, k: int, r: float, rounds: int = 6) -> DataFrame:
@@ -163,12 +184,8 @@ def nn_distance(a: DataFrame, b: DataFrame, radius: float | None = None) -> Data
         ways = [(side, knn_by_radius(p, q, 1, radius)) for side, p, q in (("a", a, b), ("b", b, a))]
         one, two = (near.select("cloud_id", F.lit(side).alias("side"), F.col("a_idx").alias("point_idx"), "d2", F.col("b_idx").alias("nn_idx")) for side, near in ways)
         return one.unionByName(two)
-    pairs = square_distance(a, b)
-    out = []
-    for side, own, other in (("a", "a_idx", "b_idx"), ("b", "b_idx", "a_idx")):
-        best = pairs.groupBy("cloud_id", F.col(own).alias("point_idx")).agg(F.min(F.struct("d2", other)).alias("m"))
-        out.append(best.select("cloud_id", F.lit(side).alias("side"), "point_idx", "m.d2", F.col(f"m.{other}").alias("nn_idx")))
-    return out[0].unionByName(out[1])
+    one, two = (near.select("cloud_id", F.lit(side).alias("side"), F.col("a_idx").alias("point_idx"), "d2", F.col("b_idx").alias("nn_idx")) for side, near in (("a", knn(a, b, 1)), ("b", knn(b, a, 1))))
+    return one.unionByName(two)
 
 
 def simplification_loss(ref: DataFrame, samp: DataFrame, size: int, gamma: float = 1.0, delta: float = 0.0) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import written
 from .farthest import fps_complete
 from .geometry import XYZ, transform_points
-from .neighbors import cell_join, index_points
+from .neighbors import cell_join, hybrid, index_points
 
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
 
@@ -139,9 +139,11 @@ def fpfh(pts: DataFrame, normals: DataFrame, radius: float, max_nn: int = 100) -
     """
     nrm = normals.select("cloud_id", "point_idx", "nx", "ny", "nz")
     side = lambda s: nrm.select("cloud_id", F.col("point_idx").alias(f"{s}_idx"), *[F.col(f"n{c}").alias(f"{s}n{c}") for c in XYZ])
-    near = cell_join(pts, pts, radius).filter("a_idx <> b_idx")
+    # a point is its own nearest, or one of its place is: one neighbour more, and then without itself
+    near = hybrid(pts, pts, radius, max_nn + 1).filter("a_idx <> b_idx").drop("rank")
     rank = F.row_number().over(Window.partitionBy("cloud_id", "a_idx").orderBy("d2", "b_idx"))
     near = near.withColumn("k", rank).filter(F.col("k") <= max_nn).drop("k")
+    near = near.join(pts.select("cloud_id", F.col("point_idx").alias("a_idx"), *[F.col(c).alias(f"a{c}") for c in XYZ]), ["cloud_id", "a_idx"])
     both = near.join(side("a"), ["cloud_id", "a_idx"]).join(side("b"), ["cloud_id", "b_idx"])
     alpha, phi, theta = _angles(*[[F.col(f"{s}{c}") for c in XYZ] for s in ("a", "an", "b", "bn")])
     cut = lambda v, lo, hi: F.greatest(F.least(F.floor((v - lo) / (hi - lo) * 11), F.lit(10)), F.lit(0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import struct
 
 import numpy as np
@@ -17,6 +18,7 @@ from cloudweft.operators import farthest as P
 from cloudweft.operators import geometry as G
 from cloudweft.operators import metrics as M
 from cloudweft.operators import neighbors as N
+from cloudweft.operators import nearest as NE
 from cloudweft.operators import order as O
 from cloudweft.operators import register as R
 from cloudweft.operators import sampling as S
@@ -115,6 +117,48 @@ def test_tiles_are_bounded_whatever_the_density(spark):
     assert np.median([max(r.x, r.y, r.z) for r in tiles]) < 0.3
 
 
+def _nearest(a, b, k):
+    d = ((a[:, None, 0] - b[None, :, 0]) ** 2 + (a[:, None, 1] - b[None, :, 1]) ** 2) + (a[:, None, 2] - b[None, :, 2]) ** 2
+    return {(i, r + 1): (int(j), float(d[i, j])) for i in range(len(a)) for r, j in enumerate(np.lexsort((np.arange(len(b)), d[i]))[:k])}
+
+
+@pytest.mark.parametrize("k", [1, 3, 7])
+def test_nearest_in_tiles_is_exact_whatever_the_density(spark, k):
+    rng = np.random.default_rng(k)
+    dense = lambda n: np.concatenate([rng.random((n // 3, 3)), 0.5 + rng.random((n // 3, 3)) * 1e-6, np.full((n // 3, 3), 0.25)])
+    sides = {0: (rng.random((500, 3)), rng.random((700, 3))), 1: (dense(600), dense(300)), 2: (rng.integers(0, 6, (400, 3)).astype(float), rng.integers(0, 6, (300, 3)).astype(float)), 3: (rng.random((300, 3)), 50 + rng.random((2, 3))), 4: (rng.random((3, 3)) - 9, rng.random((900, 3)))}
+    a, b = (spark.createDataFrame([(c, i, *map(float, p)) for c, v in sides.items() for i, p in enumerate(v[s])], PTS) for s in (0, 1))
+    want = {(c, i, r): v for c, (x, y) in sides.items() for (i, r), v in _nearest(x, y, k).items()}
+    for found in (NE.knn_tiles(a, b, k, size=64, lot=4), N.knn(a, b, k, pairs=100_000)):
+        assert {(r.cloud_id, r.a_idx, r["rank"]): (r.b_idx, r.d2) for r in found.collect()} == want
+    within = NE.knn_tiles(a, b, k, radius=0.3, size=64, lot=4).collect()
+    assert {(r.cloud_id, r.a_idx, r["rank"]): (r.b_idx, r.d2) for r in within} == {at: v for at, v in want.items() if v[1] <= 0.3 * 0.3}
+    assert all((r.bx, r.by, r.bz) == tuple(map(float, sides[r.cloud_id][1][r.b_idx])) for r in within)
+
+
+def test_nearest_of_large_clouds_joins_no_whole_cloud(spark):
+    pts = cloud(spark, np.random.default_rng(0).random((300, 3)))
+    plan = N.nn_distance(pts, pts.filter("point_idx % 3 = 0")).select("d2")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(cloud_id#" in plan  # few pairs: ranked as they are
+    plan = NE.knn_tiles(pts, pts, 2, size=50)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line or "BroadcastHashJoin" in line]
+    assert joins and not any(re.search(r"Join \[cloud_id#\d+L?\]", line) for line in joins)
+
+
+def test_a_place_that_holds_a_third_of_a_cloud_meets_few_tiles(spark):
+    xyz = np.concatenate([np.random.default_rng(8).random((4000, 3)), np.full((2000, 3), 0.5)])
+    got = NE.knn_tiles(cloud(spark, xyz), cloud(spark, xyz), 3, size=100).filter("a_idx >= 4000").groupBy("rank").agg(F.min("b_idx").alias("low"), F.max("b_idx").alias("high"), F.max("d2").alias("d2")).collect()
+    assert {(r["rank"], r.low, r.high, r.d2) for r in got} == {(k + 1, 4000 + k, 4000 + k, 0.0) for k in range(3)}
+
+
+def test_a_crowded_cell_gives_the_same_neighbours(spark):
+    rng = np.random.default_rng(9)
+    xyz = np.concatenate([rng.random((300, 3)) * 10, 5 + rng.random((300, 3)) * 1e-3, np.full((100, 3), 2.0)])
+    pts = cloud(spark, xyz).unionByName(cloud(spark, rng.random((100, 3)) * 10, 1))
+    rows = lambda df: sorted((r.cloud_id, r.a_idx, r["rank"], r.b_idx, r.d2, r.bx) for r in df.collect())
+    assert rows(N.hybrid(pts, pts, 1.0, 6, crowd=1)) == rows(N.hybrid(pts, pts, 1.0, 6, crowd=10**9))
+
+
 def test_global_ranks(spark):
     rng = np.random.default_rng(6)
     rows = [(int(k), float(v)) for k, v in enumerate(rng.integers(0, 50, 5000))] + [(5000, None)]
