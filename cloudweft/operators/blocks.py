@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import uniform
+from ..session import written
 from .metrics import label_weights
+from .order import ranked
 
 XYZ, RGB = ("x", "y", "z"), ("r", "g", "b")
 
@@ -94,26 +96,68 @@ def room_samples(pts: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return _features(rows.join(_room_max(pts), "cloud_id"), F.lit(0.0), F.lit(0.0))
 
 
+def _inside(size: float) -> Column:
+    half = size / 2
+    return F.col("x").between(F.col("x0") - half, F.col("x0") + half) & F.col("y").between(F.col("y0") - half, F.col("y0") + half)
+
+
+def _around(centres: DataFrame, size: float) -> DataFrame:
+    """Centres (x0, y0) at the nine cells of ``size`` that their window can reach."""
+    cells = centres.withColumn("o", F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i, j))))")))
+    return cells.select(*centres.columns, *[(F.floor(F.col(f"{c}0") / size) + F.col(f"o.{o}")).alias(f"c{c}") for c, o in zip("xy", "ij")])
+
+
+def _counted(grid: DataFrame, centres: DataFrame, size: float) -> DataFrame:
+    """(cloud_id, x0, y0, __c): how many points the window of each centre (cloud_id, x0, y0; distinct) holds."""
+    met = grid.select("cloud_id", "cx", "cy", "x", "y").join(_around(centres, size), ["cloud_id", "cx", "cy"]).filter(_inside(size))
+    return met.groupBy("cloud_id", "x0", "y0").agg(F.count("*").alias("__c"))
+
+
+def valid_centres(pts: DataFrame, size: float, more_than: int, fine: int = 16) -> DataFrame:
+    """(cloud_id, point_idx, x0, y0): the points whose window of ``size`` holds more than ``more_than`` points.
+
+    Counts of cells of a ``fine``-th of the window add up to a least and a most for all windows around one cell: what lies in cells that
+    are wholly inside, and in all that are touched (edges count a cell more, whatever rounding does). Sums run along x, then along y,
+    so this is linear. Only where the bound lies between the two are points counted one by one, and such windows hold few.
+    """
+    step, inner, outer = size / fine, fine // 2 - 2, fine // 2 + 1
+    cells = pts.groupBy("cloud_id", *[F.floor(F.col(c) / step).alias(f"f{c}") for c in "xy"]).agg(F.count("*").alias("n"))
+    along = cells.withColumn("o", F.explode(F.sequence(F.lit(-outer), F.lit(outer)))).groupBy("cloud_id", (F.col("fx") + F.col("o")).alias("fx"), "fy")
+    along = along.agg(F.sum(F.when(F.abs("o") <= inner, F.col("n")).otherwise(0)).alias("least"), F.sum("n").alias("most"), F.max(F.col("o") == 0).alias("held"))
+    up = lambda k: Window.partitionBy("cloud_id", "fx").orderBy("fy").rangeBetween(-k, k)
+    bounds = along.withColumns({"least": F.sum("least").over(up(inner)), "most": F.sum("most").over(up(outer))}).filter("held").filter(F.col("most") > more_than)
+    rows = pts.select("cloud_id", "point_idx", F.col("x").alias("x0"), F.col("y").alias("y0"), *[F.floor(F.col(c) / step).alias(f"f{c}") for c in "xy"])
+    rows = written(rows.join(bounds.select("cloud_id", "fx", "fy", (F.col("least") > more_than).alias("sure")), ["cloud_id", "fx", "fy"]).drop("fx", "fy"), "centres")
+    unsure = rows.filter(~F.col("sure"))
+    grid = pts.select("cloud_id", "x", "y", *[F.floor(F.col(c) / size).alias(f"c{c}") for c in "xy"])
+    enough = _counted(grid, unsure.select("cloud_id", "x0", "y0").distinct(), size).filter(F.col("__c") > more_than)
+    return rows.filter("sure").drop("sure").unionByName(unsure.drop("sure").join(enough.drop("__c"), ["cloud_id", "x0", "y0"], "left_semi"))
+
+
 def centre_blocks(pts: DataFrame, plan: DataFrame, n: int, size: float, min_points: int = 1024, tries: int = 16, seed: int = 0) -> DataFrame:
     """Training blocks for the plan's rows (cloud_id, rep): a window of ``size`` around a random point, ``n`` rows, features from the centre.
 
-    The first of ``tries`` candidate centres with more than ``min_points`` points in its window is taken; a plan row without one has no
-    block. Draws are without replacement unless the window has fewer than ``n`` points.
+    Centres are drawn until one has more than ``min_points`` points in its window. The first ``tries`` draws are looked at one by
+    one; a row that they all fail draws once among the points of its room whose window is large enough, which is what drawing on
+    would come to. So a row has no block only where its room has no such point. Draws of points are without replacement unless the
+    window has fewer than ``n``.
     """
     sizes = pts.groupBy("cloud_id").agg(F.count("*").alias("__n"))
     cand = plan.join(sizes, "cloud_id").select("cloud_id", "rep", "__n", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"))
     at = F.floor(uniform(F.col("cloud_id"), F.col("rep"), seed, F.col("try")) * F.col("__n")).cast("long")
     cand = cand.select("cloud_id", "rep", "try", at.alias("point_idx")).join(pts.select("cloud_id", "point_idx", F.col("x").alias("x0"), F.col("y").alias("y0")), ["cloud_id", "point_idx"]).drop("point_idx")
-    half = size / 2
-    # distinct centres are counted once, however many plan rows chose them
-    centres = cand.select("cloud_id", "x0", "y0").distinct()
-    cells = centres.withColumn("o", F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i, j))))")))
-    cells = cells.select("cloud_id", "x0", "y0", *[(F.floor(F.col(f"{c}0") / size) + F.col(f"o.{o}")).alias(f"c{c}") for c, o in zip("xy", "ij")])
     grid = pts.select("*", *[F.floor(F.col(c) / size).alias(f"c{c}") for c in "xy"])
-    inside = F.col("x").between(F.col("x0") - half, F.col("x0") + half) & F.col("y").between(F.col("y0") - half, F.col("y0") + half)
-    counts = grid.select("cloud_id", "cx", "cy", "x", "y").join(cells, ["cloud_id", "cx", "cy"]).filter(inside).groupBy("cloud_id", "x0", "y0").agg(F.count("*").alias("__c"))
+    # distinct centres are counted once, however many plan rows chose them
+    counts = _counted(grid, cand.select("cloud_id", "x0", "y0").distinct(), size)
     chosen = cand.join(counts.filter(F.col("__c") > min_points), ["cloud_id", "x0", "y0"]).groupBy("cloud_id", "rep").agg(F.min_by(F.struct("x0", "y0"), "try").alias("c")).select("cloud_id", "rep", "c.x0", "c.y0")
-    rows = grid.join(cells.join(chosen, ["cloud_id", "x0", "y0"]), ["cloud_id", "cx", "cy"]).filter(inside).drop("cx", "cy")
+    chosen = written(chosen, "centres")
+    left = written(plan.select("cloud_id", "rep").join(chosen, ["cloud_id", "rep"], "left_anti"), "centres-left")
+    if not left.isEmpty():
+        valid = ranked(valid_centres(pts.join(left.select("cloud_id").distinct(), "cloud_id", "left_semi"), size, min_points), "cloud_id", "point_idx", name="at")
+        rooms = valid.groupBy("cloud_id").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+        drawn = left.join(rooms, "cloud_id").select("cloud_id", "rep", (F.col("first") + F.floor(uniform(F.col("cloud_id"), F.col("rep"), seed, tries) * F.col("n"))).alias("at"))
+        chosen = chosen.unionByName(drawn.join(valid, ["cloud_id", "at"]).select("cloud_id", "rep", "x0", "y0"))
+    rows = grid.join(_around(chosen, size), ["cloud_id", "cx", "cy"]).filter(_inside(size)).drop("cx", "cy")
     fitted = _fit(rows, ["cloud_id", "rep"], n, F.col("rep") + 1000, seed, replace_above=False)
     return _features(fitted.join(_room_max(pts), "cloud_id"), F.col("x0"), F.col("y0"))
 

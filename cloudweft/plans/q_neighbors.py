@@ -166,7 +166,11 @@ SQL = {
     "centre_blocks": sql("points", _PLAN + f""", cd as (select cloud_id, rep, t, floor({uniform_sql('cloud_id', 'rep', 5, 't')} * n)::bigint as point_idx from pl join pn using (cloud_id), range(12) r(t)),
         ce as (select cloud_id, rep, t, x as x0, y as y0 from cd join points using (cloud_id, point_idx)),
         cn as (select ce.cloud_id, rep, t, x0, y0, count(*) as c from ce join points p using (cloud_id) where abs(p.x - x0) <= 12 and abs(p.y - y0) <= 12 group by all having count(*) > 110),
-        ch as (select cloud_id, rep, arg_min(x0, t) as x0, arg_min(y0, t) as y0 from cn group by 1, 2),
+        c1 as (select cloud_id, rep, arg_min(x0, t) as x0, arg_min(y0, t) as y0 from cn group by 1, 2),
+        lf as (select cloud_id, rep from pl anti join c1 using (cloud_id, rep)),
+        wv as (select p.cloud_id, p.point_idx, p.x, p.y from points p semi join lf using (cloud_id) join points q on q.cloud_id = p.cloud_id and abs(q.x - p.x) <= 12 and abs(q.y - p.y) <= 12 group by all having count(*) > 110),
+        wk as (select *, row_number() over (partition by cloud_id order by point_idx) - 1 as k, count(*) over (partition by cloud_id) as v from wv),
+        ch as (from c1 union all select cloud_id, rep, x, y from lf join wk using (cloud_id) where k = floor({uniform_sql('cloud_id', 'rep', 5, '12')} * v)),
         bl as (select p.*, rep, x0, y0 from ch join points p using (cloud_id) where abs(p.x - x0) <= 12 and abs(p.y - y0) <= 12)""" + _fit("bl", "cloud_id, rep", 96, "rep + 1000", 5, False) + _ROOM + f" select cloud_id, rep::int as rep, slot, point_idx, {_feat('x0', 'y0')} from fit join room using (cloud_id)"),
     "sliding_scene": sql("points", f""", lim as (select cloud_id, min(x) as lx, max(x) as hx, min(y) as ly, max(y) as hy from points group by 1),
         gr as (select *, least(lx + ix * 10 + 20, hx) as ex, least(ly + iy * 10 + 20, hy) as ey from lim, range(64) t(ix), range(64) v(iy) where ix <= greatest(ceil((hx - lx - 20) / 10), 0) and iy <= greatest(ceil((hy - ly - 20) / 10), 0)),

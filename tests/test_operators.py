@@ -159,6 +159,28 @@ def test_a_crowded_cell_gives_the_same_neighbours(spark):
     assert rows(N.hybrid(pts, pts, 1.0, 6, crowd=1)) == rows(N.hybrid(pts, pts, 1.0, 6, crowd=10**9))
 
 
+def _windows(xy, size):
+    return (np.abs(xy[:, None] - xy[None]) <= size / 2).all(axis=2).sum(axis=1)
+
+
+def test_valid_centres_are_those_counted_one_by_one(spark):
+    rng = np.random.default_rng(11)
+    clouds = {0: rng.random((900, 3)) * 8, 1: rng.integers(0, 16, (900, 3)) / 4.0, 2: np.concatenate([rng.random((700, 3)), rng.random((200, 3)) * 9]), 3: -np.ones((60, 3))}
+    pts = spark.createDataFrame([(c, k, *map(float, p)) for c, xyz in clouds.items() for k, p in enumerate(xyz)], PTS)
+    for more_than in (10, 40, 59, 200):
+        got = {(r.cloud_id, r.point_idx) for r in B.valid_centres(pts, 2.0, more_than).collect()}
+        assert got == {(c, k) for c, xyz in clouds.items() for k, m in enumerate(_windows(xyz[:, :2], 2.0)) if m > more_than}
+
+
+def test_a_block_is_lost_only_where_a_room_has_no_centre(spark):
+    rng = np.random.default_rng(12)
+    rare = np.concatenate([rng.random((40, 3)), 10 + rng.random((2000, 3)) * 400])  # one dense spot that draws hardly hit
+    pts = cloud(spark, rare).unionByName(cloud(spark, 10 + rng.random((300, 3)) * 400, 1)).withColumns({"r": F.lit(1), "g": F.lit(2), "b": F.lit(3), "label": F.lit(0)})
+    plan = spark.createDataFrame([(c, k) for c in (0, 1) for k in range(50)], "cloud_id long, rep int")
+    got = B.centre_blocks(pts, plan, 8, 2.0, min_points=30, tries=2, seed=1).groupBy("cloud_id", "rep").agg(F.count("*").alias("n"), F.max("point_idx").alias("most")).collect()
+    assert {(r.cloud_id, r.rep) for r in got} == {(0, k) for k in range(50)} and {r.n for r in got} == {8} and max(r.most for r in got) < 40
+
+
 def test_global_ranks(spark):
     rng = np.random.default_rng(6)
     rows = [(int(k), float(v)) for k, v in enumerate(rng.integers(0, 50, 5000))] + [(5000, None)]
