@@ -147,15 +147,16 @@ def fpfh(pts: DataFrame, normals: DataFrame, radius: float, max_nn: int = 100) -
     both = near.join(side("a"), ["cloud_id", "a_idx"]).join(side("b"), ["cloud_id", "b_idx"])
     alpha, phi, theta = _angles(*[[F.col(f"{s}{c}") for c in XYZ] for s in ("a", "an", "b", "bn")])
     cut = lambda v, lo, hi: F.greatest(F.least(F.floor((v - lo) / (hi - lo) * 11), F.lit(10)), F.lit(0))
-    bins = F.explode(F.array(cut(alpha, -1.0, 1.0), cut(phi, -1.0, 1.0) + 11, cut(theta, -math.pi, math.pi) + 22)).alias("bin")
-    rows = both.select("cloud_id", "a_idx", bins)
-    counts = near.groupBy("cloud_id", "a_idx").agg(F.count("*").alias("n"))
-    own = rows.groupBy("cloud_id", "a_idx", "bin").agg(F.count("*").alias("c")).join(counts, ["cloud_id", "a_idx"]).select("cloud_id", "a_idx", "bin", (100.0 * F.col("c") / F.col("n")).alias("value"), "n")
-    theirs = own.select("cloud_id", F.col("a_idx").alias("b_idx"), "bin", "value")
-    apart = near.filter("d2 > 0").select("cloud_id", "a_idx", "b_idx", (1 / F.sqrt("d2")).alias("w"))
-    lent = apart.join(theirs, ["cloud_id", "b_idx"]).groupBy("cloud_id", "a_idx", "bin").agg(F.sum(F.col("w") * F.col("value")).alias("value")).join(counts, ["cloud_id", "a_idx"]).select("cloud_id", "a_idx", "bin", (F.col("value") / F.col("n")).alias("value"))
-    every = own.drop("n").unionByName(lent)
-    return every.groupBy("cloud_id", F.col("a_idx").alias("point_idx"), "bin").agg(F.sum("value").alias("value"))
+    found = both.select("cloud_id", "a_idx", cut(alpha, -1.0, 1.0).alias("b0"), cut(phi, -1.0, 1.0).alias("b1"), cut(theta, -math.pi, math.pi).alias("b2"))
+    bins, key = range(33), ["cloud_id", "a_idx"]
+    own = found.groupBy(*key).agg(*[F.sum((F.col(f"b{k // 11}") == k % 11).cast("double")).alias(f"h{k}") for k in bins])
+    own = own.join(near.groupBy(*key).agg(F.count("*").alias("n")), key).select(*key, "n", *[(100 * F.col(f"h{k}") / F.col("n")).alias(f"h{k}") for k in bins])
+    # a column a bin: neighbours' histograms are added up row by row, none is taken apart
+    theirs = own.drop("n").withColumnRenamed("a_idx", "b_idx")
+    lent = near.filter("d2 > 0").select(*key, "b_idx", (1 / F.sqrt("d2")).alias("w")).join(theirs, ["cloud_id", "b_idx"])
+    lent = lent.groupBy(*key).agg(*[F.sum(F.col("w") * F.col(f"h{k}")).alias(f"l{k}") for k in bins])
+    every = own.join(lent, key, "left").select("cloud_id", F.col("a_idx").alias("point_idx"), F.posexplode(F.array(*[F.col(f"h{k}") + F.coalesce(F.col(f"l{k}") / F.col("n"), F.lit(0.0)) for k in bins])).alias("bin", "value"))
+    return every.filter("value > 0")
 
 
 def _correspondences(source: DataFrame, target: DataFrame, size: float) -> DataFrame:

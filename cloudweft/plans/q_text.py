@@ -41,19 +41,16 @@ def _hist(s, d, col):
     return V.points(s, d).groupBy(F.col("cloud_id").alias("key"), F.col(col).cast("long").alias("bin")).agg(F.count("*").alias("weight"))
 
 
-def _small(s, d):
-    return S.uniform_down_sample(V.points(s, d), 10)
-
-
 def _normals(s, d, radius=8.0):
-    p = _small(s, d)
+    p = V.points(s, d)
     return p.join(G.estimate_normals(p, radius, 20), ["cloud_id", "point_idx"]).drop("n")
 
 
 def _icp(s, d):
     target = _normals(s, d)
-    source = _small(s, d).withColumns({"x": F.col("x") + 0.5, "y": F.col("y") - 0.25})
-    return _r(R.icp(source, target, 4.0, iters=3), "fitness", "rmse").select("cloud_id", "fitness", "rmse")
+    source = V.points(s, d).withColumns({"x": F.col("x") + 0.5, "y": F.col("y") - 0.25})
+    found = R.icp(source, target, 4.0, iters=3).select("cloud_id", "fitness", "rmse", F.posexplode("m").alias("entry", "value"))
+    return _r(found, "fitness", "rmse", "value")
 
 
 def _pair_pts(s, d):
@@ -105,14 +102,21 @@ def _file_round(s, d, kind):
     if kind == "ply":
         return _back(SP.read_ply(s, path), *XYZ)
     lines = s.read.text(path).withColumn("value", F.regexp_replace("value", "^v ", ""))
-    numeric = lines.filter(F.col("value").rlike(r"^-?[0-9.]+ -?[0-9.]+ -?[0-9.]+"))
-    return numeric.groupBy(F.col("cloud_id").cast("long").alias("cloud_id")).agg(F.count("*").alias("n_points"))
+    numeric = lines.filter(F.col("value").rlike(r"^-?[0-9.]+ -?[0-9.]+ -?[0-9.]+")).withColumn("p", F.split("value", " "))
+    return numeric.select(F.col("cloud_id").cast("long").alias("cloud_id"), *[F.get("p", F.lit(k)).cast("double").alias(c) for k, c in enumerate(XYZ)])
 
 
 def _csv_round(s, d):
     path = _folder(s, "csv")
     ST.write_labelled_csv(V.pairs(s, d).select(F.col("label").cast("string").alias("label"), F.col("d1").alias("Description1"), F.col("d2").alias("Description2")), path)
-    return ST.read_labelled_csv(s, path).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("Description1")).alias("chars1"), F.sum(F.length("Description2")).alias("chars2"))
+    return ST.read_labelled_csv(s, path)
+
+
+def _corpus_round(s, d):
+    """Each document in a file of its own below its class, and read again."""
+    path = _folder(s, "corpus")
+    V.texts(s, d).select("class", "body").write.partitionBy("class").option("maxRecordsPerFile", 1).text(path)
+    return ST.read_class_corpus(s, f"{path}/*").select(F.regexp_replace("class", "^class=", "").alias("class"), "body")
 
 
 QUERIES = {
@@ -126,7 +130,7 @@ QUERIES = {
     "emd_pairs": lambda s, d: _r(R.emd_pairs(_signatures(s, d), _sig_pairs(s, d)), "work", "emd"),
     "emd_1d": lambda s, d: R.emd_1d(_hist(s, d, "x"), _hist(s, d, "y")),
     "emd_match": lambda s, d: R.emd_match(V.points(s, d), _sample(s, d), 20),
-    "fpfh": lambda s, d: _r(R.fpfh(_small(s, d), _normals(s, d), 8.0, 30), "value"),
+    "fpfh": lambda s, d: _r(R.fpfh(V.points(s, d), _normals(s, d), 8.0, 30), "value"),
     "icp": _icp,
     "information_matrix": lambda s, d: R.information_matrix(_pair_pts(s, d)),
     "tokenize": lambda s, d: T.tokenize(V.texts(s, d), "body", _STOP).select("doc_id", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("joined")),
@@ -134,13 +138,13 @@ QUERIES = {
     "tag_documents": lambda s, d: T.tag_documents(V.pairs(s, d), 1_000_000),
     "pair_vectors": lambda s, d: _vectors(s, d).select("row_id", "label", F.size("features").alias("n")),
     "fit_doc_vectors": lambda s, d: T.fit_doc_vectors(T.tokenize(V.texts(s, d), "body"), 8, min_count=5, iterations=1).getVectors().select("word"),
-    "pca_vectors": lambda s, d: _r(T.pca_vectors(V.table(s, d, "embeddings"), 5, "embedding").select("vec_id", F.explode("components").alias("v")).groupBy("vec_id").agg(F.count("*").alias("n"), F.sum(F.col("v") * F.col("v")).alias("energy")), "energy"),
+    "pca_vectors": lambda s, d: _r(T.pca_vectors(V.table(s, d, "embeddings"), 5, "embedding").select("vec_id", F.posexplode("components").alias("component", "value")), "value"),
     "train_text_classifier": _forest,
     "most_similar": lambda s, d: _r(T.most_similar(V.table(s, d, "embeddings"), V.table(s, d, "embeddings").filter("vec_id % 20 = 0"), 10), "similarity"),
     "similarity": lambda s, d: _r(T.similarity(V.table(s, d, "embeddings"), V.table(s, d, "embeddings").select(F.col("vec_id").alias("i"), (F.col("vec_id") + 1).alias("j"))), "similarity"),
     "pack_clouds": lambda s, d: SP.pack_clouds(V.points(s, d)).select("cloud_id", F.size("points").alias("n"), F.array_join(F.transform("points", lambda p: F.concat_ws(":", *[p[c].cast("long").cast("string") for c in "xyz"])), ",").alias("xyz")),
     "unpack_clouds": lambda s, d: SP.unpack_clouds(SP.pack_clouds(V.points(s, d))),
-    "read_class_corpus": lambda s, d: V.texts(s, d).select("doc_id", "class", ST.corpus_body(F.col("body")).alias("body")),
+    "read_class_corpus": _corpus_round,
 }
 
 _COS = "list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))"
@@ -155,9 +159,9 @@ SQL = {
     "write_points_text": sql("points", "select cloud_id, point_idx, x, y, z from points"),
     "read_room_points": sql("points", "select cloud_id, point_idx, x, y, z, r::int as r, g::int as g, b::int as b, label::int as label from points"),
     "read_ply": sql("points", "select cloud_id, point_idx, x, y, z from points"),
-    "write_cloud_files_pcd": sql("points", "select cloud_id, count(*) as n_points from points group by 1"),
-    "write_cloud_files_obj": sql("points", "select cloud_id, count(*) as n_points from points group by 1"),
-    "read_labelled_csv": sql("pairs", "select label::varchar as label, count(*) as n, sum(length(d1))::bigint as chars1, sum(length(d2))::bigint as chars2 from pairs group by 1"),
+    "write_cloud_files_pcd": sql("points", "select cloud_id, x, y, z from points"),
+    "write_cloud_files_obj": sql("points", "select cloud_id, x, y, z from points"),
+    "read_labelled_csv": sql("pairs", "select label::varchar as label, d1 as Description1, d2 as Description2 from pairs"),
     "emd_1d": sql("points", """, h as (select cloud_id as key, x::bigint as bin, 1 as d from points union all select cloud_id, y::bigint, -1 from points),
         g as (select key, bin, sum(d) as d from h group by 1, 2), c as (select key, bin, sum(d) over w as run, lead(bin) over w - bin as wide from g window w as (partition by key order by bin))
         select key, coalesce(sum(abs(run) * wide), 0)::double as emd from c group by 1"""),
@@ -170,5 +174,5 @@ SQL = {
     "similarity": _E + f" select a.vec_id as i, b.vec_id as j, round({_COS}, 6) + 0.0 as similarity from v a join v b on b.vec_id = a.vec_id + 1",
     "pack_clouds": sql("points", "select cloud_id, count(*)::int as n, string_agg(concat_ws(':', x::bigint, y::bigint, z::bigint), ',' order by point_idx) as xyz from points group by 1"),
     "unpack_clouds": sql("points", "select cloud_id, point_idx, x, y, z from points"),
-    "read_class_corpus": sql("texts", "select doc_id, class, array_to_string(list_slice(string_split(replace(body, chr(12288), ''), chr(10)), 4, 1000000), '') as body from texts"),
+    "read_class_corpus": sql("texts", "select class, array_to_string(list_slice(string_split(replace(body, chr(12288), ''), chr(10)), 4, 1000000), '') as body from texts"),
 }
