@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import gaussian, uniform
+from .order import ranked
 
 XYZ, NORMAL = ("x", "y", "z"), ("nx", "ny", "nz")
 
@@ -95,9 +96,9 @@ def noise_points(pts: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     if not 0 <= ratio < 1:
         raise ValueError("ratio must be in [0, 1)")
     order = pts.select("point_idx").distinct().withColumn("__u", uniform(F.lit(0), F.col("point_idx"), seed, 0))
-    # one row per index of a cloud, not per point
-    ranked = order.withColumns({"__k": F.row_number().over(Window.orderBy("__u", "point_idx")), "__n": F.count(F.lit(1)).over(Window.partitionBy())})
-    noisy = ranked.filter(F.col("__k") <= F.floor(F.col("__n") * ratio)).select("point_idx", F.lit(True).alias("__noise"))
+    places = ranked(order, "__u", "point_idx", name="__k")
+    n = places.agg(F.count("*").alias("__n"))
+    noisy = places.join(F.broadcast(n)).filter(F.col("__k") < F.floor(F.col("__n") * ratio)).select("point_idx", F.lit(True).alias("__noise"))
     both = pts.join(noisy, "point_idx", "left")
     u = [uniform(F.col("cloud_id"), F.col("point_idx"), seed, k + 1) * 2 - 1 for k in range(3)]
     return both.withColumns({c: F.when(F.col("__noise"), v).otherwise(F.col(c)) for c, v in zip(XYZ, u)}).drop("__noise")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .catalog import EASY_VIEW, encode_class
+from .order import ranked
 
 XYZ = ("x", "y", "z")
 
@@ -100,8 +101,8 @@ def merge_clouds(clouds: Sequence[DataFrame], into: int) -> DataFrame:
     each = [c.withColumn("__part", F.lit(k)) for k, c in enumerate(clouds)]
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each)
     sizes = both.groupBy("__part", "cloud_id").agg((F.max("point_idx") + 1).alias("__n"))
-    before = sizes.select("__part", "cloud_id", (F.sum("__n").over(Window.orderBy("__part", "cloud_id")) - F.col("__n")).alias("__before"))
-    out = both.join(F.broadcast(before), ["__part", "cloud_id"]).withColumn("point_idx", F.col("point_idx") + F.col("__before"))
+    before = ranked(sizes, "__part", "cloud_id", name="__before", of="__n").drop("__n")
+    out = both.join(before, ["__part", "cloud_id"]).withColumn("point_idx", F.col("point_idx") + F.col("__before"))
     return out.withColumn("cloud_id", F.lit(into).cast("long")).drop("__part", "__before")
 
 

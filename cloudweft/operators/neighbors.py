@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..session import written
 from . import farthest
 from .nearest import knn_tiles
+from .order import ranked
 
 XYZ = ("x", "y", "z")
 
@@ -226,9 +227,9 @@ def compare_clouds(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def cloud_pairs(clouds: DataFrame, key: str = "cloud_id") -> DataFrame:
     """(a, b): all pairs of clouds with a < b, the work list of a registration of every pair. Each cloud names the ranks below its own."""
-    ranked = clouds.select(key).distinct().withColumn("__k", F.row_number().over(Window.orderBy(key)))
-    lower = ranked.filter("__k > 1").select(F.col(key).alias("b"), F.explode(F.sequence(F.lit(1), F.col("__k") - 1)).alias("__k"))
-    return lower.join(ranked, "__k").select(F.col(key).alias("a"), "b")
+    places = ranked(clouds.select(key).distinct(), key, name="__k")
+    lower = places.filter("__k > 0").select(F.col(key).alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__k") - 1)).alias("__k"))
+    return lower.join(places, "__k").select(F.col(key).alias("a"), "b")
 
 
 def feature_matches(a: DataFrame, b: DataFrame, r: float, edge: float = 0.9, block: int = 4_096) -> DataFrame:

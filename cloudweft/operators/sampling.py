@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import uniform
+from .order import ranked
 
 def cloud():
     """The window of a cloud's points."""
@@ -99,25 +100,26 @@ def shuffle_clouds(df: DataFrame, seed: int = 0) -> DataFrame:
     u = df.withColumn("__u", uniform(F.col("cloud_id"), 0, seed)).withColumn("__b", F.floor(F.col("__u") * buckets).cast("int"))
     sizes = u.groupBy("__b").agg(F.count("*").alias("__n"))
     before = sizes.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
-    ranked = u.withColumn("__k", F.row_number().over(Window.partitionBy("__b").orderBy("__u", "cloud_id")))
-    return ranked.join(F.broadcast(before), "__b").withColumn("place", F.col("__before") + F.col("__k") - 1).drop("__u", "__b", "__k", "__before")
+    inside = u.withColumn("__k", F.row_number().over(Window.partitionBy("__b").orderBy("__u", "cloud_id")))
+    return inside.join(F.broadcast(before), "__b").withColumn("place", F.col("__before") + F.col("__k") - 1).drop("__u", "__b", "__k", "__before")
 
 
 def shuffle_points(pts: DataFrame, seed: int = 0) -> DataFrame:
     """Points with ``place``: one permutation of the indices, the same for every cloud (all of one size)."""
     order = pts.select("point_idx").distinct()
     order = order.withColumn("__u", uniform(F.lit(0), F.col("point_idx"), seed))
-    order = order.select("point_idx", (F.row_number().over(Window.orderBy("__u", "point_idx")) - 1).alias("place"))
-    return pts.join(order, "point_idx")
+    return pts.join(ranked(order, "__u", "point_idx", name="place").drop("__u"), "point_idx")
 
 
 def assign_batches(df: DataFrame, size: int, order: Sequence[str], drop_last: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Adds ``batch``, runs of ``size`` rows in order (within ``by``); the incomplete last one is dropped unless told otherwise."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("__k", F.row_number().over(w.orderBy(*order)) - 1).withColumn("batch", F.floor(F.col("__k") / size))
+    rows = ranked(df, *by, *order, name="__k")
+    groups = rows.groupBy(*by).agg(F.min("__k").alias("__first"), F.count("*").alias("__n"))
+    rows = rows.join(groups, list(by)) if by else rows.join(F.broadcast(groups))  # one row
+    rows = rows.withColumn("batch", F.floor((F.col("__k") - F.col("__first")) / size))
     if drop_last:
-        ranked = ranked.withColumn("__n", F.count(F.lit(1)).over(w)).filter((F.col("batch") + 1) * size <= F.col("__n")).drop("__n")
-    return ranked.drop("__k")
+        rows = rows.filter((F.col("batch") + 1) * size <= F.col("__n"))
+    return rows.drop("__k", "__first", "__n")
 
 
 def sampling_plan(rooms: DataFrame, num_point: int, rate: float = 1.0) -> DataFrame:

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import ranked
+
 COLOURED = ("x", "y", "z", "r", "g", "b")
 ROOM = ("x", "y", "z", "r", "g", "b", "label")
 
@@ -188,5 +190,5 @@ def ellipse_cloud(spark: SparkSession, r: float = 1.0, n: int = 1000, cloud_id:
 def numbered(pts: DataFrame) -> DataFrame:
     """Points of named files with whole-number cloud ids, in order of the names; ``name`` keeps them. The list of names is one row a file."""
     names = pts.select("cloud_id").distinct()
-    names = names.select(F.col("cloud_id").alias("name"), (F.row_number().over(Window.orderBy("cloud_id")) - 1).cast("long").alias("__id"))
+    names = ranked(names.withColumnRenamed("cloud_id", "name"), "name", name="__id")
     return pts.withColumnRenamed("cloud_id", "name").join(names, "name").withColumn("cloud_id", F.col("__id")).drop("__id")

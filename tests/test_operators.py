@@ -188,6 +188,17 @@ def test_global_ranks(spark):
     assert [r.k for r in sorted(got, key=lambda r: r["rank"])] == [k for k, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))]
     assert sorted(r["rank"] for r in got) == list(range(len(rows)))
     assert O.ranked(spark.createDataFrame([], "k long"), "k").count() == 0
+    sums = O.ranked(spark.createDataFrame([(k, k % 4) for k in range(1000)], "k long, n int"), "k", name="before", of="n").collect()
+    assert {r.k: r.before for r in sums} == {k: sum(i % 4 for i in range(k)) for k in range(1000)}
+
+
+def test_no_window_sees_all_rows(spark):
+    pts = cloud(spark, np.random.default_rng(0).random((60, 3))).withColumns({"label": F.lit(1), "pred": F.lit(1)})
+    found = [S.shuffle_points(pts), S.assign_batches(pts, 7, ["point_idx"]), M.batch_accuracy(pts, 7, ["point_idx"]), A.noise_points(pts, 0.3), G.merge_clouds([pts, pts], 5), N.cloud_pairs(pts)]
+    for df in found:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        # only the sums over ranges, one row each, have no key
+        assert all("__rank_part" in line or "[cloud_id" in line for line in plan.splitlines() if "Window [" in line), plan
 
 
 def test_last_point_sampling_may_pick_the_start_again(spark):
