@@ -131,12 +131,12 @@ class Seeds:
         return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = 3, max_chance: float = 1e-3, least_seeds: int = 8, min_hits: int = 2, min_score: float = 0.4, min_words: int = 2, block_chars: int = 4_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = 3, max_chance: float = 1e-3, least_seeds: int = 8, min_hits: int = 2, min_score: float = 0.4, min_words: int = 1, block_chars: int = 4_000_000) -> DataFrame:
     """(id, item_id, score, first_word, last_word): every document and item whose best passage reaches ``min_score``.
 
     The score is the alignment's (2 a match, -1 a mismatch or gap) over that of the whole item. Items shorter than a seed are found
-    by their whole word sequence; those of fewer than ``min_words`` words hold no passage and find nothing, as null and empty texts
-    do. An item id that repeats is one item for each of its texts; equal rows of the benchmark are one; document rows that repeat
+    by their whole word sequence, an item of one word by that word; those of fewer than ``min_words`` words find nothing, as null and
+    empty texts do. An item id that repeats is one item for each of its texts; equal rows of the benchmark are one; document rows that repeat
     are each judged. Texts are read whole, whatever their length. Without documents or items there are no rows. Ids may have any type.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -147,7 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = 3, max_chance: float = 1e-3, least_seeds: int = 8, min_hits: int = 2, min_score: float = 0.4, min_words: int = 2, block_chars: int = 4_000_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = 3, max_chance: float = 1e-3, least_seeds: int = 8, min_hits: int = 2, min_score: float = 0.4, min_words: int = 1, block_chars: int = 4_000_000) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that hold no passage; every row is judged where it is, without a join."""
     at, texts = docs.columns.index(text_col), docs.select(F.col(text_col).alias("text"))
     for seeds in _blocks(texts, benchmark, item_col, item_text_col, seed, max_chance, least_seeds, min_words, block_chars):

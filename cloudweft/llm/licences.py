@@ -105,6 +105,10 @@ def lines_of(text: str | None) -> list[tuple[int, list[str], bool]]:
     return [*out, (line, words, ended)] if words else out
 
 
+#: A line of more than ``WINDOW`` words is also read in windows of so many, every ``STEP`` words.
+WINDOW, STEP = 12, 4
+
+
 class Classifier:
     """Weights of known one- and two-grams by class; everything else in a paragraph counts only through its length."""
 
@@ -167,13 +171,50 @@ class Classifier:
         own = set(zip(words, words[1:])) or {tuple(words)}
         return max(len(own & g) / min(len(own), len(g)) for g in self.templates[family])
 
-    def statements(self, texts: list[str | None], least: float, resemblance: float, suspect: float) -> list[list[tuple[int, str, float, float]]]:
+    def known(self, words: list[str]) -> list[bool]:
+        """Whether each two words in a row stand so in any statement that was learnt."""
+        n, ids = len(self.vocabulary), [self.vocabulary.get(w, -1) for w in words]
+        pairs = np.array([a * n + b if a >= 0 and b >= 0 else -1 for a, b in zip(ids, ids[1:])], np.int64)
+        return np.isin(pairs, self.pairs).tolist()
+
+    def nones(self, texts: list[list[str]]) -> np.ndarray:
+        """The probability that each is no statement."""
+        parts = [self.probabilities(texts[a : a + 50_000])[:, -1] for a in range(0, len(texts), 50_000)]
+        return np.concatenate([np.zeros(0), *parts])
+
+    def inside(self, lines: list[tuple], sure: float, hint: float) -> list[tuple]:
+        """Statements inside lines whose other words drown them, as lines cut to a statement's words.
+
+        A run of windows that each hint at one gives its best window, without the words at its ends that make it less certain. As a long
+        line is tried many times, three quarters of the word pairs in what is left, and two at least, have to be of statements.
+        """
+        windows = [(x, x[2][at : at + WINDOW]) for x in lines for at in range(0, len(x[2]) - WINDOW + STEP, STEP)]
+        none = self.nones([w for _, w in windows])
+        runs: list[list[int]] = []
+        for k in np.flatnonzero(1 - none >= hint).tolist():
+            if runs and runs[-1][-1] == k - 1 and windows[k][0] is windows[k - 1][0]:
+                runs[-1].append(k)
+            else:
+                runs.append([k])
+        out = []
+        for run in runs:
+            x, words = windows[min(run, key=lambda k: none[k])]
+            known = self.known(words)
+            cuts = [words[a:b] for a in range(len(words) - 2) for b in range(a + 3, len(words) + 1) if sum(known[a : b - 1]) >= max(2, 0.75 * (b - 1 - a))]
+            if not cuts:
+                continue
+            p, _, words = min((p, len(c), c) for p, c in zip(self.nones(cuts).tolist(), cuts))
+            if 1 - p >= sure:
+                out.append((x[0], x[1], words, True))
+        return out
+
+    def statements(self, texts: list[str | None], least: float, resemblance: float, suspect: float, sure: float = 0.6, hint: float = 0.05) -> list[list[tuple[int, str, float, float]]]:
         """(first line, family or unknown, probability of the family or of a statement, resemblance) of each text's statements."""
         lines = [(k, *x) for k, t in enumerate(texts) for x in lines_of(t)]
         out: list = [[] for _ in texts]
         if not lines:
             return out
-        none = np.concatenate([self.probabilities([x[2] for x in lines[a : a + 50_000]])[:, -1] for a in range(0, len(lines), 50_000)])
+        none = self.nones([x[2] for x in lines])
         groups: list[list[tuple]] = []
         last: tuple | None = None
         for k in np.flatnonzero(1 - none >= suspect).tolist():
@@ -183,8 +224,16 @@ class Classifier:
             else:
                 groups.append([x])
             last = x
+        told = self._judged(groups, out, least, resemblance)
+        long = [x for x in lines if len(x[2]) > WINDOW and (x[0], x[1]) not in told]
+        self._judged([[x] for x in self.inside(long, sure, hint)], out, least, resemblance)
+        return [sorted(x) for x in out]
+
+    def _judged(self, groups: list[list[tuple]], out: list, least: float, resemblance: float) -> set[tuple[int, int]]:
+        """Adds the statements among groups of lines to those of their texts; returns the lines that they take up."""
+        told: set[tuple[int, int]] = set()
         if not groups:
-            return out
+            return told
         whole = [[w for x in g for w in x[2]] for g in groups]
         for g, words, p in zip(groups, whole, self.probabilities(whole)):
             if 1 - p[-1] < least:
@@ -195,7 +244,8 @@ class Classifier:
                 like = self.resemblance(name, words)
             known = name != "unknown" and p[best] >= least * (1 - p[-1]) and like >= resemblance
             out[g[0][0]].append((g[0][1], name, float(p[best]), like) if known else (g[0][1], "unknown", float(1 - p[-1]), like))
-        return out
+            told |= {(x[0], x[1]) for x in g}
+        return told
 
 
 def _softmax(a: np.ndarray) -> np.ndarray:
@@ -268,7 +318,9 @@ def scan(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_c
     """(id, family, line, probability, resemblance) of every statement found; a document without one has one row with nulls.
 
     ``line`` is the statement's first, from 0. Lines that are a statement with probability ``suspect`` take part in wrapped
-    paragraphs; a paragraph needs ``least``. A null or empty text has no statement; rows that repeat are scanned each; texts are
+    paragraphs; a paragraph needs ``least``. Lines that no such paragraph takes up are read in windows too, so a statement is found in
+    prose of any length; the first of equally good windows, cuts and families counts. Statements are those of English notices. A null
+    or empty text has no statement; rows that repeat are scanned each; texts are
     read whole, of any length; ids may have any type and other columns any names; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(classifier)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import batches, labelled_sample, pieces, written
@@ -187,11 +187,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
     return float(t[0]), float(t[1])
 
 
+def _fitting(sizes: list[tuple[int, int]], most: int) -> list[int]:
+    """The keys of (key, size), in order, that still fit when their turn comes."""
+    out, total = [], 0
+    for key, n in sizes:
+        if total + n <= most:
+            out.append(key)
+            total += n
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 4, remainder: int = 2, max_rows: int = 8_000, max_lines: int = 200_000) -> Field:
     """A field learnt from at most ``max_rows`` labelled rows that are not held out and at most ``max_lines`` of their lines.
 
-    Rows are taken in the order of a hash while their lines fit; the numbers of these lines (``N_OWN`` and a size each) reach the
-    driver, never texts. Without rows of both classes (an empty table, say) the field gives the base rate.
+    Rows are taken in the order of a hash, and a row whose lines don't fit any more is passed over; the numbers of the taken lines
+    (``N_OWN`` and a size each) reach the driver, never texts. Without rows of both classes (an empty table, say) the field gives the base rate.
     """
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, max_rows, modulus, remainder)
 
@@ -204,9 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = sample.select(F.xxhash64(id_col, "text").alias("order"), F.col("text").cast("binary").alias("text"), "label")
     rows = written(rows.mapInArrow(features, "order long, label int, n long, own binary, size binary"), "line-features")
-    upto = F.sum("n").over(Window.orderBy("order").rowsBetween(Window.unboundedPreceding, 0))  # max_rows rows
-    taken = rows.select("order", "n").withColumn("upto", upto).filter(F.col("upto") <= max_lines).select("order")
-    got = rows.join(F.broadcast(taken), "order", "left_semi").toPandas().sort_values("order", kind="stable")
+    taken = _fitting(rows.select("order", "n").orderBy("order", "n").collect(), max_lines)  # two numbers for each of max_rows rows
+    got = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in taken], "order long")), "order", "left_semi").toPandas().sort_values("order", kind="stable")
     field = Field()
     n, y = got.n.to_numpy(np.int64), got.label.to_numpy(np.float64)
     some = n > 0

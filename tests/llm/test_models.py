@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -302,3 +304,35 @@ def test_licence_query_finds_every_planted_line(spark, small):
     got = QUERIES["op10_licences"](spark, small).collect()
     assert {(r.doc_id, r.line, r.family) for r in got if r.family} == want and len(want) > 40
     assert {r.doc_id for r in got} == {d.doc_id for d in docs}
+
+
+def test_a_labelled_text_of_too_many_lines_is_passed_over(spark, small):
+    assert line_quality._fitting([(1, 5), (2, 200_001), (3, 7), (4, 200_000), (5, 199_988)], 200_000) == [1, 3, 5]
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    at = labels.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).select("doc_id").orderBy("doc_id").first()[0]
+    long = docs.withColumn("text", F.when(F.col("doc_id") == at, F.expr("repeat('a line of words\n', 30001)")).otherwise(F.col("text")))
+    plain, field = (line_quality.fit(d, labels, max_lines=30_000) for d in (docs.filter(F.col("doc_id") != at), long))
+    assert field.slope == pytest.approx(plain.slope, rel=0.2) and field.slope > 0
+
+
+def test_statements_inside_long_lines(spark, small):
+    """Notices with 40 to 20,000 words of prose around them on one line; prose with cue words strewn in has next to none."""
+    rng = random.Random(1)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    c = licences.fit(docs)
+    words = [w for r in docs.select("text").limit(300).collect() for w in r.text.split()]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    found = lambda text: c.statements([text], 0.5, 0.5, 0.2)[0]
+    notices = {"mit": "Released under the MIT License.", "apache-2.0": "Licensed under the Apache License, Version 2.0.", "gpl": "This program is free software under the GNU General Public License version 3.", "unknown": "All rights reserved."}
+    for n in (20, 100, 10_000):
+        for family, notice in notices.items():
+            assert family in [x[1] for x in found(" ".join([*prose(n), notice, *prose(n)]))], (n, family)
+    both = found(" ".join([*prose(60), notices["mit"], *prose(60), notices["gpl"], *prose(60)]))
+    assert {x[1] for x in both} == {"mit", "gpl"}
+    cues = ["license", "rights", "copyright", "permission", "free", "use", "under", "software", "reserved", "terms"]
+    strewn = [prose(200) for _ in range(150)]
+    for text in strewn:
+        for _ in range(5):
+            text[rng.randrange(200)] = rng.choice(cues)
+    assert sum(bool(found(" ".join(t))) for t in strewn) <= 5

@@ -175,6 +175,13 @@ def test_scripts_without_blanks_and_short_items(spark):
     assert {(r.id, r.item_id) for r in got} == {(1, 1), (2, 2)}
 
 
+def test_items_of_one_word_are_found_as_words(spark):
+    items = [(1, "zyzzyva"), (2, ""), (3, None), (4, "two words")]
+    docs = [(1, "here a Zyzzyva sits"), (2, "zyzzyvas"), (3, "two"), (4, ""), (5, "the two words")]
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.id, r.item_id) for r in got} == {(1, 1), (5, 4)}
+
+
 def test_decontamination_query_matches_all_alignments(spark, tiny):
     """Every document against every item, the whole of both."""
     import numpy as np
