@@ -10,17 +10,17 @@ shingles), and another one among the first p + 1.
 What is linked already is never compared again: texts are compared with the first text of their shingles where they share
 many, links are joined to components, and only shingles that still hold several components are expanded, into pairs of
 different components. How many shingles of the prefixes two texts share bounds their similarity, so only likely pairs have
-their texts read. In a crowd, shingles with more than ``hot`` texts, only the first text of each component takes part, and texts
-meet in blocks: all of two blocks are compared in one task, which gives out no more links than texts. So of the texts that
-stay no two are similar, and every text that goes is linked by a chain to a smaller id that stays; without crowds the groups
-are exactly the components of all similar pairs.
+their texts read. In a crowd, shingles with more than ``hot`` texts, texts meet in blocks: all of two blocks are compared in one
+task, which gives out no more links than texts. The first text of each component goes first. Then all texts of crowds that still
+hold several components meet, in blocks that a large component has to itself, so that it is never compared with itself. So the
+groups are exactly the components of all similar pairs, and ``hot`` changes no result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -251,11 +251,15 @@ def _entries(rows: DataFrame, copies: DataFrame) -> DataFrame:
     return every.join(shared, "token")
 
 
+def _open(at: DataFrame) -> DataFrame:
+    """(token): those that several components hold."""
+    return at.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
+
+
 def _expanded(entries: DataFrame, comps: DataFrame, least: float, hot: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b): pairs of different components that may be similar, from shingles that still hold several; (token, node) of crowds."""
+    """(a, b): pairs of different components that may be similar, from shingles that still hold several; (token, node, root) of crowds."""
     at = entries.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = at.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
-    at = written(at.join(open_, "token", "left_semi"), "near-open")
+    at = written(at.join(_open(at), "token", "left_semi"), "near-open")
     # shingles of crowds aren't counted here, so they are taken as shared
     crowd = at.filter(F.col("k") > hot).groupBy("node").agg(F.count("*").alias("h"))
     cold = at.filter(F.col("k") <= hot).join(crowd, "node", "left").fillna(0, ["h"])
@@ -264,8 +268,7 @@ def _expanded(entries: DataFrame, comps: DataFrame, least: float, hot: int) -> t
     pairs = met.groupBy("a", "b", *[(F.shiftleft(F.col(f"{x}a").cast("long"), 32) + F.col(f"{x}b")).alias(x) for x in "nh"]).count().withColumnRenamed("count", "c")
     pairs = pairs.withColumns({f"{x}{side}": (F.shiftright(x, 32) if side == "a" else F.col(x).bitwiseAND(0xFFFFFFFF)).cast("int") for x in "nh" for side in "ab"})
     pairs = pairs.filter(F.col("c") + F.least("ha", "hb") >= _shared(least)).select("a", "b")
-    firsts = at.filter((F.col("k") > hot) & (F.col("node") == F.col("root"))).select("token", "node")
-    return written(pairs, "near-likely"), written(firsts, "near-crowd")
+    return written(pairs, "near-likely"), written(at.filter(F.col("k") > hot).select("token", "node", "root"), "near-crowd")
 
 
 def _one(e: DataFrame, *more) -> DataFrame:
@@ -280,8 +283,8 @@ def _apart(least: float):
     return (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sized(least)
 
 
-def joined_in(sets: list[np.ndarray], sides: np.ndarray, least: float, width: int = 4096) -> list[tuple[int, int]]:
-    """Places of similar sets, one of each side (or any two if there is one side), as a forest: what it joins is not given again."""
+def joined_in(sets: list[np.ndarray], sides: np.ndarray, comps: np.ndarray, least: float, width: int = 4096) -> list[tuple[int, int]]:
+    """Places of similar sets, one of each side (or any two if there is one side), as a forest that joins components ``comps``."""
     n = np.array([len(x) for x in sets])
     tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
     found, at, times = np.unique(tokens, return_inverse=True, return_counts=True)
@@ -299,7 +302,8 @@ def joined_in(sets: list[np.ndarray], sides: np.ndarray, least: float, width: in
     like &= np.triu(np.ones_like(like), 1)
     if len(set(sides.tolist())) > 1:
         like &= sides[:, None] != sides[None, :]
-    root, out = list(range(len(sets))), []
+    like &= comps[:, None] != comps[None, :]
+    root, out = np.unique(comps, return_index=True)[1][np.unique(comps, return_inverse=True)[1]].tolist(), []
 
     def find(x):
         while root[x] != x:
@@ -315,36 +319,57 @@ def joined_in(sets: list[np.ndarray], sides: np.ndarray, least: float, width: in
     return out
 
 
-def _crowds(firsts: DataFrame, texts: DataFrame, leads: DataFrame, repeats: bool, size: int, least: float, block: int = 256) -> DataFrame:
-    """(a, b): verified links among the texts of each crowd, joined by (token, node); a crowd is what common shingles connect."""
-    heads = firsts.groupBy("token").agg(F.min("node").alias("a"))
-    crowds = written(simhash.components(firsts.select("token", F.col("node").alias("b")).join(heads, "token").select("a", "b")), "near-crowds")
+def _layout(crowds: DataFrame, block: int) -> DataFrame:
+    """(key, n, first, w, blocks, alone): of each component (key: crowd, root) its ``n`` texts, its ``w`` blocks from number ``first`` on, and all ``blocks`` of its crowd.
+
+    Components of ``block`` texts and more have blocks ``alone``; the others of a crowd share the first blocks.
+    """
+    groups = crowds.groupBy("crowd", "root").agg(F.count("*").alias("n"))
+    groups = written(groups.withColumns({"alone": F.col("n") >= block, "w": F.ceil(F.col("n") / block).cast("int")}), "near-groups")
+    total = groups.groupBy("crowd").agg(F.ceil(F.sum(F.when(F.col("alone"), 0).otherwise(F.col("n"))) / block).cast("int").alias("shared"), F.sum(F.when(F.col("alone"), F.col("w")).otherwise(0)).cast("int").alias("own"))
+    upto = Window.partitionBy("crowd").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)  # a row for ``block`` texts or more
+    placed = groups.filter("alone").withColumn("before", F.coalesce(F.sum("w").over(upto), F.lit(0)).cast("int"))
+    placed = placed.unionByName(groups.filter("not alone").withColumn("before", F.lit(0))).join(small(written(total, "near-blocks")), "crowd")
+    first, w = F.when(F.col("alone"), F.col("shared") + F.col("before")).otherwise(0), F.when(F.col("alone"), F.col("w")).otherwise(F.col("shared"))
+    return placed.select(F.struct("crowd", "root").alias("key"), "n", first.alias("first"), w.alias("w"), (F.col("shared") + F.col("own")).alias("blocks"), "alone")
+
+
+def _crowds(at: DataFrame, texts: DataFrame, leads: DataFrame, repeats: bool, size: int, least: float, block: int = 256) -> DataFrame:
+    """(a, b): verified links that join what is similar among different components (root) of the texts of ``at`` (token, node, root).
+
+    A crowd is what common shingles connect. Blocks of a large component meet those of others only.
+    """
+    heads = at.groupBy("token").agg(F.min("node").alias("a"))
+    crowds = simhash.components(at.select("token", F.col("node").alias("b")).join(heads, "token").select("a", "b")).withColumnRenamed("root", "crowd")
+    crowds = written(crowds.join(at.select("node", "root").distinct(), "node"), "near-crowds")
     sets = written(_sets(texts, leads, repeats, crowds.select("node"), size).join(small(crowds), "node"), "near-crowd-sets")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    rows = heavy_join(sets, crowds.groupBy("root").agg(F.count("*").alias("m")).withColumn("n", F.col("m")), "root", "n", crowds.count())
-    rows = rows.select("root", "node", "set", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "set").repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
+    rows = heavy_join(sets.withColumn("key", F.struct("crowd", "root")), written(_layout(crowds, block), "near-layout"), "key", "n", crowds.count())
+    own = (F.col("first") + F.pmod(F.xxhash64("node"), "w")).cast("int")
+    met = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: ~F.col("alone") | (k < F.col("first")) | (k >= F.col("first") + F.col("w")))
+    rows = rows.select("crowd", "root", "node", "set", own.alias("own"), F.explode(met).alias("other"))
+    rows = rows.select("crowd", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "root", "node", "set").repartition("crowd", "x", "y").sortWithinPartitions("crowd", "x", "y")
 
     def run(it):
         key, held = None, []
 
         def out():
-            links = joined_in([h[2] for h in held], np.array([h[1] for h in held]), least) if len(held) > 1 else []
+            own, comps = (np.array([h[k] for h in held]) for k in (1, 2))
+            links = joined_in([h[3] for h in held], own, comps, least) if len(set(comps.tolist())) > 1 else []
             return pa.record_batch([pa.array([held[k][0] for k, _ in links], pa.int64()), pa.array([held[k][0] for _, k in links], pa.int64())], names=["a", "b"])
 
-        for root, x, y, own, nodes, sets in batches(it, "root", "x", "y", "own", "node", "set"):
-            for k in range(len(root)):
-                if key != (root[k], x[k], y[k]):
+        for crowd, x, y, own, root, nodes, sets in batches(it, "crowd", "x", "y", "own", "root", "node", "set"):
+            for k in range(len(crowd)):
+                if key != (crowd[k], x[k], y[k]):
                     yield out()
-                    key, held = (root[k], x[k], y[k]), []
-                held.append((nodes[k], own[k], np.frombuffer(sets[k], np.uint64)))
+                    key, held = (crowd[k], x[k], y[k]), []
+                held.append((nodes[k], own[k], root[k], np.frombuffer(sets[k], np.uint64)))
         yield out()
 
     return rows.mapInArrow(run, "a long, b long")
 
 
 def links(rows: DataFrame, leads: DataFrame, copies: DataFrame, texts: DataFrame, size: int, least: float, hot: int) -> DataFrame:
-    """(a, b): verified links; of two similar texts that no chain joins one is linked to a smaller text in a crowd."""
+    """(a, b): verified links, whose components are those of all pairs of similar texts."""
     repeats = not copies.join(leads.select("id", "mark"), ["id", "mark"], "left_semi").isEmpty()
     prints = written(leads.groupBy("fp").agg(F.min("node").alias("first")), "near-prints")
     same = leads.join(prints, "fp").filter(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b"))
@@ -359,11 +384,18 @@ def links(rows: DataFrame, leads: DataFrame, copies: DataFrame, texts: DataFrame
     star = star.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb")).filter(F.col("c") >= _shared(least)).select("a", "b")
     tried = written(same.unionByName(near).unionByName(star).distinct(), "near-pairs")
     found = written(_verified(tried, texts, leads, repeats, size, least), "near-links")
-    likely, firsts = _expanded(entries, simhash.components(found), least, hot)
+    likely, crowd = _expanded(entries, simhash.components(found), least, hot)
     likely = written(likely.join(tried, ["a", "b"], "left_anti"), "near-pairs")
     if not likely.isEmpty():
         found = found.unionByName(written(_verified(likely, texts, leads, repeats, size, least), "near-links"))
-    return found if firsts.isEmpty() else found.unionByName(written(_crowds(firsts, texts, leads, repeats, size, least), "near-links"))
+    firsts = crowd.filter("node = root")
+    if not firsts.isEmpty():
+        found = found.unionByName(written(_crowds(firsts, texts, leads, repeats, size, least), "near-links"))
+    if crowd.isEmpty():
+        return found
+    rest = written(crowd.drop("root").join(simhash.components(found), "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rest")
+    rest = written(rest.join(_open(rest), "token", "left_semi"), "near-rest")
+    return found if rest.isEmpty() else found.unionByName(written(_crowds(rest, texts, leads, repeats, size, least), "near-links"))
 
 
 def _verdicts(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, hot: int) -> DataFrame:

@@ -48,6 +48,47 @@ def test_chains_are_groups_whatever_the_order(spark):
     assert {r.doc_id for r in near.one_of_each(docs).collect()} == near_groups(dict(rows)) == {0}
 
 
+@pytest.mark.parametrize("hot", [3, 64, 128])
+def test_crowds_are_linked_through_texts_that_left(spark, hot):
+    rng = random.Random(hot)
+    rows = []
+    for tree in range(3):  # every text is an edited copy of one before it; trees share most of their words
+        words = [f"w{k}" for k in range(150)]
+        for k in rng.sample(range(150), 8 * tree):
+            words[k] = f"t{tree}x{k}"
+        own = [" ".join(words)]
+        while len(own) < (150 if tree == 0 else 40):
+            own.append(edited(rng, rng.choice(own[-12:]), rng.choice([1, 2, 3])))
+        rows += own
+    ids = rng.sample(range(1000), len(rows))
+    docs = spark.createDataFrame(list(zip(ids, rows)), "doc_id long, text string")
+    assert {r.doc_id for r in near.one_of_each(docs, hot=hot).collect()} == near_groups(dict(zip(ids, rows)))
+
+
+def test_blocks_join_all_that_is_similar(spark):
+    """Components in blocks of their own and in shared ones against all pairs."""
+    rng = random.Random(2)
+    base = [rng.sample(range(400), 60) for _ in range(3)]
+    sets = [frozenset(v if rng.random() > 0.05 else rng.randrange(400, 5000) for v in rng.choice(base)) for _ in range(90)]
+    texts = [" ".join(f"q{v}" for v in sorted(x)) for x in sets]
+    comps = [k if k > 50 else 0 if k < 30 else 30 for k in range(90)]
+    at = spark.createDataFrame([(1, k, comps[k]) for k in range(90)], "token long, node long, root long")
+    leads = spark.createDataFrame([(k, k, k) for k in range(90)], "node long, id long, mark long")
+    docs = spark.createDataFrame([(k, k, t.encode()) for k, t in enumerate(texts)], "id long, mark long, text binary")
+    got = [(r.a, r.b) for r in near._crowds(at, docs, leads, False, 1, 0.8, block=8).collect()]
+    like = [(a, b) for a in range(90) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert all((max(p), min(p)) in set(like) and comps[p[0]] != comps[p[1]] for p in got)
+
+    def groups(links):
+        root = list(comps)
+        for a, b in list(links) * 2:
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+        return root
+
+    assert groups(got) == groups(like) and len(set(groups(like))) < len(set(comps))
+
+
 def test_nulls_repeats_short_and_long_texts(spark):
     long = " ".join(f"w{k}" for k in range(50_000))
     rows = [(5, "a b c d", "x"), (2, "A B\tC\nd", "x"), (9, None, "x"), (8, "", None), (7, " \n\t", "x"), (4, "one", "x"), (4, "one", "x"), (4, "two words", "y"), (None, "a b c d", "x"), (3, long, "x"), (11, long + " end", "x"), (6, "one two three four five six", "x"), (10, "one two three four five seven", "x")]
