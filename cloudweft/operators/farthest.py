@@ -57,6 +57,17 @@ def _large(pts: DataFrame, max_points: int) -> DataFrame | None:
     return None if found.isEmpty() else found
 
 
+def _start(big: DataFrame, start: int) -> DataFrame:
+    """(cloud_id, place 0, point_idx, x, y, z): row ``start`` of each cloud, or its last row."""
+    if start:
+        places = ranked(big, "cloud_id", "point_idx", name="at")
+        wanted = places.groupBy("cloud_id").agg(F.least(F.min("at") + start, F.max("at")).alias("at"))
+        first = places.join(wanted, ["cloud_id", "at"])
+    else:
+        first = big.groupBy("cloud_id").agg(F.min(F.struct("point_idx", "x", "y", "z")).alias("p")).select("cloud_id", "p.*")
+    return written(first.select("cloud_id", F.lit(0).alias("place"), "point_idx", "x", "y", "z"), "fps-first")
+
+
 def farthest_point_sample(pts: DataFrame, n: int, start: int = 0, max_points: int = 200_000) -> DataFrame:
     """(cloud_id, place, point_idx, x, y, z): ``n`` picks of each cloud from its row ``start`` on, exactly, whatever its size.
 
@@ -72,13 +83,7 @@ def farthest_point_sample(pts: DataFrame, n: int, start: int = 0, max_points: in
     if large is None:
         return rows.groupBy("cloud_id").applyInPandas(pick, _PICKS)
     big = rows.join(large, "cloud_id", "left_semi")
-    if start:
-        places = ranked(big, "cloud_id", "point_idx", name="at")
-        wanted = places.groupBy("cloud_id").agg(F.least(F.min("at") + start, F.max("at")).alias("at"))
-        first = places.join(wanted, ["cloud_id", "at"])
-    else:
-        first = big.groupBy("cloud_id").agg(F.min(F.struct("point_idx", "x", "y", "z")).alias("p")).select("cloud_id", "p.*")
-    first = written(first.select("cloud_id", F.lit(0).alias("place"), "point_idx", "x", "y", "z"), "fps-first")
+    first = _start(big, start)
     small = rows.join(large, "cloud_id", "left_anti").groupBy("cloud_id").applyInPandas(pick, _PICKS)
     return small.unionByName(_tile_walk(big, first, n, 1e10))
 
@@ -168,15 +173,81 @@ def _last_point(xyz: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def last_point_sample(pts: DataFrame, n: int, start: int = 0) -> DataFrame:
-    """Picks farthest from the pick before alone. The start row is not removed and may be picked once more."""
+def _tile_last_point(pts: DataFrame, first: DataFrame, n: int, after: int, size: int = 1024) -> DataFrame:
+    """Up to ``n`` picks a cloud, each farthest from the one before, the first from the place (cloud_id, x, y, z) of ``first``; places count from ``after``.
+
+    Tiles are opened on demand: a walk sees the points of open tiles and the boxes of the others. A pick stands if no closed box
+    reaches as far; if one does, the boxes that may hold the farthest point are opened and the walk is made again. Points only go
+    from open tiles, so the sides of closed boxes have points, which bounds from below how far one reaches.
+    """
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, xyz = _sorted(pdf)
+        row = [pdf.cloud_id[0], pdf.tile[0], pdf.point_idx.to_numpy(np.int64).tobytes(), xyz.tobytes(), [*xyz.min(axis=0), *xyz.max(axis=0)]]
+        return pd.DataFrame([row], columns=["cloud_id", "tile", "idx", "xyz", "box"])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = ["cloud_id", "place", "point_idx", "x", "y", "z", "wanted"]
+        cloud, at, seen = pdf.cloud_id.iloc[0], pdf[["x", "y", "z"]].to_numpy(np.float64)[0], pdf.idx.notna().to_numpy()
+        idx = np.frombuffer(b"".join(pdf.idx[seen]), np.int64)
+        by = np.argsort(idx, kind="stable")
+        idx, xyz = idx[by], np.frombuffer(b"".join(pdf.xyz[seen])).reshape(-1, 3)[by]
+        closed, box = pdf.tile.to_numpy()[~seen], np.array(pdf.box[~seen].tolist()).reshape(-1, 6)
+        gone, out = np.zeros(len(idx), bool), []
+        for place in range(after, after + n):
+            d = np.where(gone, -1.0, _d2(xyz, at))
+            k = int(d.argmax()) if len(d) else 0
+            best = d[k] if len(d) else -1.0
+            far = (np.maximum(np.abs(box[:, :3] - at), np.abs(box[:, 3:] - at)) ** 2).sum(axis=1) * (1 + 1e-12)
+            if (far >= best).any():
+                gap = np.maximum(np.maximum(box[:, :3] - at, at - box[:, 3:]), 0) ** 2
+                sides = np.maximum(np.abs(box[:, :3] - at), np.abs(box[:, 3:] - at)) ** 2
+                reach = (sides + gap.sum(axis=1, keepdims=True) - gap).max(axis=1) * (1 - 1e-12)
+                wanted = closed[far >= max(best, reach.max())]
+                return pd.DataFrame([(cloud, 0, 0, 0.0, 0.0, 0.0, int(t)) for t in wanted], columns=names)
+            if best < 0:
+                break
+            gone[k], at = True, xyz[k]
+            out.append((cloud, place, idx[k], *at, -1))
+        return pd.DataFrame(out, columns=names)
+
+    tiles = written(tiled(pts, size).groupBy("cloud_id", "tile").applyInPandas(packed, "cloud_id long, tile int, idx binary, xyz binary, box array<double>"), "last-tiles")
+    left = tiles.join(first.select("cloud_id", "x", "y", "z"), "cloud_id")
+    opened, out = None, None
+    while True:
+        shown = left.withColumns({"idx": F.lit(None).cast("binary"), "xyz": F.lit(None).cast("binary")})
+        if opened is not None:
+            at = left.join(opened.withColumn("open", F.lit(True)), ["cloud_id", "tile"], "left").join(opened.select("cloud_id").distinct(), "cloud_id", "left_semi")
+            shown = at.withColumns({c: F.when(F.col("open"), F.col(c)) for c in ("idx", "xyz")}).drop("open")
+        step = written(shown.groupBy("cloud_id").applyInPandas(walk, f"{_PICKS}, wanted int"), "last-picks")
+        asked = step.filter("wanted >= 0").select("cloud_id", F.col("wanted").alias("tile"))
+        picks = step.filter("wanted < 0").drop("wanted")
+        out = picks if out is None else out.unionByName(picks)
+        if asked.isEmpty():
+            return out
+        # clouds that ask for nothing are done
+        still = asked.select("cloud_id").distinct()
+        opened = written(asked if opened is None else asked.unionByName(opened.join(still, "cloud_id", "left_semi")), "last-open")
+
+
+def last_point_sample(pts: DataFrame, n: int, start: int = 0, max_points: int = 200_000) -> DataFrame:
+    """Picks farthest from the pick before alone. The start row is not removed and may be picked once more.
+
+    A cloud of over ``max_points`` points is searched in tiles, with the same picks.
+    """
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, xyz = _sorted(pdf)
         first = min(start, len(xyz) - 1)
         return _frame(pdf, np.concatenate([[first], _last_point(xyz, xyz[first], n - 1)]))
 
-    return pts.select("cloud_id", "point_idx", "x", "y", "z").groupBy("cloud_id").applyInPandas(pick, _PICKS)
+    rows, large = pts.select("cloud_id", "point_idx", "x", "y", "z"), _large(pts, max_points)
+    if large is None:
+        return rows.groupBy("cloud_id").applyInPandas(pick, _PICKS)
+    big = rows.join(large, "cloud_id", "left_semi")
+    first = _start(big, start)
+    small = rows.join(large, "cloud_id", "left_anti").groupBy("cloud_id").applyInPandas(pick, _PICKS)
+    return small.unionByName(first).unionByName(_tile_last_point(big, first, n - 1, 1))
 
 
 def fps_complete(pts: DataFrame, seeds: DataFrame, k: int, max_points: int = 200_000) -> DataFrame:
@@ -220,14 +291,23 @@ def voxel_fps_sample(pts: DataFrame, n: int = 1024, size: float = 1e-5, m: int =
     return means.unionByName(picks.withColumn("place", (F.col("place") + F.col("held")).cast("int")).drop("held"))
 
 
-def head_last_point_sample(pts: DataFrame, n: int = 1024, m: int = 700) -> DataFrame:
-    """The first ``m`` rows, then last-point picks of the rest, from row m - 1 on. A cloud of ``m`` rows or fewer stays as it is."""
+def head_last_point_sample(pts: DataFrame, n: int = 1024, m: int = 700, max_points: int = 200_000) -> DataFrame:
+    """The first ``m`` rows, then last-point picks of the rest, from row m - 1 on. A cloud of ``m`` rows or fewer stays as it is.
+
+    A cloud of over ``max_points`` points is searched in tiles, with the same picks.
+    """
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, xyz = _sorted(pdf)
         return _frame(pdf, _last_point(xyz[m:], xyz[m - 1], n - m) + m, m) if len(xyz) > m else _frame(pdf, np.zeros(0, np.int64))
 
-    rest = pts.select("cloud_id", "point_idx", "x", "y", "z").groupBy("cloud_id").applyInPandas(pick, _PICKS)
+    rows, large = pts.select("cloud_id", "point_idx", "x", "y", "z"), _large(pts, max(max_points, m))
+    rest = (rows if large is None else rows.join(large, "cloud_id", "left_anti")).groupBy("cloud_id").applyInPandas(pick, _PICKS)
+    if large is not None:
+        big = rows.join(large, "cloud_id", "left_semi")
+        first = _start(big, m - 1)
+        beyond = big.join(first.select("cloud_id", F.col("point_idx").alias("last")), "cloud_id").filter("point_idx > last").drop("last")
+        rest = rest.unionByName(_tile_last_point(beyond, first, n - m, m))
     head = head_points(pts, min(m, n)).select("cloud_id", F.col("point_idx").cast("int").alias("place"), "point_idx", "x", "y", "z")
     return head.unionByName(rest)
 

@@ -201,6 +201,19 @@ def test_no_window_sees_all_rows(spark):
         assert all("__rank_part" in line or "[cloud_id" in line for line in plan.splitlines() if "Window [" in line), plan
 
 
+@pytest.mark.parametrize("start", [0, 7])
+def test_last_points_in_tiles_are_those_of_the_plain_walk(spark, start):
+    rng = np.random.default_rng(start)
+    clouds = {1: rng.normal(size=(6000, 3)), 2: rng.integers(0, 6, (5000, 3)).astype(float), 3: np.zeros((4000, 3)), 4: rng.random((500, 3))}
+    pts = spark.createDataFrame(pd.concat([pd.DataFrame({"cloud_id": c, "point_idx": np.arange(len(x)) * 2, "x": x[:, 0], "y": x[:, 1], "z": x[:, 2]}) for c, x in clouds.items()]))
+    rows = lambda df: sorted((r.cloud_id, r.place, r.point_idx, r.x, r.y, r.z) for r in df.collect())
+    plain = rows(P.last_point_sample(pts, 90, start))
+    assert len(plain) == 360 and rows(P.last_point_sample(pts, 90, start, max_points=1000)) == plain
+    m = 20 + start
+    plain = rows(P.head_last_point_sample(pts, 70, m))
+    assert rows(P.head_last_point_sample(pts, 70, m, max_points=1000)) == plain
+
+
 def test_last_point_sampling_may_pick_the_start_again(spark):
     assert picks(P.last_point_sample(cloud(spark, [(0, 0, 0), (10, 0, 0), (1, 0, 0)]), 4, 0)) == [0, 1, 0, 2]
 
