@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import functions as F
 
 from ..functions.keyed import rounded
@@ -64,6 +65,13 @@ def _vectors(s, d, size=16):
     return T.pair_vectors(pairs, T.fit_doc_vectors(tagged, size, min_count=5, iterations=1))
 
 
+def _counted_pairs(s, d):
+    """Pair vectors of a model that SQL has too: how often each stop word occurs in either text."""
+    model = CountVectorizerModel.from_vocabulary(list(_STOP), inputCol="tokens", outputCol="vector")
+    found = T.pair_vectors(V.pairs(s, d), model)
+    return found.select("row_id", "label", F.array_join(F.transform("features", lambda v: v.cast("long").cast("string")), ",").alias("features"))
+
+
 def _forest(s, d):
     v = S.split_head_tail(_vectors(s, d).withColumn("all", F.lit(0)), "all", ["row_id"])
     v = _written(v)
@@ -137,6 +145,7 @@ QUERIES = {
     "nfc": lambda s, d: V.texts(s, d).select("doc_id", T.nfc("body").alias("body")),
     "tag_documents": lambda s, d: T.tag_documents(V.pairs(s, d), 1_000_000),
     "pair_vectors": lambda s, d: _vectors(s, d).select("row_id", "label", F.size("features").alias("n")),
+    "pair_vectors_counted": _counted_pairs,
     "fit_doc_vectors": lambda s, d: T.fit_doc_vectors(T.tokenize(V.texts(s, d), "body"), 8, min_count=5, iterations=1).getVectors().select("word"),
     "pca_vectors": lambda s, d: _r(T.pca_vectors(V.table(s, d, "embeddings"), 5, "embedding").select("vec_id", F.posexplode("components").alias("component", "value")), "value"),
     "train_text_classifier": _forest,
@@ -170,6 +179,7 @@ SQL = {
     "nfc": sql("texts", "select doc_id, nfc_normalize(body) as body from texts"),
     "tag_documents": sql("pairs", "select row_id as tag, d1 as text from pairs union all select row_id + 1000000, d2 from pairs"),
     "pair_vectors": sql("pairs", "select row_id, label, 32::int as n from pairs"),
+    "pair_vectors_counted": sql("pairs", "select row_id, label, concat_ws(',', " + ", ".join(f"len(list_filter(string_split({c}, ' '), lambda w: w = '{w}'))" for c in ("d1", "d2") for w in _STOP) + ") as features from pairs"),
     "most_similar": _E + f", s as (select a.vec_id as query, b.vec_id, round({_COS}, 12) as c from v a, v b where a.vec_id % 20 = 0 and b.vec_id <> a.vec_id), k as (select *, row_number() over (partition by query order by c desc, vec_id) as rank from s) select query, vec_id, round(c, 6) + 0.0 as similarity, rank::int as rank from k where rank <= 10",
     "similarity": _E + f" select a.vec_id as i, b.vec_id as j, round({_COS}, 6) + 0.0 as similarity from v a join v b on b.vec_id = a.vec_id + 1",
     "pack_clouds": sql("points", "select cloud_id, count(*)::int as n, string_agg(concat_ws(':', x::bigint, y::bigint, z::bigint), ',' order by point_idx) as xyz from points group by 1"),
