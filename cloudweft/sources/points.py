@@ -64,6 +64,7 @@ def write_room_points(pts: DataFrame, path: str) -> None:
     write_points_text(pts, path, "room")
 
 
+#: The type names of PLY headers.
 _PLY_TYPES = {
     "char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2",
     "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8",

@@ -357,6 +357,7 @@ def test_transport_matches_all_assignments():
 
 
 def test_emd_of_two_colour_signatures(spark):
+    # fixed values: the features and weights of the two signatures
     f1, w1 = [(100.0, 40.0, 22.0), (211.0, 20.0, 2.0), (32.0, 190.0, 150.0), (2.0, 100.0, 100.0)], [4, 3, 2, 1]
     f2, w2 = [(0.0, 0.0, 0.0), (50.0, 100.0, 80.0), (255.0, 255.0, 255.0)], [5, 3, 2]
     rows = [(0, k, list(f), w) for k, (f, w) in enumerate(zip(f1, w1))] + [(1, k, list(f), w) for k, (f, w) in enumerate(zip(f2, w2))]
