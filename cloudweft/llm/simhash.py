@@ -13,6 +13,10 @@ exactly if they are at most two flips apart, and at most 65 fingerprints share o
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -164,28 +168,41 @@ def _histograms(fps: DataFrame, groups: list[list[int]]) -> dict[tuple[int, int]
     return out
 
 
+def _masks(bits: Iterable[int], flips: int) -> list[int]:
+    """Every choice of ``flips`` of the bits, as numbers with those bits set."""
+    return [sum(1 << b for b in chosen) for chosen in combinations(bits, flips)]
+
+
 class Plan:
     """Parts of bits, and for any fingerprint the thresholds of least estimated cost."""
 
     def __init__(self, total: int, groups: list[list[int]], hist: dict, tau: int, probe_cost: float = 1.0):
         self.total, self.groups, self.tau, self.probe_cost = total, groups, tau, probe_cost
-        self.near = {}  # (part, chunk) -> shares of fingerprints at distance 0 and 1 from each value
+        self.near = {}  # (part, chunk) -> shares of fingerprints at distance 0, 1, ..., tau from each value
         for k, h in hist.items():
             v, width = np.arange(len(h)), len(h).bit_length() - 1
-            self.near[k] = np.stack([h, sum(h[v ^ (1 << b)] for b in range(width))]) / max(total, 1)
+            self.near[k] = np.stack([sum(h[v ^ mask] for mask in _masks(range(width), r)) + np.zeros(len(h)) for r in range(tau + 1)]) / max(total, 1)
+
+    def costs(self, fps: np.ndarray) -> np.ndarray:
+        """[parts, tau + 2, n]: estimated candidates plus probes of every part at thresholds -1, 0, ..., tau."""
+        out = np.zeros((len(self.groups), self.tau + 2, len(fps)))
+        for p, bits in enumerate(self.groups):
+            share = np.zeros((self.tau + 1, len(fps)))  # of fingerprints at each distance in this part, chunks taken as independent
+            share[0] = 1
+            for c, chunk in enumerate(_chunks(bits)):
+                at = self.near[p, c][:, _values(fps, chunk)]
+                share = np.stack([sum(share[k] * at[r - k] for k in range(r + 1)) for r in range(self.tau + 1)])
+            balls = np.cumsum([comb(len(bits), r) for r in range(self.tau + 1)])
+            out[p, 1:] = self.total * np.cumsum(share, axis=0) + self.probe_cost * balls[:, None]
+        return out
 
     def thresholds(self, fps: np.ndarray) -> np.ndarray:
-        """[n, parts] of -1, 0 or 1. Radius 2 and more is never cheaper here: its ball has 200 probes and more."""
+        """[n, parts] of -1, 0, ..., ``tau``: the allocation of least cost whose sum is tau - parts + 1."""
         m, n, want = len(self.groups), len(fps), self.tau + 1
         best = np.full((n, want + 1), np.inf)
         best[:, 0] = 0
         picks = []
-        for p, bits in enumerate(self.groups):
-            zero, one = np.ones(n), np.zeros(n)
-            for c, chunk in enumerate(_chunks(bits)):
-                at = self.near[p, c][:, _values(fps, chunk)]
-                zero, one = zero * at[0], one * at[0] + zero * at[1]
-            costs = [np.zeros(n), self.total * zero + self.probe_cost, self.total * (zero + one) + self.probe_cost * (1 + len(bits))]
+        for costs in self.costs(fps):
             after, pick = np.full_like(best, np.inf), np.zeros(best.shape, np.int8)
             for step, cost in enumerate(costs):
                 for s in range(want + 1 - step):
@@ -216,7 +233,7 @@ def make_plan(fps: DataFrame, tau: int = 2, parts: int = 3) -> Plan:
 
 
 def _entries(fps: DataFrame, plan: Plan) -> DataFrame:
-    """(part, value, flips, fp): flips -1 is the index entry, 0 and 1 are probes."""
+    """(part, value, flips, fp): flips -1 is the index entry, 0, 1, ... are probes with so many flips."""
     groups = plan.groups
     sent = fps.sparkSession.sparkContext.broadcast(plan)
     out = pa.schema([("part", pa.int32()), ("value", pa.int64()), ("flips", pa.int32()), ("fp", pa.int64())])
@@ -225,17 +242,16 @@ def _entries(fps: DataFrame, plan: Plan) -> DataFrame:
         plan = sent.value
         for b in it:
             whole = b.column("fp").to_numpy()
-            for k in range(0, len(whole), 20_000):
-                fp = whole[k : k + 20_000]
+            for k in range(0, len(whole), 5_000):  # up to some 230 probes each
+                fp = whole[k : k + 5_000]
                 t = plan.thresholds(fp)
                 cols = []
                 for p, bits in enumerate(groups):
                     v = _values(fp, bits)
                     cols.append((p, v, -1, fp))
-                    on = t[:, p] >= 0
-                    cols.append((p, v[on], 0, fp[on]))
-                    on = t[:, p] >= 1
-                    cols += [(p, v[on] ^ (1 << k), 1, fp[on]) for k in range(len(bits))] if on.any() else []
+                    for flips in range(plan.tau + 1):
+                        on = t[:, p] >= flips
+                        cols += [(p, v[on] ^ mask, flips, fp[on]) for mask in _masks(range(len(bits)), flips)] if on.any() else []
                 yield pa.record_batch(
                     [
                         pa.array(np.concatenate([np.full(len(c[1]), c[0], np.int32) for c in cols])),
@@ -282,13 +298,17 @@ def links(fps: DataFrame, tau: int = 2, parts: int = 3, hot: int = 128) -> DataF
     crowd = entries.join(sizes.filter(~few).select(*key), key, "left_semi").withColumn("own", F.col("fp").bitwiseAND(mask))
     own = F.array(F.lit(0).cast("long"))
     at = F.when(F.col("flips") == 1, own).otherwise(rest) if tau == 2 else F.when(F.col("flips") < 0, rest if tau else own).otherwise(own)
-    met = crowd.filter((F.col("flips") != 0) if tau == 2 else F.lit(True)).withColumn("flip", F.explode(at))
+    met = crowd.filter(F.col("flips").isin(-1, 1) if tau == 2 else F.lit(True)).withColumn("flip", F.explode(at))
     met = met.select(*key, F.col("own").bitwiseXOR(F.col("flip")).alias("centre"), F.col("fp").alias("b"), ((F.col("flips") < 0) & (F.col("flip") == 0)).alias("at"))
     # within two flips of each other all at a centre are linked; else only what stands at the centre is linked to the rest
     anchor = F.col("b") if tau == 2 else F.when(F.col("at"), F.col("b"))
     met = met.withColumn("a", F.min(anchor).over(Window.partitionBy(*key, "centre"))).filter((F.col("a") != F.col("b")) & (far <= tau))
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.unionByName(met).distinct()
+    # a probe with two flips can only be linked to the member that has its other bits: one fingerprint
+    standing = crowd.filter(F.col("flips") < 0).select(*key, "own", F.col("fp").alias("b"))
+    twice = crowd.filter(F.col("flips") == 2).select(*key, "own", F.col("fp").alias("a")).join(standing, [*key, "own"])
+    twice = twice.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.unionByName(met).unionByName(twice).distinct()
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -42,13 +44,59 @@ def test_thresholds_always_reach_the_sum(spark):
     assert (t.sum(axis=1) == 0).all() and t.min() >= -1
 
 
+def random_plan(rng, tau, parts, total):
+    bits = rng.permutation(64)
+    groups = [sorted(int(b) for b in bits[k::parts]) for k in range(parts)]
+    hist = {(p, c): rng.dirichlet(np.full(2 ** len(x), 0.01)) * total for p, g in enumerate(groups) for c, x in enumerate(S._chunks(g))}
+    return S.Plan(total, groups, hist, tau)
+
+
+@pytest.mark.parametrize(("tau", "parts"), [(2, 3), (2, 4), (1, 2), (1, 3), (0, 2)])
+def test_allocations_equal_enumeration_of_all(tau, parts):
+    rng = np.random.default_rng(tau * 10 + parts)
+    for total in (10, 5_000, 1_000_000, 10**9):
+        plan, fps = random_plan(rng, tau, parts, total), rng.integers(-(2**63), 2**63 - 1, 60)
+        costs, t = plan.costs(fps), plan.thresholds(fps)
+        every = [a for a in itertools.product(range(-1, tau + 1), repeat=parts) if sum(a) == tau - parts + 1]
+        sums = np.array([sum(costs[p, x + 1] for p, x in enumerate(a)) for a in every])
+        assert (t.sum(axis=1) == tau - parts + 1).all() and t.min() >= -1 and t.max() <= tau
+        assert np.allclose(sum(costs[p, t[:, p] + 1, np.arange(len(fps))] for p in range(parts)), sums.min(axis=0))
+
+
+def test_two_crowded_parts_are_left_alone():
+    groups, n = [list(range(21)), list(range(21, 42)), list(range(42, 64))], 1_000_000
+    hist = {(p, c): np.full(2 ** len(x), n / 2 ** len(x)) for p, g in enumerate(groups) for c, x in enumerate(S._chunks(g))}
+    for p, c in hist:
+        if p:  # half of all rows share a value there
+            hist[p, c] /= 2
+            hist[p, c][0] += n / 2
+    plan = S.Plan(n, groups, hist, 2)
+    assert plan.thresholds(np.zeros(1, np.int64)).tolist() == [[2, -1, -1]]
+    assert plan.costs(np.zeros(1, np.int64))[0, 3, 0] == pytest.approx(232 + 232 * n / 2**21)
+
+
+@pytest.mark.parametrize("hot", [2, 1000])
+@pytest.mark.parametrize("rows", [(3, 0, 0), (0, 3, 0), (0, 0, 3), (2, 1, 0), (0, 2, 1), (1, 1, 1)])
+def test_any_thresholds_find_all_links(spark, monkeypatch, hot, rows):
+    """Whatever the programme picks: thresholds fixed by hand, through plain and through crowded buckets."""
+    monkeypatch.setattr(S.Plan, "thresholds", lambda self, fps: np.tile(np.array(rows, np.int8) - 1, (len(fps), 1)))
+    fps = clusters(5, 60, 140, 2)
+    nodes = spark.createDataFrame([(f,) for f in sorted(set(fps))], "fp long")
+    found = S.components(S.links(nodes, 2, 3, hot)).collect()
+    got, all_rows = {r.node: r.root for r in found}, list(enumerate(fps))
+    least: dict = {}
+    for k, f in all_rows:
+        least[got.get(f, f)] = min(least.get(got.get(f, f), k), k)
+    assert [least[got.get(f, f)] for _, f in all_rows] == brute_components(all_rows, 2)
+
+
 def test_a_member_that_skips_a_part_is_met_by_the_only_probe(spark, monkeypatch):
     a, b = 0, 1 | 1 << 21  # one bit apart in the first part, one in the second
 
     groups = [list(range(21)), list(range(21, 42)), list(range(42, 64))]
     plan = S.Plan(1000, groups, {(p, c): np.zeros(2 ** len(x)) for p, g in enumerate(groups) for c, x in enumerate(S._chunks(g))}, 2)
     for p, near in enumerate([[[0.0, 0.044], [0.025, 0.084]], [[0.004, 0.004], [0.074, 0.074]], [[0.099, 0.099], [0.0, 0.0]]]):
-        plan.near[p, 0][:, :2] = near
+        plan.near[p, 0][:2, :2] = near
         plan.near[p, 1][0, 0] = 1
     assert plan.thresholds(np.array([a, b])).tolist() == [[1, 0, -1], [-1, 0, 1]]
     monkeypatch.setattr(S, "make_plan", lambda *_: plan)
