@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-P = 2147483647
+#: Two lanes of state: a prime below 2^31 each, and factors of cloud, point, seed and salt that keep every sum within BIGINT.
+LANES = ((2147483647, 362436069, 521288629, 48271, 104729), (2147483629, 410092949, 123456789, 69621, 130363))
 
 
 def uniform(cloud: Column, point: Column | int = 0, seed: int = 0, salt: int | Column = 0) -> Column:
-    """A number in (0, 1) for a cloud and a point; other salts give independent numbers. Integer arithmetic within BIGINT."""
+    """A number in (0, 1) for a cloud and a point; other salts give independent numbers. Integer arithmetic within BIGINT.
+
+    Cloud and point enter two lanes with other moduli and factors, so keys only share a state if both lanes agree: ids may be of any size,
+    and clouds of any number of points. The first lane gives the upper 31 bits, the second the 21 below.
+    """
     point = F.lit(point) if isinstance(point, int) else point
     salt = F.lit(salt) if isinstance(salt, int) else salt
-    k = cloud.cast("long") * 1000003 + point.cast("long")
-    h = (k % P * 48271 + seed) % P
-    h = (h * h + h * 12345) % P
-    h = (h * 48271 + salt.cast("long") * 104729) % P
-    h = (h * h + h * 12345) % P
-    return (h + F.lit(0.5)) / F.lit(float(P))
+
+    def lane(p: int, a: int, b: int, c: int, d: int) -> Column:
+        h = (F.pmod(cloud.cast("long"), F.lit(p)) * a + F.pmod(point.cast("long"), F.lit(p)) * b + seed % p * c) % p
+        h = (h * h + h * 12345) % p
+        h = (h * 48271 + F.pmod(salt.cast("long"), F.lit(p)) * d) % p
+        return (h * h + h * 12345) % p
+
+    high, low = (lane(*v) for v in LANES)
+    return (high * 2097152 + F.shiftright(low, 10) + F.lit(0.5)) / F.lit(float(LANES[0][0] * 2097152))
 
 
 def gaussian(cloud: Column, point: Column | int = 0, seed: int = 0, salt: int = 0) -> Column:
@@ -28,11 +36,16 @@ def gaussian(cloud: Column, point: Column | int = 0, seed: int = 0, salt: int =
 
 def uniform_sql(cloud: str, point: str = "0", seed: int = 0, salt: int | str = 0) -> str:
     """The same uniform as DuckDB SQL."""
-    h1 = f"((({cloud})::bigint * 1000003 + ({point})::bigint) % {P} * 48271 + {seed}) % {P}"
-    h2 = f"(({h1}) * ({h1}) + ({h1}) * 12345) % {P}"
-    h3 = f"(({h2}) * 48271 + ({salt})::bigint * 104729) % {P}"
-    h4 = f"(({h3}) * ({h3}) + ({h3}) * 12345) % {P}"
-    return f"((({h4}) + 0.5::double) / {P}.0::double)"
+
+    def lane(p: int, a: int, b: int, c: int, d: int) -> str:
+        cl, pt, sa = (f"((({v})::bigint % {p} + {p}) % {p})" for v in (cloud, point, salt))
+        h1 = f"({cl} * {a} + {pt} * {b} + {seed % p * c}) % {p}"
+        h2 = f"(({h1}) * ({h1}) + ({h1}) * 12345) % {p}"
+        h3 = f"(({h2}) * 48271 + {sa} * {d}) % {p}"
+        return f"(({h3}) * ({h3}) + ({h3}) * 12345) % {p}"
+
+    high, low = (lane(*v) for v in LANES)
+    return f"((({high}) * 2097152 + (({low}) >> 10) + 0.5::double) / {LANES[0][0] * 2097152}.0::double)"
 
 
 def gaussian_sql(cloud: str, point: str = "0", seed: int = 0, salt: int = 0) -> str:

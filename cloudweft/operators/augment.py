@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable, Sequence
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keyed import gaussian, uniform
@@ -85,10 +85,10 @@ def random_scale(pts: DataFrame, lo: float = 0.8, hi: float = 1.25, seed: int =
 
 def point_dropout(pts: DataFrame, max_ratio: float = 0.875, seed: int = 0) -> DataFrame:
     """Points whose number is at most the cloud's ratio (uniform up to ``max_ratio``) are replaced by its first point."""
-    ratio, w = _u(seed, 0) * max_ratio, Window.partitionBy("cloud_id")
+    ratio = _u(seed, 0) * max_ratio
     gone = uniform(F.col("cloud_id"), F.col("point_idx"), seed, 1) <= ratio
-    first = pts.withColumns({f"__{c}": F.min_by(c, "point_idx").over(w) for c in XYZ})
-    return first.withColumns({c: F.when(gone, F.col(f"__{c}")).otherwise(F.col(c)) for c in XYZ}).drop(*[f"__{c}" for c in XYZ])
+    first = pts.groupBy("cloud_id").agg(F.min_by(F.struct(*XYZ), "point_idx").alias("__first"))
+    return pts.join(first, "cloud_id").withColumns({c: F.when(gone, F.col(f"__first.{c}")).otherwise(F.col(c)) for c in XYZ}).select(*pts.columns)
 
 
 def noise_points(pts: DataFrame, ratio: float, seed: int = 0) -> DataFrame:

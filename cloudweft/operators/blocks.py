@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.keyed import uniform
 from ..session import written
 from .metrics import label_weights
-from .order import ranked
+from .order import ranked, ranked_inside
 
 XYZ, RGB = ("x", "y", "z"), ("r", "g", "b")
 
@@ -84,9 +84,7 @@ def block_features(blocks: DataFrame, pts: DataFrame, size: float, keys: Sequenc
 
 def room_samples(pts: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """All points of a room in random chunks of ``k`` rows (chunk, slot), the last filled up from the whole room; features without centring."""
-    w = Window.partitionBy("cloud_id")
-    u = pts.withColumn("__u", uniform(F.col("cloud_id"), F.col("point_idx"), seed, 0))
-    u = u.withColumns({"__k": (F.row_number().over(w.orderBy("__u", "point_idx")) - 1).cast("long"), "__n": F.count(F.lit(1)).over(w)}).drop("__u")
+    u = ranked_inside(pts, "cloud_id", uniform(F.col("cloud_id"), F.col("point_idx"), seed, 0), "point_idx", name="__k", size="__n")
     size = F.col("__n")
     pads = u.filter("__k = 0").select("cloud_id", "__n").filter(size % k != 0)
     slots = pads.select("cloud_id", "__n", F.explode(F.sequence(size, F.ceil(size / k) * k - 1)).alias("__p"))

@@ -21,11 +21,11 @@ def _sq(cols: Sequence[Column]) -> Column:
 
 
 def normalize_unit(pts: DataFrame) -> DataFrame:
-    """Points minus their cloud's centroid, over its largest norm; null where that is 0. Both are windows over one partitioning."""
-    cloud = Window.partitionBy("cloud_id")
-    centred = pts.withColumns({c: F.col(c) - F.avg(c).over(cloud) for c in XYZ})
-    norm = centred.withColumn("__m", F.max(F.sqrt(_sq([F.col(c) for c in XYZ]))).over(cloud))
-    return norm.withColumns({c: F.try_divide(F.col(c), F.col("__m")) for c in XYZ}).drop("__m")
+    """Points minus their cloud's centroid, over its largest norm; null where that is 0. Both come from partial aggregates, one row a cloud."""
+    centred = pts.join(pts.groupBy("cloud_id").agg(*[F.avg(c).alias(f"__{c}") for c in XYZ]), "cloud_id")
+    centred = centred.withColumns({c: F.col(c) - F.col(f"__{c}") for c in XYZ}).select(*pts.columns)
+    norm = centred.groupBy("cloud_id").agg(F.max(F.sqrt(_sq([F.col(c) for c in XYZ]))).alias("__m"))
+    return centred.join(norm, "cloud_id").withColumns({c: F.try_divide(F.col(c), F.col("__m")) for c in XYZ}).select(*pts.columns)
 
 
 def cloud_bounds(pts: DataFrame) -> DataFrame:

@@ -75,11 +75,12 @@ def ball_query(pts: DataFrame, centres: DataFrame, r: float, nsample: int) -> Da
     return _slots(near, nsample)
 
 
-def _slots(near: DataFrame, nsample: int | Column, keys: Sequence[str] = ("cloud_id", "centre")) -> DataFrame:
+def _slots(near: DataFrame, nsample: int | Column, keys: Sequence[str] = ("cloud_id", "centre"), most: int | None = None) -> DataFrame:
+    """The first ``nsample`` (at most ``most``) by index of each group, cut before they are shuffled, free slots filled with the first."""
     w = Window.partitionBy(*keys)
-    ranked = near.withColumns({"slot": (F.row_number().over(w.orderBy("point_idx")) - 1), "__n": F.count(F.lit(1)).over(w)})
     limit = F.lit(nsample) if isinstance(nsample, int) else nsample
-    kept = ranked.filter(F.col("slot") < limit)
+    first = near.withColumn("slot", F.row_number().over(w.orderBy("point_idx"))).filter(F.col("slot") <= (nsample if most is None else most))
+    kept = first.filter(F.col("slot") <= limit).withColumns({"slot": F.col("slot") - 1, "__n": F.count(F.lit(1)).over(w)})
     pad = F.when((F.col("slot") == 0) & (F.col("__n") < limit), F.concat(F.array(F.lit(0)), F.sequence(F.col("__n").cast("int"), limit.cast("int") - 1))).otherwise(F.array(F.col("slot")))
     return kept.select(*keys, F.explode(pad).alias("slot"), "point_idx")
 
@@ -108,7 +109,7 @@ def multi_scale_group(pts: DataFrame, centres: DataFrame, scales: Sequence[tuple
     fit = F.explode(F.array(*[F.struct(F.lit(k).alias("scale"), F.lit(float(r * r)).alias("r2"), F.lit(n).alias("n")) for k, (r, n) in enumerate(scales)]))
     rows = near.select("cloud_id", F.col("a_idx").alias("centre"), F.col("b_idx").alias("point_idx"), "d2", fit.alias("s")).filter(F.col("d2") <= F.col("s.r2"))
     limit = F.get(F.array(*[F.lit(n) for _, n in scales]), F.col("scale"))
-    return _slots(rows.select("cloud_id", "centre", "s.scale", "point_idx"), limit, ("cloud_id", "centre", "scale"))
+    return _slots(rows.select("cloud_id", "centre", "s.scale", "point_idx"), limit, ("cloud_id", "centre", "scale"), max(n for _, n in scales))
 
 
 def group_max(groups: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("cloud_id", "centre")) -> DataFrame:

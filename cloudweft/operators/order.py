@@ -28,3 +28,13 @@ def ranked(df: DataFrame, *keys: str | Column, name: str = "rank", of: str | Non
     before = inside.groupBy("__rank_part").agg(F.sum("__rank_own").alias("__n")).select("__rank_part", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__rank_before"))
     out = inside.join(F.broadcast(before), "__rank_part").withColumn(name, F.col("__rank_before") + F.col("__rank_at") - F.col("__rank_own"))
     return out.select(*df.columns, name)
+
+
+def ranked_inside(df: DataFrame, by: str, *keys: str | Column, name: str = "rank", size: str = "n") -> DataFrame:
+    """``df`` with each row's 0-based place among the rows of its group ``by``, in the order of ``keys``, and the group's ``size``.
+
+    Places are global ranks minus the group's first, so a group that holds most rows is spread over many tasks. Nulls in ``by`` are a group.
+    """
+    rows = ranked(df, by, *keys, name=name)
+    groups = rows.groupBy(F.col(by).alias("__by")).agg(F.min(name).alias("__first"), F.count("*").alias(size))
+    return rows.join(groups, F.col(by).eqNullSafe(F.col("__by"))).withColumn(name, F.col(name) - F.col("__first")).select(*df.columns, name, size)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import uniform
-from .order import ranked
+from .order import ranked, ranked_inside
+
 
 def cloud():
     """The window of a cloud's points."""
@@ -23,14 +24,14 @@ def head_points(pts: DataFrame, n: int, dense: bool = True) -> DataFrame:
 
 
 def _ranked(pts: DataFrame, seed: int, salt: int = 0) -> DataFrame:
-    """Points with their size __n and rank __k in a random order of the cloud."""
+    """Points with their cloud's size __n and place __k, from 0, in a random order of the cloud."""
     u = uniform(F.col("cloud_id"), F.col("point_idx"), seed, salt)
-    return pts.withColumn("__u", u).withColumns({"__n": F.count(F.lit(1)).over(cloud()), "__k": F.row_number().over(cloud().orderBy("__u", "point_idx"))}).drop("__u")
+    return ranked_inside(pts, "cloud_id", u, "point_idx", name="__k", size="__n")
 
 
 def random_down_sample(pts: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     """floor(N * ratio) points of each cloud, without replacement."""
-    return _ranked(pts, seed).filter(F.col("__k") <= F.floor(F.col("__n") * ratio)).drop("__n", "__k")
+    return _ranked(pts, seed).filter(F.col("__k") < F.floor(F.col("__n") * ratio)).drop("__n", "__k")
 
 
 def uniform_down_sample(pts: DataFrame, k: int) -> DataFrame:
@@ -40,9 +41,9 @@ def uniform_down_sample(pts: DataFrame, k: int) -> DataFrame:
 
 def uniform_to_n(pts: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Exactly ``n`` points: every k-th with k = max(N div n, 1), and of those that are left over ``n`` at random. Clouds with fewer go."""
-    sized = pts.withColumn("__size", F.count(F.lit(1)).over(cloud())).filter(F.col("__size") >= n)
+    sized = pts.join(pts.groupBy("cloud_id").agg(F.count("*").alias("__size")).filter(F.col("__size") >= n), "cloud_id")
     strided = sized.filter(F.col("point_idx") % F.greatest(F.floor(F.col("__size") / n), F.lit(1)) == 0)
-    return _ranked(strided, seed).filter(F.col("__k") <= n).drop("__size", "__n", "__k")
+    return _ranked(strided, seed).filter(F.col("__k") < n).select(*pts.columns)
 
 
 def _drawn(sizes: DataFrame, count: Column, seed: int, salt: int = 0) -> DataFrame:

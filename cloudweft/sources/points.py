@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.order import ranked
@@ -20,13 +21,41 @@ def stem(path: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(path, "/cloud_id=([^/]+)/", 1), F.lit("")), F.regexp_replace(F.regexp_replace(path, "^.*/", ""), r"\.[^.]*$", ""))
 
 
+def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(file, line_no, line) of text files, lines numbered from 0 in each file, ends (\\n or \\r\\n) left out.
+
+    Lines are counted inside their split; a split's first number is the count of the lines in the splits before it, one row a split.
+    """
+    rows = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
+    sizes = rows.groupBy("file", "start").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("file", "start", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+
+    def count(it):  # a split is read in order by one task, after or before other splits
+        at, split = 0, None
+        for batch in it:
+            files, starts = batch.column("file").dictionary_encode(), batch.column("start").to_numpy()
+            edges = np.flatnonzero((np.diff(starts) != 0) | (np.diff(files.indices.to_numpy()) != 0)) + 1
+            no = np.zeros(batch.num_rows, np.int64)
+            for a, b in zip([0, *edges], [*edges, batch.num_rows]):
+                if a < b:
+                    here = (files[int(a)].as_py(), int(starts[a]))
+                    at, split = (at if here == split else 0), here
+                    no[a:b] = np.arange(at, at + b - a)
+                    at += int(b - a)
+            yield pa.record_batch([batch.column("file"), batch.column("start"), pa.array(no), batch.column("line")], names=["file", "start", "no", "line"])
+
+    lines = rows.mapInArrow(count, "file string, start long, no long, line string").join(before, ["file", "start"])
+    return lines.select("file", (F.col("before") + F.col("no")).alias("line_no"), F.regexp_replace("line", r"\r$", "").alias("line"))
+
+
 def read_points(spark: SparkSession, path: str | Sequence[str], sep: str = r"[,\s]+", cols: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """(cloud_id, point_idx, cols, error) of delimited text files: one cloud a file, its name as the id, one point a line.
 
-    Blank lines hold no point but keep their number. ``error`` is the line where a named column is missing or no number.
+    Blank lines hold no point but keep their number. ``error`` is the line where a named column is missing or no number. Large files
+    are read in splits: a file of any size is many tasks.
     """
-    files = spark.read.text(path, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("cloud_id"), "value")
-    lines = files.select("cloud_id", F.posexplode(F.split("value", r"\r?\n")).alias("point_idx", "line")).filter(F.trim("line") != "")
+    lines = numbered_lines(spark, path).select(stem(F.col("file")).alias("cloud_id"), F.col("line_no").alias("point_idx"), "line").filter(F.trim("line") != "")
     parts = F.split(F.regexp_replace("line", r"^[,\s]+|[,\s]+$", ""), sep)
     values = lines.select("cloud_id", F.col("point_idx").cast("long").alias("point_idx"), "line", parts.alias("p"))
     values = values.select("cloud_id", "point_idx", "line", *[F.get("p", F.lit(k)).try_cast("double").alias(c) for k, c in enumerate(cols)])

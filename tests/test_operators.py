@@ -6,11 +6,13 @@ import math
 import re
 import struct
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cloudweft.functions import keyed
 from cloudweft.operators import augment as A
 from cloudweft.operators import blocks as B
 from cloudweft.operators import catalog as C
@@ -192,6 +194,45 @@ def test_global_ranks(spark):
     assert {r.k: r.before for r in sums} == {k: sum(i % 4 for i in range(k)) for k in range(1000)}
 
 
+def test_ranks_inside_groups(spark):
+    rng = np.random.default_rng(8)
+    rows = [(None if k % 50 == 0 else int(k % 3 and 7), int(rng.integers(40)), k) for k in range(900)]
+    got = O.ranked_inside(spark.createDataFrame(rows, "g int, a int, k int"), "g", "a", "k", name="r", size="n").collect()
+    for g in (None, 0, 7):
+        own = sorted((r for r in got if r.g == g), key=lambda r: r.r)
+        assert [(r.a, r.k) for r in own] == sorted((a, k) for h, a, k in rows if h == g)
+        assert [r.r for r in own] == list(range(len(own))) and {r.n for r in own} == {len(own)}
+
+
+@pytest.mark.parametrize("of", ["random", "exact", "unit", "dropout"])
+def test_no_window_is_a_whole_cloud(spark, of):
+    pts = cloud(spark, np.random.default_rng(1).random((50, 3)))
+    make = {"random": lambda: S.random_down_sample(pts, 0.5), "exact": lambda: S.uniform_to_n(pts, 7), "unit": lambda: G.normalize_unit(pts), "dropout": lambda: A.point_dropout(pts)}
+    df = make[of]()
+    assert df.count() == {"random": 25, "exact": 7}.get(of, 50) and df.columns == pts.columns
+    assert "windowspecdefinition(cloud_id" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keyed_numbers(spark):
+    n = 1_000_003
+    far = spark.range(5, 8).crossJoin(spark.createDataFrame([(0,), (1,), (n,), (2 * n,), (n * n,)], "p long")).select(keyed.uniform(F.col("id"), F.col("p")).alias("u"))
+    assert far.distinct().count() == 15  # points beyond any factor share no number with other clouds
+    many = spark.range(2_000_000).select((F.col("id") % 1000 - 500).alias("c"), F.floor(F.col("id") / 1000).alias("p"))
+    many = many.select(keyed.uniform(F.col("c"), F.col("p"), 3).alias("u"), keyed.uniform(F.col("c"), F.col("p") + 1, 3).alias("v"), keyed.uniform(F.col("c"), F.col("p"), 3, 1).alias("w"), keyed.gaussian(F.col("c"), F.col("p"), 3).alias("g"))
+    r = many.agg(F.count_distinct("u").alias("n"), F.min("u").alias("lo"), F.max("u").alias("hi"), F.avg("u").alias("mean"), F.var_pop("u").alias("var"), F.corr("u", "v").alias("uv"), F.corr("u", "w").alias("uw"), F.avg("g").alias("gm"), F.var_pop("g").alias("gv")).first()
+    assert r.n == 2_000_000 and 0 < r.lo < 1e-5 and 1 - 1e-5 < r.hi < 1
+    assert abs(r["mean"] - 0.5) < 1e-3 and abs(r["var"] - 1 / 12) < 1e-3 and max(abs(r.uv), abs(r.uw)) < 4e-3 and abs(r.gm) < 4e-3 and abs(r.gv - 1) < 1e-2
+    counts = [x["count"] for x in many.groupBy(F.floor(F.col("u") * 200)).count().collect()]
+    assert len(counts) == 200 and sum((c - 10_000) ** 2 / 10_000 for c in counts) < 290  # chi-square, 199 degrees
+
+
+def test_keyed_numbers_equal_their_sql(spark):
+    keys = [(c, p) for c in (-(2**62), -7, 0, 1, 10**12) for p in (-1, 0, 5, 2147483647, 2**60)]
+    got = [tuple(r) for r in spark.createDataFrame(keys, "c long, p long").select(keyed.uniform(F.col("c"), F.col("p"), 11, 4), keyed.gaussian(F.col("c"), F.col("p"), 11)).collect()]
+    want = [duckdb.sql(f"select {keyed.uniform_sql(str(c), str(p), 11, 4)}, {keyed.gaussian_sql(str(c), str(p), 11)}").fetchall()[0] for c, p in keys]
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose(got, want, rtol=1e-12) and all(0 < g[0] < 1 for g in got)
+
+
 def test_no_window_sees_all_rows(spark):
     pts = cloud(spark, np.random.default_rng(0).random((60, 3))).withColumns({"label": F.lit(1), "pred": F.lit(1)})
     found = [S.shuffle_points(pts), S.assign_batches(pts, 7, ["point_idx"]), M.batch_accuracy(pts, 7, ["point_idx"]), A.noise_points(pts, 0.3), G.merge_clouds([pts, pts], 5), N.cloud_pairs(pts)]
@@ -399,6 +440,27 @@ def test_read_points_reports_bad_lines(spark, tmp_path):
     assert [r.name for r in SP.numbered(SP.read_points(spark, str(tmp_path))).select("name").distinct().collect()] == ["c1"]
 
 
+def test_large_text_files_are_read_in_splits(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    want = []
+    for name, end in (("a", "\n"), ("b", "\r\n"), ("empty", "")):
+        lines = [] if name == "empty" else ["" if k % 97 == 5 else f"{k} {'1' * int(rng.integers(1, 30))} 0.5" for k in range(4_000)]
+        (tmp_path / f"{name}.txt").write_bytes("".join(x + end for x in lines).encode())
+        want += [(name, k, float(k)) for k, x in enumerate(lines) if x]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        pts = SP.read_points(spark, str(tmp_path))
+        assert SP.numbered_lines(spark, str(tmp_path)).select(F.col("line_no")).agg(F.max("line_no")).first()[0] == 3_999
+        assert sorted((r.cloud_id, r.point_idx, r.x) for r in pts.collect()) == want and pts.filter("error is not null").count() == 0
+        one = pts.filter("cloud_id = 'b' and point_idx between 3000 and 3002").collect()  # filters must not change the numbers
+        assert sorted((r.point_idx, r.x) for r in one) == [(k, float(k)) for k in (3000, 3001, 3002) if k % 97 != 5]
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_ply_of_all_kinds(spark, tmp_path):
     head = "ply\nformat {}\nelement vertex {}\nproperty float x\nproperty uchar q\nproperty double y\nproperty float z\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n"
     rows = [(1.0, 7, 2.5, 3.0), (-1.0, 8, 0.5, 4.0)]
