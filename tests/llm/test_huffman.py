@@ -84,6 +84,13 @@ def test_files_round_trip_with_nulls_repeats_and_order(spark, tmp_path):
     assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
 
 
+def test_a_very_long_text(spark, tmp_path):
+    rows = [(1, "short"), (2, " ".join(f"{TEXTS[k % len(TEXTS)]} {k}" for k in range(30_000))), (3, "")]
+    H.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "l"), PATH, block_symbols=1_000)
+    got = sorted(H.read_ids(spark, str(tmp_path / "l")).collect(), key=lambda r: r.start)
+    assert [list(r.ids) for r in got] == _expected(rows) and len(got[1].ids) > 60_000
+
+
 def test_empty_table(spark, tmp_path):
     H.write_ids(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "e"), PATH)
     assert H.read_ids(spark, str(tmp_path / "e"), digest=True).count() == 0

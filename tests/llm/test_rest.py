@@ -85,6 +85,29 @@ def test_many_hosts_hot_hosts_and_none(spark):
     assert not any(i >= 9000 for i in want) and {r.doc_id for r in host_rules.kept_documents(docs).collect()} == want
 
 
+def test_rules_of_a_very_long_text(spark):
+    rng = random.Random(5)
+    text = "\n".join(" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 12))) for _ in range(20_000)) + " #$"
+    words, lines = text.split(), [x for x in text.split("\n") if x.split()]
+    at: dict = {}
+    for k in range(len(words) - 2):
+        at.setdefault(tuple(words[k : k + 3]), []).append(k)
+    repeated = {k + j for ks in at.values() if len(ks) > 1 for k in ks for j in range(3)}
+    r = host_rules.judge(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), 2, len(lines) - len(set(lines)), len(repeated))
+    assert r.base_failed == (100 * len(repeated) > 50 * len(words))
+
+
+def test_preferences_of_very_long_conversations(spark):
+    rng = random.Random(6)
+    shared = [("user" if k % 2 == 0 else "assistant", "".join(rng.choice("ab ") for _ in range(rng.randrange(200)))) for k in range(4_000)]
+    sides = {2: shared + [("user", "x"), ("assistant", "y" * 300_000)], 3: shared + [("user", "x"), ("assistant", "z"), ("user", "q")]}
+    turns = spark.createDataFrame([(c, k, *t) for c, ts in sides.items() for k, t in enumerate(ts)], "conv_id long, turn int, role string, text string")
+    r = preference.preferences(preference.neighbour_pairs(turns), turns).first()
+    assert r.prefix_turns == 4_001 and r.prompt.count("<|end|>") == 4_001
+    assert [r.chosen[a:b] for a, b in r.chosen_spans] == ["y" * 300_000 + "<|end|>\n"] and [r.rejected[a:b] for a, b in r.rejected_spans] == ["z<|end|>\n"]
+
+
 def test_heavy_join_is_a_left_join(spark):
     rows = spark.createDataFrame([("a", k) for k in range(3000)] + [("b", -1), (None, -2), ("z", -3)], "k string, v long")
     facts = spark.createDataFrame([("a", 3000, 1), ("b", 1, 2), ("c", 5, 3)], "k string, n long, x int")
@@ -382,6 +405,42 @@ def test_pipeline_matches_brute_force(spark, tiny):
     assert {i: sum(p[2] for p in parts if p[0] == i) for i in rows} == {i: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for i, (t, _) in rows.items()}
 
 
+def test_pipeline_with_nulls_repeats_long_texts_and_clashing_columns(spark, tiny):
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    clean = docs
+    for _, stage in C.STAGES[:-1]:
+        clean = C.written(stage(spark, clean, tiny), "stage")
+    first = sorted(clean.collect(), key=lambda r: r.doc_id)[0]
+    long = max((r.text for r in clean.filter("lang = 'en'").collect()), key=len)
+    rng = random.Random(3)
+    words = long.split()
+    long = "\n".join(" ".join(rng.choice(words) for _ in range(40)) for _ in range(3_000))
+    rows = [
+        first.asDict() | {"doc_id": None},  # a copy without an id
+        first.asDict(), first.asDict(),  # repeated rows
+        first.asDict() | {"doc_id": 200_001, "text": None}, first.asDict() | {"doc_id": 200_002, "text": ""},
+        first.asDict() | {"doc_id": 200_003, "text": long, "source": None},
+        dict.fromkeys(docs.columns),
+    ]
+    more = docs.unionByName(spark.createDataFrame([tuple(r[c] for c in docs.columns) for r in rows], docs.schema))
+    extra = "id fp token score n_words kept words host rate component_id a b n part value lang_pred doc order label".split()
+    more = C.written(more.withColumns({c: F.lit("clash") for c in extra}), "edges")
+    names = more.columns
+    for _, stage in C.STAGES[:-1]:
+        more = C.written(stage(spark, more, tiny), "stage")
+        assert more.columns == names
+    got = more.select("doc_id", "text").collect()
+    assert {tuple(r) for r in more.select(*extra).distinct().collect()} == {("clash",) * len(extra)}
+    assert sorted((r.doc_id is not None, r.doc_id) for r in got if r.text == first.text) == [(False, None), (True, first.doc_id)]  # rows without an id stay
+    assert all(r.text for r in got)
+    assert [r.doc_id for r in got if r.text == long] == [200_003]
+    assert {r.text for r in got} - {long} == {r.text for r in clean.collect()}
+    packed = C.STAGES[-1][1](spark, more, tiny).collect()
+    assert {i for r in packed for i in r.doc_ids} == {r.doc_id for r in got}
+
+
 def test_pipeline_runs(spark, tiny):
     import corpus_pipeline as C
 
