@@ -87,9 +87,9 @@ def split_by_area(rooms: DataFrame, k: int, train: bool = False) -> DataFrame:
 
 def split_head_tail(df: DataFrame, by: str, order: Sequence[str], share: float = 0.8) -> DataFrame:
     """Adds ``part``: head for the first round(share * n) rows of each class in order (half to even), tail for the rest."""
-    w = Window.partitionBy(by)
-    rank, size = F.row_number().over(w.orderBy(*order)), F.count(F.lit(1)).over(w)
-    return df.withColumn("part", F.when(rank <= F.bround(size * F.lit(share), 0), "head").otherwise("tail"))
+    rows = ranked_inside(df, by, *order, name="__k", size="__n")
+    head = F.col("__k") < F.bround(F.col("__n") * F.lit(share), 0)
+    return rows.withColumn("part", F.when(head, "head").otherwise("tail")).drop("__k", "__n")
 
 
 def shuffle_clouds(df: DataFrame, seed: int = 0) -> DataFrame:
