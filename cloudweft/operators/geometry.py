@@ -9,8 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..session import written
 from .catalog import EASY_VIEW, encode_class
+from .in_task import MOST_PAIRS, each_cloud, large_clouds, nearest
 from .order import ranked
 
 XYZ = ("x", "y", "z")
@@ -178,26 +181,57 @@ def quat_to_axis_angle(w: Column, x: Column, y: Column, z: Column) -> Column:
     return F.struct((2 * F.acos(F.greatest(F.least(w, F.lit(1.0)), F.lit(-1.0)))).alias("angle"), *[F.when(zero, F.lit(d)).otherwise(c / n).alias(k) for k, c, d in (("x", x, 1.0), ("y", y, 0.0), ("z", z, 0.0))])
 
 
-def estimate_normals(pts: DataFrame, radius: float, max_nn: int = 50) -> DataFrame:
+def _least(n: np.ndarray, xx: np.ndarray, xy: np.ndarray, xz: np.ndarray, yy: np.ndarray, yz: np.ndarray, zz: np.ndarray) -> np.ndarray:
+    """Directions of least spread of covariances, the largest component positive (the first of equal ones); up where there are fewer than three points."""
+    m = np.stack([np.stack(r, axis=-1) for r in ((xx, xy, xz), (xy, yy, yz), (xz, yz, zz))], axis=-2)
+    v = np.linalg.eigh(m)[1][:, :, 0]
+    size = np.abs(v)
+    big = (size > size.max(axis=1, keepdims=True) - 1e-9).argmax(axis=1)  # rounding doesn't choose among equal ones
+    v = v * np.sign(v[np.arange(len(v)), big])[:, None]
+    v[n < 3] = (0.0, 0.0, 1.0)
+    return v
+
+
+_UPPER = [(i, j) for i in range(3) for j in range(i, 3)]
+
+
+def estimate_normals(pts: DataFrame, radius: float, max_nn: int = 50, pairs: int = MOST_PAIRS) -> DataFrame:
     """(cloud_id, point_idx, nx, ny, nz, n): direction of least spread of at most ``max_nn`` nearest neighbours within ``radius``.
 
-    Covariances are aggregates over the neighbours; only 3 x 3 eigenvectors need a helper. The largest component is positive. Points with
-    fewer than three neighbours, themselves included, point up.
+    The largest component is positive. Points with fewer than three neighbours, themselves included, point up. Clouds of at most ``pairs``
+    pairs are worked on within a task, so that no neighbour is shuffled; in larger ones covariances are aggregates over the neighbours.
     """
+    rows = written(pts.select("cloud_id", "point_idx", *[F.col(c).cast("double").alias(c) for c in XYZ]), "normals-points")
+    large = large_clouds(rows, pairs)
+    schema = StructType([*[rows.schema[c] for c in ("cloud_id", "point_idx")], *StructType.fromDDL("nx double, ny double, nz double, n long").fields])
+
+    def work(c):
+        xyz = np.stack([c[n] for n in XYZ], axis=1)
+        for row, col, _, _ in nearest(xyz, xyz, max_nn, radius):
+            if not len(row):
+                continue
+            low, n = row[0], np.bincount(row - row[0])
+            here = np.flatnonzero(n)
+            at, n = np.searchsorted(here, row - low), n[here]
+            d = xyz[col] - xyz[row]
+            d -= np.stack([np.bincount(at, d[:, i]) / n for i in range(3)], axis=1)[at]
+            v = _least(n, *[np.bincount(at, d[:, i] * d[:, j]) / n for i, j in _UPPER])
+            yield {"point_idx": c["point_idx"][low + here], "nx": v[:, 0], "ny": v[:, 1], "nz": v[:, 2], "n": n}
+
+    if large is None:
+        return each_cloud(rows, work, schema, "point_idx")
+    few = each_cloud(rows.join(large, "cloud_id", "left_anti"), work, schema, "point_idx")
+    return few.unionByName(_normals_of_large(rows.join(large, "cloud_id", "left_semi"), radius, max_nn))
+
+
+def _normals_of_large(pts: DataFrame, radius: float, max_nn: int) -> DataFrame:
     from .neighbors import hybrid
 
-    near = hybrid(pts, pts, radius, max_nn).withColumnRenamed("a_idx", "point_idx")
-    means = [F.avg(f"b{c}").alias(f"m{c}") for c in XYZ]
-    pairs = [(a, b) for i, a in enumerate(XYZ) for b in XYZ[i:]]
-    cov = near.groupBy("cloud_id", "point_idx").agg(F.count("*").alias("n"), *[F.covar_pop(f"b{a}", f"b{b}").alias(f"c{a}{b}") for a, b in pairs], *means)
+    near = hybrid(pts, pts, radius, max_nn, pairs=0).withColumnRenamed("a_idx", "point_idx")
+    cov = near.groupBy("cloud_id", "point_idx").agg(F.count("*").alias("n"), *[F.covar_pop(f"b{XYZ[i]}", f"b{XYZ[j]}").alias(f"c{i}{j}") for i, j in _UPPER])
 
     @F.pandas_udf("nx double, ny double, nz double")
     def least(n: pd.Series, xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
-        m = np.stack([np.stack(r, axis=-1) for r in ((xx, xy, xz), (xy, yy, yz), (xz, yz, zz))], axis=-2)
-        v = np.linalg.eigh(m)[1][:, :, 0]
-        big = np.abs(v).argmax(axis=1)
-        v = v * np.sign(v[np.arange(len(v)), big])[:, None]
-        v[n.to_numpy() < 3] = (0.0, 0.0, 1.0)
-        return pd.DataFrame(v, columns=["nx", "ny", "nz"])
-
-    return cov.withColumn("v", least("n", *[f"c{a}{b}" for a, b in pairs])).select("cloud_id", "point_idx", "v.*", "n")
+        return pd.DataFrame(_least(*[c.to_numpy() for c in (n, xx, xy, xz, yy, yz, zz)]), columns=["nx", "ny", "nz"])
+
+    return cov.withColumn("v", least("n", *[f"c{i}{j}" for i, j in _UPPER])).select("cloud_id", "point_idx", "v.*", "n")

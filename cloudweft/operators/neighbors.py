@@ -1,8 +1,8 @@
 """Neighbours within clouds, matching and comparison.
 
 Radius searches join on cells of the radius: each point of the smaller side goes to the 27 cells around it, and pairs are filtered by
-their true distance, so work follows the number of close pairs. Nearest-neighbour searches rank all pairs of clouds that have few of
-them, and search larger clouds in tiles (``nearest``); with a starting radius they go by cells.
+their true distance, so work follows the number of close pairs. Nearest-neighbour searches stay within a task for clouds of few pairs
+(``in_task``), and search larger clouds in tiles (``nearest``).
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import written
 from . import farthest
+from .in_task import MOST_PAIRS, each_cloud, large_clouds, nearest, two_sides
 from .nearest import knn_tiles
 from .order import ranked
 
@@ -117,62 +119,77 @@ def group_max(groups: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("cl
     return groups.groupBy(*keys).agg(*[F.max(c).alias(c) for c in cols])
 
 
-def knn(a: DataFrame, b: DataFrame, k: int, a_idx: str = "point_idx", b_idx: str = "point_idx", pairs: int = 20_000_000) -> DataFrame:
+def _in_tasks(rows: DataFrame, k: int, radius: float | None = None, both: bool = False) -> DataFrame:
+    """(cloud_id, way, a_idx, b_idx, d2, bx, by, bz, rank) of the clouds of ``two_sides``, each within a task; with ``both`` way 1 is from side 1 to side 0."""
+    idx = rows.schema["point_idx"].dataType.simpleString()
+    schema = StructType([rows.schema["cloud_id"], *StructType.fromDDL(f"way int, a_idx {idx}, b_idx {idx}, d2 double, bx double, by double, bz double, rank int").fields])
+
+    def work(c):
+        idx, xyz = c["point_idx"], np.stack([c[n] for n in XYZ], axis=1)
+        sides = [np.flatnonzero(c["side"] == s) for s in (0, 1)]
+        for way in range(1 + both):
+            a, b = sides[way], sides[1 - way]
+            for row, col, d2, rank in nearest(xyz[a], xyz[b], k, radius):
+                at = b[col]
+                yield {"way": np.full(len(row), way, np.int32), "a_idx": idx[a[row]], "b_idx": idx[at], "d2": d2, "bx": xyz[at, 0], "by": xyz[at, 1], "bz": xyz[at, 2], "rank": rank}
+
+    return each_cloud(rows, work, schema, "side", "point_idx")
+
+
+def _indexed(df: DataFrame, idx: str) -> DataFrame:
+    return df.select("cloud_id", F.col(idx).alias("point_idx"), *[F.col(c).cast("double").alias(c) for c in XYZ])
+
+
+def _side_of(rows: DataFrame, side: int, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    return rows.filter(F.col("side") == side).drop("side").join(ids, "cloud_id", how)
+
+
+def knn(a: DataFrame, b: DataFrame, k: int, a_idx: str = "point_idx", b_idx: str = "point_idx", pairs: int = MOST_PAIRS) -> DataFrame:
     """(cloud_id, a_idx, b_idx, d2, rank): the ``k`` nearest of ``b`` for each of ``a``, the lower index first on ties.
 
-    Clouds of at most ``pairs`` pairs rank them all, cut to ``k`` before they are shuffled; larger ones are searched in tiles of
-    adapted size. Both ways are exact.
+    Clouds of at most ``pairs`` pairs are searched within a task, so that no pair is shuffled; larger ones in tiles of adapted size. Both
+    ways are exact. The points are written once.
     """
-    sizes = a.groupBy("cloud_id").agg(F.count("*").alias("na")).join(b.groupBy("cloud_id").agg(F.count("*").alias("nb")), "cloud_id")
-    large = written(sizes.filter(F.col("na").cast("double") * F.col("nb") > pairs).select("cloud_id"), "knn-large")
-    rank = F.row_number().over(Window.partitionBy("cloud_id", "a_idx").orderBy("d2", "b_idx"))
-    cut = (lambda df, how: df.join(large, "cloud_id", how)) if (more := not large.isEmpty()) else (lambda df, how: df)
-    few = square_distance(cut(a, "left_anti"), cut(b, "left_anti"), a_idx, b_idx).withColumn("rank", rank).filter(F.col("rank") <= k)
-    return few.unionByName(knn_tiles(cut(a, "left_semi"), cut(b, "left_semi"), k, a_idx, b_idx).select(*few.columns)) if more else few
+    rows = two_sides(_indexed(a, a_idx), _indexed(b, b_idx))
+    large, cols = large_clouds(rows, pairs), ["cloud_id", "a_idx", "b_idx", "d2", "rank"]
+    if large is None:
+        return _in_tasks(rows, k).select(*cols)
+    few = _in_tasks(rows.join(large, "cloud_id", "left_anti"), k).select(*cols)
+    return few.unionByName(knn_tiles(_side_of(rows, 0, large), _side_of(rows, 1, large), k).select(*cols))
 
 
-def hybrid(a: DataFrame, b: DataFrame, radius: float, max_nn: int, crowd: int = 32) -> DataFrame:
+def hybrid(a: DataFrame, b: DataFrame, radius: float, max_nn: int, crowd: int = 32, pairs: int = MOST_PAIRS) -> DataFrame:
     """(cloud_id, a_idx, b_idx, d2, bx, by, bz, rank): at most ``max_nn`` nearest of ``b`` within ``radius`` for each of ``a``.
 
-    Clouds go by cells of the radius as long as a point's own cell holds ``crowd`` times ``max_nn`` points or fewer, on average over
-    the points; the pairs of crowded ones would grow with the square of a cell, so these are searched in tiles. Both ways are exact.
+    Clouds of at most ``pairs`` pairs are searched within a task. Larger ones go by cells of the radius as long as a point's own cell holds
+    ``crowd`` times ``max_nn`` points or fewer, on average over the points; the pairs of crowded ones would grow with the square of a
+    cell, so these are searched in tiles. All ways are exact.
     """
+    rows, cols = two_sides(_indexed(a, "point_idx"), _indexed(b, "point_idx")), ["cloud_id", "a_idx", "b_idx", "d2", "bx", "by", "bz", "rank"]
+    large = large_clouds(rows, pairs)
+    if large is None:
+        return _in_tasks(rows, max_nn, radius).select(*cols)
+    few = _in_tasks(rows.join(large, "cloud_id", "left_anti"), max_nn, radius).select(*cols)
+    return few.unionByName(_by_cells_or_tiles(_side_of(rows, 0, large), _side_of(rows, 1, large), radius, max_nn, crowd).select(*cols))
+
+
+def _by_cells_or_tiles(a: DataFrame, b: DataFrame, radius: float, max_nn: int, crowd: int) -> DataFrame:
     cell = [F.floor(F.col(c) / radius).alias(f"c{c}") for c in XYZ]
     sizes = [df.groupBy("cloud_id", *cell).agg(F.count("*").cast("double").alias(n)) for df, n in ((a, "na"), (b, "nb"))]
     met = sizes[0].join(sizes[1], ["cloud_id", "cx", "cy", "cz"], "left").groupBy("cloud_id").agg(F.sum(F.col("na") * F.col("nb")).alias("pairs"), F.sum("na").alias("n"))
-    large = written(met.filter(F.col("pairs") > crowd * max_nn * F.col("n")).select("cloud_id"), "hybrid-large")
-    cut = (lambda df, how: df.join(large, "cloud_id", how)) if (more := not large.isEmpty()) else (lambda df, how: df)
+    crowded = written(met.filter(F.col("pairs") > crowd * max_nn * F.col("n")).select("cloud_id"), "hybrid-large")
+    cut = (lambda df, how: df.join(crowded, "cloud_id", how)) if (more := not crowded.isEmpty()) else (lambda df, how: df)
     rank = F.row_number().over(Window.partitionBy("cloud_id", "a_idx").orderBy("d2", "b_idx"))
     near = cell_join(cut(a, "left_anti"), cut(b, "left_anti"), radius).select("cloud_id", "a_idx", "b_idx", "d2", "bx", "by", "bz").withColumn("rank", rank).filter(F.col("rank") <= max_nn)
     return near.unionByName(knn_tiles(cut(a, "left_semi"), cut(b, "left_semi"), max_nn, radius=radius)) if more else near
 
 
-def knn_by_radius(a: DataFrame, b: DataFrame, k: int, r: float, rounds: int = 6) -> DataFrame:
-    """``knn`` for two large sides: a cell join within ``r`` settles every point with ``k`` neighbours there, the rest go on with twice the
-    radius, and those left after ``rounds`` (clouds of few points) take the plain way. Exact; each round is a written table."""
-    left, b, found = written(a.select("cloud_id", "point_idx", *XYZ), "knn-left"), written(b.select("cloud_id", "point_idx", *XYZ), "knn-right"), None
-    n_b = b.count()
-    for _ in range(rounds):
-        replicate = "b" if n_b < left.count() else "a"
-        rank = F.row_number().over(Window.partitionBy("cloud_id", "a_idx").orderBy("d2", "b_idx"))
-        near = cell_join(left, b, r, replicate=replicate).select("cloud_id", "a_idx", "b_idx", "d2").withColumn("rank", rank).filter(F.col("rank") <= k)
-        full = F.count(F.lit(1)).over(Window.partitionBy("cloud_id", "a_idx")) == k
-        near = written(near.withColumn("full", full).filter("full").drop("full"), "knn")
-        found = near if found is None else found.unionByName(near)
-        settled = near.filter("rank = 1").select("cloud_id", F.col("a_idx").alias("point_idx"))
-        left = written(left.join(settled, ["cloud_id", "point_idx"], "left_anti"), "knn-left")
-        if left.isEmpty():
-            return found
-        r *= 2
-    return found.unionByName(knn(left, b, k))
-
-
 def interpolate_3nn(fine: DataFrame, coarse: DataFrame, cols: Sequence[str], radius: float | None = None) -> DataFrame:
     """(cloud_id, point_idx, cols): means of the three nearest coarse points, weighted by 1 / (d2 + 1e-8); fewer if there are fewer.
 
-    With a starting ``radius`` neighbours are found by cells, as a coarse level of many points needs.
+    Neighbours are exact whatever ``radius``; it is a starting radius that callers may state, and the search needs none.
     """
-    near = (knn(fine, coarse, 3) if radius is None else knn_by_radius(fine, coarse, 3, radius)).withColumn("w", 1 / (F.col("d2") + 1e-8))
+    near = knn(fine, coarse, 3).withColumn("w", 1 / (F.col("d2") + 1e-8))
     values = near.join(coarse.select("cloud_id", F.col("point_idx").alias("b_idx"), *cols), ["cloud_id", "b_idx"])
     return values.groupBy("cloud_id", F.col("a_idx").alias("point_idx")).agg(*[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in cols])
 
@@ -180,14 +197,17 @@ def interpolate_3nn(fine: DataFrame, coarse: DataFrame, cols: Sequence[str], rad
 def nn_distance(a: DataFrame, b: DataFrame, radius: float | None = None) -> DataFrame:
     """(cloud_id, side, point_idx, d2, nn_idx): the nearest point of the other cloud for all of ``a`` (side a) and ``b`` (side b).
 
-    With a starting ``radius`` neighbours are found by cells, for two sides of many points.
+    Neighbours are exact whatever ``radius``; it is a starting radius that callers may state, and the search needs none.
     """
-    if radius is not None:
-        ways = [(side, knn_by_radius(p, q, 1, radius)) for side, p, q in (("a", a, b), ("b", b, a))]
-        one, two = (near.select("cloud_id", F.lit(side).alias("side"), F.col("a_idx").alias("point_idx"), "d2", F.col("b_idx").alias("nn_idx")) for side, near in ways)
-        return one.unionByName(two)
-    one, two = (near.select("cloud_id", F.lit(side).alias("side"), F.col("a_idx").alias("point_idx"), "d2", F.col("b_idx").alias("nn_idx")) for side, near in (("a", knn(a, b, 1)), ("b", knn(b, a, 1))))
-    return one.unionByName(two)
+    rows, cols = two_sides(_indexed(a, "point_idx"), _indexed(b, "point_idx")), ["cloud_id", "side", F.col("a_idx").alias("point_idx"), "d2", F.col("b_idx").alias("nn_idx")]
+    side = F.when(F.col("way") == 0, "a").otherwise("b")
+    if (large := large_clouds(rows)) is None:
+        return _in_tasks(rows, 1, both=True).withColumn("side", side).select(*cols)
+    found = _in_tasks(rows.join(large, "cloud_id", "left_anti"), 1, both=True).withColumn("side", side).select(*cols)
+    p, q = (_side_of(rows, s, large) for s in (0, 1))
+    for name, near in (("a", knn_tiles(p, q, 1)), ("b", knn_tiles(q, p, 1))):
+        found = found.unionByName(near.withColumn("side", F.lit(name)).select(*cols))
+    return found
 
 
 def simplification_loss(ref: DataFrame, samp: DataFrame, size: int, gamma: float = 1.0, delta: float = 0.0) -> DataFrame:
