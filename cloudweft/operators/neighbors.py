@@ -246,10 +246,15 @@ def compare_clouds(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "point_idx").withColumn("distance", F.sqrt(_between()))
 
 
-def cloud_pairs(clouds: DataFrame, key: str = "cloud_id") -> DataFrame:
-    """(a, b): all pairs of clouds with a < b, the work list of a registration of every pair. Each cloud names the ranks below its own."""
+def cloud_pairs(clouds: DataFrame, key: str = "cloud_id", each: int = 10_000_000) -> DataFrame:
+    """(a, b): all pairs of clouds with a < b, the work list of a registration of every pair. Each cloud names the ranks below its own.
+
+    The clouds are dealt out evenly to a task for about ``each`` pairs, so that no task grows with the square of the clouds.
+    """
     places = ranked(clouds.select(key).distinct(), key, name="__k")
-    lower = places.filter("__k > 0").select(F.col(key).alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__k") - 1)).alias("__k"))
+    n = places.count()
+    dealt = places.filter("__k > 0").repartition(max(1, -(-n * n // (2 * each))), "__k")
+    lower = dealt.select(F.col(key).alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__k") - 1)).alias("__k"))
     return lower.join(places, "__k").select(F.col(key).alias("a"), "b")
 
 

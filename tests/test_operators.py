@@ -541,3 +541,11 @@ def test_entry_points(spark):
 
     assert set(E.oracle_sql()) <= set(E.queries())
     assert E.entry(spark).count() > 0
+
+
+def test_cloud_pairs_are_dealt_out_by_their_number(spark):
+    clouds = spark.createDataFrame([(k * 3,) for k in range(60)], "cloud_id long")
+    got = N.cloud_pairs(clouds, each=200)
+    assert sorted(map(tuple, got.collect())) == [(a * 3, b * 3) for a in range(60) for b in range(a + 1, 60)]
+    sizes = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 5 and max(sizes) < 900
