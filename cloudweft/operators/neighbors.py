@@ -267,22 +267,47 @@ def feature_matches(a: DataFrame, b: DataFrame, r: float, edge: float = 0.9, blo
     left = a.select(F.col("vec_id").alias("a_id"), F.col("embedding").cast("array<double>").alias("av"))
     right = b.select(F.col("vec_id").alias("b_id"), F.col("embedding").cast("array<double>").alias("bv"))
     blocks = max(1, -(-b.count() // block))
-    right = right.withColumn("block", F.pmod(F.xxhash64("b_id"), F.lit(blocks)))
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("a_id", F.lit(1)), F.lit(max(1, blocks))))
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1))))
+    # keys of one type: cogroups of other types don't meet
+    own = lambda *cols: F.pmod(F.xxhash64(*cols), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = left.withColumn("block", every).withColumn("part", own("a_id", F.lit(1)))
+    right = right.withColumn("block", own("b_id")).withColumn("part", every)
+
+    def total(v):
+        """Row sums, one column after the other: equal rows have equal sums, and SQL adds in this order."""
+        out = np.zeros(len(v))
+        for k in range(v.shape[1]):
+            out += v[:, k]
+        return out
 
     def nearest(key, p, q):
         import pandas as pd
 
+        none = pd.DataFrame(columns=["a_id", "b_id", "d", "la", "lb"])
         if p.empty or q.empty:
-            return pd.DataFrame(columns=["a_id", "b_id", "d2", "la", "lb"])
+            return none
         q = q.sort_values("b_id", ignore_index=True)
         x, y = np.stack(p.av.to_numpy()), np.stack(q.bv.to_numpy())
-        at = ((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T).argmin(axis=1)
-        d2 = ((x - y[at]) ** 2).sum(axis=1)
-        return pd.DataFrame({"a_id": p.a_id, "b_id": q.b_id.to_numpy()[at], "d2": d2, "la": np.sqrt((x**2).sum(1)), "lb": np.sqrt((y[at] ** 2).sum(1))})
-
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(nearest, "a_id long, b_id long, d2 double, la double, lb double")
-    best = found.groupBy("a_id").agg(F.min(F.struct("d2", "b_id", "la", "lb")).alias("m")).select("a_id", "m.b_id", F.sqrt("m.d2").alias("distance"), "m.la", "m.lb")
+        (p, x), (q, y) = ((df[ok], v[ok]) for df, v, ok in ((p, x, np.isfinite(x).all(axis=1)), (q, y, np.isfinite(y).all(axis=1))))
+        if p.empty or q.empty:
+            return none
+        first = np.sort(np.unique(y, axis=0, return_index=True)[1])  # of equal vectors the lowest id alone can win
+        ids, y = q.b_id.to_numpy()[first], y[first]
+        x2, y2 = total(x * x), total(y * y)
+        out = []
+        for at in range(0, len(x), 1_024):  # the product of matrices only proposes: what is as near but for its rounding is measured
+            part, part2 = x[at : at + 1_024], x2[at : at + 1_024]
+            about = part2[:, None] + y2[None] - 2 * part @ y.T
+            slack = 8 * (x.shape[1] + 2) * np.finfo(float).eps * (part2 + y2.max())
+            row, col = np.nonzero(about <= (about.min(axis=1) + slack)[:, None])
+            d = np.sqrt(total((part[row] - y[col]) ** 2))
+            by = np.lexsort((ids[col], d, row))
+            by = by[np.diff(row[by], prepend=-1) != 0]
+            row, col = row[by], col[by]
+            out.append(pd.DataFrame({"a_id": p.a_id.to_numpy()[at + row], "b_id": ids[col], "d": d[by], "la": np.sqrt(part2[row]), "lb": np.sqrt(y2[col])}))
+        return pd.concat(out)
+
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(nearest, "a_id long, b_id long, d double, la double, lb double")
+    best = found.groupBy("a_id").agg(F.min(F.struct("d", "b_id", "la", "lb")).alias("m")).select("a_id", "m.b_id", F.col("m.d").alias("distance"), "m.la", "m.lb")
     ratio = F.least("la", "lb") >= edge * F.greatest("la", "lb")
     return best.filter(F.col("distance") <= r).select("a_id", "b_id", "distance", ratio.alias("kept"))

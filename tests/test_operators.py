@@ -549,3 +549,26 @@ def test_cloud_pairs_are_dealt_out_by_their_number(spark):
     assert sorted(map(tuple, got.collect())) == [(a * 3, b * 3) for a in range(60) for b in range(a + 1, 60)]
     sizes = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) > 5 and max(sizes) < 900
+
+
+@pytest.mark.parametrize("block", [4_096, 25])
+def test_feature_matches_of_copies_and_ties(spark, block):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 16)).astype("float32").astype(float)
+    near = [base[rng.integers(40)] + rng.choice([0.0, 0.25], 16) for _ in range(60)]
+    a, b = ([(int(k), v.tolist()) for k, v in enumerate(s)] for s in ([*base, *near], [*near, *base[::2], *near[::-1], *(v[::-1] for v in near)]))
+    sides = [spark.createDataFrame(s, "vec_id long, embedding array<double>") for s in (a, b)]
+
+    def d(x, y):
+        s = 0.0
+        for p, q in zip(x, y):
+            s += (p - q) * (p - q)
+        return math.sqrt(s)
+
+    want = {i: min((d(x, y), j) for j, y in b) for i, x in a}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small shuffles would become one partition, where all keys meet
+    try:
+        got = {r.a_id: (r.distance, r.b_id) for r in N.feature_matches(*sides, 100.0, block=block).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want
