@@ -5,9 +5,13 @@ from __future__ import annotations
 import math
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cloudweft import plans
+from cloudweft.operators.in_task import each_cloud
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -54,5 +58,12 @@ def test_rows(spark, tiny, name):
     assert plans.QUERIES[name](spark, tiny).count() > 0
 
 
+def test_clouds_are_dealt_out_to_all_tasks(spark, tiny):
+    pts = plans.views.points(spark, tiny)
+    clouds = each_cloud(pts, lambda c: iter([{"n": np.array([len(c["x"])])}]), StructType([pts.schema["cloud_id"], *StructType.fromDDL("n long").fields]))
+    for df in (pts, clouds):  # small shuffles are not joined to one task
+        assert df.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_every_sql_has_a_query():
     assert set(plans.SQL) <= set(plans.QUERIES)
