@@ -8,10 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import written
 from .farthest import fps_complete
 from .geometry import XYZ, transform_points
+from .in_task import MOST_PAIRS, each_cloud, large_clouds, nearest, two_sides
 from .neighbors import cell_join, hybrid, index_points
 
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
@@ -165,12 +167,67 @@ def _correspondences(source: DataFrame, target: DataFrame, size: float) -> DataF
     return near.groupBy("cloud_id", "a_idx").agg(F.min(F.struct("d2", "b_idx", "ax", "ay", "az", "bx", "by", "bz")).alias("m")).select("cloud_id", "a_idx", "m.*")
 
 
-def icp(source: DataFrame, target: DataFrame, size: float, init: DataFrame | None = None, iters: int = 10) -> DataFrame:
+def _solved(h: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """The 4 x 4 motion of one round, from its normal equations."""
+    x = np.linalg.lstsq(h, -rhs, rcond=1e-9)[0]
+    (cx, cy, cz), (sx, sy, sz) = np.cos(x[:3]), np.sin(x[:3])
+    t = np.eye(4)
+    t[:3, :3] = np.array([[cz, -sz, 0], [sz, cz, 0], [0, 0, 1]]) @ np.array([[cy, 0, sy], [0, 1, 0], [-sy, 0, cy]]) @ np.array([[1, 0, 0], [0, cx, -sx], [0, sx, cx]])
+    t[:3, 3] = x[3:]
+    return t
+
+
+def icp(source: DataFrame, target: DataFrame, size: float, init: DataFrame | None = None, iters: int = 10, pairs: int = MOST_PAIRS) -> DataFrame:
     """(cloud_id, m, fitness, rmse): point-to-plane registration of every source cloud to its target (with normals nx, ny, nz).
 
-    Each round joins nearest points within ``size`` by cells, adds up the 6 x 6 normal equations by aggregates, and solves them for
-    all clouds in a helper; the matrices are a written table, so the lineage stays short. ``fitness`` is the share of source points
-    with a correspondence.
+    Both sides are written once. Clouds of at most ``pairs`` pairs run all rounds within a task, so that no correspondence is shuffled; larger
+    ones join in each round (``_icp_of_large``). ``fitness`` is the share of source points with a correspondence.
+    """
+    nrm = ["nx", "ny", "nz"]
+    cols = lambda df, *more: df.select("cloud_id", "point_idx", *[F.col(c).cast("double").alias(c) for c in (*XYZ, *more)])
+    rows = two_sides(cols(source), cols(target, *nrm), nrm, "icp-sides")
+    clouds = source.select("cloud_id").distinct() if init is None else source.select("cloud_id").distinct().join(init.select("cloud_id", F.col("m").alias("given")), "cloud_id", "left")
+    start = F.array(*[F.lit(v) for v in IDENTITY])
+    poses = written(clouds.select("cloud_id", (start if init is None else F.coalesce("given", start)).alias("m")), "icp")
+    large = large_clouds(rows, pairs)
+    few = rows if large is None else rows.join(large, "cloud_id", "left_anti")
+    if init is not None:
+        moved = transform_points(few.filter("side = 0").select("cloud_id", "point_idx", *XYZ), poses)
+        few = two_sides(moved, few.filter("side = 1").drop("side"), nrm, "icp-moved")
+    schema = StructType([rows.schema["cloud_id"], *StructType.fromDDL("t array<double>, fitness double, rmse double").fields])
+
+    def work(c):
+        a, b = (np.flatnonzero(c["side"] == s) for s in (0, 1))
+        if not len(a):
+            return
+        xyz, n = np.stack([c[k] for k in XYZ], axis=1), np.stack([c[k] for k in nrm], axis=1)[b]
+        p, q, t = xyz[a], xyz[b], np.eye(4)
+        for k in range(iters + 1):
+            now = p @ t[:3, :3].T + t[:3, 3]
+            found = list(nearest(now, q, 1, size))
+            row, col, d2 = (np.concatenate([f[i] for f in found]) for i in range(3)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+            if k == iters or not len(row):
+                break
+            jac = np.hstack([np.cross(now[row], n[col]), n[col]])
+            res = ((now[row] - q[col]) * n[col]).sum(axis=1)
+            t = _solved(jac.T @ jac, jac.T @ res) @ t
+        yield {"t": [t.ravel().tolist()], "fitness": np.array([len(row) / len(a)]), "rmse": np.array([np.sqrt(d2.mean()) if len(row) else 0.0])}
+
+    @F.pandas_udf("array<double>")
+    def after(t: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([(np.array(x).reshape(4, 4) @ np.array(y).reshape(4, 4)).ravel().tolist() for x, y in zip(t, m)])
+
+    out = each_cloud(few, work, schema, "side", "point_idx")
+    out = out.withColumnRenamed("t", "m") if init is None else out.join(poses, "cloud_id").select("cloud_id", after("t", "m").alias("m"), "fitness", "rmse")
+    if large is None:
+        return out
+    sides = [rows.filter(F.col("side") == s).drop("side").join(large, "cloud_id", "left_semi") for s in (0, 1)]
+    return out.unionByName(_icp_of_large(*sides, size, poses.join(large, "cloud_id", "left_semi"), iters))
+
+
+def _icp_of_large(source: DataFrame, target: DataFrame, size: float, poses: DataFrame, iters: int) -> DataFrame:
+    """Each round joins nearest points within ``size`` by cells, adds up the 6 x 6 normal equations by aggregates, and solves them for
+    all clouds in a helper; the matrices are a written table, so the lineage stays short.
     """
     eq = [(i, j) for i in range(6) for j in range(i, 6)]
 
@@ -181,18 +238,9 @@ def icp(source: DataFrame, target: DataFrame, size: float, init: DataFrame | Non
             h = np.zeros((6, 6))
             for (i, j), v in zip(eq, up):
                 h[i, j] = h[j, i] = v
-            x = np.linalg.lstsq(h, -np.array(rhs), rcond=1e-9)[0]
-            (cx, cy, cz), (sx, sy, sz) = np.cos(x[:3]), np.sin(x[:3])
-            t = np.eye(4)
-            t[:3, :3] = np.array([[cz, -sz, 0], [sz, cz, 0], [0, 0, 1]]) @ np.array([[cy, 0, sy], [0, 1, 0], [-sy, 0, cy]]) @ np.array([[1, 0, 0], [0, cx, -sx], [0, sx, cx]])
-            t[:3, 3] = x[3:]
-            out.append((t @ np.array(old).reshape(4, 4)).ravel().tolist())
+            out.append((_solved(h, np.array(rhs)) @ np.array(old).reshape(4, 4)).ravel().tolist())
         return pd.Series(out)
 
-    clouds = source.select("cloud_id").distinct()
-    start = F.array(*[F.lit(v) for v in IDENTITY])
-    poses = clouds.join(init.select("cloud_id", F.col("m").alias("given")), "cloud_id", "left").select("cloud_id", F.coalesce("given", start).alias("m")) if init is not None else clouds.select("cloud_id", start.alias("m"))
-    poses = written(poses, "icp")
     normals = target.select("cloud_id", F.col("point_idx").alias("b_idx"), "nx", "ny", "nz")
     for _ in range(iters):
         pairs = _correspondences(transform_points(source.select("cloud_id", "point_idx", *XYZ), poses), target, size).join(normals, ["cloud_id", "b_idx"])

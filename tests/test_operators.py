@@ -572,3 +572,21 @@ def test_feature_matches_of_copies_and_ties(spark, block):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == want
+
+
+def test_icp_in_tasks_equals_icp_by_joins(spark):
+    rng = np.random.default_rng(8)
+    t, src = [], []
+    for c in range(4):
+        xyz, n = rng.uniform(0, 3, (60, 3)), rng.normal(size=(60, 3))
+        n /= np.linalg.norm(n, axis=1, keepdims=True)
+        t += [(c, k, *map(float, p), *map(float, v)) for k, (p, v) in enumerate(zip(xyz, n))]
+        src += [(c, k, *map(float, p)) for k, p in enumerate(xyz[: 50 + c] + [0.06, -0.04, 0.05] + rng.normal(0, 0.01, (50 + c, 3)))]
+    src.append((9, 0, 1.0, 1.0, 1.0))  # no target
+    target, source = spark.createDataFrame(t, "cloud_id long, point_idx long, x double, y double, z double, nx double, ny double, nz double"), spark.createDataFrame(src, "cloud_id long, point_idx long, x double, y double, z double")
+    init = spark.createDataFrame([(1, [1.0, 0.0, 0.0, -0.05, 0.0, 1.0, 0.0, 0.03, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0])], "cloud_id long, m array<double>")
+    for given in (None, init):
+        ways = [sorted(R.icp(source, target, 0.6, given, 3, pairs=p).select("cloud_id", "m", "fitness", "rmse").collect()) for p in (10_000, 3_100, 0)]
+        assert [r.cloud_id for r in ways[0]] == [0, 1, 2, 3, 9]
+        for way in ways[1:]:
+            assert all(a.fitness == b.fitness and np.allclose(a.m, b.m, atol=1e-9) and abs(a.rmse - b.rmse) < 1e-9 for a, b in zip(ways[0], way, strict=True))
