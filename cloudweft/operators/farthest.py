@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import discard, written
+from .in_task import large_clouds, two_sides
+from .nearest import knn_tiles
 from .order import ranked
 from .sampling import head_points
 from .tiles import tiled
@@ -326,15 +328,25 @@ def group_nearest_seed(pts: DataFrame, seeds: DataFrame, r: float, include_last:
     Without ``include_last`` the last seed owns nothing, as where distances are those of the last step. The addition can make equal what
     differed by less than its rounding, so the ``_TIED`` nearest seeds of a point are compared with it.
     """
-    from .neighbors import knn
+    from .neighbors import _folded, _indexed, _side_of
 
     if not include_last:
         last = Window.partitionBy("cloud_id")
         seeds = seeds.withColumn("__last", F.max("seed_no").over(last)).filter("seed_no < __last").drop("__last")
+    rows = two_sides(_indexed(pts, "point_idx"), _indexed(seeds, "seed_no"))
+
+    def least(c, at, d2, first):
+        d, seed = np.sqrt(d2), c["point_idx"][at]
+        row = np.repeat(np.arange(len(first)), np.diff(first, append=len(d2)))
+        yield "label", seed[np.lexsort((seed, np.where(d > r, d + 1e6 * r, d), row))[first]]
+
+    if (large := large_clouds(rows)) is None:
+        return _folded(rows, _TIED, [("label", "long")], least)
     d = F.sqrt("d2")
     far = F.when(d > r, d + 1e6 * r).otherwise(d)
-    near = knn(pts, seeds, _TIED, b_idx="seed_no")
-    return near.groupBy("cloud_id", F.col("a_idx").alias("point_idx")).agg(F.min_by(F.col("b_idx").cast("long"), F.struct(far, "b_idx")).alias("label"))
+    near = knn_tiles(_side_of(rows, 0, large), _side_of(rows, 1, large), _TIED)
+    few = _folded(rows.join(large, "cloud_id", "left_anti"), _TIED, [("label", "long")], least)
+    return few.unionByName(near.groupBy("cloud_id", F.col("a_idx").alias("point_idx")).agg(F.min_by(F.col("b_idx").cast("long"), F.struct(far, "b_idx")).alias("label")))
 
 
 def sampling_report(pts: DataFrame, samples: dict[str, DataFrame]) -> DataFrame:

@@ -7,10 +7,11 @@ their true distance, so work follows the number of close pairs. Nearest-neighbou
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -136,6 +137,23 @@ def _in_tasks(rows: DataFrame, k: int, radius: float | None = None, both: bool =
     return each_cloud(rows, work, schema, "side", "point_idx")
 
 
+def _folded(rows: DataFrame, k: int, fields: Sequence[tuple[str, str]], fold: Callable) -> DataFrame:
+    """(cloud_id, point_idx, ``fields``): one row for each point of side 0, made within the task of its ``k`` nearest of side 1, so that no
+    neighbour is shuffled. ``fold`` gets the cloud's columns, the places of the neighbours in them, their squared distances, nearest first,
+    and where each point's neighbours begin; it gives out names and values."""
+    schema = StructType([rows.schema["cloud_id"], rows.schema["point_idx"], *StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields)).fields])
+
+    def work(c):
+        xyz = np.stack([c[n] for n in XYZ], axis=1)
+        a, b = (np.flatnonzero(c["side"] == s) for s in (0, 1))
+        for row, col, d2, _ in nearest(xyz[a], xyz[b], k):
+            if len(row):
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                yield {"point_idx": c["point_idx"][a[row[first]]]} | dict(fold(c, b[col], d2, first))
+
+    return each_cloud(rows, work, schema, "side", "point_idx")
+
+
 def _indexed(df: DataFrame, idx: str) -> DataFrame:
     return df.select("cloud_id", F.col(idx).alias("point_idx"), *[F.col(c).cast("double").alias(c) for c in XYZ])
 
@@ -150,8 +168,13 @@ def knn(a: DataFrame, b: DataFrame, k: int, a_idx: str = "point_idx", b_idx: str
     Clouds of at most ``pairs`` pairs are searched within a task, so that no pair is shuffled; larger ones in tiles of adapted size. Both
     ways are exact. The points are written once.
     """
+    return knn_points(a, b, k, a_idx, b_idx, pairs).drop("bx", "by", "bz")
+
+
+def knn_points(a: DataFrame, b: DataFrame, k: int, a_idx: str = "point_idx", b_idx: str = "point_idx", pairs: int = MOST_PAIRS) -> DataFrame:
+    """``knn`` with the found points' coordinates bx, by, bz before the rank, so that no join has to fetch them."""
     rows = two_sides(_indexed(a, a_idx), _indexed(b, b_idx))
-    large, cols = large_clouds(rows, pairs), ["cloud_id", "a_idx", "b_idx", "d2", "rank"]
+    large, cols = large_clouds(rows, pairs), ["cloud_id", "a_idx", "b_idx", "d2", "bx", "by", "bz", "rank"]
     if large is None:
         return _in_tasks(rows, k).select(*cols)
     few = _in_tasks(rows.join(large, "cloud_id", "left_anti"), k).select(*cols)
@@ -189,9 +212,25 @@ def interpolate_3nn(fine: DataFrame, coarse: DataFrame, cols: Sequence[str], rad
 
     Neighbours are exact whatever ``radius``; it is a starting radius that callers may state, and the search needs none.
     """
-    near = knn(fine, coarse, 3).withColumn("w", 1 / (F.col("d2") + 1e-8))
-    values = near.join(coarse.select("cloud_id", F.col("point_idx").alias("b_idx"), *cols), ["cloud_id", "b_idx"])
-    return values.groupBy("cloud_id", F.col("a_idx").alias("point_idx")).agg(*[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in cols])
+    held, none = [f"__v{k}" for k in range(len(cols))], [f"__none{k}" for k in range(len(cols))]
+    values = [F.col(c).cast("double").alias(v) for c, v in zip(cols, held)] + [F.col(c).isNull().cast("double").alias(v) for c, v in zip(cols, none)]
+    rows = two_sides(_indexed(fine, "point_idx"), coarse.select("cloud_id", "point_idx", *[F.col(c).cast("double").alias(c) for c in XYZ], *values), [*held, *none])
+
+    def mean(c, at, d2, first):
+        w = 1 / (d2 + 1e-8)
+        total = np.add.reduceat(w, first)
+        for name, v, n in zip(cols, held, none):
+            known = c[n][at] == 0
+            sums = np.add.reduceat(np.where(known, w * c[v][at], 0.0), first)
+            yield name, pa.array(sums / total, pa.float64(), mask=~np.logical_or.reduceat(known, first))
+
+    schema = [(c, "double") for c in cols]
+    if (large := large_clouds(rows)) is None:
+        return _folded(rows, 3, schema, mean)
+    near = knn_tiles(_side_of(rows, 0, large), _side_of(rows, 1, large), 3).withColumn("w", 1 / (F.col("d2") + 1e-8))
+    near = near.join(_side_of(rows, 1, large).select("cloud_id", F.col("point_idx").alias("b_idx"), *[F.when(F.col(n) == 0, F.col(v)).alias(v) for v, n in zip(held, none)]), ["cloud_id", "b_idx"])
+    far = near.groupBy("cloud_id", F.col("a_idx").alias("point_idx")).agg(*[(F.sum(F.col("w") * F.col(v)) / F.sum("w")).alias(c) for c, v in zip(cols, held)])
+    return _folded(rows.join(large, "cloud_id", "left_anti"), 3, schema, mean).unionByName(far)
 
 
 def nn_distance(a: DataFrame, b: DataFrame, radius: float | None = None) -> DataFrame:
@@ -233,11 +272,22 @@ def nn_match(full: DataFrame, idx: DataFrame, k: int, complete: bool = True) ->
 
 def soft_project(samp: DataFrame, full: DataFrame, k: int = 7, sigma: float = 1.0, hard: bool = False) -> DataFrame:
     """(cloud_id, point_idx, x, y, z): samples as means of their ``k`` nearest points weighted by softmax(-d2 / sigma), or the nearest alone."""
-    near = knn(samp, full, 1 if hard else k)
-    low = F.min("d2").over(Window.partitionBy("cloud_id", "a_idx"))
-    near = near.withColumn("w", F.exp((low - F.col("d2")) / sigma))
-    both = near.join(full.select("cloud_id", F.col("point_idx").alias("b_idx"), *XYZ), ["cloud_id", "b_idx"])
-    return both.groupBy("cloud_id", F.col("a_idx").alias("point_idx")).agg(*[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in XYZ])
+    rows, k = two_sides(_indexed(samp, "point_idx"), _indexed(full, "point_idx")), 1 if hard else k
+
+    def mean(c, at, d2, first):
+        n = np.diff(first, append=len(d2))
+        w = np.exp((np.repeat(np.minimum.reduceat(d2, first), n) - d2) / sigma)
+        total = np.add.reduceat(w, first)
+        for name in XYZ:
+            yield name, np.add.reduceat(w * c[name][at], first) / total
+
+    schema = [(c, "double") for c in XYZ]
+    if (large := large_clouds(rows)) is None:
+        return _folded(rows, k, schema, mean)
+    near = knn_tiles(_side_of(rows, 0, large), _side_of(rows, 1, large), k)
+    near = near.withColumn("w", F.exp((F.min("d2").over(Window.partitionBy("cloud_id", "a_idx")) - F.col("d2")) / sigma))
+    far = near.groupBy("cloud_id", F.col("a_idx").alias("point_idx")).agg(*[(F.sum(F.col("w") * F.col(f"b{c}")) / F.sum("w")).alias(c) for c in XYZ])
+    return _folded(rows.join(large, "cloud_id", "left_anti"), k, schema, mean).unionByName(far)
 
 
 def compare_clouds(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cloudweft import plans
 from cloudweft.functions import keyed
 from cloudweft.operators import augment as A
 from cloudweft.operators import blocks as B
@@ -590,3 +591,32 @@ def test_icp_in_tasks_equals_icp_by_joins(spark):
         assert [r.cloud_id for r in ways[0]] == [0, 1, 2, 3, 9]
         for way in ways[1:]:
             assert all(a.fitness == b.fitness and np.allclose(a.m, b.m, atol=1e-9) and abs(a.rmse - b.rmse) < 1e-9 for a, b in zip(ways[0], way, strict=True))
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+@pytest.mark.parametrize("name", ["interpolate_3nn", "interpolate_3nn_by_radius", "soft_project", "soft_project_hard", "group_nearest_seed"])
+def test_neighbours_of_small_clouds_are_not_shuffled(spark, tiny, name):
+    assert _exchanges(plans.QUERIES[name](spark, tiny)) == 1  # the clouds themselves
+
+
+def test_folded_neighbours_equal_those_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(c, i, *map(float, p)) for c in (1, 2) for i, p in enumerate(rng.integers(0, 6, (40, 3)))]
+    fine = spark.createDataFrame(rows, "cloud_id long, point_idx long, x double, y double, z double")
+    coarse = fine.filter("point_idx % 4 = 0").withColumn("v", F.when(F.col("point_idx") % 8 == 0, F.col("x")))
+    coarse = coarse.withColumn("nothing", F.lit(None).cast("double"))
+    seeds = fine.filter("point_idx % 7 = 0").withColumnRenamed("point_idx", "seed_no")
+    own, whole = N.large_clouds, {}
+    for large in (False, True):
+        if large:
+            for module in (N, P):
+                monkeypatch.setattr(module, "large_clouds", lambda df: own(df, 300))
+        whole[large] = [
+            sorted(tuple(None if v is None else round(v, 9) for v in r) for r in df.collect())
+            for df in (N.interpolate_3nn(fine, coarse, ["v"]), N.soft_project(coarse, fine, 5, 2.0), N.soft_project(coarse, fine, hard=True), P.group_nearest_seed(fine, seeds, 2.5))
+        ]
+        assert [r.nothing for r in N.interpolate_3nn(fine, coarse, ["nothing"]).collect()] == [None] * 80
+    assert whole[False] == whole[True] and [len(w) for w in whole[True]] == [80, 20, 20, 80]
