@@ -44,8 +44,8 @@ def _vectors(s, d, odd):
 
 
 def _matches(s, d):
-    near = N.nn_distance(_sample(s, d), V.points(s, d)).filter("side = 'a'")
-    return near.select("cloud_id", (F.col("point_idx") / 40).cast("int").alias("slot"), F.col("nn_idx").alias("point_idx"))
+    near = N.knn(_sample(s, d), V.points(s, d), 1)
+    return near.select("cloud_id", (F.col("a_idx") / 40).cast("int").alias("slot"), F.col("b_idx").alias("point_idx"))
 
 
 def _rooms(s, d):
