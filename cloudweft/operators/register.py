@@ -134,12 +134,72 @@ def _angles(p: list[Column], n: list[Column], q: list[Column], m: list[Column])
     return F.coalesce(dot(v, m), F.lit(0.0)), F.coalesce(dot(n, d), F.lit(0.0)), F.atan2(F.coalesce(dot(w, m), F.lit(0.0)), dot(n, m))
 
 
-def fpfh(pts: DataFrame, normals: DataFrame, radius: float, max_nn: int = 100) -> DataFrame:
+def _angles_of(p: np.ndarray, n: np.ndarray, q: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_angles`` of rows of points and normals, in the same order of sums."""
+    dot = lambda a, b: a[:, 0] * b[:, 0] + a[:, 1] * b[:, 1] + a[:, 2] * b[:, 2]
+    cross = lambda a, b: np.stack([a[:, 1] * b[:, 2] - a[:, 2] * b[:, 1], a[:, 2] * b[:, 0] - a[:, 0] * b[:, 2], a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]], axis=1)
+    unit = lambda v: np.divide(v, (size := np.sqrt(dot(v, v)))[:, None], out=np.full_like(v, np.nan), where=size[:, None] > 0)
+    d = unit(q - p)
+    v = unit(cross(d, n))
+    w = cross(n, v)
+    return np.nan_to_num(dot(v, m)), np.nan_to_num(dot(n, d)), np.arctan2(np.nan_to_num(dot(w, m)), dot(n, m))
+
+
+def fpfh(pts: DataFrame, normals: DataFrame, radius: float, max_nn: int = 100, pairs: int = MOST_PAIRS) -> DataFrame:
     """(cloud_id, point_idx, bin, value): feature histograms of 33 bins (three angles, eleven each, in percent) of each point.
 
     A point's own histogram plus the mean of its neighbours', each weighted by the inverse of its distance. Bins of value 0 have no row.
+    Clouds of at most ``pairs`` pairs are worked on within a task, so that neither neighbours nor histograms are shuffled.
     """
-    nrm = normals.select("cloud_id", "point_idx", "nx", "ny", "nz")
+    nrm = ["nx", "ny", "nz"]
+    blank = normals.select("cloud_id", "point_idx", *[F.lit(None).cast("double").alias(c) for c in XYZ], *[F.col(c).cast("double").alias(c) for c in nrm])
+    rows = two_sides(pts.select("cloud_id", "point_idx", *[F.col(c).cast("double").alias(c) for c in XYZ]), blank, nrm, "fpfh-sides")
+    large = large_clouds(rows.filter("side = 0").drop("side"), pairs)
+    schema = StructType([*[rows.schema[c] for c in ("cloud_id", "point_idx")], *StructType.fromDDL("bin int, value double").fields])
+
+    def work(c):
+        p, q = (np.flatnonzero(c["side"] == s) for s in (0, 1))
+        xyz, idx = np.stack([c[k][p] for k in XYZ], axis=1), c["point_idx"][p]
+        n, has = np.zeros((len(p), 3)), np.zeros(len(p), bool)
+        at = np.searchsorted(idx, c["point_idx"][q])
+        met = at < len(p)
+        met[met] = idx[at[met]] == c["point_idx"][q[met]]
+        n[at[met]], has[at[met]] = np.stack([c[k][q[met]] for k in nrm], axis=1), True
+        found = []
+        for row, col, d2, _ in nearest(xyz, xyz, max_nn + 1, radius):  # a point is its own nearest, or one of its place is
+            row, col, d2 = (v[row != col] for v in (row, col, d2))
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < max_nn
+            found.append((row[kept], col[kept], d2[kept]))
+        row, col, d2 = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, int),) * 3
+        if not len(row):
+            return
+        count = np.bincount(row, minlength=len(p))[:, None]
+        both = has[row] & has[col]
+        i, j = row[both], col[both]
+        own = np.zeros(len(p) * 33)
+        for k, (v, lo, hi) in enumerate(zip(_angles_of(xyz[i], n[i], xyz[j], n[j]), (-1.0, -1.0, -math.pi), (1.0, 1.0, math.pi))):
+            bins = np.clip(np.floor((v - lo) / (hi - lo) * 11), 0, 10).astype(np.int64)
+            own += np.bincount(i * 33 + 11 * k + bins, minlength=len(own))
+        own = 100 * own.reshape(-1, 33) / np.maximum(count, 1)
+        apart = d2 > 0
+        row, col, w = row[apart], col[apart], 1 / np.sqrt(d2[apart])
+        lent = np.zeros_like(own)
+        if len(row):
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            lent[row[first]] = np.add.reduceat(w[:, None] * own[col], first)
+        value = own + lent / np.maximum(count, 1)
+        value[own.sum(axis=1) == 0] = 0  # without an angle of its own a point has no histogram
+        at, bins = np.nonzero(value > 0)
+        yield {"point_idx": idx[at], "bin": bins.astype(np.int32), "value": value[at, bins]}
+
+    if large is None:
+        return each_cloud(rows, work, schema, "side", "point_idx")
+    few = each_cloud(rows.join(large, "cloud_id", "left_anti"), work, schema, "side", "point_idx")
+    sides = [rows.filter(F.col("side") == k).join(large, "cloud_id", "left_semi") for k in (0, 1)]
+    return few.unionByName(_fpfh_of_large(sides[0].drop("side", *nrm), sides[1].drop("side", *XYZ), radius, max_nn))
+
+
+def _fpfh_of_large(pts: DataFrame, nrm: DataFrame, radius: float, max_nn: int) -> DataFrame:
     side = lambda s: nrm.select("cloud_id", F.col("point_idx").alias(f"{s}_idx"), *[F.col(f"n{c}").alias(f"{s}n{c}") for c in XYZ])
     # a point is its own nearest, or one of its place is: one neighbour more, and then without itself
     near = hybrid(pts, pts, radius, max_nn + 1).filter("a_idx <> b_idx").drop("rank")

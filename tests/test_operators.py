@@ -620,3 +620,13 @@ def test_folded_neighbours_equal_those_in_tiles(spark, monkeypatch):
         ]
         assert [r.nothing for r in N.interpolate_3nn(fine, coarse, ["nothing"]).collect()] == [None] * 80
     assert whole[False] == whole[True] and [len(w) for w in whole[True]] == [80, 20, 20, 80]
+
+
+def test_fpfh_in_tasks_equals_joins_without_their_shuffles(spark, tiny):
+    pts = plans.views.points(spark, tiny).filter("cloud_id < 4")
+    pts = pts.unionByName(pts.filter("point_idx < 3").withColumn("point_idx", F.col("point_idx") + 100_000))  # places held twice
+    normals = G.estimate_normals(pts, 8.0, 20).filter("point_idx % 9 <> 4")
+    few, large = (R.fpfh(pts, normals, 8.0, 30, pairs=p) for p in (R.MOST_PAIRS, 0))
+    assert _exchanges(few) == 1
+    a, b = ({(r.cloud_id, r.point_idx, r.bin): r.value for r in df.collect()} for df in (few, large))
+    assert a.keys() == b.keys() and len(a) > 1000 and all(a[k] == pytest.approx(b[k], rel=1e-9) for k in a)
