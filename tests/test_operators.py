@@ -523,6 +523,15 @@ def test_tasks_grow_with_the_rows(spark):
     assert session.tasks(spark) == session.tasks(spark, 10) == 4 and session.tasks(spark, 9 * session.TASK_ROWS + 1) == 10
 
 
+def test_corpus_of_many_documents_a_file(spark, tmp_path):
+    bodies = ["", "h1\nh2\nh3\none\ntwo\n", "a\x1eb\n\n\nx\x1by\x1ee\x1br\x1bz", "1\n2\n3\n\x1b\x1e\x1er", "\n\n\n\r\nend\r", *[f"a\nb\nc\ndocument {k}" for k in range(100)]]
+    df = spark.createDataFrame([(c, b) for c in ("sport", "news") for b in bodies], "class string, body string")
+    ST.write_class_corpus(df, str(tmp_path / "c"))
+    assert len(list((tmp_path / "c").rglob("part-*"))) <= 2 * df.rdd.getNumPartitions()
+    got = ST.read_class_corpus(spark, f"{tmp_path}/c/*", together=True).collect()
+    assert sorted((r["class"], r.body) for r in got) == sorted((f"class={c}", "".join(b.split("\n")[3:])) for c in ("sport", "news") for b in bodies)
+
+
 def test_corpus_and_csv(spark, tmp_path):
     (tmp_path / "sport").mkdir()
     (tmp_path / "sport" / "a.txt").write_text("h1\nh2\nh3\none　\ntwo\n", encoding="utf-8")
