@@ -15,22 +15,42 @@ from .order import ranked, ranked_inside
 XYZ, RGB = ("x", "y", "z"), ("r", "g", "b")
 
 
-def _fit(rows: DataFrame, keys: Sequence[str], n: int, salt: Column, seed: int, replace_above: bool = True) -> DataFrame:
-    """Exactly ``n`` rows of every group, with ``slot``. More: ``n`` draws (with replacement, or by rank without); fewer: all, then draws."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumns({"__k": (F.row_number().over(w.orderBy("point_idx")) - 1).cast("long"), "__m": F.count(F.lit(1)).over(w), "__salt": salt})
-    m = F.col("__m")
-    kept = ranked.filter(m <= n).withColumn("slot", F.col("__k"))
-    if not replace_above:
-        u = ranked.filter(m > n).withColumn("__u", uniform(F.col("cloud_id"), F.col("__k"), seed, F.col("__salt")))
-        kept = kept.unionByName(u.withColumn("slot", (F.row_number().over(w.orderBy("__u", "__k")) - 1).cast("long")).filter(F.col("slot") < n).drop("__u"))
-    sizes = ranked.filter("__k = 0").select(*keys, "__m", "__salt").filter(m != n if replace_above else m < n)
-    first = F.when(m > n, F.lit(0)).otherwise(m)
-    slots = sizes.select(*keys, "__m", "__salt", F.explode(F.sequence(first.cast("long"), F.lit(n - 1).cast("long"))).alias("slot"))
+def _drawn(rows: DataFrame, keys: Sequence[str], numbers: Column, at: Column, own: Column, name: str) -> DataFrame:
+    """``rows``, numbered by ``__k`` within ``keys``, with copies: each row brings an array ``numbers`` of its group, and a number ``__n`` asks for a
+    copy of row ``at``. ``name`` is the number of a copy, and ``__k`` of a row itself, which stays where ``own`` holds.
+
+    The numbers are sorted in among the rows that they draw, and take over the columns of the one before them. So nothing is joined, and
+    rows that are dealt out by any of ``keys`` already stay where they are.
+    """
+    every = rows.withColumn("__n", F.explode(F.concat(F.array(F.lit(None).cast("long")), numbers)))
+    held = F.struct(*[c for c in rows.columns if c not in (*keys, "__k")])
+    every = every.select(*keys, F.when(F.col("__n").isNull(), F.col("__k")).otherwise(at).alias("__k"), "__n", F.when(F.col("__n").isNull(), held).alias("__row"))
+    upto = Window.partitionBy(*keys).orderBy("__k", F.col("__n").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    filled = every.withColumn("__row", F.last("__row", True).over(upto)).select(*keys, "__row.*", "__k", "__n")
+    return filled.filter(F.col("__n").isNotNull() | own).withColumn(name, F.coalesce("__n", "__k")).drop("__n")
+
+
+def _sequence(first: Column, last: Column) -> Column:
+    """Whole numbers from ``first`` to ``last``, none where ``last`` is below ``first``."""
+    return F.when(first <= last, F.sequence(first.cast("long"), last.cast("long"))).otherwise(F.array().cast("array<long>"))
+
+
+def _fit(rows: DataFrame, keys: Sequence[str], n: int, salt: Column, seed: int, replace_above: bool = True, least: int = 0) -> DataFrame:
+    """Exactly ``n`` rows of every group, with ``slot``. More: ``n`` draws (with replacement, or by rank without); fewer: all, then draws.
+
+    Groups of fewer than ``least`` rows go.
+    """
+    w, m = Window.partitionBy(*keys), F.col("__m")
+    full = rows.withColumn("__k", (F.row_number().over(w.orderBy("point_idx")) - 1).cast("long")).withColumn("__m", F.count(F.lit(1)).over(w)).filter(m >= least)
+    if not replace_above:  # a full group is numbered anew, by random rank; others keep their numbers
+        u = full.withColumn("__u", F.when(m > n, uniform(F.col("cloud_id"), F.col("__k"), seed, salt)))
+        full = u.withColumn("__k", (F.row_number().over(w.orderBy("__u", "__k")) - 1).cast("long")).filter(F.col("__k") < n).drop("__u")
+    first = F.when(m > n, F.lit(0).cast("long")).otherwise(m)
+    asks = (F.col("__k") == 0) & (F.lit(replace_above) | (m < n))
     # draws are numbered from 0 whether they fill up or replace
-    at = F.floor(uniform(F.col("cloud_id"), F.col("slot") - first, seed, F.col("__salt")) * m).cast("long")
-    drawn = slots.select(*keys, "slot", at.alias("__k")).join(ranked, [*keys, "__k"])
-    return kept.unionByName(drawn.select(*kept.columns)).drop("__k", "__m", "__salt")
+    at = F.floor(uniform(F.col("cloud_id"), F.col("__n") - first, seed, salt) * m).cast("long")
+    fitted = _drawn(full, keys, _sequence(first, F.when(asks, F.lit(n - 1).cast("long")).otherwise(-1)), at, (m <= n) | F.lit(not replace_above), "slot")
+    return fitted.select(*rows.columns, "slot")
 
 
 def room_blocks(pts: DataFrame, n: int, size: float, stride: float, min_points: int = 100, seed: int = 0) -> DataFrame:
@@ -45,8 +65,7 @@ def room_blocks(pts: DataFrame, n: int, size: float, stride: float, min_points:
         hi = F.least(F.floor(F.col(c) / stride).cast("long"), F.greatest(F.col(f"n{c}"), F.lit(0)))
         rows = rows.filter(lo <= hi).withColumn(b, F.explode(F.sequence(lo, hi)))
     keys = ["cloud_id", "bi", "bj"]
-    full = rows.drop("nx", "ny").withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter(F.col("__n") >= min_points).drop("__n")
-    return _fit(full, keys, n, F.col("bi") * 65536 + F.col("bj"), seed)
+    return _fit(rows.drop("nx", "ny"), keys, n, F.col("bi") * 65536 + F.col("bj"), seed, least=min_points)
 
 
 def random_blocks(pts: DataFrame, n: int, size: float, aug: int = 1, min_points: int = 100, seed: int = 0) -> DataFrame:
@@ -61,8 +80,7 @@ def random_blocks(pts: DataFrame, n: int, size: float, aug: int = 1, min_points:
     inside = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x0") + size) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y0") + size)
     keys = ["cloud_id", "block"]
     rows = at.join(cells, ["cloud_id", "cx", "cy"]).filter(inside).drop("cx", "cy", "x0", "y0")
-    full = rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter(F.col("__n") >= min_points).drop("__n")
-    return _fit(full, keys, n, F.col("block") + 2, seed)
+    return _fit(rows, keys, n, F.col("block") + 2, seed, least=min_points)
 
 
 def _room_max(pts: DataFrame) -> DataFrame:
@@ -166,34 +184,27 @@ def sliding_scene(pts: DataFrame, block: float = 1.0, stride: float = 0.5, paddi
     The last blocks end at the room's edge. A block is filled up to whole batches from its own points, each once more if they
     suffice and by draws if not, and shuffled.
     """
-    room = pts.groupBy("cloud_id").agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
-    steps = {c: F.greatest(F.ceil((F.col(f"hi{c}") - F.col(f"lo{c}") - block) / stride), F.lit(0)).cast("long") for c in "xy"}
-    grid = room
-    for c in "xy":
-        grid = grid.withColumn(f"i{c}", F.explode(F.sequence(F.lit(0).cast("long"), steps[c])))
-    for c in "xy":
-        end = F.least(F.col(f"lo{c}") + F.col(f"i{c}") * stride + block, F.col(f"hi{c}"))
-        grid = grid.withColumns({f"e{c}": end, f"s{c}": end - block})
-    cells = grid
+    room = pts.groupBy("cloud_id").agg(*[F.min(c).alias(f"lo{c}") for c in "xy"], *[F.max(c).alias(f"__m{c}") for c in XYZ])
+    rows = pts.join(room, "cloud_id")
     for c in "xy":
-        cells = cells.withColumn(f"c{c}", F.explode(F.sequence(F.floor((F.col(f"s{c}") - padding) / block), F.floor((F.col(f"e{c}") + padding) / block))))
-    cells = cells.select("cloud_id", "ix", "iy", "sx", "sy", "ex", "ey", "cx", "cy")
-    at = pts.select("*", *[F.floor(F.col(c) / block).alias(f"c{c}") for c in "xy"])
-    inside = (F.col("x") >= F.col("sx") - padding) & (F.col("x") <= F.col("ex") + padding) & (F.col("y") >= F.col("sy") - padding) & (F.col("y") <= F.col("ey") + padding)
-    rows = at.join(cells, ["cloud_id", "cx", "cy"]).filter(inside).drop("cx", "cy", "ex", "ey")
+        # blocks by arithmetic, one more on either side whatever rounding does, and the last one, which ends at the edge; then exactly
+        low, high, v, i = F.col(f"lo{c}"), F.col(f"__m{c}"), F.col(c), F.col(f"i{c}")
+        last = F.greatest(F.ceil((high - low - block) / stride), F.lit(0)).cast("long")
+        some = _sequence(F.greatest(F.floor((v - low - block - padding) / stride).cast("long") - 1, F.lit(0)), F.least(F.ceil((v - low + padding) / stride).cast("long") + 1, last))
+        end = F.least(low + i * stride + block, high)
+        rows = rows.withColumn(f"i{c}", F.explode(F.array_union(some, F.array(last)))).withColumn(f"s{c}", end - block)
+        rows = rows.filter((v >= F.col(f"s{c}") - padding) & (v <= end + padding)).drop(f"lo{c}")
     keys = ["cloud_id", "ix", "iy"]
     w, salt = Window.partitionBy(*keys), F.col("ix") * 65536 + F.col("iy")
     u = rows.withColumn("__u", uniform(F.col("cloud_id"), F.col("point_idx"), seed, salt * 4))
-    u = u.withColumns({"__k": (F.row_number().over(w.orderBy("__u", "point_idx")) - 1).cast("long"), "__m": F.count(F.lit(1)).over(w)}).drop("__u")
-    m = F.col("__m")
+    u = u.withColumn("__k", (F.row_number().over(w.orderBy("__u", "point_idx")) - 1).cast("long")).withColumn("__m", F.count(F.lit(1)).over(w)).drop("__u")
+    m, k = F.col("__m"), F.col("__k")
     pad = F.ceil(m / block_points) * block_points - m
-    once = u.filter((pad <= m) & (F.col("__k") < pad)).withColumn("__p", m + F.col("__k"))
-    sizes = u.filter((F.col("__k") == 0) & (pad > m)).select(*keys, "__m")
-    slots = sizes.select(*keys, "__m", F.explode(F.sequence(m, m + pad - 1)).alias("__p"))
-    drawn = slots.select(*keys, "__p", F.floor(uniform(F.col("cloud_id"), F.col("__p") - m, seed, salt * 4 + 1) * m).cast("long").alias("__k")).join(u, [*keys, "__k"])
-    every = u.withColumn("__p", F.col("__k")).unionByName(once).unionByName(drawn.select(*u.columns, "__p"))
+    numbers = F.when(pad > m, _sequence(m, F.when(k == 0, m + pad - 1).otherwise(-1))).otherwise(_sequence(m + k, F.when(k < pad, m + k).otherwise(-1)))
+    at = F.when(pad > m, F.floor(uniform(F.col("cloud_id"), F.col("__n") - m, seed, salt * 4 + 1) * m).cast("long")).otherwise(k)
+    every = _drawn(u, keys, numbers, at, F.lit(True), "__p")
     every = every.withColumn("__u", uniform(F.col("cloud_id"), F.col("__p"), seed, salt * 4 + 2))
     place = F.row_number().over(w.orderBy("__u", "__p")) - 1
     every = every.withColumn("__q", place).withColumns({"batch": F.floor(F.col("__q") / block_points), "slot": (F.col("__q") % block_points).cast("long")}).drop("__u", "__p", "__k", "__m", "__q")
     weights = label_weights(pts).select("label", "weight")
-    return _features(every.join(_room_max(pts), "cloud_id"), F.col("sx") + block / 2, F.col("sy") + block / 2).drop("sx", "sy").join(F.broadcast(weights), "label")
+    return _features(every, F.col("sx") + block / 2, F.col("sy") + block / 2).drop("sx", "sy").join(F.broadcast(weights), "label")

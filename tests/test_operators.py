@@ -493,6 +493,18 @@ def test_files_round_trip(spark, tmp_path):
     assert sorted(SP.unpack_clouds(SP.pack_clouds(pts)).collect()) == sorted(pts.collect())
 
 
+@pytest.mark.parametrize("name, key", [("sliding_scene", "ix"), ("room_blocks", "bi"), ("block_features", "bi")])
+def test_blocks_are_filled_where_their_clouds_are(spark, tiny, name, key):
+    plan = plans.QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(rf"hashpartitioning\([^)]*\b{key}#", plan)  # rows of blocks, several for each point, are not shuffled
+
+
+def test_clouds_are_dealt_out_to_more_tasks_as_rows_grow(spark, tiny, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    pts = plans.views.points(spark, tiny)
+    assert pts.rdd.getNumPartitions() == -(-pts.count() // 500) > 4
+
+
 def test_files_of_many_clouds(spark, tmp_path):
     names = ["a b/ä", "# cloud_id=x", "7", "8", *[f"n{k}" for k in range(8)]]
     rows = [(c, k, float(k), -1.5, float(i)) for i, c in enumerate(names) for k in range(3 + i * 20)]
