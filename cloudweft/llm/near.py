@@ -133,7 +133,7 @@ def _sketch(texts: DataFrame, size: int) -> tuple[np.ndarray, float]:
         pack, sums = zstandard.ZstdCompressor(level=1).compress, np.zeros(CELLS, np.uint32)
         for (column,) in batches(it, "text"):
             for a, b in pieces(column):
-                sums += np.bincount((Hashed(column[a:b], size).windows % _U(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                np.add.at(sums, (Hashed(column[a:b], size).windows % _U(CELLS)).astype(np.int64), np.uint32(1))
         at = [k for k in range(CELLS // CHUNK) if sums[k * CHUNK : (k + 1) * CHUNK].any()]
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array([pack(sums[k * CHUNK : (k + 1) * CHUNK].tobytes()) for k in at], pa.binary())], names=["chunk", "counts"])
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cloudweft.llm import decontamination, host_rules, langid, near, packing
-from cloudweft.llm._common import table, written
+from cloudweft.llm._common import lean, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +17,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and letterless texts are undetermined. Each row is judged alone, so ids may be null or repeat.
     """
+    lean(spark)
     return langid.identified(docs, langid.fit(docs))
 
 
@@ -33,11 +34,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     The smallest id stays; rows that repeat id and text leave one; rows without an id stay.
     """
+    lean(spark)
     return near.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark. Null texts hold none; rows that repeat stay or go together."""
+    lean(spark)
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -45,6 +48,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of the documents' token ids. A null or empty text is its end id alone; a long one is cut into pieces."""
     import public_tokenizers
 
+    lean(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.sequences(packing.place(packing.token_pieces(docs, path)))
 

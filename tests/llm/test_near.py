@@ -135,3 +135,31 @@ def test_prefixes_of_similar_texts_meet(least):
             more = [near.ordered(x, common, near.prefix_size(len(x), least) + 1) for x in (a, b)]
             assert len(np.intersect1d(*first)) >= 1
             assert len(np.intersect1d(*more)) >= 2 or min(len(a), len(b)) < 2
+
+
+def test_stages_send_texts_to_workers_in_small_batches(spark, tmp_path):
+    import corpus_pipeline as C
+    from cloudweft import session
+
+    def sizes(it):
+        import pyarrow as pa
+
+        for b in it:
+            yield pa.record_batch([pa.array([b.nbytes])], names=["n"])
+
+    before = spark.conf.get(session._BATCH)
+    docs = spark.range(0, 2_000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.repeat(F.lit("words "), 1_000).alias("text"))
+    spark.createDataFrame([(1, "an item of words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    try:
+        for name, stage in C.STAGES:
+            if name == "quality rules":  # has no Python workers
+                continue
+            spark.conf.set(session._BATCH, "64m")
+            stage(spark, docs.limit(5), str(tmp_path))
+            got = [r.n for r in docs.select("text").mapInArrow(sizes, "n long").collect()]
+            assert sum(got) > 12_000_000 and max(got) < 5_000_000, name
+        spark.conf.set(session._BATCH, "1m")
+        session.lean(spark)
+        assert spark.conf.get(session._BATCH) == "1m"
+    finally:
+        spark.conf.set(session._BATCH, before)
