@@ -18,6 +18,7 @@ import json
 import os
 import zlib
 from array import array
+from collections.abc import Callable
 from unicodedata import is_normalized
 
 import numpy as np
@@ -46,6 +47,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """What is missing is learnt by itself, so a text with a new piece is walked once."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, x: str) -> bytes:
+        return self.learn(x)
+
+
 class Encoder:
     """Ids of texts as bytes (16 bit each, or 32 for larger vocabularies).
 
@@ -63,7 +75,8 @@ class Encoder:
         steps = [x for part, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for x in (conf[part] or {}).get(inner, [])]
         self.by_piece = [x["type"] for x in steps] == _STEPS and steps[3]["pattern"].get("Regex") == _PATTERN and steps[3]["invert"] and steps[3]["behavior"] == "Removed"
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.pieces = _Known(self._learn)
+        self.pieces[""] = b""
         self.words: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         self.names = [array(self.kind, [k]).tobytes() for k in range(self.tokenizer.get_vocab_size())]
@@ -77,46 +90,40 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Adds the ids of unknown pieces: a word in lower case and the marks after it, or whatever else the tokenizer makes of it."""
-        known, words, marks, names, model = self.pieces, self.words, self.marks, self.names, self.model.tokenize
+    def _learn(self, x: str) -> bytes:
+        """The ids of an unknown piece, from now on known: a word in lower case and the marks after it, or whatever else the tokenizer makes of it."""
+        known, words = self.pieces, self.words
         if len(known) >= self.keep:
             known.clear()
             known[""] = b""
-        if len(words) >= self.keep:
-            words.clear()
-        for x in pieces:
-            if x in known:
-                continue
-            core = x.rstrip(_TAIL)
-            plain = core.isascii()
-            word = core.lower() if plain else core
-            if not word.isalpha() or not plain and not (word.islower() and is_normalized("NFC", word)):
-                known[x] = self._whole(x)
-                continue
-            got = words.get(word)
-            if got is None:
-                named = word if plain else word.encode().decode("latin-1").translate(self.letters)
-                got = words[word] = b"".join([names[t.id] for t in model(named)])
-            if len(core) < len(x):
-                tail = x[len(core) :]
-                after = marks.get(tail)
-                if after is None:
-                    after = self._whole(tail)
-                    if len(marks) < 10_000:
-                        marks[tail] = after
-                got += after
-            known[x] = got
+        core = x.rstrip(_TAIL)
+        # up to U+024F a text is in form NFC and lower case goes letter by letter
+        word = core.lower() if core.isascii() or core and max(core) < "\u0250" else core
+        got = words.get(word)
+        if got is None:
+            if not word.isalpha() or not word.isascii() and not (word.islower() and is_normalized("NFC", word)):
+                known[x] = got = self._whole(x)
+                return got
+            if len(words) >= self.keep:
+                words.clear()
+            named = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            names = self.names
+            got = words[word] = b"".join([names[t.id] for t in self.model.tokenize(named)])
+        if len(core) < len(x):
+            tail = x[len(core) :]
+            after = self.marks.get(tail)
+            if after is None:
+                after = self._whole(tail)
+                if len(self.marks) < 10_000:
+                    self.marks[tail] = after
+            got += after
+        known[x] = got
+        return got
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece:
             return self._whole(text)
-        known, pieces = self.pieces, text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([known[x] for x in pieces])
-        except KeyError:
-            self._learn(pieces)
-            return b"".join([known[x] for x in pieces])
+        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def token_ids(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int | None) -> DataFrame:

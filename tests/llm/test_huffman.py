@@ -58,6 +58,22 @@ def test_pieces_give_what_the_tokenizer_gives():
             assert np.frombuffer(enc.encode(t), "<u2").tolist() == tk.encode(t, add_special_tokens=False).ids
 
 
+def test_accented_capitals_and_new_pieces_are_learnt_singly():
+    tk, enc = Tokenizer.from_file(PATH), H.Encoder(PATH)
+    texts = ["\u00c9r\u00e9. \u00d1ez \u0152UVRE, \u00c0", "word \u00c9r\u00e9. new"]
+    want = [tk.encode(t, add_special_tokens=False).ids for t in texts]
+    enc.encode(". ,")
+    whole, learn, seen = enc._whole, enc.pieces.learn, []
+    enc._whole = lambda x: whole(x) if len(x) == 1 and not x.isalpha() else pytest.fail(x)
+    enc.pieces.learn = lambda x: seen.append(x) or learn(x)
+    assert [np.frombuffer(enc.encode(t), "<u2").tolist() for t in texts] == want
+    assert seen == [*texts[0].split(), "word", "new"]
+    enc = H.Encoder(PATH)
+    for c in map(chr, range(0x21, 0x250)):  # where lower case is taken letter by letter
+        t = f"{c} {c}ab. AB{c}\u00e9, {c}{c.upper()}"
+        assert np.frombuffer(enc.encode(t), "<u2").tolist() == tk.encode(t, add_special_tokens=False).ids, c
+
+
 def test_other_tokenizers_encode_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     tk, enc = Tokenizer.from_file(path), H.Encoder(path)
