@@ -681,3 +681,27 @@ def test_fpfh_in_tasks_equals_joins_without_their_shuffles(spark, tiny):
     assert _exchanges(few) == 1
     a, b = ({(r.cloud_id, r.point_idx, r.bin): r.value for r in df.collect()} for df in (few, large))
     assert a.keys() == b.keys() and len(a) > 1000 and all(a[k] == pytest.approx(b[k], rel=1e-9) for k in a)
+
+
+def test_word_vectors_of_many_parts(spark, monkeypatch):
+    """Words of one topic end up near each other, whatever the parts; no vocabulary goes to the driver."""
+    from cloudweft.operators import word_vectors as W
+
+    monkeypatch.setattr(W, "FIRST_WORDS", 4_000)
+    monkeypatch.setattr(W, "PART_FLOATS", 0)
+    monkeypatch.setattr(W, "ROUNDS", 3)
+    rng = np.random.default_rng(3)
+    topics = [[f"{t}{k}" for k in range(12)] for t in "ab"]
+    texts = [(k, " ".join(rng.choice(topics[k % 2], 30).tolist() + ["both"])) for k in range(400)] + [(400, "rare a1"), (401, ""), (402, None)]
+    df = T.tokenize(spark.createDataFrame(texts, "row_id long, text string").repartition(2), "text")
+    model = T.fit_doc_vectors(df, 12, min_count=2, iterations=20)
+    v = {r.word: np.array(r.vector) for r in model.getVectors().collect()}
+    assert sorted(v) == sorted(["", "both", *topics[0], *topics[1]])
+    mean = np.mean([v[w] for t in topics for w in t], axis=0)
+    unit = {w: (x - mean) / np.linalg.norm(x - mean) for w, x in v.items()}
+    cos = lambda p, q: np.mean([unit[a] @ unit[b] for a in p for b in q if a != b])
+    assert cos(topics[0], topics[0]) > cos(topics[0], topics[1]) + 0.3 and cos(topics[1], topics[1]) > cos(topics[0], topics[1]) + 0.3
+    got = {r.row_id: r.vector.toArray() for r in model.transform(df.select("row_id", "tokens")).collect()}
+    assert sorted(got) == list(range(403))
+    for k, text in texts:
+        assert got[k] == pytest.approx(sum((v.get(w, np.zeros(12)) for w in (text or "").split(" ")), np.zeros(12)) / len((text or "").split(" ")), abs=1e-5)
