@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -195,6 +195,19 @@ def _least(n: np.ndarray, xx: np.ndarray, xy: np.ndarray, xz: np.ndarray, yy: np
 _UPPER = [(i, j) for i in range(3) for j in range(i, 3)]
 
 
+def normals_of(xyz: np.ndarray, radius: float, max_nn: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, normal, number of neighbours) of the points of one cloud that have a neighbour, some at a time."""
+    for row, col, _, _ in nearest(xyz, xyz, max_nn, radius):
+        if not len(row):
+            continue
+        low, n = row[0], np.bincount(row - row[0])
+        here = np.flatnonzero(n)
+        at, n = np.searchsorted(here, row - low), n[here]
+        d = xyz[col] - xyz[row]
+        d -= np.stack([np.bincount(at, d[:, i]) / n for i in range(3)], axis=1)[at]
+        yield low + here, _least(n, *[np.bincount(at, d[:, i] * d[:, j]) / n for i, j in _UPPER]), n
+
+
 def estimate_normals(pts: DataFrame, radius: float, max_nn: int = 50, pairs: int = MOST_PAIRS) -> DataFrame:
     """(cloud_id, point_idx, nx, ny, nz, n): direction of least spread of at most ``max_nn`` nearest neighbours within ``radius``.
 
@@ -206,17 +219,8 @@ def estimate_normals(pts: DataFrame, radius: float, max_nn: int = 50, pairs: int
     schema = StructType([*[rows.schema[c] for c in ("cloud_id", "point_idx")], *StructType.fromDDL("nx double, ny double, nz double, n long").fields])
 
     def work(c):
-        xyz = np.stack([c[n] for n in XYZ], axis=1)
-        for row, col, _, _ in nearest(xyz, xyz, max_nn, radius):
-            if not len(row):
-                continue
-            low, n = row[0], np.bincount(row - row[0])
-            here = np.flatnonzero(n)
-            at, n = np.searchsorted(here, row - low), n[here]
-            d = xyz[col] - xyz[row]
-            d -= np.stack([np.bincount(at, d[:, i]) / n for i in range(3)], axis=1)[at]
-            v = _least(n, *[np.bincount(at, d[:, i] * d[:, j]) / n for i, j in _UPPER])
-            yield {"point_idx": c["point_idx"][low + here], "nx": v[:, 0], "ny": v[:, 1], "nz": v[:, 2], "n": n}
+        for at, v, n in normals_of(np.stack([c[k] for k in XYZ], axis=1), radius, max_nn):
+            yield {"point_idx": c["point_idx"][at], "nx": v[:, 0], "ny": v[:, 1], "nz": v[:, 2], "n": n}
 
     if large is None:
         return each_cloud(rows, work, schema, "point_idx")

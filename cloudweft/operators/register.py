@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,8 @@ from pyspark.sql.types import StructType
 
 from ..session import written
 from .farthest import fps_complete
-from .geometry import XYZ, transform_points
-from .in_task import MOST_PAIRS, each_cloud, large_clouds, nearest, two_sides
+from .geometry import XYZ, estimate_normals, normals_of, transform_points
+from .in_task import MOST_PAIRS, each_cloud, each_dealt_cloud, large_clouds, nearest, two_sides
 from .neighbors import cell_join, hybrid, index_points
 
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
@@ -145,6 +146,36 @@ def _angles_of(p: np.ndarray, n: np.ndarray, q: np.ndarray, m: np.ndarray) -> tu
     return np.nan_to_num(dot(v, m)), np.nan_to_num(dot(n, d)), np.arctan2(np.nan_to_num(dot(w, m)), dot(n, m))
 
 
+def _histograms(xyz: np.ndarray, idx: np.ndarray, n: np.ndarray, has: np.ndarray, radius: float, max_nn: int) -> Iterator[dict[str, np.ndarray]]:
+    """(point_idx, bin, value) of the points ``idx`` of one cloud, with the normals ``n`` of those that have one."""
+    found = []
+    for row, col, d2, _ in nearest(xyz, xyz, max_nn + 1, radius):  # a point is its own nearest, or one of its place is
+        row, col, d2 = (v[row != col] for v in (row, col, d2))
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < max_nn
+        found.append((row[kept], col[kept], d2[kept]))
+    row, col, d2 = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, int),) * 3
+    if not len(row):
+        return
+    count = np.bincount(row, minlength=len(xyz))[:, None]
+    both = has[row] & has[col]
+    i, j = row[both], col[both]
+    own = np.zeros(len(xyz) * 33)
+    for k, (v, lo, hi) in enumerate(zip(_angles_of(xyz[i], n[i], xyz[j], n[j]), (-1.0, -1.0, -math.pi), (1.0, 1.0, math.pi))):
+        bins = np.clip(np.floor((v - lo) / (hi - lo) * 11), 0, 10).astype(np.int64)
+        own += np.bincount(i * 33 + 11 * k + bins, minlength=len(own))
+    own = 100 * own.reshape(-1, 33) / np.maximum(count, 1)
+    apart = d2 > 0
+    row, col, w = row[apart], col[apart], 1 / np.sqrt(d2[apart])
+    lent = np.zeros_like(own)
+    if len(row):
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        lent[row[first]] = np.add.reduceat(w[:, None] * own[col], first)
+    value = own + lent / np.maximum(count, 1)
+    value[own.sum(axis=1) == 0] = 0  # without an angle of its own a point has no histogram
+    at, bins = np.nonzero(value > 0)
+    yield {"point_idx": idx[at], "bin": bins.astype(np.int32), "value": value[at, bins]}
+
+
 def fpfh(pts: DataFrame, normals: DataFrame, radius: float, max_nn: int = 100, pairs: int = MOST_PAIRS) -> DataFrame:
     """(cloud_id, point_idx, bin, value): feature histograms of 33 bins (three angles, eleven each, in percent) of each point.
 
@@ -165,32 +196,7 @@ def fpfh(pts: DataFrame, normals: DataFrame, radius: float, max_nn: int = 100, p
         met = at < len(p)
         met[met] = idx[at[met]] == c["point_idx"][q[met]]
         n[at[met]], has[at[met]] = np.stack([c[k][q[met]] for k in nrm], axis=1), True
-        found = []
-        for row, col, d2, _ in nearest(xyz, xyz, max_nn + 1, radius):  # a point is its own nearest, or one of its place is
-            row, col, d2 = (v[row != col] for v in (row, col, d2))
-            kept = np.arange(len(row)) - np.searchsorted(row, row) < max_nn
-            found.append((row[kept], col[kept], d2[kept]))
-        row, col, d2 = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, int),) * 3
-        if not len(row):
-            return
-        count = np.bincount(row, minlength=len(p))[:, None]
-        both = has[row] & has[col]
-        i, j = row[both], col[both]
-        own = np.zeros(len(p) * 33)
-        for k, (v, lo, hi) in enumerate(zip(_angles_of(xyz[i], n[i], xyz[j], n[j]), (-1.0, -1.0, -math.pi), (1.0, 1.0, math.pi))):
-            bins = np.clip(np.floor((v - lo) / (hi - lo) * 11), 0, 10).astype(np.int64)
-            own += np.bincount(i * 33 + 11 * k + bins, minlength=len(own))
-        own = 100 * own.reshape(-1, 33) / np.maximum(count, 1)
-        apart = d2 > 0
-        row, col, w = row[apart], col[apart], 1 / np.sqrt(d2[apart])
-        lent = np.zeros_like(own)
-        if len(row):
-            first = np.flatnonzero(np.diff(row, prepend=-1))
-            lent[row[first]] = np.add.reduceat(w[:, None] * own[col], first)
-        value = own + lent / np.maximum(count, 1)
-        value[own.sum(axis=1) == 0] = 0  # without an angle of its own a point has no histogram
-        at, bins = np.nonzero(value > 0)
-        yield {"point_idx": idx[at], "bin": bins.astype(np.int32), "value": value[at, bins]}
+        yield from _histograms(xyz, idx, n, has, radius, max_nn)
 
     if large is None:
         return each_cloud(rows, work, schema, "side", "point_idx")
@@ -199,6 +205,31 @@ def fpfh(pts: DataFrame, normals: DataFrame, radius: float, max_nn: int = 100, p
     return few.unionByName(_fpfh_of_large(sides[0].drop("side", *nrm), sides[1].drop("side", *XYZ), radius, max_nn))
 
 
+def fpfh_of_points(pts: DataFrame, radius: float, max_nn: int, normal_radius: float, normal_nn: int, pairs: int = MOST_PAIRS) -> DataFrame:
+    """``fpfh`` of ``pts`` with their own normals, ``estimate_normals(pts, normal_radius, normal_nn)``.
+
+    Clouds of at most ``pairs`` pairs get normals and histograms in one task, straight from ``pts``: nothing is written on the way, and points
+    that are dealt out by cloud are not shuffled again. ``point_idx`` is unique within a cloud.
+    """
+    pts = pts.select("cloud_id", "point_idx", *[F.col(c).cast("double").alias(c) for c in XYZ])
+    large = large_clouds(pts, pairs)
+    schema = StructType([*[pts.schema[c] for c in ("cloud_id", "point_idx")], *StructType.fromDDL("bin int, value double").fields])
+
+    def work(c):
+        xyz = np.stack([c[k] for k in XYZ], axis=1)
+        n, has = np.zeros_like(xyz), np.zeros(len(xyz), bool)
+        for at, v, _ in normals_of(xyz, normal_radius, normal_nn):
+            n[at], has[at] = v, True
+        yield from _histograms(xyz, c["point_idx"], n, has, radius, max_nn)
+
+    if large is None:
+        return each_dealt_cloud(pts, work, schema)
+    # written, as a broadcast of the ids would do away with how the points are dealt out, and their numbers be made twice
+    pts = written(pts, "fpfh-points")
+    of = pts.join(large, "cloud_id", "left_semi")
+    return each_dealt_cloud(pts.join(large, "cloud_id", "left_anti"), work, schema).unionByName(fpfh(of, estimate_normals(of, normal_radius, normal_nn, pairs), radius, max_nn, pairs))
+
+
 def _fpfh_of_large(pts: DataFrame, nrm: DataFrame, radius: float, max_nn: int) -> DataFrame:
     side = lambda s: nrm.select("cloud_id", F.col("point_idx").alias(f"{s}_idx"), *[F.col(f"n{c}").alias(f"{s}n{c}") for c in XYZ])
     # a point is its own nearest, or one of its place is: one neighbour more, and then without itself

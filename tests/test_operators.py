@@ -705,3 +705,15 @@ def test_word_vectors_of_many_parts(spark, monkeypatch):
     assert sorted(got) == list(range(403))
     for k, text in texts:
         assert got[k] == pytest.approx(sum((v.get(w, np.zeros(12)) for w in (text or "").split(" ")), np.zeros(12)) / len((text or "").split(" ")), abs=1e-5)
+
+
+def test_fpfh_of_points_needs_no_shuffle_but_that_of_its_clouds(spark, tiny):
+    assert _exchanges(plans.QUERIES["fpfh"](spark, tiny)) == 1
+    pts = plans.views.points(spark, tiny).filter("cloud_id < 4")
+    want = R.fpfh(pts, G.estimate_normals(pts, 8.0, 20), 8.0, 30)
+    one = pts.unionByName(pts.limit(0)).repartition(5)  # dealt out by nothing, in no order
+    found = [R.fpfh_of_points(pts, 8.0, 30, 8.0, 20), R.fpfh_of_points(one, 8.0, 30, 8.0, 20), R.fpfh_of_points(pts, 8.0, 30, 8.0, 20, pairs=1_000_000)]
+    want, *found = ({(r.cloud_id, r.point_idx, r.bin): r.value for r in df.collect()} for df in (want, *found))
+    assert len(want) > 1000
+    for got in found:
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
