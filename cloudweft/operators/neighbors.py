@@ -7,11 +7,13 @@ their true distance, so work follows the number of close pairs. Nearest-neighbou
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -297,15 +299,29 @@ def compare_clouds(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def cloud_pairs(clouds: DataFrame, key: str = "cloud_id", each: int = 10_000_000) -> DataFrame:
-    """(a, b): all pairs of clouds with a < b, the work list of a registration of every pair. Each cloud names the ranks below its own.
+    """(a, b): all pairs of clouds with a < b, the work list of a registration of every pair.
 
-    The clouds are dealt out evenly to a task for about ``each`` pairs, so that no task grows with the square of the clouds.
+    Blocks of clouds meet each other and are dealt out evenly to a task for about ``each`` pairs. Only blocks are shuffled, each as one row:
+    pairs come into being where they are given out, so nothing but the result grows with the square of the clouds.
     """
     places = ranked(clouds.select(key).distinct(), key, name="__k")
-    n = places.count()
-    dealt = places.filter("__k > 0").repartition(max(1, -(-n * n // (2 * each))), "__k")
-    lower = dealt.select(F.col(key).alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__k") - 1)).alias("__k"))
-    return lower.join(places, "__k").select(F.col(key).alias("a"), "b")
+    n, size = places.count(), 1 << (math.isqrt(each).bit_length() - 1)
+    blocks = places.groupBy(F.floor(F.col("__k") / size).alias("block")).agg(F.collect_list(key).alias("ids"))
+    upper = blocks.select(F.col("block").alias("of"), F.col("ids").alias("upper"), F.explode(F.sequence(F.lit(0).cast("bigint"), "block")).alias("block"))
+    met = upper.join(blocks, "block").repartition(max(1, -(-n * n // (2 * each))))
+
+    def run(it):
+        for rows in it:
+            for ids, upper, own in zip(rows.column("ids"), rows.column("upper"), pc.equal(rows.column("block"), rows.column("of")).to_pylist()):
+                ids, upper = ids.values, upper.values
+                step = max(1, 65_536 // max(1, len(ids)))
+                for k in range(0, len(upper), step):
+                    some = upper.slice(k, step)
+                    out = pa.record_batch([ids.take(pa.array(np.tile(np.arange(len(ids)), len(some)))), some.take(pa.array(np.repeat(np.arange(len(some)), len(ids))))], names=["a", "b"])
+                    yield out.filter(pc.less(out.column("a"), out.column("b"))) if own else out
+
+    kind = clouds.schema[key].dataType.simpleString()
+    return met.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def feature_matches(a: DataFrame, b: DataFrame, r: float, edge: float = 0.9, block: int = 4_096) -> DataFrame:

@@ -717,3 +717,15 @@ def test_fpfh_of_points_needs_no_shuffle_but_that_of_its_clouds(spark, tiny):
     assert len(want) > 1000
     for got in found:
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+def test_cloud_pairs_shuffles_blocks_not_pairs(spark):
+    """Pairs are made after the last shuffle, not before; clouds without an id have none, as in SQL."""
+    import re
+
+    clouds = spark.createDataFrame([(k,) for k in [None, *range(2_500)]], "cloud_id long")
+    got = N.cloud_pairs(clouds, each=1_000_000)
+    rows = got.groupBy().agg(F.count("*"), F.countDistinct("a", "b"), F.min(F.col("b") - F.col("a"))).first()
+    assert tuple(rows) == (2_500 * 2_499 // 2, 2_500 * 2_499 // 2, 1)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()  # the topmost operator first
+    assert "MapInArrow" in plan[: re.search("Join|Repartition", plan).start()] and plan.count("explode") == 1
