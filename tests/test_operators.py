@@ -729,3 +729,23 @@ def test_cloud_pairs_shuffles_blocks_not_pairs(spark):
     assert tuple(rows) == (2_500 * 2_499 // 2, 2_500 * 2_499 // 2, 1)
     plan = got._jdf.queryExecution().optimizedPlan().toString()  # the topmost operator first
     assert "MapInArrow" in plan[: re.search("Join|Repartition", plan).start()] and plan.count("explode") == 1
+
+
+def test_text_queries_learn_with_whole_parameters(spark, tiny, monkeypatch):
+    """300 numbers a word, every word, 150 passes, as the operator states."""
+    import inspect
+
+    seen = []
+
+    def fit(df, *args, **kwargs):
+        bound = inspect.signature(own).bind(df, *args, **kwargs)
+        bound.apply_defaults()
+        seen.append({k: v for k, v in bound.arguments.items() if k not in ("df", "seed")})
+        return own(df, 4, iterations=1)
+
+    own = T.fit_doc_vectors
+    monkeypatch.setattr(T, "fit_doc_vectors", fit)
+    words = {r.word for r in plans.QUERIES["fit_doc_vectors"](spark, tiny).collect()}
+    assert seen == [{"size": 300, "window": 5, "min_count": 1, "iterations": 150}]
+    texts = spark.read.parquet(f"{tiny}/documents.parquet").select("text").collect()
+    assert words == {w for r in texts for w in (r.text or "").split(" ")}
