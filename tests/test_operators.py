@@ -749,3 +749,36 @@ def test_text_queries_learn_with_whole_parameters(spark, tiny, monkeypatch):
     assert seen == [{"size": 300, "window": 5, "min_count": 1, "iterations": 150}]
     texts = spark.read.parquet(f"{tiny}/documents.parquet").select("text").collect()
     assert words == {w for r in texts for w in (r.text or "").split(" ")}
+
+
+def test_forest_in_groups_of_trees(spark, monkeypatch):
+    """As many trees as asked for, never more than ``together`` at once; a forest of one group is Spark's."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 4))
+    rows = [(k % 150, int(v[0] * v[1] > 0), v.tolist()) for k, v in enumerate(x)]  # row ids occur twice
+    train, valid = (spark.createDataFrame(r, "row_id long, label int, features array<double>") for r in (rows[:200], rows[200:]))
+    grown, own = [], T.RandomForestClassifier
+    monkeypatch.setattr(T, "RandomForestClassifier", lambda **k: grown.append((k["numTrees"], k["maxDepth"])) or own(**k))
+    got = T.train_text_classifier(train, valid, trees=25, depth=6, together=10).collect()
+    assert grown == [(10, 6), (10, 6), (5, 6)] and len(got) == 100
+    assert np.mean([r.label == r.pred for r in got]) > 0.85
+    vec = lambda df: df.withColumn("v", T.array_to_vector("features"))
+    model = own(numTrees=10, maxDepth=6, seed=1, featuresCol="v", labelCol="label").fit(vec(train))
+    want = sorted((r.row_id, r.label, int(r.prediction)) for r in model.transform(vec(valid)).collect())
+    assert sorted((r.item, r.label, r.pred) for r in T.train_text_classifier(train, valid, trees=10, depth=6, together=10).collect()) == want
+    assert inspect_defaults(T.train_text_classifier) == (1500, 11)
+
+
+def inspect_defaults(f):
+    import inspect
+
+    p = inspect.signature(f).parameters
+    return p["trees"].default, p["depth"].default
+
+
+def test_forest_query_grows_the_whole_forest(spark, tiny, monkeypatch):
+    fits, forests, own, grow = [], [], T.fit_doc_vectors, T.train_text_classifier
+    monkeypatch.setattr(T, "fit_doc_vectors", lambda df, **k: fits.append(k) or own(df, 4, iterations=1))
+    monkeypatch.setattr(T, "train_text_classifier", lambda a, b, **k: forests.append(k) or grow(a, b, trees=2, depth=2))
+    assert plans.QUERIES["train_text_classifier"](spark, tiny).count() > 0
+    assert fits == [{}] and forests == [{}]  # the operators' own sizes: 300 numbers, 150 passes, 1500 trees of depth 11
